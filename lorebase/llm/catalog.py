@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.llm import near_duplicates as nd
+from lorebase.llm import substring_dedup
 from lorebase.llm.common import read
 
 
@@ -14,7 +15,13 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.drop_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
+    return done.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__kept_sha256").alias("kept_sha256"))
+
+
 QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
