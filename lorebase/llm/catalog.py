@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorebase.llm import decontamination, language_id, mixing, substring_dedup
 from lorebase.llm import near_duplicates as nd
-from lorebase.llm import substring_dedup
-from lorebase.llm.common import read
+from lorebase.llm.common import fold, read
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,29 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__kept_sha256").alias("kept_sha256"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), share=1.5, cap=2, weights=(5.0, 2.0, 1.0))
+    return mixed.select(
+        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
+        (F.col("__size") * F.col("__copies")).alias("taken"), "source", F.col("__rate").alias("rate"), F.col("__copies").alias("copies"),
+    )
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold("doc_id", 3) == 1)
+    model = language_id.train(docs.where(~F.col("held_out")))
+    done = language_id.identify(docs.select("doc_id", "text", "held_out"), model)
+    return done.select("doc_id", "held_out", F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"), F.col("__ambiguous").alias("ambiguous"))
+
+
 QUERIES = {
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op8_mixing_sources": op8_mixing_sources,
+    "op9_language_id": op9_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
