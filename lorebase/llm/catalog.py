@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import decontamination, language_id, mixing, substring_dedup
+from lorebase.llm import decontamination, language_id, mixing, substring_dedup, toxicity
 from lorebase.llm import near_duplicates as nd
 from lorebase.llm.common import fold, read
 
@@ -15,6 +15,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 5) == 0).alias("held_out"))
+    scored = toxicity.toxicity(docs, read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "exact", "near", "quoted", "best")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.drop_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
     return done.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__kept_sha256").alias("kept_sha256"))
@@ -40,6 +46,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op8_mixing_sources": op8_mixing_sources,
     "op9_language_id": op9_language_id,
