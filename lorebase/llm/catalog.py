@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import decontamination, language_id, mixing, substring_dedup, toxicity
+from lorebase.llm import decontamination, language_id, mixing, quality_lm, substring_dedup, topk_search, toxicity, url_filter
 from lorebase.llm import near_duplicates as nd
 from lorebase.llm.common import fold, read
 
@@ -21,6 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "exact", "near", "quoted", "best")
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.drop_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
     return done.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__kept_sha256").alias("kept_sha256"))
@@ -30,6 +34,15 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = read(spark, sf_dir, "labels").where("quality = 1")
+    return quality_lm.quality(read(spark, sf_dir, "documents"), trusted)
+
+
+def op7_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
+
+
 def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), share=1.5, cap=2, weights=(5.0, 2.0, 1.0))
     return mixed.select(
@@ -47,11 +60,25 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_url_filters": op3_url_filters,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_exact_topk_search": op7_exact_topk_search,
     "op8_mixing_sources": op8_mixing_sources,
     "op9_language_id": op9_language_id,
-    "op4_substring_dedup": op4_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_exact_topk_search": """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+}
