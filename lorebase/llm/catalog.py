@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import decontamination, language_id, mixing, quality_lm, substring_dedup, topk_search, toxicity, url_filter
+from lorebase.llm import decontamination, gru_lm, language_id, mixing, quality_lm, substring_dedup, topk_search, toxicity, url_filter
 from lorebase.llm import near_duplicates as nd
 from lorebase.llm.common import fold, read
 
@@ -21,6 +21,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "exact", "near", "quoted", "best")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 5) == 1).alias("held_out"))
+    return gru_lm.score_documents(docs)
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"))
 
@@ -60,6 +65,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_url_filters": op3_url_filters,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
