@@ -1,4 +1,27 @@
 """The registered queries of the library, by operator id, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lorebase.sources.fixtures import derive, with_derivations
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, *tables: str, oracle: str | None = None):
+    """Register a function of the given tables as a query (spark, sf_dir), with its DuckDB SQL."""
+
+    def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: f(*(derive(spark, sf_dir, t) for t in tables))
+        if oracle:
+            ORACLES[name] = with_derivations(oracle)
+        return f
+
+    return register
+
+
+from lorebase.plans import entities, facts, graph, ingest, reports, search  # noqa: E402, F401
