@@ -125,8 +125,11 @@ class Words:
 
     def texts(self, i: int, j: int) -> str:
         """Words [i, j) joined by one blank."""
-        raw = self.data
-        return b" ".join(raw[s:e].tobytes() for s, e in zip(self.starts[i:j], self.ends[i:j], strict=True)).decode("utf-8", "replace")
+        return self.joined(i, j).decode("utf-8", "replace")
+
+    def joined(self, i: int, j: int) -> bytes:
+        # bytes.split() parts at the very bytes of SPACES
+        return b" ".join(self.data[self.starts[i] : self.ends[j - 1]].tobytes().split()) if j > i else b""
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,16 +5,16 @@ too. The steps, all Spark jobs:
 
 1. Anchors. Every window has one anchor: the smallest of its 16-word hashes (leftmost of equals), which depends on
    the window's words alone. The windows of a text with the same anchor form one passage of 35 to 54 words.
-   Only anchors that occur at least twice can hold a repeated window; the others end here, after a count.
-2. Confirm. Passages are dealt by anchor, equal ones collapsed and counted first. A task takes whole anchor groups,
-   some thousand passages at a time, numbers their words exactly and counts the windows as word sequences, so that
-   hashes never decide.
+   Only anchors that occur at least twice can hold a repeated window; the others end here, after a count. Equal
+   passages (same anchor, same 64-bit hash of all words) are settled once, with their number.
+2. Confirm. Different passages are dealt by anchor. A task takes whole anchor groups, some thousand passages at a
+   time, numbers their words exactly and counts the windows as word sequences.
 3. Automata. Of each such shard the recurring passages are compiled into an Aho-Corasick automaton (pyahocorasick,
    one character a word), through which all passages of the shard are streamed; every occurrence is located.
-4. The located spans go back to the documents, overlaps merged.
+4. The located spans go back to all documents that hold the passages, overlaps merged.
 
-A very frequent anchor (above `hot` occurrences) is dealt by single windows instead: equal windows collapse where
-they are read, so that its group is spread and stays small. Nothing is dropped.
+An anchor with very many different passages (above `hot`) would crowd one task; its windows are counted by a join on
+their words instead, with the same result. Nothing is dropped.
 
 Null or blank texts have no words. Null and repeated ids: each row is handled alone. Extra columns pass through.
 """
@@ -22,6 +22,7 @@ Null or blank texts have no words. Null and repeated ids: each row is handled al
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,8 +38,8 @@ from lorebase.llm.common import Words, cut, word_chunks
 WINDOW = 35
 #: Words hashed for an anchor.
 GRAM = 16
-#: Occurrences of an anchor above which its passages are dealt window by window.
-HOT = 50_000
+#: Different passages of an anchor above which its windows are counted by a join.
+HOT = 20_000
 #: Passages that share one automaton, besides the last whole anchor group.
 SHARD = 4000
 _LOW = np.uint64((1 << 24) - 1)
@@ -55,13 +56,13 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return m
 
 
-def _passages(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word in it, words, anchor hash) of the passages of a chunk."""
+def _passages(w: Words, window: int) -> tuple[np.ndarray, ...]:
+    """(text, first word in it, words, anchor hash, hash of all words) of the passages of a chunk."""
     none = np.zeros(0, np.int64)
     starts = w.starts_of(window)
     gram = min(GRAM, window)
     if not len(starts):
-        return none, none, none, none
+        return none, none, none, none, none
     at = np.arange(len(w.starts) - gram + 1)
     grams = w.spans(at, at + gram)
     if len(at) > int(_LOW):
@@ -73,7 +74,8 @@ def _passages(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
-    return text[first], starts[first] - w.bounds[text[first]], starts[last] - starts[first] + window, grams[anchor[first]].astype(np.int64)
+    whole = w.spans(starts[first], starts[last] + window).astype(np.int64)
+    return text[first], starts[first] - w.bounds[text[first]], starts[last] - starts[first] + window, grams[anchor[first]].astype(np.int64), whole
 
 
 def _anchors(window: int):
@@ -81,45 +83,35 @@ def _anchors(window: int):
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for a, _, w in word_chunks(batch.column(1)):
-                text, first, n, anchor = _passages(w, window)
+                text, first, n, anchor, digest = _passages(w, window)
                 if len(text):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a + text]), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor)], ["key", "first", "n", "anchor"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[a + text]), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(digest)], ["key", "first", "n", "anchor", "digest"])
 
     return run
 
 
-def _cut_out(window: int, text_col: str):
-    """Texts of the passages whose anchors recur."""
+def _cut_out(text_col: str):
+    """Texts of the marked passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            keys = batch.column(names.index("__key")).to_numpy(zero_copy_only=False)
             marks = batch.column(names.index("__marks"))
             at = marks.offsets.to_numpy()
             flat = marks.flatten()
-            first, n, anchor, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            first, n = (flat.field(i).to_numpy() for i in range(2))
             for a, b, w in word_chunks(batch.column(names.index(text_col))):
-                key, starts, anchors, texts = [], [], [], []
+                which, texts = [], []
                 for row in range(a, b):
-                    base = int(w.bounds[row - a])
+                    base, end = int(w.bounds[row - a]), int(w.bounds[row - a + 1])
                     for k in range(at[row], at[row + 1]):
-                        i, size = int(first[k]), int(n[k])
-                        if base + i + size > w.bounds[row - a + 1]:
-                            continue  # of another row with the same key
-                        parts = [(i, size, int(anchor[k]))]
-                        if hot[k]:
-                            s = base + np.arange(i, i + size - window + 1)
-                            parts = [(int(x) - base, window, int(h)) for x, h in zip(s, w.spans(s, s + window).astype(np.int64), strict=True)]
-                        for f, m, h in parts:
-                            key.append(keys[row])
-                            starts.append(f)
-                            anchors.append(h)
-                            texts.append(w.texts(base + f, base + f + m))
-                if key:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.array(key, np.int64)), pa.array(np.array(starts, np.int32)), pa.array(np.array(anchors, np.int64)), pa.array(texts, pa.string())], ["key", "first", "anchor", "passage"]
-                    )
+                        i = base + int(first[k])
+                        if i + int(n[k]) <= end:  # else of another row with the same key
+                            which.append(k)
+                            texts.append(w.texts(i, i + int(n[k])))
+                if which:
+                    own = flat.take(pa.array(which))
+                    yield pa.RecordBatch.from_arrays([own.field(2), own.field(3), own.field(4), pa.array(texts, pa.string())], ["anchor", "digest", "m", "passage"])
 
     return run
 
@@ -193,6 +185,14 @@ def _confirm(window: int):
     return run
 
 
+def _crowded(passages: DataFrame, window: int) -> DataFrame:
+    """The same by joins, for anchors with very many different passages: every window is a row, counted by its words."""
+    words = F.split("passage", " ")
+    one = passages.withColumn("w", words).select("anchor", "digest", "m", F.posexplode(F.expr(f"transform(sequence(1, size(w) - {window} + 1), i -> array_join(slice(w, i, {window}), ' '))")).alias("s", "phrase"))
+    again = one.groupBy("phrase").agg(F.sum("m").alias("times")).where("times > 1").select("phrase")
+    return one.join(again, "phrase").groupBy("anchor", "digest").agg(F.flatten(F.collect_list(F.array("s", F.col("s") + window))).alias("spans"))
+
+
 def _apply(text_col: str):
     """The rows with word counts, the kept words joined by blanks, and their digest."""
 
@@ -207,14 +207,13 @@ def _apply(text_col: str):
                 digests = []
                 for row in range(b - a):
                     i, j = int(w.bounds[row]), int(w.bounds[row + 1])
-                    at = np.arange(i, j)
+                    raw = w.joined(i, j)
                     if marks[a + row].is_valid:
                         keep = np.ones(j - i, bool)
                         for s, e in marks[a + row].as_py():
                             keep[s:e] = False
-                        at = at[keep]
-                        removed[row] = j - i - len(at)
-                    raw = b" ".join([w.data[s:e].tobytes() for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)])
+                        raw = b" ".join(itertools.compress(raw.split(), keep.tolist()))
+                        removed[row] = j - i - int(keep.sum())
                     if removed[row]:
                         kept[row] = raw.decode("utf-8", "replace")
                     digests.append(hashlib.sha256(raw).hexdigest())
@@ -232,19 +231,24 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col:
     what is found.
     """
     keyed = docs.withColumn(text_col, F.col(text_col).cast("string")).withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    anchors = cut(keyed.select(F.col("__key").alias("key"), text_col).mapInArrow(_anchors(window), "key long, first int, n int, anchor long"), "anchors")
-    recurring = anchors.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor", (F.col("m") > hot).alias("hot"))
-    marks = anchors.join(recurring, "anchor").groupBy(F.col("key").alias("__key")).agg(F.collect_set(F.struct("first", "n", "anchor", "hot")).alias("__marks"))
-    passages = (
-        keyed.join(marks, "__key")
-        .mapInArrow(_cut_out(window, text_col), "key long, first int, anchor long, passage string")
-        .withColumn("digest", F.xxhash64("passage", F.lit(1)))
-    )
-    distinct = passages.groupBy("anchor", "digest", "passage").agg(F.count("*").alias("m"))
-    located = distinct.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_confirm(window), "anchor long, digest long, spans array<int>")
+    anchors = cut(keyed.select(F.col("__key").alias("key"), text_col).mapInArrow(_anchors(window), "key long, first int, n int, anchor long, digest long"), "anchors")
+    recurring = cut(anchors.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "recurring")
+    occurrences = anchors.join(recurring, "anchor")
+    # equal passages are settled once, on one of them
+    distinct = cut(occurrences.groupBy("anchor", "digest").agg(F.count("*").alias("m"), F.min(F.struct("key", "first", "n")).alias("x")), "passages")
+    crowded = cut(distinct.groupBy("anchor").agg(F.count("*").alias("d")).where(F.col("d") > hot).select("anchor"), "crowded")
+    marks = distinct.groupBy(F.col("x.key").alias("__key")).agg(F.collect_list(F.struct("x.first", "x.n", "anchor", "digest", "m")).alias("__marks"))
+    passages = keyed.join(marks, "__key").mapInArrow(_cut_out(text_col), "anchor long, digest long, m long, passage string")
+    schema = "anchor long, digest long, spans array<int>"
+    if crowded.isEmpty():
+        located = passages.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_confirm(window), schema)
+    else:
+        usual = passages.join(crowded, "anchor", "left_anti")
+        located = usual.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_confirm(window), schema)
+        located = located.unionByName(_crowded(passages.join(crowded, "anchor", "left_semi"), window))
     pairs = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.array(F.col("first") + F.get("spans", i), F.col("first") + F.get("spans", i + 1)))
     found = (
-        passages.select("key", "first", "anchor", "digest")
+        occurrences.select("key", "first", "anchor", "digest")
         .join(located, ["anchor", "digest"])
         .select(F.col("key").alias("__key"), F.explode(pairs).alias("x"))
         .groupBy("__key")
