@@ -1 +1,143 @@
-"""Queries of this family."""
+"""Queries of entity resolution and lifecycle."""
+
+from pyspark.sql import functions as F
+
+from lorebase.operators import entities as e
+from lorebase.operators import similarity as sim
+from lorebase.plans.catalog import query
+
+_ENTITY = "type IN ('company', 'industry', 'concept')"
+_E = "(weight >= 0.9 OR link_type <> 'mention' OR (link_source = 'frontmatter' AND origin_field = 'primary_entities') OR origin_field IN ('facts_block', 'timeline_block'))"
+_KEYS = "k AS (SELECT DISTINCT id, type, lower(trim(u)) AS key FROM (SELECT id, type, unnest(list_concat([title, split_part(slug, '/', 2)], string_split(alias_csv, ','))) AS u FROM fx_pages WHERE deleted = 0) WHERE lower(trim(u)) <> '')"
+_TITLES = "SELECT p_partkey AS id, 'concept' AS type, p_name || ' ' || p_brand || ' ' || p_type AS title FROM part"
+_GRAMS = r"""list_distinct(flatten([[substr('  ' || w || ' ', CAST(i AS BIGINT), 3) FOR i IN range(1, length(w) + 2)] FOR w IN [x FOR x IN regexp_split_to_array(lower(title), '[^\p{L}\p{N}]+') IF x <> '']]))"""
+
+
+@query("e2_find_duplicates", "part", oracle=f"""
+WITH t AS ({_TITLES}), c AS (SELECT lower(title) AS title, min(id) AS id FROM t GROUP BY 1), g AS (SELECT id, {_GRAMS} AS g FROM c), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g)) AS i, len(a.g) + len(b.g) AS n FROM g a JOIN g b ON a.id < b.id AND len(a.g) >= 0.8 * len(b.g) AND len(b.g) >= 0.8 * len(a.g))
+SELECT 'concept' AS type, a, b, round(i::DOUBLE / (n - i), 6) AS similarity FROM p WHERE i::DOUBLE / (n - i) >= 0.8""")
+def e2(part):
+    rows = part.select(F.col("p_partkey").alias("id"), F.lit("concept").alias("type"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("title"))
+    return sim.similar_pairs(rows, "title", ["type"], 0.8)
+
+
+@query("e2_duplicate_classes", "part", oracle=f"WITH t AS ({_TITLES}) SELECT id, min(id) OVER (PARTITION BY lower(title)) AS class FROM t")
+def e2b(part):
+    rows = part.select(F.col("p_partkey").alias("id"), F.lit("concept").alias("type"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("title"))
+    return sim.text_classes(rows, "title", ["type"])
+
+
+@query("e1_trigram_sets", "fx_pages", oracle=f"SELECT id, len({_GRAMS})::INTEGER AS grams FROM fx_pages WHERE deleted = 0")
+def e1(pages):
+    return pages.where("deleted = 0").select("id", F.size(sim.trigrams(F.col("title"))).alias("grams"))
+
+
+@query("e3_alias_conflicts", "fx_pages", oracle=f"WITH {_KEYS} SELECT type, key, count(*) AS pages, min(id) AS first_id FROM k WHERE {_ENTITY} GROUP BY 1, 2 HAVING count(*) > 1")
+def e3(pages):
+    return e.alias_conflicts(pages)
+
+
+@query("e4_check_new_aliases", "fx_pages", oracle="""
+WITH u AS (SELECT id, 'S' || CAST(id % 40 AS VARCHAR) AS alias FROM fx_pages WHERE type = 'industry'), t AS (SELECT id AS other_id, lower(title) AS key, 1 AS rank FROM fx_pages WHERE deleted = 0 UNION ALL SELECT id, lower(split_part(slug, '/', 2)), 2 FROM fx_pages WHERE deleted = 0
+UNION ALL SELECT id, lower(trim(unnest(string_split(alias_csv, ',')))), 3 FROM fx_pages WHERE deleted = 0), m AS (SELECT u.id, lower(trim(alias)) AS key, other_id, min(rank) AS r FROM u JOIN t ON t.key = lower(trim(alias)) AND u.id <> other_id GROUP BY 1, 2, 3)
+SELECT id, key, other_id, ['title', 'slug_name', 'alias'][r] AS matched_on FROM m""")
+def e4(pages):
+    updates = pages.where("type = 'industry'").select("id", F.concat(F.lit("S"), (F.col("id") % 40).cast("string")).alias("alias"))
+    return e.check_new_aliases(updates, pages)
+
+
+@query("e6_choose_canonical", "fx_pages", "fx_links", oracle=f"""
+WITH b AS (SELECT to_page_id AS id, count(*) FILTER (WHERE {_E}) AS n FROM fx_links WHERE deleted = 0 GROUP BY 1),
+s AS (SELECT p.id, 100 * CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END + 10 * coalesce(n, 0) + 10 * coalesce(completeness_score, 0) + len(string_split(alias_csv, ',')) AS score FROM fx_pages p LEFT JOIN b USING (id) WHERE type = 'concept')
+SELECT x.id AS a, y.id AS b, CASE WHEN y.score > x.score THEN y.id ELSE x.id END AS canonical FROM s x JOIN s y ON y.id = x.id + 1""")
+def e6(pages, links):
+    concepts = pages.where("type = 'concept'")
+    ids = concepts.select("id")
+    pairs = ids.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).join(ids.select(F.col("id").alias("b")), "b", "left_semi")
+    return e.choose_canonical(concepts, links, pairs)
+
+
+@query("e7_narrative_overlap", "fx_pages", oracle=r"""
+WITH t AS (SELECT id, list_distinct([x FOR x IN regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+') IF length(x) >= 3]) AS t, list_distinct(string_split(alias_csv, ',')) AS al FROM fx_pages WHERE type = 'concept')
+SELECT x.id AS a, round(coalesce(len(list_intersect(x.t, y.t))::DOUBLE / nullif(least(len(x.t), len(y.t)), 0), 0), 6) AS narrative, round(coalesce(len(list_intersect(x.al, y.al))::DOUBLE / nullif(greatest(len(x.al), len(y.al)), 0), 0), 6) AS alias FROM t x JOIN t y ON y.id = x.id + 1""")
+def e7(pages):
+    t = pages.where("type = 'concept'").select("id", e.narrative_tokens(F.col("content")).alias("t"), F.array_distinct(F.split("alias_csv", ",")).alias("al"))
+    n = t.select((F.col("id") - 1).alias("id"), F.col("t").alias("u"), F.col("al").alias("bl"))
+    return t.join(n, "id").select(F.col("id").alias("a"), F.round(e.overlap(F.col("t"), F.col("u"), True), 6).alias("narrative"), F.round(e.overlap(F.col("al"), F.col("bl"), False), 6).alias("alias"))
+
+
+def _mapping(part):
+    """Every sixteenth concept goes to the one before it, that one to the one before."""
+    k = F.col("p_partkey")
+    return part.where(k % 16 < 2).where(k >= 2).select((3000000 + k).alias("old"), (3000000 + k - 1).alias("new"))
+
+
+@query("e9_apply_merges_links", "part", "fx_links", oracle="""
+WITH m AS (SELECT 3000000 + p_partkey AS old, 3000000 + p_partkey - CASE WHEN p_partkey % 16 = 1 AND p_partkey > 2 THEN 2 ELSE 1 END AS new FROM part WHERE p_partkey % 16 < 2 AND p_partkey >= 2),
+l AS (SELECT id, coalesce(a.new, from_page_id) AS from_page_id, coalesce(b.new, to_page_id) AS to_page_id, link_type, link_source FROM fx_links LEFT JOIN m a ON a.old = from_page_id LEFT JOIN m b ON b.old = to_page_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY from_page_id, to_page_id, link_type, link_source ORDER BY id) AS rn FROM l WHERE from_page_id <> to_page_id) SELECT id, from_page_id, to_page_id, link_type, link_source FROM r WHERE rn = 1""")
+def e9(part, links):
+    return e.apply_merge_to_links(links, e.merge_mapping(_mapping(part)))
+
+
+@query("e10_merge_plan", "part", "fx_links", "fx_facts", "fx_timeline", "fx_signals", oracle="""
+WITH m AS (SELECT 3000000 + p_partkey AS page_id FROM part WHERE p_partkey % 16 < 2 AND p_partkey >= 2)
+SELECT page_id, (SELECT count(*) FROM fx_links l WHERE l.deleted = 0 AND (from_page_id = m.page_id OR to_page_id = m.page_id)) AS links, (SELECT count(*) FROM fx_facts f WHERE f.deleted = 0 AND entity_page_id = m.page_id) AS facts, CAST(0 AS BIGINT) AS timeline, CAST(0 AS BIGINT) AS signals FROM m""")
+def e10(part, links, facts, timeline, signals):
+    return e.merge_plan(_mapping(part), links, facts, timeline, signals)
+
+
+@query("e13_retire_candidates", "fx_pages", "fx_links", "fx_facts", "fx_timeline", "fx_signals", oracle="""
+WITH u AS (SELECT from_page_id AS id FROM fx_links WHERE deleted = 0 UNION SELECT to_page_id FROM fx_links WHERE deleted = 0 UNION SELECT entity_page_id FROM fx_facts WHERE deleted = 0 UNION SELECT source_page_id FROM fx_facts WHERE deleted = 0
+UNION SELECT entity_page_id FROM fx_timeline UNION SELECT source_page_id FROM fx_timeline UNION SELECT entity_page_id FROM fx_signals UNION SELECT source_page_id FROM fx_signals)
+SELECT id, slug, length(content)::INTEGER AS chars FROM fx_pages p WHERE deleted = 0 AND entity_state IN ('stub', 'candidate_promoted') AND length(content) <= 300 AND NOT EXISTS (SELECT 1 FROM u WHERE u.id = p.id)""")
+def e13(pages, links, facts, timeline, signals):
+    return e.retire_candidates(pages, links, facts, timeline, signals)
+
+
+@query("e15_demotable_pages", "fx_pages", "fx_links", "fx_timeline", "fx_signals", oracle=f"""
+WITH l AS (SELECT 1000000 + to_page_id % 60 AS to_page_id, from_page_id, weight, link_type, link_source, NULL AS origin_field FROM fx_links WHERE deleted = 0 AND link_type = 'mention' AND link_source = 'markdown'),
+i AS (SELECT to_page_id AS id, count(*) FILTER (WHERE NOT coalesce({_E}, false)) AS weak, count(*) FILTER (WHERE coalesce({_E}, false)) AS strong, count(DISTINCT from_page_id) AS origins FROM l GROUP BY 1)
+SELECT p.id, p.slug, weak, origins FROM fx_pages p JOIN i USING (id) WHERE strong = 0 AND weak > 0 AND deleted = 0 AND {_ENTITY} AND entity_state = 'stub' AND ticker IS NULL AND exchange IS NULL AND length(content) <= 1300
+AND NOT EXISTS (SELECT 1 FROM fx_timeline t WHERE t.entity_page_id = p.id AND t.id % 50 = 0) AND NOT EXISTS (SELECT 1 FROM fx_signals s WHERE s.entity_page_id = p.id AND s.id % 50 = 0)""")
+def e15(pages, links, timeline, signals):
+    weak = links.where("link_type = 'mention' AND link_source = 'markdown'").withColumn("to_page_id", 1000000 + F.col("to_page_id") % 60).withColumn("origin_field", F.lit(None).cast("string"))
+    return e.demotable_pages(pages, weak, timeline.where("id < 0"), timeline.where("id % 50 = 0"), signals.where("id % 50 = 0"))
+
+
+_MENTIONS = """m AS (SELECT slug, count(DISTINCT source_page_id) AS evidence_count, string_agg(DISTINCT alias, ',' ORDER BY alias) AS aliases, CASE WHEN regexp_matches(split_part(slug, '/', 2), '^(unknown|major-)') THEN 'rejected' ELSE 'pending' END AS status FROM fx_mentions GROUP BY 1)"""
+
+
+@query("e17_upsert_candidates", "fx_mentions", oracle=f"WITH {_MENTIONS} SELECT * FROM m")
+def e17(mentions):
+    return e.upsert_candidates(mentions)
+
+
+@query("e18_auto_reject", "fx_mentions", oracle="SELECT DISTINCT slug, CASE WHEN slug LIKE 'companies/unknown-%' THEN 'placeholder' WHEN slug LIKE 'companies/major-%' THEN 'descriptor' END AS reason FROM fx_mentions")
+def e18(mentions):
+    return mentions.select("slug").distinct().withColumn("reason", e.auto_reject_reason(F.col("slug")))
+
+
+@query("e19_list_candidates", "fx_mentions", oracle=f"WITH {_MENTIONS} SELECT * FROM m ORDER BY CASE status WHEN 'pending' THEN 0 ELSE 3 END, evidence_count DESC, slug LIMIT 50")
+def e19(mentions):
+    return e.list_candidates(e.upsert_candidates(mentions))
+
+
+_W = r"len(regexp_extract_all(content, '\[\[[a-z]+/[^\]|#]+'))"
+_C = r"(len(regexp_extract_all(content, '\[\[sources/')) + CASE WHEN regexp_matches(content, '(?i)sources?[:：]') THEN 1 ELSE 0 END)"
+
+
+@query("e28_completeness_score", "fx_pages", oracle=f"""
+WITH d AS (SELECT *, length(trim(content)) AS n, len([x FOR x IN string_split(alias_csv, ',') IF x <> '']) AS a, {_W} AS w, {_C} AS c, datediff('day', update_date, DATE '1996-08-15') AS days FROM fx_pages WHERE deleted = 0),
+s AS (SELECT *, CASE WHEN n = 0 THEN 0.0 WHEN n < 200 THEN 0.2 WHEN n < 800 THEN 0.5 WHEN n < 2000 THEN 0.8 ELSE 1.0 END::DOUBLE AS co, CASE WHEN a = 0 THEN 0.0 WHEN a = 1 THEN 0.3 WHEN a = 2 THEN 0.6 ELSE 1.0 END::DOUBLE AS al,
+ CASE WHEN w = 0 THEN 0.0 WHEN w < 3 THEN 0.4 WHEN w < 10 THEN 0.7 ELSE 1.0 END::DOUBLE AS wi, CASE WHEN c = 0 THEN 0.0 WHEN c < 2 THEN 0.3 WHEN c < 5 THEN 0.7 ELSE 1.0 END::DOUBLE AS ci, CASE WHEN days < 30 THEN 1.0 WHEN days < 90 THEN 0.7 WHEN days < 365 THEN 0.4 ELSE 0.1 END::DOUBLE AS re,
+ CASE WHEN trim(coalesce(ticker, '')) <> '' THEN 1.0 WHEN exchange IS NOT NULL THEN 0.6 ELSE 0.0 END::DOUBLE AS li, CASE WHEN sector IS NOT NULL THEN 0.5 ELSE 0.0 END::DOUBLE AS se, CASE WHEN exchange IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS ex FROM d)
+SELECT id, type, round(round(CASE type WHEN 'company' THEN 0.20 * co + 0.15 * li + 0.10 * se + 0.15 * al + 0.10 * wi + 0.15 * ci + 0.05 * re + 0.10 * ex WHEN 'industry' THEN 0.30 * co + 0.20 * al + 0.20 * wi + 0.20 * ci + 0.10 * re WHEN 'concept' THEN 0.35 * co + 0.15 * al + 0.20 * wi + 0.20 * ci + 0.10 * re ELSE 0.0 END, 9), 3) AS score FROM s""")
+def e28(pages):
+    return e.completeness(pages, "1996-08-15")
+
+
+@query("e33_bootstrap_states", "fx_pages", "fx_events", oracle=f"""
+SELECT p.id, CASE WHEN length(content) <= 300 AND d.id IS NULL THEN CASE WHEN confidence = 'low' THEN 'stub' ELSE 'candidate_promoted' END ELSE 'compiled' END AS state FROM fx_pages p LEFT JOIN (SELECT DISTINCT entity_id AS id FROM fx_events WHERE action = 'enrich' AND value > 120) d USING (id) WHERE p.deleted = 0 AND {_ENTITY}""")
+def e33(pages, events):
+    return e.bootstrap_states(pages, events.where("value > 120"))
