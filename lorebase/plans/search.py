@@ -1 +1,124 @@
-"""Queries of this family."""
+"""Queries of retrieval and evaluation."""
+
+from pyspark.sql import functions as F
+
+from lorebase.operators import graph as g
+from lorebase.operators import search as s
+from lorebase.plans.catalog import query
+
+_TOK = r"[x FOR x IN regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}_\-]+') IF x <> '']"
+_STOP = "(" + ", ".join(f"'{w}'" for w in s.STOPWORDS) + ")"
+_Q = f"""q0 AS (SELECT item_id AS query_id, unnest({_TOK.format("text")}) AS term, generate_subscripts({_TOK.format("text")}, 1) AS pos FROM benchmark),
+q1 AS (SELECT query_id, term, min(pos) AS pos FROM q0 WHERE NOT (regexp_full_match(term, '[a-z0-9_-]+') AND length(term) < 3) AND term NOT IN {_STOP} GROUP BY 1, 2),
+q AS (SELECT query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS k FROM q1) WHERE k <= 16)"""
+_INDEX = f"""ix AS (SELECT page_id, token, count(*) AS tf FROM (SELECT page_id, unnest({_TOK.format("chunk_text")}) AS token FROM fx_chunks) GROUP BY 1, 2)"""
+_KEYWORD = f"""{_Q}, {_INDEX}, mt AS (SELECT term, page_id, sum(tf) AS tf FROM (SELECT DISTINCT term FROM q) t JOIN ix ON starts_with(ix.token, t.term) GROUP BY 1, 2),
+ks AS (SELECT query_id, page_id, round(sum(0.4 * ln(1 + tf)) / any_value(n), 6) AS score FROM q JOIN mt USING (term) JOIN (SELECT query_id, count(*) AS n FROM q GROUP BY 1) USING (query_id) GROUP BY 1, 2),
+kw AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS INTEGER) AS rn FROM ks) WHERE rn <= 20)"""
+
+
+def _queries(benchmark):
+    return benchmark.select(F.col("item_id").alias("query_id"), "text")
+
+
+def _index(chunks):
+    return s.postings(chunks.select("page_id", "chunk_text"), {"chunk_text": 0.4})
+
+
+@query("r1_query_terms", "benchmark", oracle=f"WITH {_Q} SELECT query_id, term FROM q")
+def r1(benchmark):
+    return _queries(benchmark).select("query_id", F.explode(s.query_terms(F.col("text"))).alias("term"))
+
+
+@query("r2_build_postings", "fx_pages", oracle=f"""
+WITH t AS (SELECT id AS page_id, unnest({_TOK.format("title")}) AS token, CAST(1.0 AS DOUBLE) AS weight FROM fx_pages WHERE deleted = 0 UNION ALL SELECT id, unnest({_TOK.format("content")}), CAST(0.4 AS DOUBLE) FROM fx_pages WHERE deleted = 0)
+SELECT page_id, token, weight, count(*) AS tf FROM t GROUP BY 1, 2, 3""")
+def r2(pages):
+    return s.postings(g.active(pages).select(F.col("id").alias("page_id"), "title", "content"), {"title": 1.0, "content": 0.4})
+
+
+@query("r3_keyword_search", "benchmark", "fx_chunks", oracle=f"WITH {_KEYWORD} SELECT query_id, page_id, score, rn FROM kw")
+def r3(benchmark, chunks):
+    return s.keyword_search(_queries(benchmark), _index(chunks), 20)
+
+
+@query("r4_vector_search", "embeddings", oracle="""
+WITH v AS (SELECT vec_id AS id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), p AS (SELECT q.id AS query_id, v.id, round(1 / (1 + (1 - list_cosine_similarity(q.e, v.e))), 5) AS score FROM v q JOIN v ON q.id < 5 AND v.id <> q.id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rn FROM p) SELECT * FROM r WHERE rn <= 20""")
+def r4(embeddings):
+    v = embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    return s.vector_search(v.where("id < 5").withColumnRenamed("id", "query_id"), v, 20)
+
+
+_CASES = " ".join(f"WHEN starts_with(slug, '{p}') THEN {x}" for p, x in sorted(s.SOURCE_FACTORS.items(), key=lambda p: -len(p[0])))
+
+
+@query("r5_source_factor", "fx_pages", oracle=f"SELECT id, CAST(CASE {_CASES} ELSE 1.0 END AS DOUBLE) AS factor FROM fx_pages")
+def r5(pages):
+    return pages.select("id", s.source_factor(F.col("slug")).alias("factor"))
+
+
+@query("r6_exclude_prefixes", "fx_pages", oracle="SELECT id FROM fx_pages WHERE NOT starts_with(slug, 'sources/')")
+def r6(pages):
+    return s.without_prefixes(pages, "slug", ("sources/", "concepts/"), ("concepts/",)).select("id")
+
+
+@query("r7_rrf_fuse", "benchmark", "fx_chunks", oracle=f"""
+WITH {_KEYWORD}, v AS (SELECT query_id, page_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY page_id % 7, page_id) AS INTEGER) AS rn FROM kw),
+u AS (SELECT query_id, page_id, 1.0::DOUBLE / (60 + rn - 1) AS s, 0 AS c, rn FROM kw UNION ALL SELECT query_id, page_id, 1.0::DOUBLE / (60 + rn - 1), 1, rn FROM v), f AS (SELECT query_id, page_id, sum(s) AS s, min(rn) FILTER (WHERE c = 0) AS keyword_rank, min(rn) FILTER (WHERE c = 1) AS vector_rank FROM u GROUP BY 1, 2)
+SELECT query_id, page_id, round(s / max(s) OVER (PARTITION BY query_id), 6) AS score, keyword_rank, vector_rank FROM f""")
+def r7(benchmark, chunks):
+    from pyspark.sql import Window
+
+    kw = s.keyword_search(_queries(benchmark), _index(chunks), 20)
+    other = kw.select("query_id", "page_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("page_id") % 7, "page_id")).alias("rn"))
+    return s.rrf_fuse([kw, other])
+
+
+@query("r10_backlink_boost", "fx_pages", "fx_links", oracle="""
+WITH b AS (SELECT to_page_id AS id, count(*) FILTER (WHERE weight >= 0.9 OR link_type <> 'mention' OR (link_source = 'frontmatter' AND origin_field = 'primary_entities') OR origin_field IN ('facts_block', 'timeline_block')) AS n FROM fx_links WHERE deleted = 0 GROUP BY 1)
+SELECT p.id, round(CASE WHEN coalesce(n, 0) > 0 THEN least(1 + 0.05 * ln(1 + n), 1.5) ELSE 1.0 END, 6) AS factor FROM fx_pages p LEFT JOIN b USING (id)""")
+def r10(pages, links):
+    n = g.effective_backlinks(links).withColumnRenamed("page_id", "id")
+    return pages.join(n, "id", "left").select("id", F.round(s.backlink_factor(F.coalesce("backlinks", F.lit(0))), 6).alias("factor"))
+
+
+@query("r12_best_chunk_per_page", "fx_chunks", oracle="""
+WITH h AS (SELECT id % 20 AS query_id, page_id, id, CAST(length(chunk_text) % 37 AS INTEGER) AS score FROM fx_chunks), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, page_id ORDER BY score DESC, id) AS k FROM h) WHERE k = 1),
+r AS (SELECT query_id, page_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM o) SELECT * FROM r WHERE rank <= 10""")
+def r12(chunks):
+    hits = chunks.select((F.col("id") % 20).alias("query_id"), "page_id", "id", (F.length("chunk_text") % 37).alias("score"))
+    return s.best_per_page(hits, 10)
+
+
+@query("r13_classify_intent", "fx_comments", oracle=r"""
+WITH t AS (SELECT id, CASE id % 6 WHEN 0 THEN 'what is ' WHEN 1 THEN 'latest on ' WHEN 2 THEN 'who announced ' WHEN 3 THEN 'everything about ' WHEN 4 THEN 'earnings of ' ELSE '' END || author AS text FROM fx_comments)
+SELECT id, CASE id % 6 WHEN 0 THEN 'entity' WHEN 1 THEN 'temporal' WHEN 2 THEN 'event' WHEN 3 THEN 'temporal' WHEN 4 THEN 'event' ELSE 'general' END AS intent, CASE id % 6 WHEN 0 THEN 1 WHEN 5 THEN 2 ELSE 3 END AS max_per_page FROM t""")
+def r13(comments):
+    heads = F.array(*map(F.lit, ("what is ", "latest on ", "who announced ", "everything about ", "earnings of ", "")))
+    text = F.concat(F.get(heads, (F.col("id") % 6).cast("int")), "author")
+    return comments.withColumn("intent", s.intent(text)).select("id", "intent", s.detail(F.col("intent")).alias("max_per_page"))
+
+
+_QRELS = "qr AS (SELECT item_id AS query_id, 7000000 + doc_id % 50 AS page_id, CAST(count(*) AS BIGINT) AS grade FROM documents JOIN benchmark ON contains(documents.text, substr(benchmark.text, 1, 40)) GROUP BY 1, 2)"
+
+
+@query("r16_retrieval_metrics", "benchmark", "fx_chunks", "documents", oracle=f"""
+WITH {_KEYWORD}, {_QRELS}, m AS (SELECT query_id, count(*) AS found, min(rn) AS first, sum(grade / log2(rn + 1)) AS dcg FROM kw JOIN qr USING (query_id, page_id) WHERE rn <= 5 GROUP BY 1),
+i AS (SELECT query_id, count(*) AS relevant, sum(grade / log2(i + 1)) FILTER (WHERE i <= 5) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, page_id) AS i FROM qr) GROUP BY 1)
+SELECT query_id, round(coalesce(found, 0) / 5, 6) AS precision, round(coalesce(found, 0) / relevant, 6) AS recall, round(coalesce(1 / first, 0.0), 6) AS mrr, round(coalesce(dcg / ideal, 0.0), 6) AS ndcg FROM i LEFT JOIN m USING (query_id)""")
+def r16(benchmark, chunks, documents):
+    kw = s.keyword_search(_queries(benchmark), _index(chunks), 20)
+    head = F.substring("text", 1, 40)
+    # documents that hold an item's first words: joined on the first whole word, then confirmed
+    items = benchmark.select(F.col("item_id").alias("query_id"), head.alias("head")).withColumn("w", F.element_at(F.split("head", r"\s+"), 2))
+    words = documents.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
+    met = words.join(items, "w").where(F.col("text").contains(F.col("head")))
+    qrels = met.groupBy("query_id", (7000000 + F.col("doc_id") % 50).alias("page_id")).agg(F.count("*").alias("grade"))
+    return s.evaluate(kw, qrels, 5)
+
+
+@query("r19_list_entities", "fx_pages", "fx_links", oracle="""
+WITH c AS (SELECT to_page_id, count(*) AS n FROM fx_links WHERE deleted = 0 GROUP BY 1) SELECT id, slug, coalesce(n, 0) AS inbound_total FROM fx_pages LEFT JOIN c ON to_page_id = id WHERE deleted = 0 AND type IN ('company', 'industry', 'concept') ORDER BY 3 DESC, id LIMIT 25 OFFSET 50""")
+def r19(pages, links):
+    return s.list_entities(pages, g.link_counts(pages, links).select("page_id", "inbound_total"), 50, 25)
