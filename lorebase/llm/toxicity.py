@@ -28,6 +28,8 @@ from lorebase.llm.common import Words, word_chunks
 MAX_CANDIDATES = 20_000
 MAX_TERMS = 400
 MIN_TEXTS = 3
+#: Log-likelihood ratio (nats) by which a term must beat chance.
+EVIDENCE = 9.0
 FIT_ROWS = 50_000
 WINDOW = 12
 STEMS = (4, 5, 6)
@@ -211,7 +213,9 @@ def learn_lexicon(labelled: DataFrame) -> dict[bytes, float]:
     for term, n in some.items():
         m = clean.get(term, 0)
         x = np.log((n + 0.5) / (totals[1] + 1)) - np.log((m + 0.5) / (totals[0] + 1))
-        if x >= 2.5 and n >= 4 * m:
+        share = totals[1] / (totals[0] + totals[1])
+        gain = n * np.log(n / (n + m) / share) + (m * np.log(m / (n + m) / (1 - share)) if m else 0.0)
+        if x >= 2.5 and n >= 4 * m and gain >= EVIDENCE:
             odds[term] = float(x)
     chosen: dict[bytes, float] = {}
     for term in sorted(odds, key=lambda t: (-(some[t] * odds[t]), t)):
