@@ -98,7 +98,9 @@ def estimate(pop: np.ndarray, n: np.ndarray, m: np.ndarray, occ_n: np.ndarray, o
     differ = np.where(x > 0, -BITS / 2 * np.log(np.maximum(x, 1e-9)), np.inf)
     match = (occ_n + occ_m - differ) / 2
     union = (n + m) / (1 + at)
-    filled = BINS * -np.expm1(-union / BINS)
+    fill = lambda x: BINS * -np.expm1(-x / BINS)
+    # bins that the union fills: as many as the two texts fill, times what the union has more in the mean
+    filled = fill(union) * (occ_n + occ_m) / (fill(n) + fill(m))
     j = match / filled
     d = filled * (1 - at) / (1 + at) * 2
     sampling = at * (1 - at) / filled * np.maximum(0, 1 - filled / union)
