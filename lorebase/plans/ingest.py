@@ -1 +1,129 @@
-"""Queries of this family."""
+"""Queries of intake and extraction."""
+
+from pyspark.sql import functions as F
+
+from lorebase.functions import text as t
+from lorebase.operators import ingest as i
+from lorebase.plans.catalog import query
+
+
+@query("s1_load_active_pages", "fx_pages", oracle="SELECT id, slug, type FROM fx_pages WHERE deleted = 0")
+def s1(pages):
+    return pages.where("deleted = 0").select("id", "slug", "type")
+
+
+@query("s2_sync_raw_files", "fx_raw_files", oracle="""
+WITH r AS (SELECT *, CAST(row_number() OVER (PARTITION BY research_type ORDER BY create_date DESC, research_id) AS INTEGER) AS rn FROM fx_raw_files)
+SELECT research_id, research_type, create_date, rn FROM r WHERE rn <= 20 AND triage_decision <> 'commit'""")
+def s2(raw):
+    return i.sync_raw_files(raw.select("research_id", "research_type", "create_date"), raw.where("triage_decision = 'commit'"), 20)
+
+
+@query("s3_pending_raw_files", "fx_raw_files", oracle="""
+SELECT id, research_id, create_date FROM fx_raw_files WHERE ingested_page_id IS NULL AND (triage_decision = 'pending' OR (triage_decision = 'processing' AND create_date < DATE '2024-02-01' - 15)) ORDER BY create_date, id LIMIT 100""")
+def s3(raw):
+    return i.pending_raw_files(raw, "2024-02-01", 15, 100)
+
+
+@query("s4_peek_stats", "documents", oracle="SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CAST(len([x FOR x IN string_split(text, chr(10)) IF trim(x) <> '']) AS INTEGER) AS blocks, substr(text, 1, 1500) AS preview FROM documents")
+def s4(documents):
+    return i.peek_stats(documents)
+
+
+@query("s5_page_skeleton", "fx_raw_files", oracle=r"""
+SELECT research_id, 'sources/' || regexp_replace(concat_ws('-', research_type, research_id), '[^A-Za-z0-9_\-]+', '-', 'g') AS slug, trim(title) AS title, strftime(create_date, '%Y-%m-%d') AS publish_date, 'medium' AS confidence FROM fx_raw_files""")
+def s5(raw):
+    return i.page_skeleton(raw)
+
+
+@query("s6_triage", "fx_raw_files", oracle="""
+SELECT id, CASE WHEN id % 3 = 0 AND ingested_page_id IS NULL THEN 'brief' ELSE triage_decision END AS triage_decision, id % 3 = 0 AND ingested_page_id IS NULL AS changed FROM fx_raw_files""")
+def s6(raw):
+    return i.triage(raw, raw.where("id % 3 = 0").select("id", F.lit("brief").alias("decision")))
+
+
+@query("s8_promote_briefs", "fx_pages", oracle="SELECT id, CASE WHEN type = 'source' AND id % 2 = 0 THEN regexp_replace(slug, '^sources/', 'briefs/') ELSE slug END AS slug FROM fx_pages")
+def s8(pages):
+    return pages.select("id", F.when((F.col("type") == "source") & (F.col("id") % 2 == 0), F.regexp_replace("slug", "^sources/", "briefs/")).otherwise(F.col("slug")).alias("slug"))
+
+
+@query("s9_upsert", "fx_signals", oracle="""
+WITH t AS (SELECT signal_type, entity_page_id, thesis_page_id, min(id) AS id FROM fx_signals WHERE id % 2 = 0 GROUP BY 1, 2, 3), u AS (SELECT signal_type, entity_page_id, thesis_page_id, min(id) AS id FROM fx_signals WHERE id % 2 = 1 GROUP BY 1, 2, 3)
+SELECT * FROM t UNION ALL SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.signal_type = u.signal_type AND t.entity_page_id = u.entity_page_id AND t.thesis_page_id IS NOT DISTINCT FROM u.thesis_page_id)""")
+def s9(signals):
+    keys = ["signal_type", "entity_page_id", "thesis_page_id"]
+    target = signals.where("id % 2 = 0").groupBy(*keys).agg(F.min("id").alias("id"))
+    return i.upsert(target, signals.where("id % 2 = 1").select(*keys, "id"), keys, ["id"], replace=False)
+
+
+@query("x4_estimate_tokens", "documents", oracle="SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents")
+def x4(documents):
+    return documents.select("doc_id", t.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("x7_harvest_links", "fx_narratives", oracle="SELECT page_id, regexp_extract(content, '(companies/supplier-[0-9]+)', 1) AS slug, regexp_extract(content, '\\|([^\\]]*)\\]', 1) AS label FROM fx_narratives UNION ALL SELECT page_id, regexp_extract(content, '(concepts/part-[0-9]+)', 1), '' FROM fx_narratives")
+def x7(narratives):
+    return i.harvest_links(narratives)
+
+
+@query("x8_link_context", "fx_narratives", oracle="SELECT line_id, substr(regexp_replace(content, '\\s+', ' ', 'g'), 1, 60) AS context FROM fx_narratives")
+def x8(narratives):
+    return narratives.select("line_id", F.substring(F.regexp_replace("content", r"\s+", " "), 1, 60).alias("context"))
+
+
+@query("x12_single_entity", "fx_narratives", oracle="SELECT line_id AS page_id, CAST(NULL AS VARCHAR) AS entity FROM fx_narratives WHERE line_id % 2 = 0 UNION ALL SELECT line_id, regexp_extract(content, '(concepts/part-[0-9]+)', 1) FROM fx_narratives WHERE line_id % 2 = 1")
+def x12(narratives):
+    some = F.when(F.col("line_id") % 2 == 1, F.regexp_replace("content", r"\[\[companies[^\]]*\]\]", "")).otherwise(F.col("content"))
+    return i.single_entity(narratives.select(F.col("line_id").alias("page_id"), some.alias("content")))
+
+
+@query("x13_parse_value_cell", "fx_cells", oracle="""
+SELECT id, CASE row_index % 6 WHEN 0 THEN CAST(regexp_extract(cell, '[0-9]+') AS DOUBLE) WHEN 1 THEN CAST(regexp_extract(cell, '[0-9]+') AS DOUBLE) WHEN 3 THEN CAST(replace(cell, ',', '') AS DOUBLE) WHEN 4 THEN CAST(regexp_extract(cell, '[0-9]+') AS DOUBLE) END AS numeric,
+ CASE WHEN row_index % 6 = 5 THEN replace(cell, '*', '') END AS text, CASE row_index % 6 WHEN 0 THEN 'usd_bn' WHEN 1 THEN 'pct' WHEN 4 THEN 'x' END AS unit FROM fx_cells""")
+def x13(cells):
+    v = t.value_cell(F.col("cell"))
+    return cells.withColumn("v", v).select("id", F.col("v.numeric").alias("numeric"), F.col("v.text").alias("text"), F.col("v.unit").alias("unit"))
+
+
+@query("x14_normalize", "fx_cells", oracle="""
+SELECT id, CASE metric_cell WHEN 'GM (%)' THEN 'gross_margin' WHEN 'Revenue & other' THEN 'revenue_and_other' WHEN 'rev' THEN 'revenue' WHEN 'Unit Price' THEN 'unit_price' ELSE 'operating_margin' END AS metric,
+ CASE row_index % 6 WHEN 0 THEN replace(period_cell, 'FY', 'FY20') WHEN 1 THEN '1Q20' || substr(period_cell, 3, 2) || 'A' WHEN 3 THEN 'H12026E' ELSE period_cell END AS period FROM fx_cells""")
+def x14(cells):
+    return cells.select("id", t.metric_key(F.col("metric_cell")).alias("metric"), t.period_key(F.col("period_cell")).alias("period"))
+
+
+@query("x19_visible_text", "fx_narratives", oracle="SELECT line_id, trim(regexp_replace(regexp_replace(regexp_replace(content, '\\[\\[([^\\]|]+)\\|([^\\]]+)\\]\\]', '\\2', 'g'), '\\[\\[([^\\]]+)\\]\\]', '\\1', 'g'), '\\s+', ' ', 'g')) AS text FROM fx_narratives")
+def x19(narratives):
+    return narratives.select("line_id", t.visible(F.col("content")).alias("text"))
+
+
+@query("x21_unembedded_chunks", "fx_chunks", "embeddings", oracle="SELECT id, substr(chunk_text, 1, 4000) AS input FROM fx_chunks c WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = c.id)")
+def x21(chunks, embeddings):
+    return chunks.join(embeddings.select(F.col("vec_id").alias("id")), "id", "left_anti").select("id", F.substring("chunk_text", 1, 4000).alias("input"))
+
+
+@query("f2_parse_fact_value", "fx_cells", oracle="""
+WITH v AS (SELECT id, CASE row_index % 4 WHEN 0 THEN '>60%' WHEN 1 THEN '12,' || CAST(100 + row_index AS VARCHAR) WHEN 2 THEN CAST(row_index AS VARCHAR) ELSE '10-20' END AS v, row_index % 4 AS k, row_index FROM fx_cells)
+SELECT id, CASE k WHEN 1 THEN (12100.0::DOUBLE + row_index) / 100 WHEN 2 THEN CASE WHEN row_index > 1.5 THEN row_index / 100.0::DOUBLE ELSE row_index::DOUBLE END END AS numeric, CASE WHEN k IN (0, 3) THEN v END AS text FROM v""")
+def f2(cells):
+    k = F.col("row_index") % 4
+    v = F.when(k == 0, ">60%").when(k == 1, F.concat(F.lit("12,"), (100 + F.col("row_index")).cast("string"))).when(k == 2, F.col("row_index").cast("string")).otherwise("10-20")
+    out = t.fact_value(v, F.lit("gross_margin"), F.lit(None).cast("string"))
+    return cells.withColumn("v", out).select("id", F.col("v.numeric").alias("numeric"), F.col("v.text").alias("text"))
+
+
+_REFS = """r AS (SELECT page_id, regexp_extract(content, '(companies/supplier-[0-9]+)', 1) AS slug, regexp_extract(content, '\\|([^\\]]*)\\]', 1) AS label FROM fx_narratives UNION ALL SELECT page_id, regexp_extract(content, '(concepts/part-[0-9]+)', 1), '' FROM fx_narratives),
+s AS (SELECT DISTINCT r.slug, p.id AS page_id FROM r LEFT JOIN fx_pages p ON p.slug = r.slug AND p.deleted = 0)"""
+
+
+@query("g1_resolve_refs", "fx_narratives", "fx_pages", oracle=f"WITH {_REFS} SELECT slug, page_id, CASE WHEN page_id IS NOT NULL THEN 1 END AS rank FROM s")
+def g1(narratives, pages):
+    return i.resolve_refs(i.harvest_links(narratives), pages)
+
+
+@query("g3_build_links", "fx_narratives", "fx_pages", oracle=f"""
+WITH {_REFS}, l AS (SELECT r.page_id AS from_page_id, s.page_id AS to_page_id, CASE WHEN starts_with(label, 'confirms:') THEN 'confirms' ELSE 'mention' END AS link_type FROM r JOIN s ON r.slug = s.slug WHERE s.page_id IS NOT NULL AND s.page_id <> r.page_id)
+SELECT from_page_id, to_page_id, link_type, count(*) AS occurrences, CAST(CASE WHEN link_type = 'confirms' THEN 1.0 ELSE 0.3 END AS DOUBLE) AS weight FROM l GROUP BY 1, 2, 3""")
+def g3(narratives, pages):
+    refs = i.harvest_links(narratives)
+    return i.build_links(refs, i.resolve_refs(refs, pages))

@@ -90,7 +90,7 @@ SELECT conv_id * 100 + turn AS id, 1000000 + conv_id % (SELECT count(*) FROM {su
 SELECT line_id AS id, l_linenumber AS row_index, CASE l_linenumber % 6 WHEN 0 THEN '$' || CAST(CAST(l_quantity AS INT) AS STRING) || ' bn' WHEN 1 THEN CAST(CAST(l_quantity AS INT) AS STRING) || '%' WHEN 2 THEN 'n/a'
        WHEN 3 THEN '1,2' || CAST(CAST(l_quantity AS INT) + 10 AS STRING) WHEN 4 THEN CAST(CAST(l_quantity AS INT) AS STRING) || 'x' ELSE '**about** ' || l_returnflag END AS cell,
        CASE l_linenumber % 5 WHEN 0 THEN 'GM (%)' WHEN 1 THEN 'Revenue & other' WHEN 2 THEN 'rev' WHEN 3 THEN 'Unit Price' ELSE 'op_margin' END AS metric_cell,
-       CASE l_linenumber % 6 WHEN 0 THEN 'FY' || CAST(year(ship_date) % 100 + 10 AS STRING) || 'E' WHEN 1 THEN '1q' || CAST(year(ship_date) % 10 + 20 AS STRING) || 'a' WHEN 2 THEN 'TTM' WHEN 3 THEN 'h126e' WHEN 4 THEN 'current' ELSE CAST(year(ship_date) AS STRING) END AS period_cell
+       CASE l_linenumber % 6 WHEN 0 THEN 'FY' || CAST(year(ship_date) % 10 + 20 AS STRING) || 'E' WHEN 1 THEN '1q' || CAST(year(ship_date) % 10 + 20 AS STRING) || 'a' WHEN 2 THEN 'TTM' WHEN 3 THEN 'h126e' WHEN 4 THEN 'current' ELSE CAST(year(ship_date) AS STRING) END AS period_cell
 FROM {fx_lines}
 """,
 }
