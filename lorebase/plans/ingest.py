@@ -127,3 +127,10 @@ SELECT from_page_id, to_page_id, link_type, count(*) AS occurrences, CAST(CASE W
 def g3(narratives, pages):
     refs = i.harvest_links(narratives)
     return i.build_links(refs, i.resolve_refs(refs, pages))
+
+
+@query("x1_chunk_documents", "documents")
+def x1(documents):
+    from lorebase.operators.chunking import chunk_documents
+
+    return chunk_documents(documents)
