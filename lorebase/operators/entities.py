@@ -162,3 +162,35 @@ def bootstrap_states(pages: DataFrame, events: DataFrame) -> DataFrame:
     rows = active(pages).where(F.col("type").isin("company", "industry", "concept")).join(done, "id", "left")
     short = (F.length("content") <= 300) & F.col("done").isNull()
     return rows.select("id", F.when(short & (F.col("confidence") == "low"), "stub").when(short, "candidate_promoted").otherwise("compiled").alias("state"))
+
+
+def resolve_candidates(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Candidates (slug, status) with decisions (slug, decision) promote, merge or reject: only pending ones change, rejected ones may be rejected again."""
+    d = candidates.join(decisions, "slug", "left")
+    to = F.when(F.col("decision") == "promote", "promoted").when(F.col("decision") == "merge", "merged").when(F.col("decision") == "reject", "rejected")
+    free = (F.col("status") == "pending") | ((F.col("status") == "rejected") & (F.col("decision") == "reject"))
+    return d.select("slug", F.when(to.isNotNull() & free, to).otherwise(F.col("status")).alias("status"), F.coalesce(to.isNotNull() & free, F.lit(False)).alias("changed"))
+
+
+def retype_pages(pages: DataFrame, moves: DataFrame) -> DataFrame:
+    """Pages (id, slug, type) with moves (id, new_type, new_dir): type and slug change unless another page has the new slug."""
+    new = pages.join(moves, "id").select("id", "new_type", F.concat("new_dir", F.lit("/"), F.element_at(F.split("slug", "/"), 2)).alias("new_slug"))
+    taken = pages.where("deleted = 0").select(F.col("slug").alias("new_slug")).distinct().withColumn("taken", F.lit(True))
+    new = new.join(taken, "new_slug", "left")
+    out = pages.join(new, "id", "left")
+    ok = F.col("new_slug").isNotNull() & F.col("taken").isNull()
+    return out.select("id", F.when(ok, F.col("new_slug")).otherwise(F.col("slug")).alias("slug"), F.when(ok, F.col("new_type")).otherwise(F.col("type")).alias("type"), F.coalesce(F.col("taken"), F.lit(False)).alias("conflict"))
+
+
+def create_missing_pages(mentions: DataFrame, pages: DataFrame) -> DataFrame:
+    """Slugs of mentioned companies that no active page has and no rule rejects, as stub pages named by the slug's second part."""
+    wanted = mentions.select("slug").distinct().where(F.col("slug").startswith("companies/") & auto_reject_reason(F.col("slug")).isNull())
+    missing = wanted.withColumn("slug", F.regexp_replace(F.lower("slug"), r"[\s_]+", "-")).distinct().join(pages.where("deleted = 0").select("slug"), "slug", "left_anti")
+    return missing.select("slug", F.element_at(F.split("slug", "/"), 2).alias("title"), F.lit("company").alias("type"), F.lit("stub").alias("entity_state"))
+
+
+def merge_risk(pairs: DataFrame) -> DataFrame:
+    """Risk of merging pairs (a, b, dup_chars, ratio, sections, has_updates, overlap)."""
+    review = (F.col("dup_chars") > 8000) & (F.col("ratio") > 1.1) | (F.col("sections") >= 8) & (F.col("overlap") < 0.45)
+    structure = (F.col("dup_chars") > 2000) & (F.col("ratio") > 0.6) & F.col("has_updates") & (F.col("overlap") < 0.35)
+    return pairs.select("a", "b", F.when(F.col("dup_chars") == 0, "auto_merge").when(review, "human_review").when(structure, "structure_only").otherwise("auto_merge").alias("mode"))

@@ -168,3 +168,40 @@ def list_entities(pages: DataFrame, counts: DataFrame, offset: int, limit: int)
     """A page of the entities by inbound links, then id."""
     rows = pages.where(F.col("deleted") == 0).where(F.col("type").isin("company", "industry", "concept")).join(counts, F.col("id") == F.col("page_id"), "left").fillna(0, ["inbound_total"])
     return rows.orderBy(F.desc_nulls_last("inbound_total"), "id").offset(offset).limit(limit).select("id", "slug", "inbound_total")
+
+
+def cosine_rescore(hits: DataFrame, weight: float = 0.7) -> DataFrame:
+    """Hits (query_id, id, score, q, embedding) by weight * score over the query's best + (1 - weight) * cosine; 0.5 without a vector."""
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    cos = F.when(F.col("embedding").isNull() | F.col("q").isNull(), 0.5).otherwise(cosine(F.col("q"), F.col("embedding")))
+    return hits.select("query_id", "id", F.round(weight * F.try_divide("score", best) + (1 - weight) * cos, 5).alias("score"))
+
+
+def query_variants(variants: DataFrame, most: int = 2) -> DataFrame:
+    """At most `most` alternatives of each query (query_id, pos, text): control characters out, 500 characters, distinct without case."""
+    clean = F.substring(F.trim(F.regexp_replace("text", r"[\x00-\x1f\x7f]+", " ")), 1, 500)
+    rows = variants.withColumn("text", clean).where("text <> ''").withColumn("low", F.lower("text"))
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("query_id", "low").orderBy("pos"))).where("k = 1")
+    return first.withColumn("channel", F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).where(F.col("channel") <= most).select("query_id", "channel", "text")
+
+
+def fuzzy_suggest(hints: DataFrame, titles: DataFrame, min_sim: float = 0.15, limit: int = 5) -> DataFrame:
+    """(hint_id, id, similarity, rank): titles by trigram similarity to hints (hint_id, text), through the trigrams they share."""
+    from lorebase.operators.similarity import trigrams
+
+    h = hints.withColumn("g", trigrams(F.col("text"))).select("hint_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    t = titles.withColumn("g", trigrams(F.col("title"))).select("id", F.size("g").alias("m"), F.explode("g").alias("gram"))
+    shared = h.join(t, "gram").groupBy("hint_id", "id", "n", "m").agg(F.count("*").alias("both"))
+    sim = F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
+    rank = F.row_number().over(Window.partitionBy("hint_id").orderBy(F.desc("similarity"), "id"))
+    kept = shared.where(sim >= min_sim).select("hint_id", "id", F.round(sim, 6).alias("similarity"))
+    return kept.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
+def cap_hits(hits: DataFrame, per_page: int = 3, type_share: float = 0.6) -> DataFrame:
+    """Hits (query_id, page_id, id, score, type): the best per_page of a page, then of each type at most ceil(type_share * hits)."""
+    page = F.row_number().over(Window.partitionBy("query_id", "page_id").orderBy(F.desc("score"), "id"))
+    few = hits.withColumn("k", page).where(F.col("k") <= per_page)
+    kind = F.row_number().over(Window.partitionBy("query_id", "type").orderBy(F.desc("score"), "id"))
+    n = F.count("*").over(Window.partitionBy("query_id"))
+    return few.withColumn("k", kind).withColumn("n", n).where(F.col("k") <= F.ceil(F.col("n") * type_share)).select("query_id", "page_id", "id", "score", "type")

@@ -141,3 +141,35 @@ def e28(pages):
 SELECT p.id, CASE WHEN length(content) <= 300 AND d.id IS NULL THEN CASE WHEN confidence = 'low' THEN 'stub' ELSE 'candidate_promoted' END ELSE 'compiled' END AS state FROM fx_pages p LEFT JOIN (SELECT DISTINCT entity_id AS id FROM fx_events WHERE action = 'enrich' AND value > 120) d USING (id) WHERE p.deleted = 0 AND {_ENTITY}""")
 def e33(pages, events):
     return e.bootstrap_states(pages, events.where("value > 120"))
+
+
+@query("e20_resolve_candidates", "fx_mentions", oracle=f"""
+WITH {_MENTIONS}, d AS (SELECT slug, CASE length(slug) % 3 WHEN 0 THEN 'promote' WHEN 1 THEN 'reject' END AS decision FROM m), x AS (SELECT m.slug, m.status, decision, coalesce(decision IS NOT NULL AND (status = 'pending' OR (status = 'rejected' AND decision = 'reject')), false) AS changed FROM m LEFT JOIN d USING (slug))
+SELECT slug, CASE WHEN changed THEN CASE decision WHEN 'promote' THEN 'promoted' ELSE 'rejected' END ELSE status END AS status, changed FROM x""")
+def e20(mentions):
+    c = e.upsert_candidates(mentions)
+    k = F.length("slug") % 3
+    return e.resolve_candidates(c, c.select("slug", F.when(k == 0, "promote").when(k == 1, "reject").alias("decision")))
+
+
+@query("e27_retype_pages", "fx_pages", oracle="""
+WITH n AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'industries/' ELSE 'concepts/' END || split_part(slug, '/', 2) AS new_slug FROM fx_pages WHERE type = 'concept' AND id % 3 = 0),
+t AS (SELECT n.*, EXISTS (SELECT 1 FROM fx_pages p WHERE p.deleted = 0 AND p.slug = n.new_slug) AS taken FROM n)
+SELECT p.id, CASE WHEN t.id IS NOT NULL AND NOT taken THEN new_slug ELSE slug END AS slug, CASE WHEN t.id IS NOT NULL AND NOT taken THEN 'industry' ELSE type END AS type, coalesce(taken, false) AS conflict FROM fx_pages p LEFT JOIN t ON t.id = p.id""")
+def e27(pages):
+    moves = pages.where("type = 'concept' AND id % 3 = 0").select("id", F.lit("industry").alias("new_type"), F.when(F.col("id") % 2 == 0, "industries").otherwise("concepts").alias("new_dir"))
+    return e.retype_pages(pages, moves)
+
+
+@query("g2_create_missing_pages", "fx_mentions", "fx_pages", oracle="""
+SELECT DISTINCT slug, split_part(slug, '/', 2) AS title, 'company' AS type, 'stub' AS entity_state FROM fx_mentions m WHERE slug LIKE 'companies/firm-%' AND NOT EXISTS (SELECT 1 FROM fx_pages p WHERE p.deleted = 0 AND p.slug = m.slug)""")
+def g2(mentions, pages):
+    return e.create_missing_pages(mentions, pages)
+
+
+@query("e8_merge_risk", "fx_chunks", oracle="""
+WITH p AS (SELECT id AS a, id + 1 AS b, id % 5 * 2500 AS dup_chars, CAST(id % 13 AS DOUBLE) / 10 AS ratio, id % 11 AS sections, id % 2 = 0 AS has_updates, CAST(id % 7 AS DOUBLE) / 10 AS overlap FROM fx_chunks)
+SELECT a, b, CASE WHEN dup_chars = 0 THEN 'auto_merge' WHEN (dup_chars > 8000 AND ratio > 1.1) OR (sections >= 8 AND overlap < 0.45) THEN 'human_review' WHEN dup_chars > 2000 AND ratio > 0.6 AND has_updates AND overlap < 0.35 THEN 'structure_only' ELSE 'auto_merge' END AS mode FROM p""")
+def e8(chunks):
+    i = F.col("id")
+    return e.merge_risk(chunks.select(i.alias("a"), (i + 1).alias("b"), (i % 5 * 2500).alias("dup_chars"), ((i % 13).cast("double") / 10).alias("ratio"), (i % 11).alias("sections"), (i % 2 == 0).alias("has_updates"), ((i % 7).cast("double") / 10).alias("overlap")))

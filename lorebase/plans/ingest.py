@@ -134,3 +134,32 @@ def x1(documents):
     from lorebase.operators.chunking import chunk_documents
 
     return chunk_documents(documents)
+
+
+@query("x16_evidence_context", "fx_narratives", oracle="""
+SELECT line_id, CASE WHEN position('ships' IN content) > 0 THEN trim(substr(content, greatest(position('ships' IN content) - 20, 1), least(position('ships' IN content) - 1, 20) + 5 + 20)) END AS context FROM fx_narratives""")
+def x16(narratives):
+    at = F.locate("ships", F.col("content"))
+    around = F.substring(F.col("content"), F.greatest(at - 20, F.lit(1)), F.least(at - 1, F.lit(20)) + 5 + 20)
+    return narratives.select("line_id", F.when(at > 0, F.trim(around)).alias("context"))
+
+
+@query("s7_skip_pages", "fx_pages", "fx_raw_files", oracle="""
+SELECT p.id, CAST(CASE WHEN r.id IS NOT NULL THEN 1 ELSE p.deleted END AS INTEGER) AS deleted FROM fx_pages p LEFT JOIN (SELECT DISTINCT ingested_page_id AS id FROM fx_raw_files WHERE research_type = 'src2') r USING (id)""")
+def s7(pages, raw):
+    gone = raw.where("research_type = 'src2'").select(F.col("ingested_page_id").alias("id")).distinct().withColumn("gone", F.lit(True))
+    return pages.join(gone, "id", "left").select("id", F.when(F.col("gone"), 1).otherwise(F.col("deleted")).alias("deleted"))
+
+
+@query("f3_explicit_only", "fx_facts", "fx_pages", oracle="""
+SELECT f.id FROM fx_facts f JOIN fx_pages p ON p.id = f.source_page_id WHERE NOT (p.id % 3 = 0 AND f.table_id IS NULL)""")
+def f3(facts, pages):
+    kind = pages.select(F.col("id").alias("source_page_id"), F.when(F.col("id") % 3 == 0, "brief").otherwise("source").alias("kind"))
+    return facts.join(kind, "source_page_id").where((F.col("kind") != "brief") | F.col("table_id").isNotNull()).select("id")
+
+
+@query("g14_wikilink_labels", "fx_pages", "fx_raw_files", oracle="""
+SELECT p.id, coalesce(nullif(p.display_name, ''), nullif(r.title, ''), nullif(p.title, ''), p.slug) AS label FROM fx_pages p LEFT JOIN (SELECT ingested_page_id AS id, min(title) AS title FROM fx_raw_files WHERE ingested_page_id IS NOT NULL GROUP BY 1) r USING (id) WHERE p.deleted = 0""")
+def g14(pages, raw):
+    titles = raw.where("ingested_page_id IS NOT NULL").groupBy(F.col("ingested_page_id").alias("id")).agg(F.min("title").alias("raw_title"))
+    return pages.where("deleted = 0").join(titles, "id", "left").select("id", F.coalesce(F.expr("nullif(display_name, '')"), F.expr("nullif(raw_title, '')"), F.expr("nullif(title, '')"), "slug").alias("label"))

@@ -122,3 +122,38 @@ def r16(benchmark, chunks, documents):
 WITH c AS (SELECT to_page_id, count(*) AS n FROM fx_links WHERE deleted = 0 GROUP BY 1) SELECT id, slug, coalesce(n, 0) AS inbound_total FROM fx_pages LEFT JOIN c ON to_page_id = id WHERE deleted = 0 AND type IN ('company', 'industry', 'concept') ORDER BY 3 DESC, id LIMIT 25 OFFSET 50""")
 def r19(pages, links):
     return s.list_entities(pages, g.link_counts(pages, links).select("page_id", "inbound_total"), 50, 25)
+
+
+@query("r9_cosine_rescore", "fx_chunks", "embeddings", oracle="""
+WITH h AS (SELECT id % 20 AS query_id, id, CAST(length(chunk_text) % 37 + 1 AS DOUBLE) AS score FROM fx_chunks), v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings)
+SELECT h.query_id, h.id, round(0.7 * (score / max(score) OVER (PARTITION BY h.query_id)) + (1 - 0.7) * CASE WHEN a.e IS NULL OR b.e IS NULL THEN 0.5 ELSE list_cosine_similarity(a.e, b.e) END, 5) AS score FROM h LEFT JOIN v a ON a.vec_id = h.query_id LEFT JOIN v b ON b.vec_id = h.id""")
+def r9(chunks, embeddings):
+    hits = chunks.select((F.col("id") % 20).alias("query_id"), "id", (F.length("chunk_text") % 37 + 1).cast("double").alias("score"))
+    q = embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return s.cosine_rescore(hits.join(q, "query_id", "left").join(embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id", "left"))
+
+
+@query("r11_hit_caps", "fx_chunks", oracle="""
+WITH h AS (SELECT id % 10 AS query_id, page_id, id, CAST(length(chunk_text) % 37 AS INTEGER) AS score, chunk_type AS type FROM fx_chunks), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, page_id ORDER BY score DESC, id) AS k FROM h) WHERE k <= 3),
+b AS (SELECT query_id, page_id, id, score, type, row_number() OVER (PARTITION BY query_id, type ORDER BY score DESC, id) AS k, count(*) OVER (PARTITION BY query_id) AS n FROM a) SELECT query_id, page_id, id, score, type FROM b WHERE k <= ceil(n * 0.6)""")
+def r11(chunks):
+    return s.cap_hits(chunks.select((F.col("id") % 10).alias("query_id"), "page_id", "id", (F.length("chunk_text") % 37).alias("score"), F.col("chunk_type").alias("type")))
+
+
+@query("r15_query_variants", "fx_comments", oracle=r"""
+WITH c AS (SELECT page_id AS query_id, id AS pos, substr(trim(regexp_replace(substr(content, 1, 30), '[\x00-\x1f\x7f]+', ' ', 'g')), 1, 500) AS text FROM fx_comments), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(text) ORDER BY pos) AS k FROM c WHERE text <> '') WHERE k = 1),
+n AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS INTEGER) AS channel, text FROM f) SELECT * FROM n WHERE channel <= 2""")
+def r15(comments):
+    return s.query_variants(comments.select(F.col("page_id").alias("query_id"), F.col("id").alias("pos"), F.substring("content", 1, 30).alias("text")))
+
+
+_GR = r"""list_distinct(flatten([[substr('  ' || w || ' ', CAST(i AS BIGINT), 3) FOR i IN range(1, length(w) + 2)] FOR w IN [x FOR x IN regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+') IF x <> '']]))"""
+
+
+@query("r18_fuzzy_suggest", "nation", "part", oracle=f"""
+WITH h AS (SELECT n_nationkey AS hint_id, {_GR.format("'smal ring brand#' || CAST(n_nationkey AS VARCHAR)")} AS g FROM nation), t AS (SELECT p_partkey AS id, {_GR.format("p_name || ' ' || p_brand || ' ' || p_type")} AS g FROM part),
+p AS (SELECT hint_id, id, len(list_intersect(h.g, t.g)) AS i, len(h.g) + len(t.g) AS n FROM h, t), r AS (SELECT hint_id, id, round(i::DOUBLE / (n - i), 6) AS similarity FROM p WHERE i > 0 AND i::DOUBLE / (n - i) >= 0.15),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY hint_id ORDER BY similarity DESC, id) AS INTEGER) AS rank FROM r) SELECT * FROM k WHERE rank <= 5""")
+def r18(nation, part):
+    hints = nation.select(F.col("n_nationkey").alias("hint_id"), F.concat(F.lit("smal ring brand#"), F.col("n_nationkey").cast("string")).alias("text"))
+    return s.fuzzy_suggest(hints, part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("title")))
