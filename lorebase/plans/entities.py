@@ -88,21 +88,22 @@ def e10(part, links, facts, timeline, signals):
 
 
 @query("e13_retire_candidates", "fx_pages", "fx_links", "fx_facts", "fx_timeline", "fx_signals", oracle="""
-WITH u AS (SELECT from_page_id AS id FROM fx_links WHERE deleted = 0 UNION SELECT to_page_id FROM fx_links WHERE deleted = 0 UNION SELECT entity_page_id FROM fx_facts WHERE deleted = 0 UNION SELECT source_page_id FROM fx_facts WHERE deleted = 0
+WITH u AS (SELECT from_page_id AS id FROM fx_links WHERE deleted = 0 AND link_source = 'manual' AND link_type = 'confirms' UNION SELECT to_page_id FROM fx_links WHERE deleted = 0 AND link_source = 'manual' AND link_type = 'confirms' UNION SELECT entity_page_id FROM fx_facts WHERE deleted = 0 AND period = 'FY1997' UNION SELECT source_page_id FROM fx_facts WHERE deleted = 0 AND period = 'FY1997'
 UNION SELECT entity_page_id FROM fx_timeline UNION SELECT source_page_id FROM fx_timeline UNION SELECT entity_page_id FROM fx_signals UNION SELECT source_page_id FROM fx_signals)
 SELECT id, slug, length(content)::INTEGER AS chars FROM fx_pages p WHERE deleted = 0 AND entity_state IN ('stub', 'candidate_promoted') AND length(content) <= 300 AND NOT EXISTS (SELECT 1 FROM u WHERE u.id = p.id)""")
 def e13(pages, links, facts, timeline, signals):
-    return e.retire_candidates(pages, links, facts, timeline, signals)
+    """With the manual confirmations and the facts of one year as the references there are."""
+    return e.retire_candidates(pages, links.where("link_source = 'manual' AND link_type = 'confirms'"), facts.where("period = 'FY1997'"), timeline, signals)
 
 
 @query("e15_demotable_pages", "fx_pages", "fx_links", "fx_timeline", "fx_signals", oracle=f"""
 WITH l AS (SELECT 1000000 + to_page_id % 60 AS to_page_id, from_page_id, weight, link_type, link_source, NULL AS origin_field FROM fx_links WHERE deleted = 0 AND link_type = 'mention' AND link_source = 'markdown'),
 i AS (SELECT to_page_id AS id, count(*) FILTER (WHERE NOT coalesce({_E}, false)) AS weak, count(*) FILTER (WHERE coalesce({_E}, false)) AS strong, count(DISTINCT from_page_id) AS origins FROM l GROUP BY 1)
 SELECT p.id, p.slug, weak, origins FROM fx_pages p JOIN i USING (id) WHERE strong = 0 AND weak > 0 AND deleted = 0 AND {_ENTITY} AND entity_state = 'stub' AND ticker IS NULL AND exchange IS NULL AND length(content) <= 1300
-AND NOT EXISTS (SELECT 1 FROM fx_timeline t WHERE t.entity_page_id = p.id AND t.id % 50 = 0) AND NOT EXISTS (SELECT 1 FROM fx_signals s WHERE s.entity_page_id = p.id AND s.id % 50 = 0)""")
+AND NOT EXISTS (SELECT 1 FROM fx_timeline t WHERE t.entity_page_id = p.id AND t.id % 1000 = 0) AND NOT EXISTS (SELECT 1 FROM fx_signals s WHERE s.entity_page_id = p.id AND s.id % 500 = 0)""")
 def e15(pages, links, timeline, signals):
     weak = links.where("link_type = 'mention' AND link_source = 'markdown'").withColumn("to_page_id", 1000000 + F.col("to_page_id") % 60).withColumn("origin_field", F.lit(None).cast("string"))
-    return e.demotable_pages(pages, weak, timeline.where("id < 0"), timeline.where("id % 50 = 0"), signals.where("id % 50 = 0"))
+    return e.demotable_pages(pages, weak, timeline.where("id < 0"), timeline.where("id % 1000 = 0"), signals.where("id % 500 = 0"))
 
 
 _MENTIONS = """m AS (SELECT slug, count(DISTINCT source_page_id) AS evidence_count, string_agg(DISTINCT alias, ',' ORDER BY alias) AS aliases, CASE WHEN regexp_matches(split_part(slug, '/', 2), '^(unknown|major-)') THEN 'rejected' ELSE 'pending' END AS status FROM fx_mentions GROUP BY 1)"""
