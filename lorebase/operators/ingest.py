@@ -94,3 +94,36 @@ def single_entity(pages: DataFrame) -> DataFrame:
     """The one distinct entity that a page links, null for none or several."""
     found = F.array_distinct(F.filter(wikilinks(F.col("content")), lambda s: s.rlike("^(companies|industries|concepts)/")))
     return pages.select("page_id", F.when(F.size(found) == 1, F.element_at(found, 1)).alias("entity"))
+
+
+def split_body(pages: DataFrame) -> DataFrame:
+    """(page_id, body, timeline) at the first `<!-- timeline -->` or `--- timeline ---` line, or `---` before a Timeline or History heading."""
+    mark = r"(?im)^(?:<!--\s*timeline\s*-->|---\s*timeline\s*---|---\s*$(?=\s*^##\s+(?:timeline|history)))"
+    parts = F.split("content", mark, 2)
+    return pages.select("page_id", F.trim(F.get(parts, F.lit(0))).alias("body"), F.coalesce(F.trim(F.get(parts, F.lit(1))), F.lit("")).alias("timeline"))
+
+
+def sections(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, title, body) of second- and third-level headings."""
+    parts = F.split("content", r"(?m)^(?=#{2,3}\s)")
+    rows = pages.select("page_id", F.posexplode(F.filter(parts, lambda p: p.rlike(r"^#{2,3}\s"))).alias("pos", "part"))
+    return rows.select("page_id", "pos", F.lower(F.trim(F.regexp_extract("part", r"^#{2,3}\s+([^\n]*)", 1))).alias("title"), F.trim(F.regexp_replace("part", r"^[^\n]*\n?", "")).alias("body"))
+
+
+def snapshot_versions(pages: DataFrame, reason: str) -> DataFrame:
+    """A version row of each page with the hash of its content."""
+    return pages.select(F.col("id").alias("page_id"), F.sha2("content", 256).alias("content_hash"), F.length("content").alias("chars"), F.lit(reason).alias("reason"))
+
+
+def append_updates(pages: DataFrame, deltas: DataFrame, date: str, source: str) -> DataFrame:
+    """Pages (id, content) with deltas (id, delta) as a dated block under `## Updates`; a delta takes the place of a body under 200 characters."""
+    block = F.concat(F.lit(f"\n\n## Updates\n\n### {date} (per [[{source}]])\n\n"), "delta")
+    d = pages.join(deltas, "id", "left")
+    return d.select("id", F.when(F.col("delta").isNull(), F.col("content")).when(F.length(F.trim("content")) < 200, F.col("delta")).otherwise(F.concat("content", block)).alias("content"))
+
+
+def review_gate(pages: DataFrame, reviews: DataFrame) -> DataFrame:
+    """(page_id, reuse): whether the stored review (page_id, content_hash) is of the page's present content."""
+    now = pages.select(F.col("id").alias("page_id"), F.sha2("content", 256).alias("content_hash"))
+    hit = reviews.select("page_id", "content_hash").distinct().withColumn("reuse", F.lit(True))
+    return now.join(hit, ["page_id", "content_hash"], "left").select("page_id", F.coalesce("reuse", F.lit(False)).alias("reuse"))

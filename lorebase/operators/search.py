@@ -205,3 +205,28 @@ def cap_hits(hits: DataFrame, per_page: int = 3, type_share: float = 0.6) -> Dat
     kind = F.row_number().over(Window.partitionBy("query_id", "type").orderBy(F.desc("score"), "id"))
     n = F.count("*").over(Window.partitionBy("query_id"))
     return few.withColumn("k", kind).withColumn("n", n).where(F.col("k") <= F.ceil(F.col("n") * type_share)).select("query_id", "page_id", "id", "score", "type")
+
+
+def hybrid_search(queries: DataFrame, vectors_of_queries: DataFrame, index: DataFrame, vectors: DataFrame, factors: DataFrame, pool: int = 50, limit: int = 10) -> DataFrame:
+    """(query_id, page_id, score, rank): keyword and vector channels fused by reciprocal rank, times each page's factor.
+
+    queries (query_id, text), vectors_of_queries (query_id, embedding), index as of postings, vectors (id, page_id, embedding),
+    factors (page_id, factor). A page's vector rank is that of its best vector.
+    """
+    kw = keyword_search(queries, index, pool).select("query_id", "page_id", "rn")
+    near = vector_search(vectors_of_queries, vectors.select("id", "embedding"), pool).select("query_id", "id", "rn")
+    pages = near.join(vectors.select("id", "page_id"), "id").groupBy("query_id", "page_id").agg(F.min("rn").alias("best"))
+    vec = pages.select("query_id", "page_id", F.row_number().over(Window.partitionBy("query_id").orderBy("best")).alias("rn"))
+    fused = rrf_fuse([kw, vec]).join(factors, "page_id", "left")
+    scored = fused.select("query_id", "page_id", F.round(F.col("score") * F.coalesce("factor", F.lit(1.0)), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "page_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
+def evaluate_configs(runs: dict[str, DataFrame], qrels: DataFrame, k: int = 5) -> DataFrame:
+    """Mean metrics of several runs (name: hits as of evaluate)."""
+    out = None
+    for name, hits in runs.items():
+        one = evaluate(hits, qrels, k).agg(*[F.round(F.avg(m), 5).alias(m) for m in ("precision", "recall", "mrr", "ndcg")], F.count("*").alias("queries")).withColumn("config", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out

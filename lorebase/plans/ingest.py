@@ -163,3 +163,39 @@ SELECT p.id, coalesce(nullif(p.display_name, ''), nullif(r.title, ''), nullif(p.
 def g14(pages, raw):
     titles = raw.where("ingested_page_id IS NOT NULL").groupBy(F.col("ingested_page_id").alias("id")).agg(F.min("title").alias("raw_title"))
     return pages.where("deleted = 0").join(titles, "id", "left").select("id", F.coalesce(F.expr("nullif(display_name, '')"), F.expr("nullif(raw_title, '')"), F.expr("nullif(title, '')"), "slug").alias("label"))
+
+
+_DOC = "'Body of ' || slug || chr(10) || '## Sources' || chr(10) || 'a line' || chr(10) || '### Notes' || chr(10) || 'more' || chr(10) || CASE id % 2 WHEN 0 THEN '<!-- timeline -->' ELSE '--- timeline ---' END || chr(10) || '- 2024-01-01 x'"
+
+
+def _docs(pages):
+    return pages.select(F.col("id").alias("page_id"), "slug", F.expr("concat('Body of ', slug, '\n## Sources\na line\n### Notes\nmore\n', if(id % 2 = 0, '<!-- timeline -->', '--- timeline ---'), '\n- 2024-01-01 x')").alias("content"))
+
+
+@query("x2_split_body", "fx_pages", oracle="SELECT id AS page_id, 'Body of ' || slug || chr(10) || '## Sources' || chr(10) || 'a line' || chr(10) || '### Notes' || chr(10) || 'more' || chr(10) AS body, chr(10) || '- 2024-01-01 x' AS timeline FROM fx_pages")
+def x2(pages):
+    return i.split_body(_docs(pages))
+
+
+@query("x18_sections", "fx_pages", oracle="SELECT id AS page_id, CAST(0 AS INTEGER) AS pos, 'sources' AS title, 'a line' || chr(10) AS body FROM fx_pages UNION ALL SELECT id, 1, 'notes', 'more' || chr(10) || CASE id % 2 WHEN 0 THEN '<!-- timeline -->' ELSE '--- timeline ---' END || chr(10) || '- 2024-01-01 x' FROM fx_pages")
+def x18(pages):
+    return i.sections(_docs(pages))
+
+
+@query("s11_snapshot_versions", "fx_pages", oracle="SELECT id AS page_id, sha256(content) AS content_hash, CAST(length(content) AS INTEGER) AS chars, 'merge' AS reason FROM fx_pages")
+def s11(pages):
+    return i.snapshot_versions(pages, "merge")
+
+
+@query("s12_append_updates", "fx_pages", oracle="""
+WITH p AS (SELECT id, CASE WHEN id % 2 = 0 THEN repeat(content || ' ', 20) ELSE content END AS content, CASE WHEN id % 3 = 0 THEN 'news of ' || slug END AS delta FROM fx_pages)
+SELECT id, CASE WHEN delta IS NULL THEN content WHEN length(trim(content)) < 200 THEN delta ELSE content || chr(10) || chr(10) || '## Updates' || chr(10) || chr(10) || '### 2024-01-01 (per [[sources/x]])' || chr(10) || chr(10) || delta END AS content FROM p""")
+def s12(pages):
+    long = pages.select("id", "slug", F.when(F.col("id") % 2 == 0, F.repeat(F.concat("content", F.lit(" ")), 20)).otherwise(F.col("content")).alias("content"))
+    return i.append_updates(long.select("id", "content"), long.where("id % 3 = 0").select("id", F.concat(F.lit("news of "), "slug").alias("delta")), "2024-01-01", "sources/x")
+
+
+@query("q4_review_gate", "fx_pages", oracle="SELECT id AS page_id, id % 3 = 0 AS reuse FROM fx_pages")
+def q4(pages):
+    stored = pages.where("id % 3 <> 1").select(F.col("id").alias("page_id"), F.sha2(F.when(F.col("id") % 3 == 0, F.col("content")).otherwise(F.concat("content", F.lit("x"))), 256).alias("content_hash"))
+    return i.review_gate(pages, stored)

@@ -157,3 +157,22 @@ k AS (SELECT *, CAST(row_number() OVER (PARTITION BY hint_id ORDER BY similarity
 def r18(nation, part):
     hints = nation.select(F.col("n_nationkey").alias("hint_id"), F.concat(F.lit("smal ring brand#"), F.col("n_nationkey").cast("string")).alias("text"))
     return s.fuzzy_suggest(hints, part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("title")))
+
+
+_VECTOR = """v0 AS (SELECT vec_id AS id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), v1 AS (SELECT q.id AS query_id, c.id, round(1 / (1 + (1 - list_cosine_similarity(q.e, c.e))), 5) AS score FROM v0 q JOIN v0 c ON c.id <> q.id WHERE q.id IN (SELECT item_id FROM benchmark)),
+v2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM v1), v3 AS (SELECT query_id, 7000000 + id % 50 AS page_id, min(rn) AS best FROM v2 WHERE rn <= 20 GROUP BY 1, 2), vc AS (SELECT query_id, page_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY best) AS INTEGER) AS rn FROM v3)"""
+_FUSED = f"""{_KEYWORD}, {_VECTOR}, u AS (SELECT query_id, page_id, 1.0::DOUBLE / (60 + rn - 1) AS s FROM kw UNION ALL SELECT query_id, page_id, 1.0::DOUBLE / (60 + rn - 1) FROM vc), f0 AS (SELECT query_id, page_id, sum(s) AS s FROM u GROUP BY 1, 2),
+f1 AS (SELECT query_id, page_id, round(s / max(s) OVER (PARTITION BY query_id), 6) AS score FROM f0), f2 AS (SELECT query_id, page_id, round(score * CASE WHEN page_id % 2 = 0 THEN 1.2 ELSE 1.0 END::DOUBLE, 6) AS score FROM f1),
+hy AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS INTEGER) AS rank FROM f2) WHERE rank <= 10)"""
+
+
+def _hybrid(benchmark, chunks, embeddings):
+    vectors = embeddings.select(F.col("vec_id").alias("id"), (7000000 + F.col("vec_id") % 50).alias("page_id"), "embedding")
+    own = benchmark.select(F.col("item_id").alias("query_id")).join(embeddings.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+    factors = chunks.select("page_id").distinct().withColumn("factor", F.when(F.col("page_id") % 2 == 0, 1.2).otherwise(1.0))
+    return s.hybrid_search(_queries(benchmark), own, _index(chunks), vectors, factors, 20, 10)
+
+
+@query("r14_hybrid_search", "benchmark", "fx_chunks", "embeddings", oracle=f"WITH {_FUSED} SELECT query_id, page_id, score, rank FROM hy")
+def r14(benchmark, chunks, embeddings):
+    return _hybrid(benchmark, chunks, embeddings)
