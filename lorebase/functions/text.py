@@ -50,7 +50,7 @@ def plain(text: Column) -> Column:
 
 def visible(text: Column) -> Column:
     """Text as a reader sees it: no comments, links by their labels, white space collapsed."""
-    for pattern, to in ((r"(?s)<!--.*?-->", " "), (r"\[\[([^\]|]+)\|([^\]]+)\]\]", "$2"), (r"\[\[([^\]]+)\]\]", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"[#*_`>|]", " "), (r"\s+", " ")):
+    for pattern, to in ((r"(?s)<!--.*?-->", " "), (r"\[\[([^\]|]+)\|([^\]]+)\]\]", "$2"), (r"\[\[([^\]]+)\]\]", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"[#>*`|-]", " "), (r"\s+", " ")):
         text = F.regexp_replace(text, pattern, to)
     return F.trim(text)
 

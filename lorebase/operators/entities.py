@@ -111,15 +111,50 @@ def demotable_pages(pages: DataFrame, links: DataFrame, facts: DataFrame, timeli
     return rows.join(into, "id").join(used, "id", "left_anti").select("id", "slug", "weak", "origins")
 
 
+#: Patterns of names that stand for no entity, and what they are, in the order in which they are tried.
+REJECTED_NAMES = (
+    (r"^(unknown|unnamed|various|multiple|several|others?|misc)(-|$)", "generic-placeholder"),
+    (r"^(domestic|overseas|leading|major|top|key|selected)-", "generic-descriptor"),
+    (r"(^|-)unknown(-|$)", "generic-placeholder"),
+    (r"^(company|supplier|vendor|customer|partner|competitor)s?(-|$)", "generic-role"),
+)
+
+#: Phrases that tell who owns a company.
+OWNERSHIP_SIGNALS = (
+    "private company",
+    "privately held",
+    "not publicly listed",
+    "unlisted",
+    "subsidiary",
+    "parent company",
+    "owned by",
+    "controlled by",
+    "state-owned",
+    "joint venture",
+    "portfolio company",
+    "funding round",
+    "series a",
+    "series b",
+    "series c",
+    "ipo candidate",
+    "pre-ipo",
+    "未上市",
+    "私有",
+    "私营",
+    "子公司",
+    "母公司",
+    "控股",
+)
+
+
 def auto_reject_reason(slug: Column) -> Column:
-    """Why a proposed slug names no entity: nothing, a placeholder, a descriptor or a role."""
-    name = F.element_at(F.split(slug, "/"), 2)
-    return (
-        F.when(F.coalesce(name, F.lit("")) == "", "empty")
-        .when(name.rlike(r"^(unknown|unnamed|tbd|n-a|none|other)\b"), "placeholder")
-        .when(name.rlike(r"^(major|leading|several|various|some|large|small)-"), "descriptor")
-        .when(name.rlike(r"^(ceo|cfo|cto|analyst|management|customer|supplier)s?$"), "role")
-    )
+    """Why a proposed slug names no entity: it has no name, or a placeholder, descriptor or role; null if it may."""
+    name = F.lower(F.regexp_replace(slug, "^[^/]*/?", ""))
+    name = F.regexp_replace(F.regexp_replace(name, r"[_\s]+", "-"), "^-+|-+$", "")
+    out = F.lit(None).cast("string")
+    for pattern, reason in reversed(REJECTED_NAMES):
+        out = F.when(name.rlike(pattern), reason).otherwise(out)
+    return F.when(name == "", "empty-name").otherwise(out)
 
 
 def upsert_candidates(mentions: DataFrame) -> DataFrame:
@@ -146,7 +181,10 @@ def completeness(pages: DataFrame, as_of: str) -> DataFrame:
     citations = F.when(c == 0, 0.0).when(c < 2, 0.3).when(c < 5, 0.7).otherwise(1.0)
     days = F.datediff(F.lit(as_of).cast("date"), "update_date")
     recency = F.when(days < 30, 1.0).when(days < 90, 0.7).when(days < 365, 0.4).otherwise(0.1)
-    listed = F.when(F.coalesce(F.trim("ticker"), F.lit("")) != "", 1.0).when(F.lower("content").rlike("private company|privately held|subsidiary|joint venture|owned by"), 1.0).when(F.col("exchange").isNotNull(), 0.6).otherwise(0.0)
+    owned = F.lit(False)
+    for phrase in OWNERSHIP_SIGNALS:
+        owned = owned | F.lower("content").contains(phrase)
+    listed = F.when(F.coalesce(F.trim("ticker"), F.lit("")) != "", 1.0).when(owned, 1.0).when(F.col("exchange").isNotNull(), 0.6).otherwise(0.0)
     sector = F.when(F.col("sector").isNotNull(), 0.5).otherwise(0.0)
     traded = F.when(F.col("exchange").isNotNull(), 1.0).otherwise(0.0)
     company = 0.20 * content + 0.15 * listed + 0.10 * sector + 0.15 * aliases + 0.10 * wikilinks + 0.15 * citations + 0.05 * recency + 0.10 * traded
@@ -190,7 +228,7 @@ def create_missing_pages(mentions: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def merge_risk(pairs: DataFrame) -> DataFrame:
-    """Risk of merging pairs (a, b, dup_chars, ratio, sections, has_updates, overlap)."""
-    review = (F.col("dup_chars") > 8000) & (F.col("ratio") > 1.1) | (F.col("sections") >= 8) & (F.col("overlap") < 0.45)
-    structure = (F.col("dup_chars") > 2000) & (F.col("ratio") > 0.6) & F.col("has_updates") & (F.col("overlap") < 0.35)
+    """Risk of merging pairs (a, b, dup_chars, ratio, sections, has_updates, overlap): any sign of a large or separate text raises it."""
+    review = (F.col("dup_chars") > 8000) | (F.col("ratio") > 1.1) | ((F.col("sections") >= 8) & (F.col("overlap") < 0.45))
+    structure = (F.col("dup_chars") > 2000) | (F.col("ratio") > 0.6) | F.col("has_updates") | (F.col("overlap") < 0.35)
     return pairs.select("a", "b", F.when(F.col("dup_chars") == 0, "auto_merge").when(review, "human_review").when(structure, "structure_only").otherwise("auto_merge").alias("mode"))

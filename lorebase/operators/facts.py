@@ -116,7 +116,7 @@ def detect_fact_signals(facts: DataFrame, new_facts: DataFrame, priors: int = 10
     g = g.where("prior_count > 0 AND prior_avg <> 0").withColumn("delta", delta).where(F.abs("delta") >= threshold)
     return g.select(
         "fact_id", "entity_page_id", "metric", "prior_count", F.round("delta", 6).alias("delta_pct"),
-        F.when(F.col("prior_count") >= 2, "consensus_drift").otherwise("fact_change").alias("signal_type"),
+        F.when(F.col("prior_count") >= 2, "consensus_drift").otherwise("fact_outlier").alias("signal_type"),
         F.when(F.abs("delta") >= 0.35, "critical").when(F.abs("delta") >= 0.2, "warning").otherwise("info").alias("severity"),
     )
 

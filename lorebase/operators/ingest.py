@@ -66,7 +66,7 @@ def harvest_links(pages: DataFrame) -> DataFrame:
 def link_type(label: DataFrame):
     """The type before a colon in a label, mention if there is none of the known ones."""
     head = F.lower(F.trim(F.element_at(F.split(label, ":"), 1)))
-    return F.when(label.contains(":") & head.isin("confirms", "contradicts", "critiques", "supersedes", "extends", "cites"), head).otherwise("mention")
+    return F.when(label.contains(":") & head.isin("confirms", "contradicts", "supersedes", "cites", "critiques", "derives_from", "tracks"), head).otherwise("mention")
 
 
 def resolve_refs(refs: DataFrame, pages: DataFrame) -> DataFrame:

@@ -37,6 +37,60 @@ SOURCE_FACTORS = {
     "concepts/": 1.2,
 }
 
+#: Patterns (case does not matter) by which a query's intent is told, in the order in which kinds are tried.
+INTENT_PATTERNS = (
+    ("temporal", (
+        r"\beverything\b",
+        r"\ball\s+(about|info|information|details)\b",
+        r"\bfull\s+(history|context|picture|story|details)\b",
+        r"\bcomprehensive\b",
+        r"\bdeep\s+dive\b",
+        r"\bgive\s+me\s+everything\b",
+        r"全部|所有|完整",
+    )),
+    ("temporal", (
+        r"\bwhen\b",
+        r"\blast\s+(met|meeting|call|conversation|chat|talked|spoke|seen|heard|time)\b",
+        r"\brecent(ly)?\b",
+        r"\bhistory\b",
+        r"\btimeline\b",
+        r"\bmeeting\s+notes?\b",
+        r"\bwhat('s| is| was)\s+new\b",
+        r"\blatest\b",
+        r"\bupdate(s)?\s+(on|from|about)\b",
+        r"\bhow\s+long\s+(ago|since)\b",
+        r"\b\d{4}[-/]\d{2}\b",
+        r"\blast\s+(week|month|quarter|year)\b",
+        r"最近|近期|最新|时间线|历史",
+    )),
+    ("event", (
+        r"\bannounce[ds]?(ment)?\b",
+        r"\blaunch(ed|es|ing)?\b",
+        r"\braised?\s+\$?\d",
+        r"\bfund(ing|raise)\b",
+        r"\bIPO\b",
+        r"\bacquisition\b",
+        r"\bmerge[drs]?\b",
+        r"\bnews\b",
+        r"\bhappened?\b",
+        r"\bguidance\b",
+        r"\bearnings\b",
+        r"发布|公告|融资|并购|上市|财报|指引",
+    )),
+    ("entity", (
+        r"\bwho\s+is\b",
+        r"\bwhat\s+(is|does|are)\b",
+        r"\btell\s+me\s+about\b",
+        r"\bdescribe\b",
+        r"\bsummar(y|ize)\b",
+        r"\boverview\b",
+        r"\bbackground\b",
+        r"\bprofile\b",
+        r"\bwhat\s+do\s+(you|we)\s+know\b",
+        r"是谁|是什么|介绍|概览|简介",
+    )),
+)
+
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters, digits, _ and -."""
@@ -131,12 +185,14 @@ def backlink_factor(n: Column) -> Column:
 
 
 def intent(text: Column) -> Column:
-    """temporal, event, entity or general, by the first set of phrases that is found."""
-    whole = r"(?i)\b(everything|comprehensive|deep\s+dive|all\s+(about|info|information|details)|full\s+(history|context|picture|story|details))\b|全部|所有|完整"
-    temporal = r"(?i)\b(when|recent(ly)?|history|timeline|latest|meeting\s+notes?|what('s| is| was)\s+new|updates?\s+(on|from|about)|how\s+long\s+(ago|since)|\d{4}[-/]\d{2}|last\s+(met|meeting|call|conversation|chat|talked|spoke|seen|heard|time|week|month|quarter|year))\b|最近|近期|最新|时间线|历史"
-    event = r"(?i)\b(announce[ds]?(ment)?|launch(ed|es|ing)?|raised?\s+\$?\d|fund(ing|raise)|IPO|acquisition|merge[drs]?|news|happened?|guidance|earnings)\b|发布|公告|融资|并购|上市|财报|指引"
-    entity = r"(?i)\b(who\s+is|what\s+(is|does|are)|tell\s+me\s+about|describe|summar(y|ize)|overview|background|profile|what\s+do\s+(you|we)\s+know)\b|是谁|是什么|介绍|概览|简介"
-    return F.when(text.rlike(whole) | text.rlike(temporal), "temporal").when(text.rlike(event), "event").when(text.rlike(entity), "entity").otherwise("general")
+    """temporal, event, entity or general, by the first kind with a pattern that is found."""
+    out = F.lit("general")
+    for kind, patterns in reversed(INTENT_PATTERNS):
+        fits = F.lit(False)
+        for p in patterns:
+            fits = fits | text.rlike("(?i)" + p)
+        out = F.when(fits, kind).otherwise(out)
+    return out
 
 
 def detail(kind: Column) -> Column:

@@ -114,7 +114,7 @@ def e17(mentions):
     return e.upsert_candidates(mentions)
 
 
-@query("e18_auto_reject", "fx_mentions", oracle="SELECT DISTINCT slug, CASE WHEN slug LIKE 'companies/unknown-%' THEN 'placeholder' WHEN slug LIKE 'companies/major-%' THEN 'descriptor' END AS reason FROM fx_mentions")
+@query("e18_auto_reject", "fx_mentions", oracle="SELECT DISTINCT slug, CASE WHEN slug LIKE 'companies/unknown-%' THEN 'generic-placeholder' WHEN slug LIKE 'companies/major-%' THEN 'generic-descriptor' END AS reason FROM fx_mentions")
 def e18(mentions):
     return mentions.select("slug").distinct().withColumn("reason", e.auto_reject_reason(F.col("slug")))
 
@@ -169,8 +169,8 @@ def g2(mentions, pages):
 
 
 @query("e8_merge_risk", "fx_chunks", oracle="""
-WITH p AS (SELECT id AS a, id + 1 AS b, id % 5 * 2500 AS dup_chars, CAST(id % 13 AS DOUBLE) / 10 AS ratio, id % 11 AS sections, id % 2 = 0 AS has_updates, CAST(id % 7 AS DOUBLE) / 10 AS overlap FROM fx_chunks)
-SELECT a, b, CASE WHEN dup_chars = 0 THEN 'auto_merge' WHEN (dup_chars > 8000 AND ratio > 1.1) OR (sections >= 8 AND overlap < 0.45) THEN 'human_review' WHEN dup_chars > 2000 AND ratio > 0.6 AND has_updates AND overlap < 0.35 THEN 'structure_only' ELSE 'auto_merge' END AS mode FROM p""")
+WITH p AS (SELECT id AS a, id + 1 AS b, id % 5 * 2500 AS dup_chars, CAST(id % 13 AS DOUBLE) / 10 AS ratio, id % 11 AS sections, id % 2 = 0 AS has_updates, CAST(id % 8 AS DOUBLE) / 10 AS overlap FROM fx_chunks)
+SELECT a, b, CASE WHEN dup_chars = 0 THEN 'auto_merge' WHEN dup_chars > 8000 OR ratio > 1.1 OR (sections >= 8 AND overlap < 0.45) THEN 'human_review' WHEN dup_chars > 2000 OR ratio > 0.6 OR has_updates OR overlap < 0.35 THEN 'structure_only' ELSE 'auto_merge' END AS mode FROM p""")
 def e8(chunks):
     i = F.col("id")
-    return e.merge_risk(chunks.select(i.alias("a"), (i + 1).alias("b"), (i % 5 * 2500).alias("dup_chars"), ((i % 13).cast("double") / 10).alias("ratio"), (i % 11).alias("sections"), (i % 2 == 0).alias("has_updates"), ((i % 7).cast("double") / 10).alias("overlap")))
+    return e.merge_risk(chunks.select(i.alias("a"), (i + 1).alias("b"), (i % 5 * 2500).alias("dup_chars"), ((i % 13).cast("double") / 10).alias("ratio"), (i % 11).alias("sections"), (i % 2 == 0).alias("has_updates"), ((i % 8).cast("double") / 10).alias("overlap")))

@@ -85,7 +85,7 @@ WITH p AS (SELECT a.id AS fact_id, a.entity_page_id, a.metric, a.value_numeric A
  WHERE a.deleted = 0 AND a.value_numeric IS NOT NULL AND a.valid_from >= DATE '2000-01-01'),
 g AS (SELECT fact_id, entity_page_id, metric, any_value(value) AS value, avg(v) AS prior_avg, count(v) AS prior_count FROM p WHERE rn <= 10 GROUP BY 1, 2, 3),
 d AS (SELECT *, (value - prior_avg) / abs(prior_avg) AS delta FROM g WHERE prior_count > 0 AND prior_avg <> 0)
-SELECT fact_id, entity_page_id, metric, prior_count, round(delta, 6) AS delta_pct, CASE WHEN prior_count >= 2 THEN 'consensus_drift' ELSE 'fact_change' END AS signal_type,
+SELECT fact_id, entity_page_id, metric, prior_count, round(delta, 6) AS delta_pct, CASE WHEN prior_count >= 2 THEN 'consensus_drift' ELSE 'fact_outlier' END AS signal_type,
  CASE WHEN abs(delta) >= 0.35 THEN 'critical' WHEN abs(delta) >= 0.2 THEN 'warning' ELSE 'info' END AS severity FROM d WHERE abs(delta) >= 0.1""")
 def f13(facts):
     return f.detect_fact_signals(facts, facts.where("valid_from >= DATE '2000-01-01'"))

@@ -92,7 +92,7 @@ def x14(cells):
     return cells.select("id", t.metric_key(F.col("metric_cell")).alias("metric"), t.period_key(F.col("period_cell")).alias("period"))
 
 
-@query("x19_visible_text", "fx_narratives", oracle="SELECT line_id, trim(regexp_replace(regexp_replace(regexp_replace(content, '\\[\\[([^\\]|]+)\\|([^\\]]+)\\]\\]', '\\2', 'g'), '\\[\\[([^\\]]+)\\]\\]', '\\1', 'g'), '\\s+', ' ', 'g')) AS text FROM fx_narratives")
+@query("x19_visible_text", "fx_narratives", oracle="SELECT line_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '\\[\\[([^\\]|]+)\\|([^\\]]+)\\]\\]', '\\2', 'g'), '\\[\\[([^\\]]+)\\]\\]', '\\1', 'g'), '[#>*`|-]', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM fx_narratives")
 def x19(narratives):
     return narratives.select("line_id", t.visible(F.col("content")).alias("text"))
 

@@ -93,7 +93,7 @@ def test_merge_chains(spark):
     assert got == {1: 4, 2: 4, 3: 4, 9: 8}
 
 
-@pytest.mark.parametrize(("slug", "want"), [("companies/unknown-x", "placeholder"), ("companies/major-bank", "descriptor"), ("companies/ceo", "role"), ("companies/", "empty"), ("companies/acme", None)])
+@pytest.mark.parametrize(("slug", "want"), [("companies/unknown-x", "generic-placeholder"), ("companies/acme-unknown", "generic-placeholder"), ("companies/major-bank", "generic-descriptor"), ("companies/suppliers", "generic-role"), ("companies/", "empty-name"), ("companies/acme", None)])
 def test_auto_reject(spark, slug, want):
     assert one(spark, slug, entities.auto_reject_reason) == want
 
