@@ -6,7 +6,7 @@ bounded). Scoring streams every word of every whole text. A word that shares a h
 cannot avoid, is run through the trie under a Levenshtein automaton of distance one, so that misspelled terms count
 too. Around each hit a window of context tells quotation (quote marks open around it, or colons and quote marks just
 before it) from abuse. A logistic model over the counts and the best windows gives the score; it is fitted on a
-bounded sample of FIT_ROWS labelled texts.
+bounded sample of about FIT_ROWS labelled texts, chosen by a hash of the id.
 
 Null and blank texts have no hits and get the score of such texts. A row whose id has several labels counts as toxic
 if any says so; labels without a document, or that are null, teach nothing. Without both classes the score is the
@@ -55,7 +55,7 @@ def _terms(word: bytes) -> Iterator[bytes]:
     """The word, and its stems marked by a star."""
     yield word
     for n in STEMS:
-        if len(word) > n:
+        if len(word) > n and word[n] & 0xC0 != 0x80:  # not within a character
             yield word[:n] + b"*"
 
 
@@ -83,20 +83,30 @@ def _count(shared):
 
 
 class Trie:
-    """The lexicon as nested dicts; key None holds (weight, is a stem)."""
+    """The lexicon's trie intersected with the Levenshtein automaton of distance one.
+
+    A state is a set of (trie node, edits so far); it is determinised as words need it, so that a word costs a lookup
+    a letter, and most words end in the empty set after a few.
+    """
 
     def __init__(self, terms: dict[bytes, float]):
-        self.root: dict = {}
+        self.below: list[dict[str, int]] = [{}]
+        self.whole: dict[int, float] = {}
+        self.stems: dict[int, float] = {}
         self.heads = np.zeros(1 << 24, bool)
         self.tails = np.zeros(1 << 24, bool)
         codes: dict[str, set[bytes]] = {"heads": set(), "tails": set()}
         for term, weight in terms.items():
             stem = term.endswith(b"*")
             body = term.rstrip(b"*")
-            node = self.root
+            node = 0
             for c in body.decode("utf-8", "replace"):
-                node = node.setdefault(c, {})
-            node[None] = (weight, stem)
+                if c not in self.below[node]:
+                    self.below[node][c] = len(self.below)
+                    self.below.append({})
+                node = self.below[node][c]
+            ends = self.stems if stem else self.whole
+            ends[node] = max(weight, ends.get(node, 0.0))
             codes["heads"].add(body[: min(3, max(len(body) // 2, 2))])
             if not stem:
                 codes["tails"].add(body[-min(3, len(body) - len(body) // 2) :])
@@ -105,34 +115,58 @@ class Trie:
             self.heads[int.from_bytes(c, "big") << 8 * (3 - len(c)) | x[: 1 << 8 * (3 - len(c))]] = True
         for c in codes["tails"]:
             self.tails[x[: 1 << 8 * (3 - len(c))] << np.uint32(8 * len(c)) | np.uint32(int.from_bytes(c, "big"))] = True
-
-    def match(self, word: str, edits: int = 1) -> tuple[float, int] | None:
-        """(weight, distance) of the nearest entry, heavier first: a walk of the trie with the automaton's state.
-
-        The state after a trie path is the row of edit distances between the path and the word's prefixes; a path
-        with no distance within the bound is left. A stem accepts once the path matches a prefix of the word.
-        """
-        if len(word) < 5:
-            edits = 0
-        best = None
-        todo = [(self.root, tuple(range(len(word) + 1)))]
-        while todo:
-            node, row = todo.pop()
-            for c, below in node.items():
-                if c is None:
-                    weight, stem = below
-                    d = min(row) if stem else row[-1]
-                    if stem and d:
-                        continue  # stems are too short to be misspelled safely
-                    if d <= edits and (best is None or (d, -weight) < (best[1], -best[0])):
-                        best = (weight, d)
-                    continue
-                new = [row[0] + 1]
-                for k, x in enumerate(word):
-                    new.append(min(new[k] + 1, row[k + 1] + 1, row[k] + (x != c)))
-                if min(new) <= edits:
-                    todo.append((below, tuple(new)))
-        return best
+        self.sets: list[frozenset] = []
+        self.number: dict[frozenset, int] = {}
+        self.moves: list[dict[str, int]] = []
+        self.accepts: list[tuple] = []
+        self._state({(0, 0)})
+
+    def _state(self, places: set[tuple[int, int]]) -> int:
+        """Number of a set of places, closed under skipping a letter of the trie; -1 if there are none."""
+        closed = set(places)
+        for node, e in places:
+            if e == 0:
+                closed.update((n, 1) for n in self.below[node].values())
+        closed = {(n, e) for n, e in closed if e == 0 or (n, 0) not in closed}
+        if not closed:
+            return -1
+        key = frozenset(closed)
+        if key not in self.number:
+            self.number[key] = len(self.sets)
+            self.sets.append(key)
+            self.moves.append({})
+            ends = [(e, -self.whole[n]) for n, e in closed if n in self.whole]
+            stems = [(0, -self.stems[n]) for n, e in closed if e == 0 and n in self.stems]  # too short to be misspelled safely
+            self.accepts.append((min(ends, default=None), min(stems, default=None)))
+        return self.number[key]
+
+    def _move(self, state: int, c: str) -> int:
+        out: set[tuple[int, int]] = set()
+        for node, e in self.sets[state]:
+            if c in self.below[node]:
+                out.add((self.below[node][c], e))
+            if e == 0:
+                out.add((node, 1))  # a letter too many
+                out.update((n, 1) for n in self.below[node].values())  # another letter
+        self.moves[state][c] = self._state(out)
+        return self.moves[state][c]
+
+    def match(self, word: str) -> tuple[float, int] | None:
+        """(weight, distance) of the nearest entry, heavier first; words of fewer than five letters only as they are."""
+        state, best = 0, None
+        for c in word:
+            after = self.moves[state].get(c)
+            state = self._move(state, c) if after is None else after
+            if state < 0:
+                break
+            stem = self.accepts[state][1]
+            if stem and (best is None or stem < best):
+                best = stem
+        else:
+            end = self.accepts[state][0]
+            if end and (end[0] == 0 or len(word) >= 5) and (best is None or end < best):
+                best = end
+        return (-best[1], best[0]) if best else None
 
 
 def _candidates(w: Words, s: np.ndarray, e: np.ndarray, trie: Trie) -> np.ndarray:
@@ -251,13 +285,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: str = "held_out") ->
     lexicon = learn_lexicon(teach)
     trie = spark.sparkContext.broadcast(Trie(lexicon))
     columns = ", ".join(f"{f} double" for f in FEATURES)
-    sample = teach.withColumn("h", F.xxhash64("doc_id", F.lit(1))).orderBy("h", "doc_id").limit(FIT_ROWS).select("text", "toxic")
+    labelled = teach.count()
+    share = min(1.0, FIT_ROWS / max(labelled, 1))
+    sample = teach.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < round(share * (1 << 20))).select("text", "toxic")
     rows = sample.mapInArrow(_features(trie, ["toxic"]), f"toxic int, {columns}").toPandas()
     y = rows["toxic"].to_numpy(float)
     if not lexicon or not 0 < y.mean() < 1:
         w = np.zeros(len(FEATURES) + 1)
-        share = y.mean() if len(y) else 0.0
-        w[-1] = np.log((share + 1e-3) / (1 - share + 1e-3))
+        toxic = y.mean() if len(y) else 0.0
+        w[-1] = np.log((toxic + 1e-3) / (1 - toxic + 1e-3))
     else:
         w = _fit(rows[list(FEATURES)].to_numpy(), y)
     z = F.lit(float(w[-1]))
