@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import Words, word_chunks
+from lorebase.llm.common import Words, broadcast_if_small, cut, word_chunks
 
 MAX_CANDIDATES = 20_000
 MAX_TERMS = 400
@@ -31,6 +31,8 @@ MIN_TEXTS = 3
 #: Log-likelihood ratio (nats) by which a term must beat chance.
 EVIDENCE = 9.0
 FIT_ROWS = 50_000
+#: Labels (16 bytes each) up to which they are broadcast to the texts; beyond, texts and labels are shuffled once.
+BROADCAST_LABELS = 500_000
 WINDOW = 12
 STEMS = (4, 5, 6)
 FEATURES = ("exact", "near", "quoted", "best", "any", "density")
@@ -281,7 +283,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: str = "held_out") ->
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(held_out).alias("held_out"))
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    teach = docs.where("not held_out").join(marks, "doc_id").select("doc_id", "text", "toxic")
+    labels_known = marks.count()
+    teach = docs.where("not held_out").join(broadcast_if_small(marks, labels_known, BROADCAST_LABELS), "doc_id").select("doc_id", "text", "toxic")
+    if labels_known > BROADCAST_LABELS:
+        teach = cut(teach, "labelled")  # the texts have moved; they are read three times from here on
     lexicon = learn_lexicon(teach)
     trie = spark.sparkContext.broadcast(Trie(lexicon))
     columns = ", ".join(f"{f} double" for f in FEATURES)
