@@ -88,6 +88,26 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxicity(none.withColumn("held_out", F.lit(False)), labels).count() == 0
 
 
+def test_toxicity_learns_every_term(spark):
+    r = random.Random(5)
+    marks = ["".join("bcdfghjklm"[int(d)] for d in f"{k:04d}") + "xq" for k in range(700)] + ["zq"]
+    toxic = [[] for _ in range(240)]
+    for k, word in enumerate(marks):
+        for i in range(6):
+            toxic[(k * 7 + i * 37) % 240].append(word)
+    rows = [(i, prose(i, 30) + " " + " ".join(own), False) for i, own in enumerate(toxic)] + [(1000 + i, prose(2000 + i, 30), False) for i in range(1400)]
+    rows += [(5000 + k, prose(9000 + k, 30) + f" {word} {word}", True) for k, word in enumerate(marks)] + [(6000 + k, prose(12000 + k, 30), True) for k in range(300)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _, h in rows if not h], "doc_id long, toxic int")
+    got = {r["doc_id"]: tuple(r) for r in toxicity.toxicity(docs, labels).collect()}
+    any_ = toxicity.toxicity(docs, labels).where("held_out and any > 0").select("doc_id")
+    found = {r[0] for r in any_.collect()}
+    assert {5000 + k for k in range(len(marks))} <= found
+    shards = {r["doc_id"]: tuple(r) for r in toxicity.toxicity(docs, labels, bound=1500).collect()}
+    assert got.keys() == shards.keys() and all(a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-6) for a, b in ((got[i], shards[i]) for i in got))
+
+
 def test_lm(docs, none):
     got = gru_lm.score_documents(docs.withColumn("held_out", F.coalesce(F.col("doc_id") == 8, F.lit(False)))).collect()
     assert len(got) == docs.count()
