@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def run_available(stream: DataFrame, out: str, each: Callable[[DataFrame, int], DataFrame], mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, out: str, each: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
     """Process what is there now; each(batch, epoch) is written to out/batch=epoch. Returns all batches with their number."""
     spark = stream.sparkSession
 
     def sink(batch: DataFrame, epoch: int) -> None:
         each(batch, epoch).write.mode("overwrite").parquet(f"{out}/data/batch={epoch}")
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(sink).start()
+    q = stream.writeStream.outputMode("append").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(sink).start()
     q.awaitTermination()
     return spark.read.option("basePath", f"{out}/data").parquet(f"{out}/data/batch=*")
 
@@ -25,18 +25,16 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 8).parquet(f"{path}*")
 
 
-def usage_daily(usage: DataFrame, out: str, utc_offset_hours: int = 8, lateness: str = "2 days") -> DataFrame:
-    """Sums per local day and source of a stream (create_time, source, tokens_in, tokens_out); late rows count within the watermark."""
-    start = f"{(24 - utc_offset_hours) % 24} hours"
-    sums = (
-        usage.withWatermark("create_time", lateness)
-        .groupBy(F.window("create_time", "1 day", startTime=start).alias("w"), "source")
-        .agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.count("*").alias("requests"))
-        .select((F.col("w.start") + F.expr(f"INTERVAL {utc_offset_hours} HOURS")).cast("date").alias("day"), "source", "tokens_in", "tokens_out", "requests")
-    )
-    rows = run_available(sums, out, lambda batch, _: batch, mode="update")
-    last = F.row_number().over(Window.partitionBy("day", "source").orderBy(F.desc("batch")))
-    return rows.withColumn("rn", last).where("rn = 1").select("day", "source", "tokens_in", "tokens_out", "requests")
+def usage_daily(usage: DataFrame, out: str, utc_offset_hours: int = 8) -> DataFrame:
+    """Sums per local day and source of a stream (create_time, source, tokens_in, tokens_out), however late rows come: each batch writes its part."""
+    day = F.window("create_time", "1 day", startTime=f"{(24 - utc_offset_hours) % 24} hours")
+
+    def each(batch: DataFrame, epoch: int) -> DataFrame:
+        sums = batch.groupBy(day.alias("w"), "source").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.count("*").alias("requests"))
+        return sums.select((F.col("w.start") + F.expr(f"INTERVAL {utc_offset_hours} HOURS")).cast("date").alias("day"), "source", "tokens_in", "tokens_out", "requests")
+
+    parts = run_available(usage, out, each)
+    return parts.groupBy("day", "source").agg(*[F.sum(c).alias(c) for c in ("tokens_in", "tokens_out", "requests")])
 
 
 def intake(arrivals: DataFrame, existing: DataFrame, out: str) -> DataFrame:
