@@ -11,7 +11,7 @@ broadcast is bounded by BLOCK_ITEMS times the item length. Hot seeds cost nothin
 of a shuffle.
 
 Null or blank texts and items meet nothing; items with fewer than SEED words are matched as a whole by a seed of
-their own length. Rows with null ids take part and keep the null. Repeated rows are reported each. Extra columns are ignored.
+their own length. A pair is left untiled only if the item's places under its shared seeds can't reach the threshold. Rows with null ids take part and keep the null. Repeated rows are reported each. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,15 +55,28 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * inverse[: len(h) - k + 1])
 
 
+def _all(free: np.ndarray, k: int) -> np.ndarray:
+    """Where k free words begin."""
+    total = np.append(0, np.cumsum(free))
+    return total[k:] - total[:-k] == k
+
+
+def _run(free: np.ndarray) -> int:
+    """The longest run of free words."""
+    return int(np.diff(np.flatnonzero(np.concatenate([[True], ~free, [True]]))).max()) - 1
+
+
 def tiles(item: np.ndarray, text: np.ndarray, least: int = MIN_TILE) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (item start, text start, length), longest first, ties to the earliest in the item."""
     out = []
     free_i, free_t = np.ones(len(item), bool), np.ones(len(text), bool)
     k = min(len(item), len(text))
     while k >= least:
+        k = min(k, _run(free_i), _run(free_t))
+        if k < least:
+            break
         hi, ht = windows(item, k), windows(text, k)
-        ok_i = np.convolve(~free_i, np.ones(k, int), "valid") == 0
-        ok_t = np.convolve(~free_t, np.ones(k, int), "valid") == 0
+        ok_i, ok_t = _all(free_i, k), _all(free_t, k)
         common = np.intersect1d(hi[ok_i], ht[ok_t])
         if not len(common):
             # the next length at which anything can match
@@ -91,18 +104,23 @@ class Seeds:
     def __init__(self, items: list[tuple[int, str]], seed: int):
         self.ids = [i for i, _ in items]
         self.texts = [np.array([word_hash(x) for x in words(t)], np.uint64) for _, t in items]
-        hashes, owners = [], []
+        hashes, owners, times = [], [], []
         for k, h in enumerate(self.texts):
-            s = np.unique(windows(h, seed) if len(h) >= seed else np.zeros(0, np.uint64))
+            s, n = np.unique(windows(h, seed) if len(h) >= seed else np.zeros(0, np.uint64), return_counts=True)
             hashes.append(s)
+            times.append(n)
             owners.append(np.full(len(s), k))
         h, o = np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate([*owners, np.zeros(0, int)])
         order = np.argsort(h, kind="stable")
         self.hashes, self.owners = h[order], o[order].astype(np.int64)
+        self.times = np.concatenate([*times, np.zeros(0, int)])[order].astype(np.int64)
         self.unique, self.first = np.unique(self.hashes, return_index=True)
         self.last = np.append(self.first[1:], len(self.hashes))
-        self.short = {int(windows(h, len(h))[0]): k for k, h in enumerate(self.texts) if 0 < len(h) < seed}
-        self.short_lengths = sorted({len(self.texts[k]) for k in self.short.values()})
+        self.short: dict[int, list[int]] = {}
+        for k, h in enumerate(self.texts):
+            if 0 < len(h) < seed:
+                self.short.setdefault(int(windows(h, len(h))[0]), []).append(k)
+        self.short_lengths = sorted({len(self.texts[k]) for own in self.short.values() for k in own})
         self.counts = np.bincount(o, minlength=len(items))
 
 
@@ -140,17 +158,18 @@ def _meet(shared, seed: int, least: int, coverage: float):
                         hit = np.flatnonzero((block.unique[at] == g) & inside)
                         seen = np.unique(np.stack([text[hit], at[hit]]), axis=1) if len(hit) else np.zeros((2, 0), int)
                         for t, u in seen.T.tolist():
-                            for o in block.owners[block.first[u] : block.last[u]].tolist():
-                                pairs[t, o] = pairs.get((t, o), 0) + 1
+                            own = slice(block.first[u], block.last[u])
+                            for o, n in zip(block.owners[own].tolist(), block.times[own].tolist(), strict=True):
+                                pairs[t, o] = pairs.get((t, o), 0) + n
                     if k != seed or k in block.short_lengths:
                         for i in np.flatnonzero(inside).tolist() if block.short else ():
-                            o = block.short.get(int(g[i]))
-                            if o is not None and len(block.texts[o]) == k:
-                                pairs[int(text[i]), o] = 10**9
+                            for o in block.short.get(int(g[i]), ()):
+                                if len(block.texts[o]) == k:
+                                    pairs[int(text[i]), o] = 10**9
                 for (t, o), n in pairs.items():
                     item = block.texts[o]
                     if len(item) >= seed and n * seed < coverage * len(item):
-                        continue  # n seeds cover n * seed words at most
+                        continue  # n places of shared seeds cover n * seed words at most
                     body = h[bounds[t] : bounds[t + 1]]
                     near = np.isin(body, item)
                     found = tiles(item, body if near.all() else _near(body, near), min(least, len(item)))

@@ -137,6 +137,15 @@ def test_decontamination(spark, docs, none):
     assert decontamination.drop_contaminated(docs, items).columns == docs.columns
 
 
+def test_decontamination_of_repetitive_and_equal_items(spark):
+    refrain, row = "tell me more about it " * 12, "7 " * 30
+    texts = spark.createDataFrame([(1, prose(4, 50) + " " + refrain + prose(5, 50)), (2, row), (3, "he said yes please now"), (4, prose(6, 80))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, refrain), (2, row), (3, "yes please"), (4, "Yes, please!")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["covered"]) for r in decontamination.contaminated(texts, items).collect()}
+    assert got == {(1, 1, 60), (2, 2, 30), (3, 3, 2), (3, 4, 2)}
+    assert {r["doc_id"] for r in decontamination.drop_contaminated(texts, items).collect()} == {4}
+
+
 def test_urls(spark):
     rows = [(1, None), (2, ""), (3, "no scheme/x"), (4, "http://A.Net/x?y#z"), (5, "https://example.net/en/1"), (5, "https://example.net/en/1"), (6, "http://sub.example.com/de/2"), (7, "http://x.org/fr/"), (8, "http://notnet/"), (None, "http://x.org/zz#/q"), (9, "http://net"), (10, "a" * 5000)]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("score", F.lit("clash")).withColumn("rule", F.lit("clash"))
