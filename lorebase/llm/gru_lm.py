@@ -9,8 +9,8 @@ over the classes and one within the class. All other words, known or not, fall i
 and by the first letter outside ASCII; within such a class a word has its smoothed share of the class's counts. So
 every word of any text has a probability, and unknown words share what the smoothing leaves them.
 
-Training. Every training text gives windows of BPTT words, one in STRIDE, to truncated backpropagation; the state is
-carried from one window of a pair into the next. In each of ROUNDS rounds the tasks start from the same weights, run
+Training. Every word of every training text is a target of truncated backpropagation in windows of BPTT words; BATCH
+texts run side by side, with the state carried from each window into the next until the text ends. In each of ROUNDS rounds the tasks start from the same weights, run
 Adam over their texts, and the weights are averaged by words seen, first within and then across groups of tasks.
 
 Scoring. Texts run side by side in windows of STEPS words, with the state carried across the windows until each text
@@ -40,7 +40,7 @@ BANDS, LETTERS = 2, 8
 TAILS = BANDS * LETTERS
 INPUTS = NEURAL + TAILS + 1
 HIDDEN = 24
-BPTT, STRIDE, BATCH = 16, 8, 64
+BPTT, BATCH = 16, 64
 ROUNDS = 3
 RATE = 0.02
 STEPS = 16
@@ -223,7 +223,7 @@ def train_window(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h: np.n
     return {name: -v / n for name, v in g.items()}, h, -float(ln.mean())
 
 
-def _train(shared, seed: int):
+def _train(shared):
     """Adam over the texts of a task; out come its weights in pieces and how many words it saw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,39 +231,53 @@ def _train(shared, seed: int):
         p = {k: x.copy() for k, x in start.items()}
         m = {k: np.zeros_like(x) for k, x in p.items()}
         s = {k: np.zeros_like(x) for k, x in p.items()}
-        seen, steps, pending = 0, 0, []
-
-        def descend(pairs: list[np.ndarray]) -> None:
-            nonlocal seen, steps
-            tokens = np.stack(pairs, axis=1)  # time x texts, one word ahead
-            h = np.zeros((tokens.shape[1], HIDDEN), _F)
-            for k in range(0, 2 * BPTT, BPTT):
-                g, h, _ = train_window(p, tokens[k : k + BPTT], tokens[k + 1 : k + BPTT + 1], h)
-                steps += 1
-                for name, x in g.items():
-                    m[name] += 0.1 * (x - m[name])
-                    s[name] += 0.01 * (x * x - s[name])
-                    p[name] -= RATE / np.sqrt(1 + steps / 200) * (m[name] / (1 - 0.9**steps)) / (np.sqrt(s[name] / (1 - 0.99**steps)) + 1e-5)
-            seen += tokens.size
+        seen, steps = 0, 0
+        texts: list[np.ndarray] = []  # those that run, each with what is left of it
+        h = np.zeros((0, HIDDEN), _F)
+        gathered: dict[str, np.ndarray] = {}
+        size = 0
+
+        def descend() -> None:
+            nonlocal steps, gathered, size
+            steps += 1
+            for name, x in gathered.items():
+                x = x / _F(size)
+                m[name] += 0.1 * (x - m[name])
+                s[name] += 0.01 * (x * x - s[name])
+                p[name] -= RATE / np.sqrt(1 + steps / 200) * (m[name] / (1 - 0.9**steps)) / (np.sqrt(s[name] / (1 - 0.99**steps)) + 1e-5)
+            gathered, size = {}, 0
+
+        def advance() -> None:
+            """One window of all running texts; those that end leave. Weights move once BATCH windows are gathered."""
+            nonlocal seen, size, texts, h
+            tokens = np.full((BPTT + 1, len(texts)), v.end)  # the end sign stands in for what is missing
+            for k, own in enumerate(texts):
+                tokens[: min(len(own), BPTT + 1), k] = own[: BPTT + 1]
+            g, h, _ = train_window(p, tokens[:-1], tokens[1:], h)
+            n = BPTT * len(texts)
+            for name, x in g.items():
+                x *= _F(n)
+                gathered[name] = gathered[name] + x if name in gathered else x
+            seen += n
+            size += n
+            if size >= BATCH * BPTT:
+                descend()
+            live = [k for k, own in enumerate(texts) if len(own) > BPTT + 1]
+            texts, h = [texts[k][BPTT:] for k in live], h[live]
 
         for batch in batches:
             for a, b, w in word_chunks(batch.column(0), lower=True):
                 ids = v.code(w)[0]
                 for row in range(b - a):
                     own = np.concatenate([[INPUTS - 1], ids[w.bounds[row] : w.bounds[row + 1]], [v.end]])
-                    # pairs of windows, one in STRIDE; a text's first pair starts at its beginning or further in
-                    first = (seed + row) % STRIDE * 2 * BPTT
-                    first = first if first + 2 <= len(own) else 0
-                    for k in range(first, len(own) - 1, STRIDE * 2 * BPTT):
-                        piece = own[k : k + 2 * BPTT + 1]
-                        if len(piece) <= 2 * BPTT:  # the end sign stands in for what is missing
-                            piece = np.concatenate([piece, np.full(2 * BPTT + 1 - len(piece), v.end)])
-                        pending.append(piece)
-                        if len(pending) == BATCH:
-                            descend(pending)
-                            pending = []
-        if len(pending) > BATCH // 4 or pending and not seen:
-            descend(pending)
+                    texts.append(own)
+                    h = np.concatenate([h, np.zeros((1, HIDDEN), _F)])
+                    while len(texts) == BATCH:
+                        advance()
+        while texts:
+            advance()
+        if size:
+            descend()
         if seen:
             flat = np.concatenate([p[k].ravel() for k in sorted(p)])
             pieces = range(0, len(flat), 8192)
@@ -290,7 +304,7 @@ def train(texts: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
     schema = "piece int, seen double, weights binary"
     for k in range(ROUNDS):
         mine = texts.where(F.pmod("key", F.lit(ROUNDS)) == k).select("text")
-        got = mine.mapInArrow(_train(spark.sparkContext.broadcast((v, p)), k), schema).withColumn("group", F.pmod(F.spark_partition_id(), F.lit(64)))
+        got = mine.mapInArrow(_train(spark.sparkContext.broadcast((v, p))), schema).withColumn("group", F.pmod(F.spark_partition_id(), F.lit(64)))
         got = got.groupBy("piece", "group").applyInPandas(_average, schema).groupBy("piece").applyInPandas(_average, schema)
         rows = sorted((r["piece"], r["weights"]) for r in got.collect())  # one set of weights
         if rows:

@@ -1,7 +1,10 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, extra columns with clashing names: every operator."""
 
 import random
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +122,29 @@ def test_lm(docs, none):
     assert len(only) == docs.count() and all(r["score"] == 0 and r["n_known"] == 0 for r in only)
 
 
+def test_lm_trains_on_every_word(monkeypatch):
+    texts = [" ".join(f"w{j}" for j in range(i, i + n)) for i, n in ((0, 700), (700, 1), (701, 16), (717, 40), (757, 33))]
+    column = pa.array(texts)
+    h, letter, c = (np.concatenate(x) for x in zip(*[[col.to_numpy() for col in b.columns] for b in gru_lm._count(iter([pa.RecordBatch.from_arrays([column], ["text"])]))], strict=True))
+    v = gru_lm.Vocabulary(h, letter.astype(int), c, np.zeros(gru_lm.LETTERS))
+    targets, plain = [], gru_lm.train_window
+
+    def watched(p, x, y, h):
+        assert (y[:-1] == x[1:]).all()
+        targets.extend(y.ravel().tolist())
+        return plain(p, x, y, h)
+
+    monkeypatch.setattr(gru_lm, "train_window", watched)
+    p = gru_lm.initial(v)
+    for some in ([0, 1, 2, 3, 4], [1] * 70):  # the last few of a task teach as well
+        targets.clear()
+        rows = pa.RecordBatch.from_arrays([column.take(pa.array(some))], ["text"])
+        (out,) = gru_lm._train(SimpleNamespace(value=(v, p)))(iter([rows]))
+        want = sorted(x for _, _, w in gru_lm.word_chunks(rows.column(0), lower=True) for x in v.code(w)[0].tolist())
+        assert sorted(x for x in targets if x != v.end) == want and targets.count(v.end) >= len(some)
+        assert out.column(1)[0].as_py() == len(targets)
+
+
 def test_quality(spark, docs, none):
     trusted = spark.createDataFrame([(6,), (6,), (8,), (None,)], "doc_id long")
     got = {r["doc_id"]: r for r in quality_lm.quality(docs, trusted).collect() if r["doc_id"] is not None}
