@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,9 +21,11 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD6E8FEB86659FD93
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_STEP = 0x9E3779B97F4A7C15
+_WORD_SEED = 0xD6E8FEB86659FD93
+#: Words of more bytes are hashed one by one.
+_LONG_WORD = 256
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,18 +72,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n at least."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        both = []
-        for b in (base, pow(base, -1, 2**64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        have = _POWERS[base] = (both[0], both[1])
-    return have
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two, in this order."""
+    return mix(mix(a + np.uint64(_STEP)) * np.uint64(_WORD_SEED) + b)
 
 
 class Words:
@@ -99,22 +93,50 @@ class Words:
         self.starts = np.flatnonzero(first)
         self.ends = np.flatnonzero(last) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
-        self._prefix = None
+        self._hashes: np.ndarray | None = None
+        self._levels: list[np.ndarray] = []
 
     @property
     def hashes(self) -> np.ndarray:
-        p, inverse = powers(_BYTE_BASE, len(self.data))
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * p[: len(self.data)], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * inverse[self.starts])
+        """64-bit hashes of the words: eight bytes a step, each step through the finaliser."""
+        if self._hashes is None:
+            lengths = self.ends - self.starts
+            padded = np.zeros(len(self.data) + 8, np.uint8)
+            padded[: len(self.data)] = self.data
+            eight = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
+            h = mix(lengths.astype(np.uint64) + np.uint64(_WORD_SEED))
+            usual = lengths <= _LONG_WORD
+            live, step = np.flatnonzero(usual), 0
+            while len(live):
+                left = lengths[live] - step
+                x = eight[self.starts[live] + step] & _LOW_BYTES[np.minimum(left, 8)]
+                h[live] = mix(h[live] * np.uint64(_STEP) + x)
+                live, step = live[left > 8], step + 8
+            for i in np.flatnonzero(~usual).tolist():
+                h[i] = int.from_bytes(hashlib.blake2b(self.data[self.starts[i] : self.ends[i]].tobytes(), digest_size=8).digest(), "little")
+            self._hashes = h
+        return self._hashes
+
+    def _runs(self, level: int) -> np.ndarray:
+        """Hashes of the 2**level words from each word on, the halves mixed in their order."""
+        while len(self._levels) <= level:
+            if not self._levels:
+                self._levels.append(self.hashes)
+                continue
+            half, width = self._levels[-1], 1 << (len(self._levels) - 1)
+            self._levels.append(pair(half[: max(0, len(half) - width)], half[width:]))
+        return self._levels[level]
 
     def spans(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Hashes of the word sequences [i, j)."""
-        if self._prefix is None:
-            h = self.hashes
-            self._prefix = np.zeros(len(h) + 1, np.uint64)
-            np.cumsum(h * powers(_WORD_BASE, len(h))[0][: len(h)], out=self._prefix[1:])
-        return mix((self._prefix[j] - self._prefix[i]) * powers(_WORD_BASE, len(self._prefix))[1][i])
+        """Hashes of the word sequences [i, j): of the longest power of two of words at each end, and their number."""
+        n = j - i
+        out = np.zeros(len(n), np.uint64)
+        levels = np.frexp(n.astype(float))[1] - 1
+        for level in np.unique(levels[n > 0]).tolist():
+            k = np.flatnonzero((levels == level) & (n > 0))
+            runs = self._runs(level)
+            out[k] = mix(pair(runs[i[k]], runs[j[k] - (1 << level)]) + n[k].astype(np.uint64))
+        return out
 
     def starts_of(self, k: int) -> np.ndarray:
         """Indices of the words at which k words of one text begin."""
@@ -139,23 +161,58 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8), np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
 
 
-def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from row, to row, bytes, offsets) of runs of whole texts of about limit bytes."""
+def text_chunks(column: pa.Array, limit: int = 1 << 20, rows: int = 1 << 12) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from row, to row, bytes, offsets) of runs of whole texts of about limit bytes, of so many rows at most."""
     if not len(column):
         return
     data, offsets = string_buffers(column)
     a = 0
     while a < len(column):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
+        b = max(a + 1, min(a + rows, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1))
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1]
         a = b
 
 
-def word_chunks(column: pa.Array, lower: bool = False, limit: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
-    for a, b, data, offsets in text_chunks(column, limit):
+def word_chunks(column: pa.Array, lower: bool = False, limit: int = 1 << 20, rows: int = 1 << 12) -> Iterator[tuple[int, int, Words]]:
+    for a, b, data, offsets in text_chunks(column, limit, rows):
         yield a, b, Words(data, offsets, lower)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of rows that come sorted by the keys, each with the places where its groups begin and its end."""
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        if not len(t):
+            continue
+        starts = _group_starts(t, keys)
+        if len(starts) > 1:
+            yield t.slice(0, int(starts[-1])).combine_chunks(), starts
+        rest = t.slice(int(starts[-1]))
+    if rest is not None and len(rest):
+        yield rest.combine_chunks(), np.append(_group_starts(rest, keys), len(rest))
+
+
+def _group_starts(t: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(len(t), bool)
+    new[0] = True
+    for k in keys:
+        x = t.column(k).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def own_columns(docs: DataFrame, made: list[str]) -> list[str]:
+    """The columns of docs but those named as what an operator makes: its columns take their place."""
+    taken = {c.lower() for c in made}
+    return [c for c in docs.columns if c.lower() not in taken]
+
+
+def quoted(names: list[str]) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
 def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and the length of each list."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values, kind))

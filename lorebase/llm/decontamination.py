@@ -6,8 +6,8 @@ running Karp-Rabin over shrinking lengths, is marked in both texts, again and ag
 is left. The share of the item's words that tiles cover decides, so passages are caught wherever they stand and in
 whatever order their parts come.
 
-The benchmark is read by every task in blocks of about BLOCK_ITEMS items (a stated set against all rows), so a
-broadcast is bounded by BLOCK_ITEMS times the item length. Hot seeds cost nothing extra, as no seed is ever the key
+The benchmark is read by every task in blocks of about BLOCK_ITEMS items and BLOCK_BYTES bytes (a stated set against
+all rows), which bounds a broadcast. Hot seeds cost nothing extra, as no seed is ever the key
 of a shuffle.
 
 Null or blank texts and items meet nothing; items with fewer than SEED words are matched as a whole by a seed of
@@ -24,13 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import mix, powers, word_chunks
+from lorebase.llm.common import broadcast_if_small, cut, mix, quoted, word_chunks
 
 SEED = 4
 MIN_TILE = 4
 COVERAGE = 0.5
 BLOCK_ITEMS = 20_000
+#: Bytes of items in a block, about.
+BLOCK_BYTES = 32 << 20
+#: Below so many ids to drop they are broadcast (8 bytes each), else the texts are shuffled.
+BROADCAST_IDS = 500_000
 _BASE = 0xC2B2AE3D27D4EB4F
+_POWERS: list[np.ndarray] = []
 _NOT_WORD = re.compile(r"[\W_]+")
 
 
@@ -45,11 +50,23 @@ def word_hash(x: str) -> int:
     return h
 
 
+def powers(n: int) -> list[np.ndarray]:
+    """_BASE**i and _BASE**-i modulo 2**64 for i up to n at least."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        both = []
+        for b in (_BASE, pow(_BASE, -1, 2**64)):
+            p = np.full(max(n + 1, 1 << 16), b, np.uint64)
+            p[0] = 1
+            both.append(np.multiply.accumulate(p))
+        _POWERS[:] = both
+    return _POWERS
+
+
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """Karp-Rabin hashes of k consecutive word hashes."""
     if len(h) < k:
         return np.zeros(0, np.uint64)
-    p, inverse = powers(_BASE, len(h))
+    p, inverse = powers(len(h))
     total = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * p[: len(h)], out=total[1:])
     return mix((total[k:] - total[:-k]) * inverse[: len(h) - k + 1])
@@ -66,6 +83,12 @@ def _run(free: np.ndarray) -> int:
     return int(np.diff(np.flatnonzero(np.concatenate([[True], ~free, [True]]))).max()) - 1
 
 
+def _common(item: np.ndarray, text: np.ndarray, free_i: np.ndarray, free_t: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes that free windows of k words of both have, windows of the item, windows of the text)."""
+    hi, ht = windows(item, k), windows(text, k)
+    return np.intersect1d(hi[_all(free_i, k)], ht[_all(free_t, k)]), hi, ht
+
+
 def tiles(item: np.ndarray, text: np.ndarray, least: int = MIN_TILE) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (item start, text start, length), longest first, ties to the earliest in the item."""
     out = []
@@ -75,13 +98,19 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = MIN_TILE) -> list[tup
         k = min(k, _run(free_i), _run(free_t))
         if k < least:
             break
-        hi, ht = windows(item, k), windows(text, k)
-        ok_i, ok_t = _all(free_i, k), _all(free_t, k)
-        common = np.intersect1d(hi[ok_i], ht[ok_t])
+        common, hi, ht = _common(item, text, free_i, free_t, k)
         if not len(common):
-            # the next length at which anything can match
-            k -= 1
+            # the longest match is shorter: whoever has one of k words has one of k - 1
+            low, high = least - 1, k - 1
+            while low < high:
+                middle = (low + high + 1) // 2
+                if len(_common(item, text, free_i, free_t, middle)[0]):
+                    low = middle
+                else:
+                    high = middle - 1
+            k = low
             continue
+        ok_i, ok_t = _all(free_i, k), _all(free_t, k)
         where: dict[int, list[int]] = {}
         for t in np.flatnonzero(ok_t & np.isin(ht, common)).tolist():
             where.setdefault(int(ht[t]), []).append(t)
@@ -202,8 +231,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    total = items.count()
-    parts = max(1, -(-total // block))
+    total, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, -(-total // block), -(-size // BLOCK_BYTES))
     schema = "doc_id long, item_id long, covered int, item_words int, tiles int, longest int"
     out = None
     for k in range(parts):
@@ -216,5 +245,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of docs that reach the threshold with no item."""
-    ids = contaminated(docs, benchmark, coverage).select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    ids = cut(contaminated(docs, benchmark, coverage).select("doc_id").where("doc_id is not null").distinct(), "contaminated")
+    return docs.join(broadcast_if_small(ids, ids.count(), BROADCAST_IDS), "doc_id", "left_anti").select(*quoted(docs.columns))

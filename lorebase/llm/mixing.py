@@ -9,8 +9,8 @@ rounding is then set so that the source's words meet its target to within about
 
 Sources are ordered by code point, null last, and weigh 5, 2, 1, repeating. Targets stop at `cap` times the source's
 size and the excess goes to the others by weight. Null texts have size 0 and are never taken. Empty input gives no
-rows. Repeated rows share their hash; rows that are equal in id and text get the same number of copies. Extra
-columns pass through.
+rows. Repeated rows share their hash; rows that are equal in id and text get the same number of copies. Columns of
+docs with the name of one of the five made here are replaced; all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import WORD, cut
+from lorebase.llm.common import WORD, cut, own_columns, quoted
 
 WEIGHTS = (5.0, 2.0, 1.0)
 STEPS = 30
 #: Newton steps between two written tables.
 STRIDE = 5
 BINS = 4096
+MADE = ("__size", "__source_size", "__target", "__rate", "__copies")
 
 
 def word_count(text: str) -> Column:
@@ -90,8 +91,11 @@ def _uniform(key: Column, digest: Column, seed: int) -> Column:
 
 def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[float, ...] = WEIGHTS, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", seed: int = 8) -> DataFrame:
     """All rows and columns of docs with __size, __source_size, __target, __rate and __copies."""
-    sized = docs.withColumn("__size", word_count(text_col))
-    groups = cut(sized.groupBy(F.col(source_col).alias("source"), F.col("__size").alias("size")).agg(F.count("*").alias("n")), "sizes")
+    kept = quoted(own_columns(docs, MADE))
+    # one row a document without its text: the words are counted once for all that follows but the result
+    key, digest = F.col(id_col), F.xxhash64(F.col(text_col))
+    sized = cut(docs.select(F.col(source_col).alias("source"), key.alias("id"), digest.alias("digest"), word_count(text_col).alias("size")), "sized")
+    groups = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
     per_source = groups.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     goal = cut(targets(per_source, share, cap, weights), "targets")
     dual = balance(groups, goal, float(cap))
@@ -100,8 +104,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tupl
     u = _uniform(F.col("id"), F.col("digest"), seed)
     rate = F.when(F.col("target") >= cap * F.col("source_size"), F.lit(float(cap))).otherwise(F.coalesce(_rate("z", "lam", float(cap)), F.lit(0.0)))
     slim = (
-        sized.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col("__size").alias("size"))
-        .alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source"))
+        sized.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source"))
         .withColumn("z", F.sqrt(F.col("size") / F.col("mean")))
         .select("d.*", "p.target", "p.source_size", rate.alias("rate"), u.alias("u"))
     )
@@ -119,12 +122,16 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tupl
     ends = fine.withColumn("total", total).select("source", "target", F.explode(F.array(F.struct("fine", "total"), F.struct((F.col("fine") - 1).alias("fine"), (F.col("total") - F.col("words")).alias("total")))).alias("x"))
     best = ends.groupBy("source").agg(F.min_by("x.fine", F.struct(F.abs(F.col("x.total") - F.col("target")), "x.fine")).alias("fine"))
     plan = cut(plan.alias("p").join(best.alias("f"), F.expr("p.source <=> f.source"), "left").select("p.*", "f.fine"), "offsets")
-    step = F.col("__rate") + _uniform(F.col(id_col), F.xxhash64(text_col), seed)
+    step = F.col("rate") + _uniform(F.col("id"), F.col("digest"), seed)
     taken = F.expr("0")
     for k in range(1, int(cap) + 1):
-        taken = taken + (F.floor((k - step + 2) * BINS * BINS * 16) <= F.col("__fine")).cast("int")
-    out = sized.alias("d").join(plan.alias("p"), F.expr(f"d.`{source_col}` <=> p.source"))
-    out = out.withColumn("z", F.sqrt(F.col("__size") / F.col("p.mean")))
-    out = out.select("d.*", F.col("p.source_size").alias("__source_size"), F.col("p.target").alias("__target"), rate.alias("__rate"), F.col("p.fine").alias("__fine"))
-    copies = F.when(F.col("__size") == 0, 0).when(F.col("__rate") >= cap, int(cap)).otherwise(F.coalesce(taken, F.lit(0)))
-    return out.withColumn("__copies", copies.cast("int")).drop("__fine")
+        taken = taken + (F.floor((k - step + 2) * BINS * BINS * 16) <= F.col("fine")).cast("int")
+    copies = F.when(F.col("size") == 0, 0).when(F.col("rate") >= cap, int(cap)).otherwise(F.coalesce(taken, F.lit(0)))
+    rows = docs.select(F.struct(*kept).alias("row"), F.col(source_col).alias("source"), key.alias("id"), digest.alias("digest"), word_count(text_col).alias("size"))
+    out = (
+        rows.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source"))
+        .withColumn("z", F.sqrt(F.col("size") / F.col("mean")))
+        .select("d.*", "p.source_size", "p.target", rate.alias("rate"), "p.fine")
+    )
+    made = [F.col("size"), F.col("source_size"), F.col("target"), F.col("rate"), copies.cast("int")]
+    return out.select("row.*", *[c.alias(name) for c, name in zip(made, MADE, strict=True)])

@@ -4,11 +4,13 @@ Every text becomes the set of its five-word shingles. Equal sets collapse into o
 representatives' MinHash bands give buckets; within a bucket the odd sketches (MinHash samples of 1024 bins,
 folded into a parity bitmap of 2048 bits) estimate similarities from XOR population counts, and only pairs whose
 estimate may reach the threshold go on. These are confirmed on the full sets. First a spanning forest of each
-bucket is confirmed; then, with what that has joined, every estimated pair that still lies between two
-components. So no group is expanded into all its pairs, and no confirmed link between components is left out.
+bucket is confirmed. Where that leaves a bucket with members of several components whose estimates may still
+reach the threshold, their full sets are brought together, in parts of bounded rows and bytes, and counted against
+each other exactly; a part gives only the links that join components. So no step makes more rows than its buckets
+have members, and no confirmed link between components is left out.
 
 Nulls and ties: a null or blank text has an empty set and is linked with nothing. Rows with a null id take no
-part and come back with a null component. Repeated ids share one node. Extra columns are ignored.
+part and come back with a null component. Rows that repeat an id are one document: they share a node, and stay or go together. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,12 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import broadcast_if_small, connected_components, cut, lists, mix, word_chunks
+from lorebase.llm.common import broadcast_if_small, connected_components, cut, lists, mix, quoted, whole_groups, word_chunks
 
 SHINGLE = 5
 BANDS, ROWS = 20, 5
 BINS, BITS = 1024, 2048
+#: Members of a bucket that are compared in one group.
 BLOCK = 4096
+#: Groups up to so many members are compared all at once, others member by member.
+SMALL = 16
+#: Rows and bytes of full sets that are counted against each other in one group are twice these at most.
+PART_ROWS, PART_BYTES = 1024, 8 << 20
+#: Columns of the incidence matrix at a time.
+SLICE = 2048
 #: Below so many ids, the texts to confirm are picked by a broadcast of the ids (8 bytes each), else by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -38,7 +47,7 @@ _FEATURES = "doc_id long, n long, set_key binary, bands array<long>, sketch bina
 
 def _sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     """Sorted distinct shingle hashes of each text, run by run."""
-    for a, b, w in word_chunks(column, lower=True):
+    for a, b, w in word_chunks(column, lower=True, rows=512):
         counts = np.diff(w.bounds)
         at = w.starts_of(shingle)
         h = w.spans(at, at + shingle)
@@ -108,56 +117,120 @@ def estimate(pop: np.ndarray, n: np.ndarray, m: np.ndarray, occ_n: np.ndarray, o
     return j, np.sqrt(sampling + folding)
 
 
-def _edges(threshold: float, forest: bool):
-    """Pairs of a bucket whose estimate may reach the threshold: a maximum spanning forest, or all between components."""
+def _forest(x: np.ndarray, y: np.ndarray, j: np.ndarray) -> list[int]:
+    """Places of the pairs that make a maximum spanning forest."""
+    root: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while root.get(v, v) != v:
+            root[v] = root.get(root[v], root[v])
+            v = root[v]
+        return v
+
+    chosen = []
+    for e in np.argsort(-j, kind="stable").tolist():
+        s, t = top(int(x[e])), top(int(y[e]))
+        if s != t:
+            root[s] = t
+            chosen.append(e)
+    return chosen
+
+
+class Members:
+    """Representatives of a run of buckets, and which of them may be near duplicates by their sketches."""
+
+    def __init__(self, table: pa.Table, threshold: float):
+        self.ids, self.n, self.occupied = (table.column(c).to_numpy() for c in ("doc_id", "n", "occupied"))
+        self.words = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(self.ids), BITS // 64)
+        self.group = table.column("component").to_numpy() if "component" in table.column_names else self.ids
+        self.side = table.column("side").to_numpy() if "side" in table.column_names else None
+        self.threshold = threshold
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimates of the pairs (x, y) and whether they may reach the threshold."""
+        n, m = self.n[x].astype(float), self.n[y].astype(float)
+        ok = (np.minimum(n, m) >= self.threshold * np.maximum(n, m) - 1e-9) & (self.group[x] != self.group[y])
+        if self.side is not None:
+            ok &= self.side[x] != self.side[y]
+        j = np.zeros(len(ok))
+        k = np.flatnonzero(ok)
+        if len(k):
+            x, y = (np.broadcast_to(v, ok.shape)[k] for v in (x, y))
+            pop = np.bitwise_count(self.words[x] ^ self.words[y]).sum(axis=1, dtype=np.int64)
+            j[k], sd = estimate(pop, n[k] if len(n) == len(ok) else np.full(len(k), n[0]), m[k], self.occupied[x], self.occupied[y], self.threshold)
+            ok[k] = j[k] >= self.threshold - 4.5 * sd - 0.004
+        return j, ok
+
+    def small_pairs(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs within the groups of SMALL members at most; the groups begin at starts, the last entry is the end."""
+        sizes = np.diff(starts)
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
+            i, j = np.triu_indices(s, 1)
+            base = starts[:-1][sizes == s][:, None]
+            xs.append((base + i).ravel())
+            ys.append((base + j).ravel())
+        return np.concatenate(xs), np.concatenate(ys)
+
+
+def _edges(threshold: float):
+    """A maximum spanning forest of each bucket's pairs whose estimate may reach the threshold: fewer rows than members."""
+
+    def grown(m: Members, a: int, b: int) -> Iterator[tuple[int, int]]:
+        # Prim's algorithm: one member against all others a step, so that no pair is kept
+        best = np.full(b - a, -np.inf)
+        via = np.zeros(b - a, np.int64)
+        left = np.ones(b - a, bool)
+        others = np.arange(a, b)
+        for _ in range(b - a):
+            at = int(np.argmax(np.where(left, best, -np.inf)))
+            if best[at] == -np.inf or not left[at]:
+                at = int(np.argmax(left))
+            else:
+                yield int(via[at]), a + at
+            left[at] = False
+            j, ok = m.near(np.array([a + at]), others)
+            better = ok & left & (j > best)
+            best[better], via[better] = j[better], a + at
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out_a, out_b = [], []
-            for members in frame.itertuples(index=False):
-                ids = np.asarray(members.ids, np.int64)
-                n, occ = np.asarray(members.n, float), np.asarray(members.occupied, float)
-                block = np.asarray(members.block)
-                group = ids if forest else np.asarray(members.components, np.int64)
-                words = np.frombuffer(b"".join(members.sketches), np.uint64).reshape(len(ids), BITS // 64)
-                found = []
-                step = max(1, (1 << 19) // len(ids))
-                for i in range(0, len(ids), step):
-                    k = slice(i, min(i + step, len(ids)))
-                    fits = (np.minimum(n[k, None], n) >= threshold * np.maximum(n[k, None], n) - 1e-9) & (ids[k, None] < ids) & (group[k, None] != group)
-                    if members.p != members.r:
-                        fits &= block[k, None] != block
-                    x, y = np.nonzero(fits)
-                    if not len(x):
-                        continue
-                    pop = np.bitwise_count(words[i + x] ^ words[y]).sum(axis=1, dtype=np.int64)
-                    j, sd = estimate(pop, n[i + x], n[y], occ[i + x], occ[y], threshold)
-                    ok = j >= threshold - 4.5 * sd - 0.004
-                    found.append((i + x[ok], y[ok], j[ok]))
-                if not found:
-                    continue
-                x, y, j = (np.concatenate(c) for c in zip(*found, strict=True))
-                if forest and len(x) > 1:
-                    order = np.argsort(-j, kind="stable")
-                    root = list(range(len(ids)))
-
-                    def top(v: int, root: list[int] = root) -> int:
-                        while root[v] != v:
-                            root[v] = root[root[v]]
-                            v = root[v]
-                        return v
-
-                    chosen = []
-                    for e in order.tolist():
-                        s, t = top(x[e]), top(y[e])
-                        if s != t:
-                            root[s] = t
-                            chosen.append(e)
-                    x, y = x[chosen], y[chosen]
-                out_a.append(ids[x])
-                out_b.append(ids[y])
-            if out_a:
-                yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, ["key", "block"]):
+            m = Members(table, threshold)
+            x, y = m.small_pairs(starts)
+            j, ok = m.near(x, y)
+            x, y, j = x[ok], y[ok], j[ok]
+            chosen = _forest(x, y, j)
+            out = [(x[chosen], y[chosen])]
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if b - a > SMALL:
+                    pairs = np.array(list(grown(m, int(a), int(b))), np.int64).reshape(-1, 2)
+                    out.append((pairs[:, 0], pairs[:, 1]))
+            x, y = (np.concatenate(c) for c in zip(*out, strict=True))
+            if len(x):
+                a, b = m.ids[x], m.ids[y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
+def _unsettled(threshold: float):
+    """Members of a bucket with an estimate that may reach the threshold to another component: a row a member at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, ["key", "p", "r"]):
+            m = Members(table, threshold)
+            wanted = np.zeros(len(m.ids), bool)
+            x, y = m.small_pairs(starts)
+            _, ok = m.near(x, y)
+            wanted[x[ok]] = wanted[y[ok]] = True
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                step = max(1, (1 << 15) // int(b - a))
+                for i in range(a, b, step) if b - a > SMALL else ():
+                    x, y = np.divmod(np.arange((min(i + step, b) - i) * (b - a)), b - a)
+                    _, ok = m.near(x + i, y + a)
+                    wanted[x[ok] + i] = wanted[y[ok] + a] = True
+            if wanted.any():
+                yield table.select(["key", "p", "r", "side", "doc_id", "component", "n"]).filter(pa.array(wanted)).combine_chunks().to_batches()[0]
 
     return run
 
@@ -184,6 +257,54 @@ def _confirm(percent: int):
     return run
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets: products of slices of the incidence matrix."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times > 1
+    column, owner = (np.cumsum(often) - 1)[column[often[column]]], owner[often[column]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for c in range(0, int(often.sum()), SLICE):
+        own = slice(*np.searchsorted(column, [c, c + SLICE]))
+        x = np.zeros((len(sets), SLICE), np.float32)
+        x[owner[own], column[own] - c] = 1
+        common += x @ x.T
+    return common
+
+
+def _settle(percent: int):
+    """Of one part of a bucket, confirmed on the full sets: links that join its components, fewer than members."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, group, side = (frame[c].to_numpy() for c in ("doc_id", "component", "side"))
+        sets = [np.frombuffer(s, np.uint64) for s in frame["shingles"]]
+        n = np.array([len(s) for s in sets], np.float32)
+        common = common_counts(sets)
+        linked = 100 * common >= percent * (n[:, None] + n - common)
+        linked &= group[:, None] != group
+        if (side != side[0]).any():
+            linked &= side[:, None] != side
+        left = np.ones(len(ids), bool)
+        a: list[int] = []
+        b: list[int] = []
+        while left.any():
+            wave = np.array([int(np.argmax(left))])
+            left[wave] = False
+            while len(wave):
+                reach = linked[wave] & left
+                found = np.flatnonzero(reach.any(axis=0))
+                a += ids[wave[reach[:, found].argmax(axis=0)]].tolist() if len(found) else []
+                b += ids[found].tolist()
+                left[found] = False
+                wave = found
+        out = np.sort(np.array([a, b], np.int64), axis=0)
+        return pd.DataFrame({"a": out[0], "b": out[1]})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, links) of every row.
 
@@ -194,54 +315,53 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
     t = percent / 100
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     feat = cut(source.mapInArrow(_features(shingle), _FEATURES), "features")
-    valid = feat.where("n > 0 and doc_id is not null")
-    reps = valid.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    picked = valid.join(reps, ["set_key"]).where("doc_id = rep").select("doc_id", "n", "occupied", "sketch", "bands").dropDuplicates(["doc_id", "sketch"])
+    reps = feat.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
+    picked = feat.join(reps, ["set_key", "doc_id"]).select("doc_id", "n", "occupied", "sketch", "bands").dropDuplicates(["doc_id", "sketch"])
     picked = cut(picked, "representatives")
+    features = picked.select("doc_id", "n", "occupied", "sketch")
     banded = picked.select("doc_id", F.explode("bands").alias("key"))
     common = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    placed = (
-        banded.join(common, "key")
-        .withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
-        .withColumn("block", F.expr("cast(pmod(xxhash64(doc_id, 3), parts) as int)"))
-        .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        .select("key", "doc_id", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("r"))
-        .join(picked.select("doc_id", "n", "occupied", "sketch"), "doc_id")
-    )
-    buckets = cut(
-        placed.groupBy("key", "p", "r")
-        .agg(F.collect_list(F.struct("doc_id", "n", "occupied", "sketch", "block")).alias("m"))
-        .where(F.size("m") > 1)
-        .select("p", "r", F.col("m.doc_id").alias("ids"), F.col("m.n").alias("n"), F.col("m.occupied").alias("occupied"), F.col("m.sketch").alias("sketches"), F.col("m.block").alias("block")),
-        "buckets",
-    )
+    parts, own = F.ceil(F.col("m") / BLOCK).cast("int"), F.expr("cast(pmod(xxhash64(doc_id, 3), parts) as int)")
+    placed = cut(banded.join(common, "key").withColumn("parts", parts).withColumn("block", own), "placed")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        ids = cut(ids.distinct(), "ids")
+        return cut(source.join(broadcast_if_small(ids, ids.count(), BROADCAST_IDS), "doc_id", "left_semi").mapInArrow(_shingle_sets(shingle), "id long, shingles binary"), "sets")
+
+    # a forest of each block, in which some of the bucket stand in all its blocks
+    hub = F.expr(f"parts > 1 and pmod(xxhash64(doc_id, 5), parts * {BLOCK // 16}) = 0")
+    blocks = placed.select("key", "doc_id", F.explode(F.when(hub, F.expr("sequence(0, parts - 1)")).otherwise(F.array("block"))).alias("block")).join(features, "doc_id")
+    estimated = blocks.repartition("key", "block").sortWithinPartitions("key", "block").select("key", "block", "doc_id", "n", "occupied", "sketch")
+    pairs = cut(estimated.mapInArrow(_edges(t), "a long, b long").distinct(), "pairs")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    first = cut(both.mapInPandas(_confirm(percent), "a long, b long").distinct(), "links")
+    joined = cut(connected_components(first), "joined")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.distinct(), "pairs")
-        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        count = ids.count()
-        sets = source.join(broadcast_if_small(ids, count, BROADCAST_IDS), "doc_id", "left_semi").mapInArrow(_shingle_sets(shingle), "id long, shingles binary")
-        sets = cut(sets, "sets")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-        return cut(both.mapInPandas(_confirm(percent), "a long, b long").distinct(), "links")
-
-    first = confirmed(buckets.mapInPandas(_edges(t, True), "a long, b long"))
-    joined = connected_components(first)
     # what is still apart: buckets of three or more with more than one component
-    apart = (
-        buckets.where(F.size("ids") > 2)
-        .withColumn("bucket", F.xxhash64("ids", "p", "r"))
-        .select("bucket", "p", "r", F.posexplode(F.arrays_zip("ids", "n", "occupied", "sketches", "block")).alias("pos", "x"))
-        .select("bucket", "p", "r", "x.*")
-        .join(joined.select(F.col("node").alias("ids"), "component"), "ids", "left")
-        .withColumn("component", F.coalesce("component", "ids"))
-        .dropDuplicates(["bucket", "p", "r", "ids", "sketches"])
-        .groupBy("bucket", "p", "r")
-        .agg(F.collect_list(F.struct("ids", "n", "occupied", "sketches", "block", "component")).alias("m"))
-        .select("p", "r", F.col("m.ids").alias("ids"), F.col("m.n").alias("n"), F.col("m.occupied").alias("occupied"), F.col("m.sketches").alias("sketches"), F.col("m.block").alias("block"), F.col("m.component").alias("components"))
-        .where(F.size(F.array_distinct("components")) > 1)
+    state = placed.join(joined.withColumnsRenamed({"node": "doc_id"}), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    apart = state.where("m > 2").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    other = F.explode(F.expr("sequence(0, parts - 1)")).alias("other")
+    again = (
+        state.join(apart, "key")
+        .select("key", "doc_id", "component", "block", other)
+        .select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("r"), "doc_id", "component", "block")
+        .withColumn("side", F.expr("if(p = r, doc_id, cast(block as long))"))
+        .join(features, "doc_id")
+        .repartition("key", "p", "r").sortWithinPartitions("key", "p", "r")
+        .select("key", "p", "r", "side", "doc_id", "component", "n", "occupied", "sketch")
     )
-    second = confirmed(apart.mapInPandas(_edges(t, False), "a long, b long"))
+    open_ = cut(again.mapInArrow(_unsettled(t), "key long, p int, r int, side long, doc_id long, component long, n long"), "unsettled")
+    size = open_.groupBy("key", "p", "r").agg(F.ceil(F.greatest(F.count("*") / PART_ROWS, F.sum("n") * 8 / PART_BYTES)).cast("int").alias("cuts"))
+    dealt = (
+        open_.join(size, ["key", "p", "r"])
+        .withColumn("s", F.expr("cast(pmod(xxhash64(doc_id, 11), cuts) as int)"))
+        .withColumn("o", F.explode(F.expr("sequence(0, cuts - 1)")))
+        .select("key", "p", "r", F.least("s", "o").alias("s"), F.greatest("s", "o").alias("o"), F.expr("if(p = r and s <> o, cast(s as long), side)").alias("side"), "doc_id", "component")
+    )
+    full = dealt.join(sets_of(open_.select("doc_id")).withColumnRenamed("id", "doc_id"), "doc_id")
+    second = cut(full.groupBy("key", "p", "r", "s", "o").applyInPandas(_settle(percent), "a long, b long").distinct(), "links")
+
     links = first.unionByName(second).distinct()
     moved = second.join(joined.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(joined.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
     merged = connected_components(moved.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
@@ -253,7 +373,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
         .select("rep", F.coalesce("c2", "c1").alias("component"))
         .join(links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links")), "rep", "left")
     )
-    to_rep = reps.join(of_rep, "rep").select("set_key", "component", "links")
+    to_rep = reps.withColumnRenamed("doc_id", "rep").join(of_rep, "rep").select("set_key", "component", "links")
     return feat.select("doc_id", "n", "set_key").join(to_rep, "set_key", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -263,6 +383,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
 
 
 def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of docs that are the smallest of their component; all columns, repeated ids once each."""
-    gone = near_duplicates(docs, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that are the smallest of their component, and rows with a null id; all columns."""
+    gone = cut(near_duplicates(docs, percent).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return docs.join(broadcast_if_small(gone, gone.count(), BROADCAST_IDS), "doc_id", "left_anti").select(*quoted(docs.columns))

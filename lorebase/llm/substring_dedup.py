@@ -7,6 +7,7 @@ too. The steps, all Spark jobs:
    the window's words alone. The windows of a text with the same anchor form one passage of 35 to 54 words.
    Only anchors that occur at least twice can hold a repeated window; the others end here, after a count. Equal
    passages (same anchor, same 64-bit hash of all words) are settled once, with their number.
+   A passage with a great share of all occurrences is dealt in parts when the findings go back.
 2. Confirm. Different passages are dealt by anchor. A task takes whole anchor groups, some thousand passages at a
    time, numbers their words exactly and counts the windows as word sequences.
 3. Automata. Of each such shard the recurring passages are compiled into an Aho-Corasick automaton (pyahocorasick,
@@ -16,7 +17,8 @@ too. The steps, all Spark jobs:
 An anchor with very many different passages (above `hot`) would crowd one task; its windows are counted by a join on
 their words instead, with the same result. Nothing is dropped.
 
-Null or blank texts have no words. Null and repeated ids: each row is handled alone. Extra columns pass through.
+Null or blank texts have no words. Null and repeated ids: each row is handled alone. Columns of docs with the name of
+one of the four made here are replaced; all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lorebase.llm.common import Words, cut, word_chunks
+from lorebase.llm.common import Words, cut, own_columns, quoted, word_chunks
 
 WINDOW = 35
 #: Words hashed for an anchor.
@@ -42,18 +45,23 @@ GRAM = 16
 HOT = 20_000
 #: Passages that share one automaton, besides the last whole anchor group.
 SHARD = 4000
-_LOW = np.uint64((1 << 24) - 1)
+#: Passages with more than this share of all occurrences are dealt in parts (so there are fewer than 1 / SHARE).
+SHARE = 1 / 500
+MADE = ("__n_words", "__n_removed", "__kept_sha256", "__kept_text")
 
 
-def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of x[i : i + width] for each i."""
-    have, m = 1, x
+def _lowest(x: np.ndarray, width: int) -> np.ndarray:
+    """For each i the place of the minimum of x[i : i + width], the first of equals."""
+    place = np.arange(len(x))
+    have, m = 1, place
+
+    def lower(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(x[b] < x[a], b, a)
+
     while have * 2 <= width:
-        m = np.minimum(m[: len(m) - have], m[have:])
+        m = lower(m[: len(m) - have], m[have:])
         have *= 2
-    if have < width:
-        m = np.minimum(m[: len(x) - width + 1], m[width - have :])
-    return m
+    return lower(m[: len(x) - width + 1], m[width - have :]) if have < width else m
 
 
 def _passages(w: Words, window: int) -> tuple[np.ndarray, ...]:
@@ -65,10 +73,7 @@ def _passages(w: Words, window: int) -> tuple[np.ndarray, ...]:
         return none, none, none, none, none
     at = np.arange(len(w.starts) - gram + 1)
     grams = w.spans(at, at + gram)
-    if len(at) > int(_LOW):
-        raise ValueError("a text of more than 16 million words")
-    lowest = _sliding_min((grams & ~_LOW) | at.astype(np.uint64), window - gram + 1)[starts]
-    anchor = (lowest & _LOW).astype(np.int64)
+    anchor = _lowest(grams, window - gram + 1)[starts]
     text = np.searchsorted(w.bounds, starts, "right") - 1
     new = np.ones(len(starts), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
@@ -90,17 +95,16 @@ def _anchors(window: int):
     return run
 
 
-def _cut_out(text_col: str):
-    """Texts of the marked passages."""
+def _cut_out():
+    """Texts of the marked passages, from rows (text, marks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            marks = batch.column(names.index("__marks"))
+            body, marks = batch.columns
             at = marks.offsets.to_numpy()
             flat = marks.flatten()
             first, n = (flat.field(i).to_numpy() for i in range(2))
-            for a, b, w in word_chunks(batch.column(names.index(text_col))):
+            for a, b, w in word_chunks(body):
                 which, texts = [], []
                 for row in range(a, b):
                     base, end = int(w.bounds[row - a]), int(w.bounds[row - a + 1])
@@ -193,14 +197,13 @@ def _crowded(passages: DataFrame, window: int) -> DataFrame:
     return one.join(again, "phrase").groupBy("anchor", "digest").agg(F.flatten(F.collect_list(F.array("s", F.col("s") + window))).alias("spans"))
 
 
-def _apply(text_col: str):
-    """The rows with word counts, the kept words joined by blanks, and their digest."""
+def _apply(place: int):
+    """The rows (a struct, with the text at a place) with word counts, the digest of the kept words joined by blanks, and these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            marks = batch.column(names.index("__spans"))
-            for a, b, w in word_chunks(batch.column(names.index(text_col))):
+            rows, marks = batch.columns
+            for a, b, w in word_chunks(rows.field(place).cast(pa.string())):
                 words = np.diff(w.bounds)
                 removed = np.zeros(b - a, np.int64)
                 kept: list = [None] * (b - a)
@@ -217,9 +220,8 @@ def _apply(text_col: str):
                     if removed[row]:
                         kept[row] = raw.decode("utf-8", "replace")
                     digests.append(hashlib.sha256(raw).hexdigest())
-                own = [c for c in names if not c.startswith("__")]
-                extra = [pa.array(words.astype(np.int64)), pa.array(removed), pa.array(digests), pa.array(kept, pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column(names.index(c)).slice(a, b - a) for c in own] + extra, own + ["__n_words", "__n_removed", "__kept_sha256", "__kept_text"])
+                made = [pa.array(words.astype(np.int64)), pa.array(removed), pa.array(digests), pa.array(kept, pa.string())]
+                yield pa.RecordBatch.from_arrays([rows.slice(a, b - a), *made], ["row", *MADE])
 
     return run
 
@@ -230,30 +232,38 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col:
     Rows are told apart by a hash of id and text; rows equal in both are occurrences of the same words and share
     what is found.
     """
-    keyed = docs.withColumn(text_col, F.col(text_col).cast("string")).withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    anchors = cut(keyed.select(F.col("__key").alias("key"), text_col).mapInArrow(_anchors(window), "key long, first int, n int, anchor long, digest long"), "anchors")
-    recurring = cut(anchors.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "recurring")
-    occurrences = anchors.join(recurring, "anchor")
-    # equal passages are settled once, on one of them
-    distinct = cut(occurrences.groupBy("anchor", "digest").agg(F.count("*").alias("m"), F.min(F.struct("key", "first", "n")).alias("x")), "passages")
-    crowded = cut(distinct.groupBy("anchor").agg(F.count("*").alias("d")).where(F.col("d") > hot).select("anchor"), "crowded")
-    marks = distinct.groupBy(F.col("x.key").alias("__key")).agg(F.collect_list(F.struct("x.first", "x.n", "anchor", "digest", "m")).alias("__marks"))
-    passages = keyed.join(marks, "__key").mapInArrow(_cut_out(text_col), "anchor long, digest long, m long, passage string")
+    own = own_columns(docs, MADE)
+    place = [c.lower() for c in own].index(text_col.lower())
+    text = F.col(text_col).cast("string")
+    key = F.xxhash64(F.col(id_col), text)
+    anchors = cut(docs.select(key.alias("key"), text.alias("text")).mapInArrow(_anchors(window), "key long, first int, n int, anchor long, digest long"), "anchors")
+    # equal passages are settled once, on one of them: they collapse before their anchors meet
+    different = cut(anchors.groupBy("anchor", "digest").agg(F.count("*").alias("m"), F.min(F.struct("key", "first", "n")).alias("x")), "different")
+    by_anchor = different.groupBy("anchor").agg(F.sum("m").alias("times"), F.count("*").alias("d")).where("times > 1")
+    recurring = cut(by_anchor.select("anchor", (F.col("d") > hot).alias("crowded")), "recurring")
+    distinct = cut(different.join(recurring, "anchor"), "passages")
+    marks = distinct.groupBy(F.col("x.key").alias("key")).agg(F.collect_list(F.struct("x.first", "x.n", "anchor", "digest", "m")).alias("marks"))
+    passages = docs.select(key.alias("key"), text.alias("text")).join(marks, "key").select("text", "marks").mapInArrow(_cut_out(), "anchor long, digest long, m long, passage string")
     schema = "anchor long, digest long, spans array<int>"
+    crowded = recurring.where("crowded").select("anchor")
     if crowded.isEmpty():
         located = passages.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_confirm(window), schema)
     else:
         usual = passages.join(crowded, "anchor", "left_anti")
         located = usual.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_confirm(window), schema)
         located = located.unionByName(_crowded(passages.join(crowded, "anchor", "left_semi"), window))
+    total = distinct.agg(F.sum("m")).first()[0] or 0
+    # fewer than 1 / SHARE rows, whatever the input
+    often = F.broadcast(distinct.where(F.col("m") > SHARE * total).select("anchor", "digest", F.ceil(F.col("m") / F.lit(max(1.0, SHARE * total))).cast("int").alias("parts")))
     pairs = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.array(F.col("first") + F.get("spans", i), F.col("first") + F.get("spans", i + 1)))
     found = (
-        occurrences.select("key", "first", "anchor", "digest")
-        .join(located, ["anchor", "digest"])
-        .select(F.col("key").alias("__key"), F.explode(pairs).alias("x"))
-        .groupBy("__key")
-        .agg(F.collect_set("x").alias("__spans"))
+        anchors.select("key", "first", "anchor", "digest").join(often, ["anchor", "digest"], "left")
+        .withColumn("part", F.expr("cast(coalesce(pmod(xxhash64(key, first), parts), 0) as int)")).drop("parts")
+        .join(located.join(often, ["anchor", "digest"], "left").withColumn("part", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)"))).drop("parts"), ["anchor", "digest", "part"])
+        .select("key", F.explode(pairs).alias("x"))
+        .groupBy("key")
+        .agg(F.collect_set("x").alias("spans"))
     )
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    out = ", ".join(f"`{c}` {t}" for c, t in (types | {text_col: "string"}).items())
-    return keyed.join(found, "__key", "left").mapInArrow(_apply(text_col), f"{out}, __n_words long, __n_removed long, __kept_sha256 string, __kept_text string")
+    rows = docs.select(F.struct(*quoted(own)).alias("row"), key.alias("key")).join(found, "key", "left").select("row", "spans")
+    made = [StructField(MADE[0], LongType()), StructField(MADE[1], LongType()), StructField(MADE[2], StringType()), StructField(MADE[3], StringType())]
+    return rows.mapInArrow(_apply(place), StructType([StructField("row", rows.schema["row"].dataType), *made])).select("row.*", *MADE)
