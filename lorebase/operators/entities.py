@@ -56,15 +56,26 @@ def narrative_tokens(content: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
 
 
-def merge_mapping(pairs: DataFrame, rounds: int = 20) -> DataFrame:
-    """(old, new) with chains followed to their end: a to b and b to c give a to c."""
-    out = pairs.select("old", "new")
-    for _ in range(rounds):
-        step = out.alias("x").join(out.alias("y"), F.col("x.new") == F.col("y.old"), "left").select("x.old", F.coalesce("y.new", "x.new").alias("new"), F.col("y.new").isNotNull().alias("moved")).where("old <> new")
-        out = step.select("old", "new")
+def merge_mapping(pairs: DataFrame) -> DataFrame:
+    """(old, new) with chains followed to their end: a to b and b to c give a to c.
+
+    A page with several targets goes to the smallest. Pages of a cycle, and those that lead to it, go to its smallest
+    id. Each round doubles the steps taken and is written, so log2 of the pages is the most there can be.
+    """
+    from lorebase.sources.shared import written
+
+    out = written(pairs.where("old <> new").groupBy("old").agg(F.min("new").alias("new")).withColumn("low", F.least("old", "new")), "mapping")
+    for _ in range(out.count().bit_length() + 1):
+        # new: where the steps so far lead; low: the smallest id on the way
+        step = out.alias("x").join(out.alias("y"), F.col("x.new") == F.col("y.old"), "left")
+        step = step.select("x.old", F.coalesce("y.new", "x.new").alias("new"), F.least("x.low", F.coalesce("y.low", "x.low")).alias("low"), F.col("y.new").isNotNull().alias("moved"))
+        step = written(step, "mapping")
+        out = step.select("old", "new", "low")
         if step.where("moved").isEmpty():
             break
-    return out
+    # an end that is itself an old page lies on a cycle, whose smallest id all its pages have seen by now
+    ends = out.select("old", "new").join(out.select(F.col("old").alias("new"), F.col("low").alias("end")), "new", "left")
+    return ends.select("old", F.coalesce("end", "new").alias("new")).where("old <> new")
 
 
 def apply_merge_to_links(links: DataFrame, mapping: DataFrame) -> DataFrame:

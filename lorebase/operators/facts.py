@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebase.operators.graph import active, consensus_strength, link_type_distribution
+from lorebase.operators.graph import active, consensus_strength, is_effective, link_type_distribution
 
 
 def half_means(facts: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -51,21 +51,28 @@ def drift(facts: DataFrame, min_obs: int = 2) -> DataFrame:
 
 
 def outliers(facts: DataFrame, z: float = 1.5) -> DataFrame:
-    """Values more than z sample deviations from the mean of their (entity, metric)."""
+    """Values more than z sample deviations from the mean of their (entity, metric); to nine decimals, as sums in any order differ beyond."""
     w = Window.partitionBy("entity_page_id", "metric")
     rows = numeric(facts).withColumn("mean", F.avg("value_numeric").over(w)).withColumn("std", F.stddev_samp("value_numeric").over(w))
     score = (F.col("value_numeric") - F.col("mean")) / F.col("std")
-    return rows.where((F.col("std") > 0) & (F.abs(score) > z)).select("id", "entity_page_id", "metric", F.round(score, 6).alias("z"))
+    return rows.where((F.col("std") > 0) & (F.round(F.abs(score), 9) > z)).select("id", "entity_page_id", "metric", F.round(score, 6).alias("z"))
 
 
 def top_consensus_metrics(facts: DataFrame, k: int = 6, min_obs: int = 3, min_sources: int = 2) -> DataFrame:
-    """Each entity's k metrics with the most observations and sources, over all periods, with trend and latest value."""
-    rows = numeric(facts)
+    """Each entity's k metrics with the most observations and sources, over all periods, with trend and latest value.
+
+    One sort by (entity, metric) serves ranks and counts; one aggregate on the same key takes the rest.
+    """
     keys = ["entity_page_id", "metric"]
-    h = half_means(rows, keys, ["valid_from", "id"])
-    stats = rows.groupBy(*keys).agg(F.countDistinct("source_page_id").alias("sources"), F.round(F.avg("value_numeric"), 6).alias("mean"), F.round(F.max_by("value_numeric", F.struct("valid_from", "id")), 6).alias("latest"))
+    w = Window.partitionBy(*keys)
+    rows = numeric(facts).select(*keys, "value_numeric", "source_page_id", F.row_number().over(w.orderBy("valid_from", "id")).alias("rn"), F.count("*").over(w).alias("n"))
+    half, v = F.floor(F.col("n") / 2), F.col("value_numeric")
+    g = rows.groupBy(*keys).agg(
+        F.first("n").alias("n"), F.size(F.collect_set("source_page_id")).cast("long").alias("sources"), F.round(F.avg(v), 6).alias("mean"), F.round(F.max(F.when(F.col("rn") == F.col("n"), v)), 6).alias("latest"),
+        F.avg(F.when(F.col("rn") <= half, v)).alias("first_mean"), F.avg(F.when(F.col("rn") > F.col("n") - half, v)).alias("last_mean"),
+    )
     pct = drift_pct(F.col("first_mean"), F.col("last_mean"))
-    kept = stats.join(h, keys).where((F.col("n") >= min_obs) & (F.col("sources") >= min_sources))
+    kept = g.where((F.col("n") >= min_obs) & (F.col("sources") >= min_sources))
     rank = F.row_number().over(Window.partitionBy("entity_page_id").orderBy(F.desc("n"), F.desc("sources"), "metric"))
     return kept.withColumn("rank", rank).where(F.col("rank") <= k).select("entity_page_id", "rank", "metric", "n", "sources", "mean", "latest", F.round(pct, 6).alias("drift_pct"), drift_label(pct).alias("trend"))
 
@@ -77,8 +84,8 @@ def expire(facts: DataFrame, as_of: str, age_days: int = 90) -> DataFrame:
     return facts.withColumn("expired", old).withColumn("valid_to", F.when(old, F.lit(as_of).cast("date")).otherwise(F.col("valid_to")))
 
 
-def query_facts(facts: DataFrame, pages: DataFrame, metric: str | None = None, period: str | None = None, current_only: bool = True, table_only: bool = False) -> DataFrame:
-    """Facts with the slugs of their entity and, where there is one, source."""
+def query_facts(facts: DataFrame, pages: DataFrame, metric: str | None = None, period: str | None = None, current_only: bool = True, table_only: bool = False, entity: str | None = None, table_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """Facts with the slugs of their entity, found by slug or ticker, and, where there is one, source; with a limit the newest."""
     rows = active(facts)
     if metric:
         rows = rows.where(F.col("metric") == metric)
@@ -88,9 +95,13 @@ def query_facts(facts: DataFrame, pages: DataFrame, metric: str | None = None, p
         rows = rows.where("valid_to IS NULL")
     if table_only:
         rows = rows.where("table_id IS NOT NULL")
-    entity = pages.select(F.col("id").alias("entity_page_id"), F.col("slug").alias("entity_slug"))
+    if table_id:
+        rows = rows.where(F.col("table_id") == table_id)
+    named = pages.where((F.col("slug") == entity) | (F.upper("ticker") == entity.upper())) if entity else pages
+    named = named.select(F.col("id").alias("entity_page_id"), F.col("slug").alias("entity_slug"))
     source = pages.select(F.col("id").alias("source_page_id"), F.col("slug").alias("source_slug"))
-    return rows.join(entity, "entity_page_id").join(source, "source_page_id", "left").select("id", "entity_slug", "source_slug", "metric", "period", "value_numeric", "valid_from")
+    out = rows.join(named, "entity_page_id").join(source, "source_page_id", "left").select("id", "entity_slug", "source_slug", "metric", "period", "value_numeric", "valid_from")
+    return out.orderBy(F.desc("valid_from"), F.desc("id")).limit(limit) if limit else out
 
 
 def compare_facts(facts: DataFrame, metric: str, periods: list[str]) -> DataFrame:
@@ -107,8 +118,13 @@ def detect_fact_signals(facts: DataFrame, new_facts: DataFrame, priors: int = 10
 
     The limit applies before priors without a number are left out; priors are not restricted to earlier dates.
     """
+    # whatever source a fact is of, its priors are among the 2 * priors newest of the key, taken at most `priors` a source
+    keys = ["entity_page_id", "metric", "period"]
+    of_source = F.row_number().over(Window.partitionBy(*keys, "source_page_id").orderBy(F.desc("valid_from"), F.desc("id")))
+    of_key = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("valid_from"), F.desc("id")))
+    few = active(facts).where("source_page_id IS NOT NULL").withColumn("k", of_source).where(F.col("k") <= priors).withColumn("k", of_key).where(F.col("k") <= 2 * priors)
     new = numeric(new_facts).select(F.col("id").alias("fact_id"), "entity_page_id", "metric", F.col("period").alias("p"), F.col("value_numeric").alias("value"), F.col("source_page_id").alias("s"))
-    old = active(facts).select("id", F.col("entity_page_id").alias("e"), F.col("metric").alias("m"), "period", "value_numeric", "source_page_id", "valid_from")
+    old = few.select("id", F.col("entity_page_id").alias("e"), F.col("metric").alias("m"), "period", "value_numeric", "source_page_id", "valid_from")
     pairs = new.join(old, (F.col("entity_page_id") == F.col("e")) & (F.col("metric") == F.col("m")) & F.col("p").eqNullSafe(F.col("period")) & (F.col("source_page_id") != F.col("s")) & (F.col("id") != F.col("fact_id")))
     rn = F.row_number().over(Window.partitionBy("fact_id").orderBy(F.desc("valid_from"), F.desc("id")))
     g = pairs.withColumn("rn", rn).where(F.col("rn") <= priors).groupBy("fact_id", "entity_page_id", "metric").agg(F.first("value").alias("value"), F.avg("value_numeric").alias("prior_avg"), F.count("value_numeric").alias("prior_count"))
@@ -133,18 +149,31 @@ def merge_facts(current: DataFrame, candidates: DataFrame, as_of: str) -> DataFr
     """Versioned merge of (entity_page_id, metric, period, value_numeric, pos) candidates: rows of all versions with an action.
 
     Equal values are kept; a changed one closes the current row at as_of. Candidates of one batch close each other in
-    their order and the last stays current; one equal to its predecessor adds nothing.
+    their order and the last stays current; one equal to its predecessor adds nothing. value_text and unit, where both
+    tables have them, must be equal too. A kept row without a source_quote gets that of an equal candidate, and the
+    longest evidence_context of both, where both tables have these.
     """
     keys = ["entity_page_id", "metric", "period"]
+    both = [c for c in ("value_text", "unit", "source_quote", "evidence_context") if c in current.columns and c in candidates.columns]
+    values = ["value_numeric", *[c for c in ("value_text", "unit") if c in both]]
     w = Window.partitionBy(*keys).orderBy("stage", "pos")
-    old = current.select(*keys, "value_numeric", F.col("valid_from"), F.lit(0).alias("stage"), F.col("id").alias("pos"))
-    new = candidates.select(*keys, "value_numeric", F.lit(as_of).cast("date").alias("valid_from"), F.lit(1).alias("stage"), "pos")
-    rows = old.unionByName(new)
-    before, has = F.lag("value_numeric").over(w), F.lag("stage").over(w)
-    kept = rows.withColumn("same", F.coalesce(has.isNotNull() & F.col("value_numeric").eqNullSafe(before), F.lit(False))).where((F.col("stage") == 0) | ~F.col("same"))
+    old = current.select(*keys, "value_numeric", *both, F.col("valid_from"), F.lit(0).alias("stage"), F.col("id").alias("pos"))
+    new = candidates.select(*keys, "value_numeric", *both, F.lit(as_of).cast("date").alias("valid_from"), F.lit(1).alias("stage"), "pos")
+    value = F.struct(*values)
+    rows = old.unionByName(new).withColumn("value", value)
+    before, has = F.lag("value").over(w), F.lag("stage").over(w)
+    rows = rows.withColumn("same", F.coalesce(has.isNotNull() & F.col("value").eqNullSafe(before), F.lit(False)))
+    # a run of equal values is one version
+    rows = rows.withColumn("run", F.sum(F.when((F.col("stage") == 0) | ~F.col("same"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    version = Window.partitionBy(*keys, "run").orderBy("stage", "pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    if "source_quote" in both:
+        rows = rows.withColumn("source_quote", F.first(F.nullif(F.col("source_quote"), F.lit("")), ignorenulls=True).over(version))
+    if "evidence_context" in both:
+        rows = rows.withColumn("evidence_context", F.max_by("evidence_context", F.length("evidence_context")).over(version))
+    kept = rows.where((F.col("stage") == 0) | ~F.col("same"))
     follows = F.lead("stage").over(w)
     ends = F.when(follows == 1, F.lit(as_of).cast("date"))
-    return kept.withColumn("valid_to", ends).select(*keys, "value_numeric", "valid_from", "valid_to", F.when(F.col("stage") == 1, "inserted").when(follows == 1, "closed").otherwise("kept").alias("action"), "pos")
+    return kept.withColumn("valid_to", ends).select(*keys, "value_numeric", *both, "valid_from", "valid_to", F.when(F.col("stage") == 1, "inserted").when(follows == 1, "closed").otherwise("kept").alias("action"), "pos")
 
 
 def thesis_snapshot_facts(theses: DataFrame, facts: DataFrame, n: int = 20) -> DataFrame:
@@ -185,6 +214,21 @@ def entity_pulse(facts: DataFrame, links: DataFrame) -> DataFrame:
     return f.join(d, "page_id", "full").join(consensus_strength(links).select("page_id", "strength"), "page_id", "left").fillna(0, ["facts", "metrics", "sources", "inbound", "effective"])
 
 
+def entity_latest(facts: DataFrame, links: DataFrame, n: int = 10) -> DataFrame:
+    """(page_id, kind, rn, id): each entity's n latest facts and n strongest inbound links, by which its pulse is shown."""
+    f = active(facts).select(F.col("entity_page_id").alias("page_id"), F.lit("fact").alias("kind"), F.row_number().over(Window.partitionBy("entity_page_id").orderBy(F.desc("valid_from"), F.desc("id"))).alias("rn"), "id")
+    strong = Window.partitionBy("to_page_id").orderBy(F.coalesce(is_effective(), F.lit(False)).desc(), F.desc("weight"), F.desc("create_time"), F.desc("id"))
+    inbound = active(links).select(F.col("to_page_id").alias("page_id"), F.lit("inbound").alias("kind"), F.row_number().over(strong).alias("rn"), "id")
+    return f.where(F.col("rn") <= n).unionByName(inbound.where(F.col("rn") <= n))
+
+
+def thesis_page(theses: DataFrame, pages: DataFrame, offset: int, limit: int, direction: str | None = None) -> DataFrame:
+    """A page of all theses by conviction rank, nulls last, then the latest update, then id."""
+    target = active(pages).select(F.col("id").alias("target_page_id"), F.col("slug").alias("target_slug"))
+    rows = theses if direction is None else theses.where(F.col("direction") == direction)
+    return rows.join(target, "target_page_id", "left").orderBy(F.col("conviction_rank").desc_nulls_last(), F.col("update_date").desc_nulls_last(), "page_id").offset(offset).limit(limit).select("page_id", "title", "status", "direction", "target_slug", "update_date")
+
+
 def source_facts(facts: DataFrame) -> DataFrame:
     """Current facts per citing source in the order entity, metric, period."""
     rn = F.row_number().over(Window.partitionBy("source_page_id").orderBy("entity_page_id", "metric", F.col("period").asc_nulls_last(), "id"))

@@ -24,4 +24,4 @@ def query(name: str, *tables: str, oracle: str | None = None):
     return register
 
 
-from lorebase.plans import entities, facts, graph, ingest, reports, search, streams  # noqa: E402, F401
+from lorebase.plans import entities, extraction, facts, graph, ingest, lifecycle, reports, search, streams  # noqa: E402, F401

@@ -67,7 +67,7 @@ def f10(facts):
 
 @query("f11_outliers", "fx_facts", oracle="""
 WITH r AS (SELECT id, entity_page_id, metric, value_numeric AS v, avg(value_numeric) OVER w AS m, stddev_samp(value_numeric) OVER w AS s FROM fx_facts WHERE deleted = 0 AND value_numeric IS NOT NULL WINDOW w AS (PARTITION BY entity_page_id, metric))
-SELECT id, entity_page_id, metric, round((v - m) / s, 6) AS z FROM r WHERE s > 0 AND abs((v - m) / s) > 1.5""")
+SELECT id, entity_page_id, metric, round((v - m) / s, 6) AS z FROM r WHERE s > 0 AND round(abs((v - m) / s), 9) > 1.5""")
 def f11(facts):
     return f.outliers(facts)
 
@@ -139,3 +139,41 @@ WITH b AS (SELECT entity_page_id AS page_id, id, event_date FROM fx_timeline UNI
 r AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY event_date DESC, id DESC) AS INTEGER) AS rn, id, event_date FROM b) SELECT * FROM r WHERE rn <= 30""")
 def f21b(timeline):
     return f.page_timeline(timeline)
+
+
+@query("f4_merge_facts_texts", "fx_facts", oracle="""
+WITH c AS (SELECT entity_page_id, metric, period, value_numeric, id FROM (SELECT *, row_number() OVER (PARTITION BY entity_page_id, metric, period ORDER BY valid_from DESC, id DESC) AS k FROM fx_facts) WHERE k = 1)
+SELECT entity_page_id, metric, period, 'kept' AS action, CASE WHEN id % 2 = 0 THEN 'q' ELSE 'new quote' END AS source_quote, CASE WHEN id % 3 = 0 THEN 'a longer context' ELSE 'new context' END AS evidence_context FROM c WHERE id % 5 <> 0
+UNION ALL SELECT entity_page_id, metric, period, 'closed', CASE WHEN id % 2 = 0 THEN 'q' END, CASE WHEN id % 3 = 0 THEN 'a longer context' ELSE 'short' END FROM c WHERE id % 5 = 0
+UNION ALL SELECT entity_page_id, metric, period, 'inserted', 'new quote', 'new context' FROM c WHERE id % 5 = 0""")
+def f4b(facts):
+    k = F.col("id")
+    one = f.dedupe_candidates(facts, ["entity_page_id", "metric", "period"], [F.desc("valid_from"), F.desc("id")]).withColumns({"value_text": F.lit("t"), "unit": F.lit("usd")})
+    current = one.withColumns({"source_quote": F.when(k % 2 == 0, "q"), "evidence_context": F.when(k % 3 == 0, "a longer context").otherwise("short")})
+    new = one.withColumns({"source_quote": F.lit("new quote"), "evidence_context": F.lit("new context"), "unit": F.when(k % 5 == 0, "eur").otherwise(F.col("unit")), "pos": k})
+    return f.merge_facts(current, new, "2001-12-31").select("entity_page_id", "metric", "period", "action", "source_quote", "evidence_context")
+
+
+@query("f6_query_facts_of_entity", "fx_facts", "fx_pages", oracle="""
+SELECT f.id, e.slug AS entity_slug, s.slug AS source_slug, metric, period, value_numeric, valid_from FROM fx_facts f JOIN fx_pages e ON e.id = f.entity_page_id LEFT JOIN fx_pages s ON s.id = f.source_page_id
+WHERE f.deleted = 0 AND e.slug = 'concepts/part-7' ORDER BY valid_from DESC, f.id DESC LIMIT 50""")
+def f6b(facts, pages):
+    return f.query_facts(facts, pages, current_only=False, entity="concepts/part-7", limit=50)
+
+
+@query("f17_thesis_page", "fx_theses", "fx_pages", oracle="SELECT t.page_id, t.title, t.status, t.direction, p.slug AS target_slug, t.update_date FROM fx_theses t LEFT JOIN fx_pages p ON p.id = t.target_page_id AND p.deleted = 0 WHERE direction = 'long' ORDER BY conviction_rank DESC NULLS LAST, t.update_date DESC NULLS LAST, page_id LIMIT 20 OFFSET 20")
+def f17b(theses, pages):
+    return f.thesis_page(theses, pages, 20, 20, "long")
+
+
+@query("f18_thesis_snapshot_facts", "fx_theses", "fx_facts", oracle="""
+WITH t AS (SELECT page_id AS thesis_id, 3000000 + page_id % 500 AS target FROM fx_theses), r AS (SELECT thesis_id, f.id, CAST(row_number() OVER (PARTITION BY thesis_id ORDER BY valid_from DESC, f.id DESC) AS INTEGER) AS rn FROM t JOIN fx_facts f ON f.entity_page_id = target WHERE f.deleted = 0 AND valid_to IS NULL) SELECT thesis_id, rn, id FROM r WHERE rn <= 20""")
+def f18b(theses, facts):
+    return f.thesis_snapshot_facts(theses.select("page_id", (3000000 + F.col("page_id") % 500).alias("target_page_id")), facts)
+
+
+@query("f20_entity_latest", "fx_facts", "fx_links", oracle="""
+WITH a AS (SELECT entity_page_id AS page_id, 'fact' AS kind, CAST(row_number() OVER (PARTITION BY entity_page_id ORDER BY valid_from DESC, id DESC) AS INTEGER) AS rn, id FROM fx_facts WHERE deleted = 0
+UNION ALL SELECT to_page_id, 'inbound', CAST(row_number() OVER (PARTITION BY to_page_id ORDER BY coalesce(weight >= 0.9 OR link_type <> 'mention' OR (link_source = 'frontmatter' AND origin_field = 'primary_entities') OR origin_field IN ('facts_block', 'timeline_block'), false) DESC, weight DESC, create_time DESC, id DESC) AS INTEGER), id FROM fx_links WHERE deleted = 0) SELECT * FROM a WHERE rn <= 10""")
+def f20b(facts, links):
+    return f.entity_latest(facts, links)

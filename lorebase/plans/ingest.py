@@ -66,11 +66,6 @@ def x7(narratives):
     return i.harvest_links(narratives)
 
 
-@query("x8_link_context", "fx_narratives", oracle="SELECT line_id, substr(regexp_replace(content, '\\s+', ' ', 'g'), 1, 60) AS context FROM fx_narratives")
-def x8(narratives):
-    return narratives.select("line_id", F.substring(F.regexp_replace("content", r"\s+", " "), 1, 60).alias("context"))
-
-
 @query("x12_single_entity", "fx_narratives", oracle="SELECT line_id AS page_id, CAST(NULL AS VARCHAR) AS entity FROM fx_narratives WHERE line_id % 2 = 0 UNION ALL SELECT line_id, regexp_extract(content, '(concepts/part-[0-9]+)', 1) FROM fx_narratives WHERE line_id % 2 = 1")
 def x12(narratives):
     some = F.when(F.col("line_id") % 2 == 1, F.regexp_replace("content", r"\[\[companies[^\]]*\]\]", "")).otherwise(F.col("content"))
@@ -129,21 +124,6 @@ def g3(narratives, pages):
     return i.build_links(refs, i.resolve_refs(refs, pages))
 
 
-@query("x1_chunk_documents", "documents")
-def x1(documents):
-    from lorebase.operators.chunking import chunk_documents
-
-    return chunk_documents(documents)
-
-
-@query("x16_evidence_context", "fx_narratives", oracle="""
-SELECT line_id, CASE WHEN position('ships' IN content) > 0 THEN trim(substr(content, greatest(position('ships' IN content) - 20, 1), least(position('ships' IN content) - 1, 20) + 5 + 20)) END AS context FROM fx_narratives""")
-def x16(narratives):
-    at = F.locate("ships", F.col("content"))
-    around = F.substring(F.col("content"), F.greatest(at - 20, F.lit(1)), F.least(at - 1, F.lit(20)) + 5 + 20)
-    return narratives.select("line_id", F.when(at > 0, F.trim(around)).alias("context"))
-
-
 @query("s7_skip_pages", "fx_pages", "fx_raw_files", oracle="""
 SELECT p.id, CAST(CASE WHEN r.id IS NOT NULL THEN 1 ELSE p.deleted END AS INTEGER) AS deleted FROM fx_pages p LEFT JOIN (SELECT DISTINCT ingested_page_id AS id FROM fx_raw_files WHERE research_type = 'src2') r USING (id)""")
 def s7(pages, raw):

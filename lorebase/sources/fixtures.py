@@ -40,12 +40,12 @@ SELECT line_id AS id, 6000000 + l_orderkey AS from_page_id, 3000000 + l_partkey
 """,
     "fx_facts": """
 SELECT line_id AS id, 3000000 + l_partkey AS entity_page_id, CASE WHEN l_linenumber % 2 = 1 THEN 'unit_price' ELSE 'gross_margin' END AS metric, 'FY' || CAST(year(ship_date) AS STRING) AS period,
-       CASE WHEN l_quantity = 50 THEN NULL WHEN l_linenumber % 2 = 1 THEN l_extendedprice / l_quantity ELSE l_discount END AS value_numeric, 6000000 + l_orderkey AS source_page_id,
+       CASE WHEN l_quantity = 50 THEN NULL WHEN l_linenumber % 2 = 1 THEN floor(l_extendedprice / l_quantity * 100) / 100 ELSE l_discount END AS value_numeric, 6000000 + l_orderkey AS source_page_id,
        ship_date AS valid_from, CASE WHEN l_returnflag = 'R' THEN ship_date + 30 END AS valid_to, CASE WHEN l_linenumber % 4 = 1 THEN 't1' END AS table_id, 0 AS deleted FROM {fx_lines}
 """,
     "fx_timeline": """
 SELECT o_orderkey AS id, 1000000 + o_custkey % (SELECT count(*) FROM {supplier}) AS entity_page_id, 6000000 + o_orderkey AS source_page_id, CAST(o_orderdate AS DATE) AS event_date,
-       CASE o_orderstatus WHEN 'F' THEN 'earnings' WHEN 'O' THEN 'guidance' ELSE 'news' END AS event_type, o_orderpriority AS summary, 0 AS deleted FROM {orders} WHERE o_orderkey % 5 = 0
+       CASE o_orderstatus WHEN 'F' THEN 'earnings' WHEN 'O' THEN 'guidance' ELSE 'news' END AS event_type, o_orderpriority AS summary, 0 AS deleted FROM {orders}
 """,
     "fx_signals": """
 SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN 'consensus_drift' ELSE 'thesis_validation' END AS signal_type, 1000000 + user_id % (SELECT count(*) FROM {supplier}) AS entity_page_id,
@@ -74,7 +74,28 @@ SELECT doc_id AS id, 'r' || CAST(doc_id AS STRING) AS research_id, source AS res
        CASE WHEN doc_id % 4 = 2 THEN 6000001 + doc_id END AS ingested_page_id, DATE '2024-01-01' + CAST(doc_id % 28 AS INT) AS create_date FROM {documents}
 """,
     "fx_chunks": """
-SELECT doc_id AS id, 7000000 + doc_id % 50 AS page_id, CAST(floor(doc_id / 50) AS BIGINT) AS chunk_index, substr(text, 1, 400) AS chunk_text, CASE WHEN doc_id % 17 = 0 THEN 'compiled_truth' ELSE 'text' END AS chunk_type FROM {documents}
+SELECT doc_id AS id, 7000000 + doc_id % 50 AS page_id, CAST(floor(doc_id / 50) AS BIGINT) AS chunk_index, text AS chunk_text, CASE WHEN doc_id % 17 = 0 THEN 'compiled_truth' ELSE 'text' END AS chunk_type FROM {documents}
+""",
+    "fx_tags": """
+SELECT c_custkey AS id, 1000000 + c_custkey % (SELECT count(*) FROM {supplier}) AS page_id, c_mktsegment AS tag, CASE WHEN c_nationkey = 3 THEN 1 ELSE 0 END AS deleted FROM {customer}
+""",
+    "fx_merges": """
+SELECT id AS old, id - 1 AS new FROM {fx_pages} WHERE id % 2 = 1 AND type IN ('company', 'concept')
+""",
+    "fx_table_blocks": """
+SELECT 3000000 + p_partkey AS doc_id, 0 AS page_idx, 0 AS block_idx, 'table' AS type, CAST(NULL AS INT) AS level, CAST(NULL AS STRING) AS text, CASE p_partkey % 3
+ WHEN 0 THEN '<table><tr><td>Item</td><td>FY24A</td><td>FY25E</td><td>Unit</td></tr><tr><td>GM (%)</td><td>' || CAST(p_size AS STRING) || '%</td><td>n/a</td><td></td></tr><tr><td>Sales</td><td>1,2' || CAST(p_size + 10 AS STRING) || '</td><td>$' || CAST(p_size AS STRING) || ' bn</td><td>USD bn</td></tr></table>'
+ WHEN 1 THEN '<table><tr><th>Company</th><th>Metric</th><th>Period</th><th>Value</th></tr><tr><td rowspan="2">[[concepts/part-' || CAST(p_partkey AS STRING) || '|P]]</td><td>Unit Price</td><td>FY26E</td><td>' || CAST(p_size AS STRING) || 'x</td></tr><tr><td>R&amp;D</td><td>current</td><td><b>about</b> ' || CAST(p_size AS STRING) || '</td></tr></table>'
+ ELSE '<table></table>' END AS html FROM {part}
+UNION ALL SELECT 3000000 + p_partkey, 1, 0, 'table', NULL, NULL, '<table><tr><td colspan="2">A|B</td></tr><tr><td>' || CAST(p_size AS STRING) || '</td></tr></table>' FROM {part}
+""",
+    "fx_fact_pages": """
+SELECT 3000000 + p_partkey AS page_id, 'concept' AS type, 'See [[companies/supplier-' || CAST(p_partkey % 100 AS STRING) || '|confirms: S one]] and [the part](../concepts/part-' || CAST(p_partkey AS STRING) || '.md) (weight ' || CAST(p_size AS STRING) || ' kg) here.' || chr(10) || chr(10)
+ || CASE WHEN p_partkey % 7 = 0 THEN '<!-- facts' || chr(10) || 'facts: [' || chr(10) || '-->' ELSE '<!-- facts' || chr(10) || '- entity: companies/supplier-' || CAST(p_partkey % 100 AS STRING) || chr(10) || '  metric: weight' || chr(10) || '  value: ' || CAST(p_size AS STRING) || chr(10) || '  period: 2024  # year' || chr(10)
+ || '- metric: lost' || chr(10) || '  value: 1' || chr(10) || '- entity: concepts/part-' || CAST(p_partkey AS STRING) || chr(10) || '  metric: share' || chr(10) || '  value: ">' || CAST(p_size AS STRING) || '%"' || chr(10) || '-->' END AS content,
+ chr(123) || '"primary_entities":["concepts/part-' || CAST(p_partkey AS STRING) || '","none"],"research_id":"r' || CAST(p_partkey AS STRING) || '"' || chr(125) AS frontmatter,
+ '- entity: companies/supplier-' || CASE WHEN p_partkey % 4 = 0 THEN 'none' ELSE '00000000' || CAST(p_partkey % 10 AS STRING) END || chr(10) || '  date: ' || CASE p_partkey % 3 WHEN 0 THEN '2024-01-01' WHEN 1 THEN '2024-05-17' ELSE 'soon' END || chr(10) || '  event_type: ' || CASE p_partkey % 2 WHEN 0 THEN 'news' ELSE 'party' END || chr(10) || '  summary: Part ' || CAST(p_partkey AS STRING) || ' ships'
+ || chr(10) || '- date: 2024-07-01' || chr(10) || '  event_type: guidance' || chr(10) || '  summary: Boost' AS timeline FROM {part}
 """,
     "fx_narratives": """
 SELECT 6000000 + l_orderkey AS page_id, line_id, 'Supplier [[companies/supplier-' || CAST(l_suppkey AS STRING) || '|confirms: S' || CAST(l_suppkey AS STRING) || ']] ships [[concepts/part-' || CAST(l_partkey AS STRING) || ']] in FY' || CAST(year(ship_date) AS STRING) || '.' AS content FROM {fx_lines}
