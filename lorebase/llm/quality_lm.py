@@ -1,15 +1,17 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The n-grams are of characters, folded to 64 symbols (letters, one sign for capitals, digits, single punctuation
-marks, groups of other bytes), of order four. Trusted texts are counted per task, the counts summed over the cluster
-by n-gram, and the continuation counts, context totals and counts of counts come from joins and aggregates of that
-count table. There are at most 64^4 n-grams, which bounds every table and the 64 MB of log probabilities that tasks
-read. Each document gets its perplexity per character. A document is kept when that is not above the quantile of the
-trusted documents in its language, with an allowance for the sampling error of short texts.
-
-Null and blank texts have no perplexity (null) and are not kept. A null language, or one without trusted texts, is
-held against the quantile over all trusted texts; without any trusted text everything with words is kept. Rows with
-null ids are scored. Repeated rows count each. Extra columns are ignored.
+The n-grams are of bytes as they are (nothing is folded), of order five; a code holds one in a long, so suffixes and
+contexts are masks and shifts. Four of five trusted texts are counted per task, the counts summed over the cluster by
+n-gram; continuation counts, context sums, discounts and back-off weights are tables that joins and aggregates make
+of that count table, all dealt by n-gram. Documents are put in blocks of some megabytes. A block asks for its distinct
+n-grams; the distinct n-grams of all blocks get their probabilities through joins with the count tables, order by
+order; the answers go back to the blocks, which meet their texts in a cogroup that gives each document its perplexity
+per byte. A document is kept when that is not above a quantile of its language, taken over the trusted texts that the
+model has not seen, so that it is held against a rule for new text.
+
+Null and blank texts have no perplexity (null) and are not kept. A null language, or one without such trusted texts,
+is held against the quantile over all of them; without any, everything with words is kept. Rows with null ids are
+scored. Repeated rows count each. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,117 +20,178 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import broadcast_if_small, cut, text_chunks
+from lorebase.llm.common import broadcast_if_small, cut, fold, text_chunks
 
-ORDER = 4
-SYMBOLS = 64
+ORDER = 5
 QUANTILE = 0.995
-#: Nats per character by which a text of n characters may exceed the threshold are SLACK / sqrt(n): a short text's mean is that unsure.
-SLACK = 3.0
-_CHUNK = 1 << 22
+#: One in so many trusted texts is not learned from; the thresholds come from these.
+HELD_OUT = 5
+#: Bytes of text in a block, about; a longer text is a block of its own.
+BLOCK = 8 << 20
+_CHUNK = 1 << 20
+#: N-grams of a task that wait to be summed.
+_WAITING = 1 << 22
 #: Trusted ids (8 bytes each) up to which they are broadcast to the texts; beyond, both are shuffled.
 BROADCAST_IDS = 500_000
-_FOLD = np.full(256, 53, np.uint32)
-_FOLD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
-_FOLD[97:123] = np.arange(1, 27)
-_FOLD[65:91] = 27
-_FOLD[48:58] = 28
-_FOLD[list(b".,!?;:'\"-()|/&#%@+=*_<>")] = np.arange(29, 52)
-_FOLD[0x80:0xC0] = 55 + (np.arange(0x80, 0xC0) & 7)
-_FOLD[0xC0:] = 54
 
 
 def _codes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 24-bit code of each character with the three before it; blanks stand before a text."""
-    x = _FOLD[data]
+    """Each byte with the ORDER - 1 before it as one number; zeros stand before a text."""
+    x = data.astype(np.int64)
     code = x.copy()
     place = np.arange(len(x)) - np.repeat(at[:-1], np.diff(at))
     for k in range(1, ORDER):
         back = np.zeros_like(x)
         back[k:] = x[:-k]
         back[place < k] = 0
-        code |= back << np.uint32(6 * k)
+        code |= back << (8 * k)
     return code
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SYMBOLS**ORDER, np.int64)
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their block first; a block is of one task."""
+    block, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        for a, b, data, _ in text_chunks(batch.column(1), _CHUNK):
+            if size and size + len(data) > BLOCK:
+                block, size = block + 1, 0
+            size += len(data)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, block)), *batch.slice(a, b - a).columns], ["block", *batch.schema.names])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codes, times, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        u, place = np.unique(np.concatenate(codes), return_inverse=True)
+        return u, np.bincount(place, np.concatenate(times), len(u)).astype(np.int64)
+
     for batch in batches:
         for _, _, data, offsets in text_chunks(batch.column(0), _CHUNK):
-            total += np.bincount(_codes(data, offsets - offsets[0]), minlength=len(total))
-    full = np.flatnonzero(total)
-    for k in range(0, len(full), 100_000):
-        part = full[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["code", "n"])
-
-
-def kneser_ney(counts: DataFrame) -> np.ndarray | None:
-    """log2 P of every code from (code, n), shape (64, 64, 64, 64); None without counts."""
-    tables = {ORDER: counts.select("code", "n")}
-    for k in range(ORDER - 1, 0, -1):  # of lower orders, in how many contexts a code goes on
-        tables[k] = tables[k + 1].groupBy(F.pmod("code", F.lit(SYMBOLS**k)).cast("int").alias("code")).agg(F.count("*").alias("n"))
-    p = np.full(SYMBOLS, 1.0 / SYMBOLS, np.float32)
-    for k in range(1, ORDER + 1):
-        t = tables[k].cache() if k < ORDER else tables[k]
+            u, n = np.unique(_codes(data, offsets - offsets[0]), return_counts=True)
+            codes.append(u)
+            times.append(n)
+            waiting += len(u)
+            if waiting > _WAITING:
+                u, n = summed()
+                codes, times, waiting = [u], [n], 0
+                if len(u) > _WAITING // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], ["code", "n"])
+                    codes, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    u, n = summed()
+    for k in range(0, len(u), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(u[k : k + 100_000]), pa.array(n[k : k + 100_000])], ["code", "n"])
+
+
+def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of each block among a task's rows (block, text)."""
+    now, found = None, []
+
+    def asked() -> Iterator[pa.RecordBatch]:
+        u = np.unique(np.concatenate(found))
+        for k in range(0, len(u), 100_000):
+            part = u[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), now)), pa.array(part)], ["block", "code"])
+
+    for batch in batches:
+        blocks = batch.column(0).to_numpy()
+        for a, b, data, offsets in text_chunks(batch.column(1), _CHUNK):
+            codes = _codes(data, offsets - offsets[0])
+            at = offsets - offsets[0]
+            own = blocks[a:b]
+            starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            for i, j in zip(starts, np.append(starts[1:], b - a), strict=True):
+                if own[i] != now and found:
+                    yield from asked()
+                    found = []
+                now = own[i]
+                found.append(np.unique(codes[at[i] : at[j]]))
+    if found:
+        yield from asked()
+
+
+def suffix(code: Column, k: int) -> Column:
+    return code.bitwiseAND(F.lit((1 << (8 * k)) - 1))
+
+
+def kneser_ney(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """By order: (code, own) with the discounted share of each n-gram, and (context, rest) with what its context leaves to shorter ones."""
+    tables = {ORDER: counts}
+    for k in range(ORDER - 1, 0, -1):  # of lower orders, in how many contexts an n-gram goes on
+        tables[k] = cut(tables[k + 1].groupBy(suffix(F.col("code"), k).alias("code")).agg(F.count("*").alias("n")), f"order{k}")
+    model = {}
+    for k, t in tables.items():
         some = {r[0]: r[1] for r in t.where("n <= 4").groupBy("n").count().collect()}
         n1, n2, n3, n4 = (float(some.get(i, 0)) for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
         discounts = [min(max(d, 0.05), top) for d, top in ((1 - 2 * y * n2 / max(n1, 1), 0.95), (2 - 3 * y * n3 / max(n2, 1), 1.9), (3 - 4 * y * n4 / max(n3, 1), 2.8))]
-        context = F.shiftright("code", 6)
+        context = F.shiftright("code", 8)
         d = F.when(F.col("n") == 1, discounts[0]).when(F.col("n") == 2, discounts[1]).otherwise(discounts[2])
-        sums = t.groupBy(context.alias("context")).agg(F.sum("n").alias("whole"), F.sum(d).alias("off"))
-        rows = t.withColumn("context", context).join(sums, "context").select("code", ((F.col("n") - d) / F.col("whole")).alias("own"), "context", (F.col("off") / F.col("whole")).alias("rest")).toArrow()
-        if not rows.num_rows:
-            return None
-        own, rest = np.zeros(SYMBOLS**k, np.float32), np.ones(SYMBOLS ** (k - 1), np.float32)
-        own[rows["code"].to_numpy()] = rows["own"].to_numpy()
-        rest[rows["context"].to_numpy()] = rows["rest"].to_numpy()
-        # what a context leaves goes to the shorter one, whose code lacks the first character
-        for first in np.array_split(np.arange(SYMBOLS ** (k - 1)), SYMBOLS if k > 1 else 1):
-            own.reshape(-1, SYMBOLS)[first] += rest[first, None] * p.reshape(-1, SYMBOLS)
-        p = own
-        if k < ORDER:
-            t.unpersist()
-    return np.log2(p)
-
-
-def _score(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            names = batch.schema.names
-            for a, b, data, offsets in text_chunks(batch.column(names.index("text")), 1 << 19):
-                at = offsets - offsets[0]
-                n = np.diff(at)
-                full = np.flatnonzero(n)
-                out = np.full(b - a, np.nan)
-                if len(full):
-                    out[full] = np.exp2(-np.add.reduceat(table[_codes(data, at)].astype(np.float64), at[full]) / n[full])
-                keep = [c for c in names if c != "text"]
-                yield pa.RecordBatch.from_arrays([batch.column(names.index(c)).slice(a, b - a) for c in keep] + [pa.array(out, from_pandas=True)], [*keep, "perplexity"])
-
-    return run
+        sums = cut(t.groupBy(context.alias("context")).agg(F.sum("n").alias("whole"), F.sum(d).alias("off")), f"contexts{k}")
+        own = t.withColumn("context", context).join(sums, "context").select("code", ((F.col("n") - d) / F.col("whole")).alias("own"))
+        model[k] = (own, sums.select("context", (F.col("off") / F.col("whole")).alias("rest")))
+    return model
+
+
+def probabilities(asked: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(code, p) of the asked n-grams (code, each once): the discounted share, and what is left times the shorter one's p."""
+    wanted = {ORDER: asked}
+    for k in range(ORDER - 1, 0, -1):
+        wanted[k] = cut(wanted[k + 1].select(suffix(F.col("code"), k).alias("code")).distinct(), f"asked{k}")
+    shorter = asked.sparkSession.createDataFrame([(0, 1.0 / 256)], "code long, p double")
+    for k in range(1, ORDER + 1):
+        own, rest = model[k]
+        met = (
+            wanted[k].withColumn("context", F.shiftright("code", 8)).withColumn("less", suffix(F.col("code"), k - 1))
+            .join(own, "code", "left").join(rest, "context", "left").join(shorter.withColumnsRenamed({"code": "less", "p": "q"}), "less")
+        )
+        shorter = cut(met.select("code", (F.coalesce("own", F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * F.col("q")).alias("p")), f"p{k}")
+    return shorter
+
+
+def _perplexities(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    codes, place = np.unique(answers.column("code").to_numpy(), return_index=True)
+    bits = np.log2(answers.column("p").to_numpy())[place]
+    texts = texts.combine_chunks()
+    column = texts.column("text").combine_chunks() if texts.num_rows else pa.array([], pa.string())
+    out = np.full(len(column), np.nan)
+    for a, b, data, offsets in text_chunks(column, _CHUNK):
+        at = offsets - offsets[0]
+        n = np.diff(at)
+        full = np.flatnonzero(n)
+        if len(full):
+            each = bits[np.searchsorted(codes, _codes(data, at))]
+            out[a + full] = np.exp2(-np.add.reduceat(each, at[full]) / n[full])
+    return texts.drop_columns(["block", "text"]).append_column("perplexity", pa.array(out, from_pandas=True))
 
 
 def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, trusted, perplexity, threshold, keep) of all rows of docs (doc_id, text, lang); trusted has doc_id."""
-    spark = docs.sparkSession
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    known = ids.count()
-    counts = rows.join(broadcast_if_small(ids, known, BROADCAST_IDS), "doc_id", "left_semi").select("text").mapInArrow(_count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    table = kneser_ney(cut(counts, "ngrams"))
-    words = F.trim(F.translate("text", "\t\n\u000b\u000c\r", "     ")) != ""
-    if table is None:
+    rows = rows.join(broadcast_if_small(ids, ids.count(), BROADCAST_IDS), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    words = F.coalesce(F.trim(F.translate("text", "\t\n\u000b\u000c\r", "     ")) != "", F.lit(False))
+    rows = rows.select("doc_id", "text", "lang", "trusted", words.alias("words"), (F.col("trusted") & (fold("doc_id", HELD_OUT) == 0)).alias("held"))
+    schema = "doc_id long, text string, lang string, trusted boolean, words boolean, held boolean"
+    blocks = cut(rows.mapInArrow(_in_blocks, f"block long, {schema}"), "blocks")
+    counts = cut(blocks.where("trusted and words and not held").select("text").mapInArrow(_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "order5")
+    out = "doc_id long, lang string, trusted boolean, words boolean, held boolean, perplexity double"
+    if counts.isEmpty():
         none = F.lit(None).cast("double")
-        return rows.select("doc_id", "lang", F.lit(False).alias("trusted"), none.alias("perplexity"), none.alias("threshold"), F.coalesce(words, F.lit(False)).alias("keep"))
-    scored = rows.withColumn("words", F.coalesce(words, F.lit(False))).withColumn("bytes", F.octet_length("text")).mapInArrow(_score(spark.sparkContext.broadcast(table)), "doc_id long, lang string, words boolean, bytes int, perplexity double")
-    scored = cut(scored.withColumn("perplexity", F.when(F.col("words"), F.col("perplexity"))).join(broadcast_if_small(ids, known, BROADCAST_IDS), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))), "perplexities")
-    good = scored.where("trusted and perplexity is not null")
-    by_lang = cut(good.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 100_000).alias("own")).where("lang is not null"), "thresholds")
-    overall = good.agg(F.percentile_approx("perplexity", quantile, 100_000).alias("all"))
-    out = scored.join(broadcast_if_small(by_lang, by_lang.count(), 10_000), "lang", "left").withColumn("threshold", F.coalesce("own", overall.scalar()))
-    return out.select("doc_id", "lang", "trusted", "perplexity", "threshold", F.coalesce(F.col("words") & (F.col("perplexity") <= F.col("threshold") * F.exp(SLACK / F.sqrt("bytes"))), F.lit(False)).alias("keep"))
+        return blocks.select("doc_id", "lang", F.lit(False).alias("trusted"), none.alias("perplexity"), none.alias("threshold"), F.col("words").alias("keep"))
+    requests = cut(blocks.where("words").select("block", "text").mapInArrow(_requests, "block long, code long"), "requests")
+    p = probabilities(cut(requests.select("code").distinct(), "asked"), kneser_ney(counts))
+    answers = requests.join(p, "code").select("block", "code", F.col("p"))
+    scored = blocks.where("words").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_perplexities, out)
+    blank = blocks.where("not words").select("doc_id", "lang", "trusted", "words", "held", F.lit(None).cast("double").alias("perplexity"))
+    scored = cut(scored.unionByName(blank), "perplexities")
+    unseen = scored.where("held and perplexity is not null")
+    by_lang = cut(unseen.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 100_000).alias("own")).where("lang is not null"), "thresholds")
+    overall = unseen.agg(F.percentile_approx("perplexity", quantile, 100_000).alias("all"))
+    done = scored.join(broadcast_if_small(by_lang, by_lang.count(), 10_000), "lang", "left").withColumn("threshold", F.coalesce("own", overall.scalar()))
+    fits = F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))
+    return done.select("doc_id", "lang", "trusted", "perplexity", "threshold", F.coalesce(F.col("words") & fits, F.lit(False)).alias("keep"))

@@ -237,15 +237,15 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col:
     text = F.col(text_col).cast("string")
     key = F.xxhash64(F.col(id_col), text)
     anchors = cut(docs.select(key.alias("key"), text.alias("text")).mapInArrow(_anchors(window), "key long, first int, n int, anchor long, digest long"), "anchors")
-    # equal passages are settled once, on one of them: they collapse before their anchors meet
-    different = cut(anchors.groupBy("anchor", "digest").agg(F.count("*").alias("m"), F.min(F.struct("key", "first", "n")).alias("x")), "different")
-    by_anchor = different.groupBy("anchor").agg(F.sum("m").alias("times"), F.count("*").alias("d")).where("times > 1")
-    recurring = cut(by_anchor.select("anchor", (F.col("d") > hot).alias("crowded")), "recurring")
-    distinct = cut(different.join(recurring, "anchor"), "passages")
+    recurring = cut(anchors.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "recurring")
+    # a plain join and a write: Spark splits an anchor with a great share of the rows
+    occurrences = cut(anchors.join(recurring, "anchor"), "occurrences")
+    # equal passages are settled once, on one of them
+    distinct = cut(occurrences.groupBy("anchor", "digest").agg(F.count("*").alias("m"), F.min(F.struct("key", "first", "n")).alias("x")), "passages")
     marks = distinct.groupBy(F.col("x.key").alias("key")).agg(F.collect_list(F.struct("x.first", "x.n", "anchor", "digest", "m")).alias("marks"))
     passages = docs.select(key.alias("key"), text.alias("text")).join(marks, "key").select("text", "marks").mapInArrow(_cut_out(), "anchor long, digest long, m long, passage string")
     schema = "anchor long, digest long, spans array<int>"
-    crowded = recurring.where("crowded").select("anchor")
+    crowded = cut(distinct.groupBy("anchor").agg(F.count("*").alias("d")).where(F.col("d") > hot).select("anchor"), "crowded")
     if crowded.isEmpty():
         located = passages.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_confirm(window), schema)
     else:
@@ -257,7 +257,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col:
     often = F.broadcast(distinct.where(F.col("m") > SHARE * total).select("anchor", "digest", F.ceil(F.col("m") / F.lit(max(1.0, SHARE * total))).cast("int").alias("parts")))
     pairs = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.array(F.col("first") + F.get("spans", i), F.col("first") + F.get("spans", i + 1)))
     found = (
-        anchors.select("key", "first", "anchor", "digest").join(often, ["anchor", "digest"], "left")
+        occurrences.select("key", "first", "anchor", "digest").join(often, ["anchor", "digest"], "left")
         .withColumn("part", F.expr("cast(coalesce(pmod(xxhash64(key, first), parts), 0) as int)")).drop("parts")
         .join(located.join(often, ["anchor", "digest"], "left").withColumn("part", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)"))).drop("parts"), ["anchor", "digest", "part"])
         .select("key", F.explode(pairs).alias("x"))

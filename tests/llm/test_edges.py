@@ -191,5 +191,7 @@ def test_top_k(spark):
     rows = [(0, [1.0, 0.5]), (0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, None), (3, []), (4, [nan, 1.0]), (5, [None, 1.0]), (6, [float("inf"), 1.0]), (7, [0.2, 0.1, 0.3]), (None, [1.0, 1.0]), (8, [-1.0, 0.0]), (9, [1.0, 0.5]), (100, [1e30, 1.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
     got = [tuple(r) for r in topk_search.top_k(v, lambda c: c % 100 == 0).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 1024 * 1024 + 512 * 512), (0, 2, 9, 1024 * 1024 + 512 * 512), (0, 3, 8, -1024 * 1024)]
+    most, same = 2**63 - 1, 1024 * 1024 + 512 * 512
+    assert got[:4] == [(0, 1, 100, most), (0, 2, 1, same), (0, 3, 9, same), (0, 4, 8, -1024 * 1024)]
+    assert got[4:] == [(100, 1, 0, most), (100, 2, 0, most), (100, 3, 1, most), (100, 4, 9, most), (100, 5, 8, -most - 1)]
     assert topk_search.top_k(v.limit(0), lambda c: c % 100 == 0).count() == 0
