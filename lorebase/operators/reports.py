@@ -191,21 +191,61 @@ def stale_entities(evidence: DataFrame, stale_days: int = 1) -> DataFrame:
     return evidence.where(F.col("days_behind") >= stale_days).select("page_id", "days_behind", p.cast("long").alias("priority"))
 
 
-def lint(pages: DataFrame, links: DataFrame, theses: DataFrame, raw_files: DataFrame, facts: DataFrame, events: DataFrame, as_of: str, sample: int = 10) -> DataFrame:
-    """(check, n, sample of ids) of the quality checks."""
+def lint(pages: DataFrame, links: DataFrame, theses: DataFrame, raw_files: DataFrame, facts: DataFrame, events: DataFrame, as_of: str, sample: int = 10, more: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(check, n, sample of ids) of the quality checks; checks that find nothing have no row.
+
+    more: further checks by name with an `id` each, such as failing reports and stale entities of their operators.
+    """
+    from lorebase.operators.entities import alias_conflicts
+    from lorebase.operators.facts import expire
+
     day = F.lit(as_of).cast("date")
     checks = {
         "orphans": orphans(pages, links, as_of).select("id"),
         "stale_theses": theses.where((F.col("status") == "active") & (F.col("update_date") < F.date_sub(day, 30))).select(F.col("page_id").alias("id")),
         "unenriched_stubs": active(pages).where("entity_state = 'stub'").select("id"),
         "pending_raw_files": raw_files.where((F.col("triage_decision") == "pending") & (F.col("create_date") < F.date_sub(day, 7))).select("id"),
-        "expired_facts": active(facts).where(F.col("valid_to").isNull() & (F.col("valid_from") < F.date_sub(day, 365))).select("id"),
+        "expired_facts": expire(facts, as_of, 90).where("expired").select("id"),
         "failing_reviews": latest_review(events).where("status = 'fail'").select(F.col("page_id").alias("id")),
-    }
-    out = None
+        "alias_conflicts": alias_conflicts(pages).select(F.col("first_id").alias("id")),
+    } | {name: df.select("id") for name, df in (more or {}).items()}
+    rows = None
     for name, df in checks.items():
-        # only the smallest ids travel: the sample of each check is cut before it is gathered
-        some = df.orderBy("id").limit(sample).agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("sample"))
-        row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n", some.scalar().alias("sample"))
-        out = row if out is None else out.unionByName(row)
-    return out
+        one = df.select(F.lit(name).alias("check"), F.col("id").cast("long").alias("id"))
+        rows = one if rows is None else rows.unionByName(one)
+    # one pass: counts, and the smallest ids of each task before they meet
+    rank = F.row_number().over(Window.partitionBy("check").orderBy("id"))
+    n = rows.groupBy("check").agg(F.count("*").alias("n"))
+    few = rows.withColumn("k", rank).where(F.col("k") <= sample).groupBy("check").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("sample"))
+    return n.join(few, "check")
+
+
+def usage_by_skill(usage: DataFrame, jobs: DataFrame, limit: int = 50) -> DataFrame:
+    """Tokens of agent runs by skill, most first; usage without a job counts under no skill."""
+    skill = jobs.select(F.col("id").alias("job_id"), "skill")
+    g = usage.where("source = 'agent_runtime'").join(skill, "job_id", "left").groupBy("skill").agg(F.countDistinct("job_id").alias("jobs"), F.count("*").alias("requests"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+    return g.orderBy(F.desc(F.col("tokens_in") + F.col("tokens_out")), F.col("skill").asc_nulls_last()).limit(limit)
+
+
+def usage_recent(usage: DataFrame, limit: int = 50) -> DataFrame:
+    return usage.orderBy(F.desc("create_time"), F.desc("id")).limit(limit)
+
+
+def comment_threads(comments: DataFrame) -> DataFrame:
+    """Comments of each page in the order of time, numbered."""
+    rn = F.row_number().over(Window.partitionBy("page_id").orderBy("create_date", "id"))
+    return comments.select("page_id", rn.alias("rn"), "id", "author", "intent")
+
+
+def facts_risk(pages: DataFrame, facts: DataFrame, tables: DataFrame, limit: int = 30) -> DataFrame:
+    """(page_id, facts, tables, numbers, has_block, risk) of pages (page_id, content) with tables (page_id) or a fact block.
+
+    risk is high for tables without facts, medium for one fact at most, else none. The limit, by fewest facts, applies before the risk.
+    """
+    n = active(facts).groupBy(F.col("source_page_id").alias("page_id")).agg(F.count("*").alias("facts"))
+    t = tables.groupBy("page_id").agg(F.count("*").alias("tables"))
+    block = F.col("content").rlike(r"(?i)<!--\s*facts\b")
+    rows = pages.join(n, "page_id", "left").join(t, "page_id", "left").fillna(0, ["facts", "tables"]).withColumn("has_block", F.coalesce(block, F.lit(False))).where("tables > 0 OR has_block")
+    first = rows.orderBy("facts", "page_id").limit(limit)
+    risk = F.when((F.col("tables") > 0) & (F.col("facts") == 0), "high").when(F.col("facts") <= 1, "medium")
+    return first.select("page_id", "facts", "tables", F.regexp_count("content", F.lit(r"\d+(?:[.,]\d+)*%?")).alias("numbers"), "has_block", risk.alias("risk")).where("risk IS NOT NULL")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,19 +159,61 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, pool: int = 50) -> DataFrame:
-    """(query_id, id, score, rn): nearest vectors by 1 / (1 + cosine distance). queries: a stated set, checked to be small."""
-    n = queries.count()
-    if n > 10_000:
-        raise ValueError("search in blocks of 10,000 queries at most")
-    sim = cosine(F.col("q"), F.col("embedding"))
-    # a stated set of queries against all rows, as one broadcast row that each vector meets
-    block = queries.agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"))).alias("block"))
-    rows = vectors.where("embedding IS NOT NULL").select("id", "embedding").withColumn("block", block.scalar())
-    scored = rows.select("id", "embedding", F.explode("block").alias("x")).select("id", "embedding", "x.query_id", "x.q").where("id <> query_id")
-    scored = scored.select("query_id", "id", F.round(1 / (1 + (1 - sim)), 5).alias("score"))
+#: Queries of a pass over all vectors: a block of them goes to every task.
+QUERY_BLOCK = 4096
+
+
+def _nearest(shared, pool: int):
+    """Per task the best `pool` of each query and dimension, and what may round to the same score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            ids, vectors = batch.column(0).to_numpy(), batch.column(1)
+            at, flat = vectors.offsets.to_numpy(), vectors.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+            for n, (qids, q) in shared.value.items():
+                own = np.flatnonzero(np.diff(at) == n)
+                for i in range(0, len(own), 4096):
+                    rows = own[i : i + 4096]
+                    v = np.nan_to_num(flat[at[:-1][rows][:, None] + np.arange(n)])
+                    norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)
+                    sim = np.divide(q @ v.T, norm, out=np.zeros_like(norm), where=norm > 0)
+                    s = np.where(qids[:, None] == ids[rows], -np.inf, 1 / (2 - sim))
+                    have, scores = best.get(n, (np.zeros((len(qids), 0), np.int64), np.zeros((len(qids), 0))))
+                    have, scores = np.concatenate([have, np.broadcast_to(ids[rows], s.shape)], 1), np.concatenate([scores, s], 1)
+                    keep = min(scores.shape[1], 2 * pool)
+                    place = np.lexsort((have, -np.round(scores, 5)), axis=1)[:, :keep]
+                    best[n] = np.take_along_axis(have, place, 1), np.take_along_axis(scores, place, 1)
+        for n, (have, scores) in best.items():
+            qids = np.repeat(shared.value[n][0], have.shape[1])
+            fine = np.isfinite(scores.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(qids[fine]), pa.array(have.ravel()[fine]), pa.array(scores.ravel()[fine])], ["query_id", "id", "score"])
+
+    return run
+
+
+def vector_search(queries: DataFrame, vectors: DataFrame, pool: int = 50, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, score, rn): nearest vectors by 1 / (1 + cosine distance), to five decimals, ties by id; never the query's own id.
+
+    The queries are a stated set, taken in blocks of about `block`; each block is one pass in which tasks keep their
+    best before anything is shuffled. A zero vector has cosine 0 with all; a vector meets those of its own length.
+    """
+    spark = queries.sparkSession
+    whole = lambda df: df.where(F.col("embedding").isNotNull()).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    asked = whole(queries.select("query_id", "embedding"))
+    parts = max(1, -(-asked.count() // block))
+    rows = whole(vectors.select("id", "embedding"))
+    out = None
+    for part in range(parts):
+        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) if parts > 1 else asked
+        own: dict[int, list] = {}
+        for r in mine.collect():  # about `block` rows
+            own.setdefault(len(r[1]), []).append(r)
+        shared = spark.sparkContext.broadcast({n: (np.array([r[0] for r in x], np.int64), np.nan_to_num(np.array([r[1] for r in x], float).reshape(len(x), n))) for n, x in own.items()})
+        found = rows.mapInArrow(_nearest(shared, pool), "query_id long, id long, score double")
+        out = found if out is None else out.unionByName(found)
     rn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rn", rn).where(F.col("rn") <= pool)
+    return out.withColumn("score", F.round("score", 5)).withColumn("rn", rn).where(F.col("rn") <= pool)
 
 
 def rrf_fuse(lists: list[DataFrame], k: int = 60) -> DataFrame:
@@ -242,16 +288,28 @@ def query_variants(variants: DataFrame, most: int = 2) -> DataFrame:
 
 
 def fuzzy_suggest(hints: DataFrame, titles: DataFrame, min_sim: float = 0.15, limit: int = 5) -> DataFrame:
-    """(hint_id, id, similarity, rank): titles by trigram similarity to hints (hint_id, text), through the trigrams they share."""
+    """(hint_id, id, similarity, rank): titles by trigram similarity to hints (hint_id, text), ties to the smaller id.
+
+    Hints meet titles through prefixes: with its trigrams from the rarest on, a text of n keeps n - ceil(min_sim * n) + 1;
+    texts that are alike enough share one of these. The pairs are then compared on all their trigrams.
+    """
     from lorebase.operators.similarity import trigrams
 
-    h = hints.withColumn("g", trigrams(F.col("text"))).select("hint_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    t = titles.withColumn("g", trigrams(F.col("title"))).select("id", F.size("g").alias("m"), F.explode("g").alias("gram"))
-    shared = h.join(t, "gram").groupBy("hint_id", "id", "n", "m").agg(F.count("*").alias("both"))
-    sim = F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
+    h = hints.select("hint_id", trigrams(F.col("text")).alias("g")).where(F.size("g") > 0)
+    t = titles.select("id", trigrams(F.col("title")).alias("g")).where(F.size("g") > 0)
+    often = t.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+    def prefixes(df: DataFrame, key: str) -> DataFrame:
+        rows = df.select(key, F.size("g").alias("size"), F.explode("g").alias("gram")).join(often, "gram", "left")
+        place = F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("n", F.lit(0)), "gram"))
+        return rows.withColumn("k", place).where(F.col("k") <= F.col("size") - F.ceil(F.col("size") * (min_sim - 1e-9)) + 1).select(key, "gram", "size")
+
+    p, q = prefixes(h, "hint_id"), prefixes(t, "id").withColumnRenamed("size", "other")
+    pairs = p.join(q, "gram").where(F.least("size", "other") >= (min_sim - 1e-9) * F.greatest("size", "other")).select("hint_id", "id").distinct()
+    both = pairs.join(h.withColumnRenamed("g", "a"), "hint_id").join(t.withColumnRenamed("g", "b"), "id").withColumn("both", F.size(F.array_intersect("a", "b")))
+    sim = F.col("both") / (F.size("a") + F.size("b") - F.col("both"))
     rank = F.row_number().over(Window.partitionBy("hint_id").orderBy(F.desc("similarity"), "id"))
-    kept = shared.where(sim >= min_sim).select("hint_id", "id", F.round(sim, 6).alias("similarity"))
-    return kept.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return both.where(sim >= min_sim).select("hint_id", "id", F.round(sim, 6).alias("similarity")).withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
 def cap_hits(hits: DataFrame, per_page: int = 3, type_share: float = 0.6) -> DataFrame:

@@ -88,22 +88,19 @@ def e10(part, links, facts, timeline, signals):
 
 
 @query("e13_retire_candidates", "fx_pages", "fx_links", "fx_facts", "fx_timeline", "fx_signals", oracle="""
-WITH u AS (SELECT from_page_id AS id FROM fx_links WHERE deleted = 0 AND link_source = 'manual' AND link_type = 'confirms' UNION SELECT to_page_id FROM fx_links WHERE deleted = 0 AND link_source = 'manual' AND link_type = 'confirms' UNION SELECT entity_page_id FROM fx_facts WHERE deleted = 0 AND period = 'FY1997' UNION SELECT source_page_id FROM fx_facts WHERE deleted = 0 AND period = 'FY1997'
+WITH u AS (SELECT from_page_id AS id FROM fx_links WHERE deleted = 0 UNION SELECT to_page_id FROM fx_links WHERE deleted = 0 UNION SELECT entity_page_id FROM fx_facts WHERE deleted = 0 UNION SELECT source_page_id FROM fx_facts WHERE deleted = 0
 UNION SELECT entity_page_id FROM fx_timeline UNION SELECT source_page_id FROM fx_timeline UNION SELECT entity_page_id FROM fx_signals UNION SELECT source_page_id FROM fx_signals)
 SELECT id, slug, length(content)::INTEGER AS chars FROM fx_pages p WHERE deleted = 0 AND entity_state IN ('stub', 'candidate_promoted') AND length(content) <= 300 AND NOT EXISTS (SELECT 1 FROM u WHERE u.id = p.id)""")
 def e13(pages, links, facts, timeline, signals):
-    """With the manual confirmations and the facts of one year as the references there are."""
-    return e.retire_candidates(pages, links.where("link_source = 'manual' AND link_type = 'confirms'"), facts.where("period = 'FY1997'"), timeline, signals)
+    return e.retire_candidates(pages, links, facts, timeline, signals)
 
 
-@query("e15_demotable_pages", "fx_pages", "fx_links", "fx_timeline", "fx_signals", oracle=f"""
-WITH l AS (SELECT 1000000 + to_page_id % 60 AS to_page_id, from_page_id, weight, link_type, link_source, NULL AS origin_field FROM fx_links WHERE deleted = 0 AND link_type = 'mention' AND link_source = 'markdown'),
-i AS (SELECT to_page_id AS id, count(*) FILTER (WHERE NOT coalesce({_E}, false)) AS weak, count(*) FILTER (WHERE coalesce({_E}, false)) AS strong, count(DISTINCT from_page_id) AS origins FROM l GROUP BY 1)
+@query("e15_demotable_pages", "fx_pages", "fx_links", "fx_facts", "fx_timeline", "fx_signals", oracle=f"""
+WITH i AS (SELECT to_page_id AS id, count(*) FILTER (WHERE NOT coalesce({_E}, false)) AS weak, count(*) FILTER (WHERE coalesce({_E}, false)) AS strong, count(DISTINCT from_page_id) AS origins FROM fx_links WHERE deleted = 0 GROUP BY 1)
 SELECT p.id, p.slug, weak, origins FROM fx_pages p JOIN i USING (id) WHERE strong = 0 AND weak > 0 AND deleted = 0 AND {_ENTITY} AND entity_state = 'stub' AND ticker IS NULL AND exchange IS NULL AND length(content) <= 1300
-AND NOT EXISTS (SELECT 1 FROM fx_timeline t WHERE t.entity_page_id = p.id AND t.id % 1000 = 0) AND NOT EXISTS (SELECT 1 FROM fx_signals s WHERE s.entity_page_id = p.id AND s.id % 500 = 0)""")
-def e15(pages, links, timeline, signals):
-    weak = links.where("link_type = 'mention' AND link_source = 'markdown'").withColumn("to_page_id", 1000000 + F.col("to_page_id") % 60).withColumn("origin_field", F.lit(None).cast("string"))
-    return e.demotable_pages(pages, weak, timeline.where("id < 0"), timeline.where("id % 1000 = 0"), signals.where("id % 500 = 0"))
+AND NOT EXISTS (SELECT 1 FROM fx_facts t WHERE t.entity_page_id = p.id AND t.deleted = 0) AND NOT EXISTS (SELECT 1 FROM fx_timeline t WHERE t.entity_page_id = p.id) AND NOT EXISTS (SELECT 1 FROM fx_signals s WHERE s.entity_page_id = p.id)""")
+def e15(pages, links, facts, timeline, signals):
+    return e.demotable_pages(pages, links, facts, timeline, signals)
 
 
 _MENTIONS = """m AS (SELECT slug, count(DISTINCT source_page_id) AS evidence_count, string_agg(DISTINCT alias, ',' ORDER BY alias) AS aliases, CASE WHEN regexp_matches(split_part(slug, '/', 2), '^(unknown|major-)') THEN 'rejected' ELSE 'pending' END AS status FROM fx_mentions GROUP BY 1)"""
@@ -139,9 +136,9 @@ def e28(pages):
 
 
 @query("e33_bootstrap_states", "fx_pages", "fx_events", oracle=f"""
-SELECT p.id, CASE WHEN length(content) <= 300 AND d.id IS NULL THEN CASE WHEN confidence = 'low' THEN 'stub' ELSE 'candidate_promoted' END ELSE 'compiled' END AS state FROM fx_pages p LEFT JOIN (SELECT DISTINCT entity_id AS id FROM fx_events WHERE action = 'enrich' AND value > 120) d USING (id) WHERE p.deleted = 0 AND {_ENTITY}""")
+SELECT p.id, CASE WHEN length(content) <= 300 AND d.id IS NULL THEN CASE WHEN confidence = 'low' THEN 'stub' ELSE 'candidate_promoted' END ELSE 'compiled' END AS state FROM fx_pages p LEFT JOIN (SELECT DISTINCT entity_id AS id FROM fx_events WHERE action = 'enrich') d USING (id) WHERE p.deleted = 0 AND {_ENTITY}""")
 def e33(pages, events):
-    return e.bootstrap_states(pages, events.where("value > 120"))
+    return e.bootstrap_states(pages, events)
 
 
 @query("e20_resolve_candidates", "fx_mentions", oracle=f"""
@@ -174,3 +171,43 @@ SELECT a, b, CASE WHEN dup_chars = 0 THEN 'auto_merge' WHEN dup_chars > 8000 OR
 def e8(chunks):
     i = F.col("id")
     return e.merge_risk(chunks.select(i.alias("a"), (i + 1).alias("b"), (i % 5 * 2500).alias("dup_chars"), ((i % 13).cast("double") / 10).alias("ratio"), (i % 11).alias("sections"), (i % 2 == 0).alias("has_updates"), ((i % 8).cast("double") / 10).alias("overlap")))
+
+
+def _named_pairs(pages):
+    """Pairs of pages that share a name: each with the smallest id."""
+    keys = e.alias_keys(pages)
+    low = keys.groupBy("type", "key").agg(F.min("id").alias("a"))
+    return keys.join(low, ["type", "key"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
+_PAIRS = f"{_KEYS}, l AS (SELECT type, key, min(id) AS a FROM k GROUP BY 1, 2), pr AS (SELECT DISTINCT a, id AS b FROM k JOIN l USING (type, key) WHERE id <> a)"
+
+
+@query("e6_choose_canonical_of_conflicts", "fx_pages", "fx_links", oracle=f"""
+WITH {_PAIRS}, c AS (SELECT to_page_id AS id, count(*) FILTER (WHERE {_E}) AS n FROM fx_links WHERE deleted = 0 GROUP BY 1),
+s AS (SELECT p.id, 100 * CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END + 10 * coalesce(n, 0) + 10 * coalesce(completeness_score, 0) + len(string_split(alias_csv, ',')) AS rank FROM fx_pages p LEFT JOIN c USING (id))
+SELECT a, b, CASE WHEN y.rank > x.rank THEN b ELSE a END AS canonical FROM pr JOIN s x ON x.id = a JOIN s y ON y.id = b""")
+def e6b(pages, links):
+    return e.choose_canonical(pages, links, _named_pairs(pages))
+
+
+@query("e7_overlaps_of_conflicts", "fx_pages", oracle=rf"""
+WITH {_PAIRS}, w AS (SELECT id, list_distinct([x FOR x IN regexp_split_to_array(lower(content), '[^\p{{L}}\p{{N}}]+') IF length(x) >= 3]) AS w, list_distinct([lower(trim(x)) FOR x IN string_split(alias_csv, ',')]) AS al FROM fx_pages)
+SELECT a, b, round(CASE WHEN len(x.w) = 0 OR len(y.w) = 0 THEN 0.0 ELSE len(list_intersect(x.w, y.w))::DOUBLE / least(len(x.w), len(y.w)) END, 6) AS narrative, round(len(list_intersect(x.al, y.al))::DOUBLE / greatest(len(x.al), len(y.al)), 6) AS aliases FROM pr JOIN w x ON x.id = a JOIN w y ON y.id = b""")
+def e7b(pages):
+    w = pages.select("id", e.narrative_tokens(F.col("content")).alias("w"), F.array_distinct(F.transform(F.split("alias_csv", ","), lambda x: F.lower(F.trim(x)))).alias("al"))
+    both = _named_pairs(pages).join(w.withColumnsRenamed({"id": "a", "w": "wa", "al": "la"}), "a").join(w.withColumnsRenamed({"id": "b", "w": "wb", "al": "lb"}), "b")
+    return both.select("a", "b", F.round(e.overlap(F.col("wa"), F.col("wb"), smaller=True), 6).alias("narrative"), F.round(e.overlap(F.col("la"), F.col("lb"), smaller=False), 6).alias("aliases"))
+
+
+@query("e1_word_similarity", "nation", "part", oracle=r"""
+WITH t AS (SELECT p_partkey AS id, n_nationkey AS hint_id FROM part JOIN nation ON p_partkey % 25 = n_nationkey) SELECT id, hint_id, CAST(1.0 AS DOUBLE) AS whole, CAST(0.0 AS DOUBLE) AS none FROM t""")
+def e1b(nation, part):
+    rows = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("title"), (F.col("p_partkey") % 25).cast("int").alias("n_nationkey")).join(nation.select("n_nationkey"), "n_nationkey")
+    rows = rows.select("id", F.col("n_nationkey").alias("hint_id"), F.element_at(F.split("title", " "), 1).alias("word"), "title", F.lit("qqq").alias("other"))
+    return rows.select("id", "hint_id", sim.word_similarity(F.col("word"), F.col("title")).alias("whole"), sim.word_similarity(F.col("other"), F.col("title")).alias("none"))
+
+
+@query("e2_duplicate_pages", "fx_pages", "fx_links")
+def e2c(pages, links):
+    return sim.duplicate_pages(pages.where("deleted = 0 AND " + _ENTITY), links, 0.7)

@@ -1,6 +1,9 @@
 """Queries of the reports."""
 
+from pyspark.sql import functions as F
+
 from lorebase.operators import reports as r
+from lorebase.operators import reviews as v
 from lorebase.plans.catalog import query
 
 _E = "(weight >= 0.9 OR link_type <> 'mention' OR (link_source = 'frontmatter' AND origin_field = 'primary_entities') OR origin_field IN ('facts_block', 'timeline_block'))"
@@ -23,14 +26,43 @@ ev AS (SELECT p.page_id, completeness_score, coalesce(so.n, 0) AS new_sources, c
  FROM p LEFT JOIN so USING (page_id) LEFT JOIN fa USING (page_id) LEFT JOIN ti USING (page_id) LEFT JOIN si USING (page_id) WHERE greatest(so.m, fa.m, ti.m, si.m) IS NOT NULL)"""
 
 
-@query("q1_lint", "fx_pages", "fx_links", "fx_theses", "fx_raw_files", "fx_facts", "fx_events", oracle=f"""
-WITH {_REVIEW}, c AS (SELECT 'orphans' AS "check", id FROM fx_pages p WHERE deleted = 0 AND {_ENTITY} AND NOT EXISTS (SELECT 1 FROM fx_links l WHERE l.deleted = 0 AND l.to_page_id = p.id)
+@query("q1_lint", "fx_pages", "fx_links", "fx_theses", "fx_raw_files", "fx_facts", "fx_events", "fx_timeline", "fx_signals", oracle=f"""
+WITH {_REVIEW}, {_EVIDENCE}, ak AS (SELECT DISTINCT id, type, lower(trim(u)) AS key FROM (SELECT id, type, unnest(list_concat([title, split_part(slug, '/', 2)], string_split(alias_csv, ','))) AS u FROM fx_pages WHERE deleted = 0 AND {_ENTITY}) WHERE lower(trim(u)) <> ''),
+ck AS (SELECT 'orphans' AS "check", id FROM fx_pages p WHERE deleted = 0 AND {_ENTITY} AND NOT EXISTS (SELECT 1 FROM fx_links l WHERE l.deleted = 0 AND l.to_page_id = p.id)
 UNION ALL SELECT 'stale_theses', page_id FROM fx_theses WHERE status = 'active' AND update_date < DATE '2024-02-20' - 30 UNION ALL SELECT 'unenriched_stubs', id FROM fx_pages WHERE deleted = 0 AND entity_state = 'stub'
-UNION ALL SELECT 'pending_raw_files', id FROM fx_raw_files WHERE triage_decision = 'pending' AND create_date < DATE '2024-02-20' - 7 UNION ALL SELECT 'expired_facts', id FROM fx_facts WHERE deleted = 0 AND valid_to IS NULL AND valid_from < DATE '2024-02-20' - 365
-UNION ALL SELECT 'failing_reviews', page_id FROM v WHERE status = 'fail'), k AS (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY id) AS rn, count(*) OVER (PARTITION BY "check") AS n FROM c)
+UNION ALL SELECT 'pending_raw_files', id FROM fx_raw_files WHERE triage_decision = 'pending' AND create_date < DATE '2024-02-20' - 7 UNION ALL SELECT 'expired_facts', id FROM fx_facts WHERE deleted = 0 AND valid_to IS NULL AND make_date(CAST(substr(period, 3, 4) AS BIGINT), 12, 31) < DATE '2024-02-20' - 90
+UNION ALL SELECT 'failing_reviews', page_id FROM v WHERE status = 'fail' UNION ALL SELECT 'alias_conflicts', min(id) FROM ak GROUP BY type, key HAVING count(*) > 1
+UNION ALL SELECT 'stale_entities', page_id FROM ev WHERE days_behind >= 1 UNION ALL SELECT 'failing_outputs', id FROM fx_pages WHERE type = 'industry'), k AS (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY id) AS rn, count(*) OVER (PARTITION BY "check") AS n FROM ck)
 SELECT "check", any_value(n) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS sample FROM k WHERE rn <= 10 GROUP BY 1""")
-def q1(pages, links, theses, raw_files, facts, events):
-    return r.lint(pages, links, theses, raw_files, facts, events, "2024-02-20")
+def q1(pages, links, theses, raw_files, facts, events, timeline, signals):
+    stale = r.stale_entities(r.entity_evidence(pages, links, facts, timeline, signals, "2001-12-31"), 1).select(F.col("page_id").alias("id"))
+    # the industries' bodies stand for reports: none has the sections of one
+    reports = pages.where("type = 'industry'").select(F.col("id").alias("page_id"), "slug", "content", F.lit(None).cast("string").alias("frontmatter"))
+    failing = v.output_issues(reports).where("severity = 'error'").select(F.col("page_id").alias("id")).distinct()
+    return r.lint(pages, links, theses, raw_files, facts, events, "2024-02-20", more={"stale_entities": stale, "failing_outputs": failing})
+
+
+@query("q17_usage_by_skill", "fx_usage", "fx_jobs", oracle="""
+SELECT skill, count(DISTINCT job_id) AS jobs, count(*) AS requests, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out FROM fx_usage u LEFT JOIN (SELECT id AS job_id, skill FROM fx_jobs) j USING (job_id) WHERE source = 'agent_runtime' GROUP BY 1 ORDER BY 4 + 5 DESC LIMIT 50""")
+def q17b(usage, jobs):
+    return r.usage_by_skill(usage, jobs)
+
+
+@query("q17_usage_recent", "fx_usage", oracle="SELECT id, source, model, tokens_in, tokens_out FROM fx_usage ORDER BY create_time DESC, id DESC LIMIT 50")
+def q17c(usage):
+    return r.usage_recent(usage).select("id", "source", "model", "tokens_in", "tokens_out")
+
+
+@query("q13_comment_threads", "fx_comments", oracle="SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY create_date, id) AS INTEGER) AS rn, id, author, intent FROM fx_comments")
+def q13b(comments):
+    return r.comment_threads(comments)
+
+
+@query("q8_facts_risk", "fx_fact_pages", "fx_facts", "fx_table_blocks", oracle="""
+WITH n AS (SELECT page_id, 0 AS facts, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 0 END AS tables, len(regexp_extract_all(content, '[0-9]+(?:[.,][0-9]+)*%?')) AS numbers FROM fx_fact_pages ORDER BY page_id LIMIT 1000)
+SELECT page_id, CAST(facts AS BIGINT) AS facts, CAST(tables AS BIGINT) AS tables, CAST(numbers AS INTEGER) AS numbers, true AS has_block, CASE WHEN tables > 0 THEN 'high' ELSE 'medium' END AS risk FROM n""")
+def q8b(pages, facts, blocks):
+    return r.facts_risk(pages.select("page_id", "content"), facts, blocks.where("doc_id % 2 = 0").select(F.col("doc_id").alias("page_id")), 1000)
 
 
 @query("q3_latest_review", "fx_events", oracle=f"WITH {_REVIEW} SELECT page_id, id, status, ts, reviews FROM v")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lorebase.operators import graph as g
+from lorebase.operators import hybrid as hy
 from lorebase.operators import search as s
 from lorebase.plans.catalog import query
 
@@ -43,11 +44,11 @@ def r3(benchmark, chunks):
 
 
 @query("r4_vector_search", "embeddings", oracle="""
-WITH v AS (SELECT vec_id AS id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), p AS (SELECT q.id AS query_id, v.id, round(1 / (1 + (1 - list_cosine_similarity(q.e, v.e))), 5) AS score FROM v q JOIN v ON q.id < 5 AND v.id <> q.id),
+WITH v AS (SELECT vec_id AS id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), p AS (SELECT q.id AS query_id, v.id, round(1 / (1 + (1 - list_cosine_similarity(q.e, v.e))), 5) AS score FROM v q JOIN v ON q.id % 20 = 0 AND v.id <> q.id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rn FROM p) SELECT * FROM r WHERE rn <= 20""")
 def r4(embeddings):
     v = embeddings.select(F.col("vec_id").alias("id"), "embedding")
-    return s.vector_search(v.where("id < 5").withColumnRenamed("id", "query_id"), v, 20)
+    return s.vector_search(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v, 20)
 
 
 _CASES = " ".join(f"WHEN starts_with(slug, '{p}') THEN {x}" for p, x in sorted(s.SOURCE_FACTORS.items(), key=lambda p: -len(p[0])))
@@ -110,10 +111,11 @@ SELECT query_id, round(coalesce(found, 0) / 5, 6) AS precision, round(coalesce(f
 def r16(benchmark, chunks, documents):
     kw = s.keyword_search(_queries(benchmark), _index(chunks), 20)
     head = F.substring("text", 1, 40)
-    # documents that hold an item's first words: joined on the first whole word, then confirmed
-    items = benchmark.select(F.col("item_id").alias("query_id"), head.alias("head")).withColumn("w", F.element_at(F.split("head", r"\s+"), 2))
-    words = documents.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
-    met = words.join(items, "w").where(F.col("text").contains(F.col("head")))
+    # documents that hold an item's first words: joined on the longest whole word, without the texts, then confirmed
+    inner = F.slice(F.split("head", r"\s+"), F.lit(2), F.greatest(F.size(F.split("head", r"\s+")) - 2, F.lit(1)))
+    items = benchmark.select(F.col("item_id").alias("query_id"), head.alias("head")).withColumn("w", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    words = documents.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
+    met = words.join(items, "w").join(documents.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("head")))
     qrels = met.groupBy("query_id", (7000000 + F.col("doc_id") % 50).alias("page_id")).agg(F.count("*").alias("grade"))
     return s.evaluate(kw, qrels, 5)
 
@@ -176,3 +178,60 @@ def _hybrid(benchmark, chunks, embeddings):
 @query("r14_hybrid_search", "benchmark", "fx_chunks", "embeddings", oracle=f"WITH {_FUSED} SELECT query_id, page_id, score, rank FROM hy")
 def r14(benchmark, chunks, embeddings):
     return _hybrid(benchmark, chunks, embeddings)
+
+
+def _chunk_table(chunks):
+    kind = F.when(F.col("page_id") % 3 == 0, "company").when(F.col("page_id") % 3 == 1, "concept").otherwise("source")
+    slug = F.concat(F.when(kind == "company", "companies/p").when(kind == "concept", "concepts/p").otherwise("sources/MS-p"), F.col("page_id").cast("string"))
+    return chunks.withColumn("type", kind).withColumn("slug", slug)
+
+
+def _whole_hybrid(benchmark, chunks, embeddings, limit=10):
+    vectors = embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    own = benchmark.select(F.col("item_id").alias("query_id")).join(vectors.withColumnRenamed("id", "query_id"), "query_id")
+    backlinks = chunks.groupBy("page_id").agg(F.count_if(F.col("chunk_type") == "compiled_truth").alias("backlinks"))
+    return hy.hybrid_chunks(_queries(benchmark), own, _index(chunks), _chunk_table(chunks), vectors, backlinks, limit=limit)
+
+
+@query("r14_hybrid_chunks", "benchmark", "fx_chunks", "embeddings")
+def r14b(benchmark, chunks, embeddings):
+    return _whole_hybrid(benchmark, chunks, embeddings)
+
+
+@query("r11_dedupe_hits", "benchmark", "fx_chunks", "embeddings")
+def r11b(benchmark, chunks, embeddings):
+    found = _chunk_table(chunks).join(hy.keyword_chunks(_queries(benchmark), _index(chunks), _chunk_table(chunks), 30).select("query_id", "id", "score"), "id")
+    return hy.dedupe_hits(found.select("query_id", "page_id", "id", "score", "type", "chunk_type", "chunk_text", F.lit(2).alias("per_page")))
+
+
+def _qrels(benchmark, documents):
+    head = benchmark.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("head"))
+    inner = F.slice(F.split("head", r"\s+"), F.lit(2), F.greatest(F.size(F.split("head", r"\s+")) - 2, F.lit(1)))
+    items = head.withColumn("w", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    words = documents.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
+    met = words.join(items, "w").join(documents.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("head")))
+    return met.groupBy("query_id", (7000000 + F.col("doc_id") % 50).alias("page_id")).agg(F.count("*").alias("grade"))
+
+
+_MEANS = "SELECT '{0}' AS config, round(avg(precision), 5) AS precision, round(avg(recall), 5) AS recall, round(avg(mrr), 5) AS mrr, round(avg(ndcg), 5) AS ndcg, count(*) AS queries FROM e_{0}"
+_EVAL = """m_{0} AS (SELECT query_id, count(*) AS found, min(rn) AS first, sum(grade / log2(rn + 1)) AS dcg FROM {1} JOIN qr USING (query_id, page_id) WHERE rn <= 5 GROUP BY 1),
+e_{0} AS (SELECT query_id, round(coalesce(found, 0) / 5, 6) AS precision, round(coalesce(found, 0) / relevant, 6) AS recall, round(coalesce(1 / first, 0.0), 6) AS mrr, round(coalesce(dcg / ideal, 0.0), 6) AS ndcg FROM i LEFT JOIN m_{0} USING (query_id))"""
+
+
+@query("r17_run_eval", "benchmark", "fx_chunks", "embeddings", "documents", oracle=f"""
+WITH {_KEYWORD}, {_VECTOR}, {_QRELS}, i AS (SELECT query_id, count(*) AS relevant, sum(grade / log2(i + 1)) FILTER (WHERE i <= 5) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, page_id) AS i FROM qr) GROUP BY 1),
+{_EVAL.format("keyword", "kw")}, {_EVAL.format("vector", "vc")} {_MEANS.format("keyword")} UNION ALL {_MEANS.format("vector")}""")
+def r17(benchmark, chunks, embeddings, documents):
+    from pyspark.sql import Window
+
+    kw = s.keyword_search(_queries(benchmark), _index(chunks), 20)
+    v = embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    own = benchmark.select(F.col("item_id").alias("query_id")).join(v.withColumnRenamed("id", "query_id"), "query_id")
+    pages = s.vector_search(own, v, 20).groupBy("query_id", (7000000 + F.col("id") % 50).alias("page_id")).agg(F.min("rn").alias("best"))
+    vec = pages.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("best")))
+    return hy.run_eval({"keyword": kw, "vector": vec}, _qrels(benchmark, documents), 5)
+
+
+@query("r17_run_eval_hybrid", "benchmark", "fx_chunks", "embeddings", "documents")
+def r17b(benchmark, chunks, embeddings, documents):
+    return hy.run_eval({"hybrid": _whole_hybrid(benchmark, chunks, embeddings).withColumnRenamed("rank", "rn")}, _qrels(benchmark, documents), 5)
