@@ -8,11 +8,27 @@ from pyspark.sql import functions as F
 from lorebase.functions.text import wikilinks
 
 
-def sync_raw_files(upstream: DataFrame, existing: DataFrame, per_type: int) -> DataFrame:
-    """New upstream rows (research_id, research_type, create_date), newest first, at most per_type of each type; rows already there use up the quota."""
+def sync_raw_files(upstream: DataFrame, existing: DataFrame, per_type: int, start: str | None = None, end: str | None = None, research_ids: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
+    """New upstream rows (research_id, research_type, create_date), newest first, at most per_type of each type; rows already there use up the quota.
+
+    Where upstream has parse_status and markdown_url, only completed rows with a text count. The days from start up
+    to, but without, end count, unless ids are given.
+    """
+    rows = upstream
+    if "parse_status" in rows.columns:
+        rows = rows.where("parse_status = 'completed'")
+    if "markdown_url" in rows.columns:
+        rows = rows.where("markdown_url IS NOT NULL")
+    if research_ids is not None:
+        rows = rows.where(F.col("research_id").isin(research_ids))
+    else:
+        rows = rows.where(F.col("create_date") >= F.lit(start).cast("date")) if start else rows
+        rows = rows.where(F.col("create_date") < F.lit(end).cast("date")) if end else rows
+    if types is not None:
+        rows = rows.where(F.col("research_type").isin(types))
     here = existing.select("research_id").distinct().withColumn("here", F.lit(True))
     rn = F.row_number().over(Window.partitionBy("research_type").orderBy(F.desc("create_date"), "research_id"))
-    return upstream.withColumn("rn", rn).where(F.col("rn") <= per_type).join(here, "research_id", "left").where("here IS NULL").select("research_id", "research_type", "create_date", "rn")
+    return rows.withColumn("rn", rn).where(F.col("rn") <= per_type).join(here, "research_id", "left").where("here IS NULL").select("research_id", "research_type", "create_date", "rn")
 
 
 def pending_raw_files(raw: DataFrame, as_of: str, ttl_days: int, limit: int) -> DataFrame:
@@ -34,10 +50,70 @@ def page_skeleton(raw: DataFrame) -> DataFrame:
 
 
 def triage(raw: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Decisions (id, decision) applied to rows that are not ingested yet."""
-    d = raw.join(decisions, "id", "left")
+    """Decisions (id, decision, reason where there is one) applied to rows that are not ingested yet; a pass keeps its reason."""
+    reason = F.col("reason") if "reason" in decisions.columns else F.lit(None).cast("string")
+    d = raw.join(decisions.select("id", "decision", reason.alias("reason")), "id", "left")
     free = F.col("decision").isNotNull() & F.col("ingested_page_id").isNull()
-    return d.select("id", F.when(free, F.col("decision")).otherwise(F.col("triage_decision")).alias("triage_decision"), free.alias("changed"))
+    return d.select("id", F.when(free, F.col("decision")).otherwise(F.col("triage_decision")).alias("triage_decision"), free.alias("changed"), F.when(free & (F.col("decision") == "pass"), F.col("reason")).alias("skip_reason"))
+
+
+def triage_events(triaged: DataFrame, as_of: str) -> DataFrame:
+    """An audit row for each row that triage changed."""
+    from lorebase.operators.lifecycle import append_events
+
+    return append_events(None, triaged.where("changed").select(F.col("id").alias("entity_id"), F.concat(F.lit("triage_"), "triage_decision").alias("action"), "skip_reason"), as_of)
+
+
+def skip_pages(tables: dict[str, DataFrame], ids: DataFrame, reason: str, as_of: str) -> dict[str, DataFrame]:
+    """Pages (id) with their tags, side data and chunks deleted, and their raw files (`raw_files`) passed with the reason."""
+    from lorebase.operators.lifecycle import retire_pages
+
+    out = retire_pages(tables, ids, reason, as_of)
+    raw = tables["raw_files"]
+    hit = ids.select(F.col("id").alias("ingested_page_id"), F.lit(True).alias("__hit")).distinct()
+    out["raw_files"] = raw.join(hit, "ingested_page_id", "left").withColumn("triage_decision", F.when(F.col("__hit"), "pass").otherwise(F.col("triage_decision"))).select(*raw.columns)
+    return out
+
+
+def promote_briefs(pages: DataFrame, raw: DataFrame, events: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, raw files, events) after briefs (id) became sources: type and slug change, the raw file is committed, stages done before count no more."""
+    hit = ids.select("id", F.lit(True).alias("__hit")).distinct()
+    p = pages.join(hit, "id", "left")
+    brief = F.col("__hit") & F.col("slug").startswith("briefs/")
+    moved = p.select(*[F.when(brief, F.regexp_replace("slug", "^briefs/", "sources/")).otherwise(F.col("slug")).alias(c) if c == "slug" else F.when(brief, "source").otherwise(F.col("type")).alias(c) if c == "type" else F.col(c) for c in pages.columns])
+    done = p.where(brief).select("id")
+    r = raw.join(done.select(F.col("id").alias("ingested_page_id"), F.lit(True).alias("__hit")), "ingested_page_id", "left")
+    r = r.withColumn("triage_decision", F.when(F.col("__hit"), "commit").otherwise(F.col("triage_decision"))).select(*raw.columns)
+    e = events.join(done.select(F.col("id").alias("entity_id"), F.lit(True).alias("__hit")), "entity_id", "left")
+    e = e.withColumn("deleted", F.when(F.col("__hit") & (F.col("action") == "stage_done"), 1).otherwise(F.lit(0))).select(*[c for c in events.columns if c != "deleted"], "deleted")
+    return moved, r, e
+
+
+def explicit_only(candidates: DataFrame, pages: DataFrame) -> DataFrame:
+    """Fact candidates (page_id, tier, ...) without those of tiers B and C of briefs and meeting minutes; pages: (page_id, type, research_type)."""
+    strict = (F.col("type") == "brief") | F.coalesce(F.col("research_type") == "meeting_minutes", F.lit(False))
+    return candidates.join(pages.select("page_id", strict.alias("__strict")), "page_id", "left").where("tier = 'A' OR NOT coalesce(__strict, false)").select(*candidates.columns)
+
+
+def page_frontmatter(raw: DataFrame) -> DataFrame:
+    """(research_id, frontmatter as JSON text) of raw files: id, type, date and address of the text, by what is there."""
+    return raw.select("research_id", F.to_json(F.struct("research_id", "research_type", F.substring(F.col("create_date").cast("string"), 1, 10).alias("publish_date"), F.coalesce("original_url", "markdown_url").alias("original_url"), F.coalesce("file_type", F.regexp_extract("markdown_url", r"\.([a-z0-9]+)$", 1)).alias("file_type"))).alias("frontmatter"))
+
+
+def write_narratives(pages: DataFrame, narratives: DataFrame, reason: str) -> tuple[DataFrame, DataFrame]:
+    """(pages, versions) after narratives (id, narrative, frontmatter as map): body and timeline apart, new keys over old ones, the hash of the whole narrative.
+
+    pages: (id, content, timeline, frontmatter as map<string,string>).
+    """
+    parts = split_body(narratives.select(F.col("id").alias("page_id"), F.col("narrative").alias("content"))).withColumnsRenamed({"page_id": "id", "timeline": "new_timeline"})
+    n = narratives.select("id", "narrative", F.col("frontmatter").alias("new_front")).join(parts, "id")
+    rows = pages.join(n, "id", "left")
+    hit = F.col("narrative").isNotNull()
+    none = F.create_map().cast("map<string,string>")
+    old, new = F.coalesce("frontmatter", none), F.coalesce("new_front", none)
+    front = F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+    out = rows.select("id", F.when(hit, F.col("body")).otherwise(F.col("content")).alias("content"), F.when(hit, F.col("new_timeline")).otherwise(F.col("timeline")).alias("timeline"), F.when(hit, front).otherwise(F.col("frontmatter")).alias("frontmatter"), F.when(hit, F.sha2("narrative", 256)).alias("content_hash"))
+    return out, out.where("content_hash IS NOT NULL").select(F.col("id").alias("page_id"), "content", "timeline", "content_hash", F.lit(reason).alias("reason"))
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: list, replace: bool) -> DataFrame:

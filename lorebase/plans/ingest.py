@@ -39,7 +39,60 @@ def s5(raw):
 @query("s6_triage", "fx_raw_files", oracle="""
 SELECT id, CASE WHEN id % 3 = 0 AND ingested_page_id IS NULL THEN 'brief' ELSE triage_decision END AS triage_decision, id % 3 = 0 AND ingested_page_id IS NULL AS changed FROM fx_raw_files""")
 def s6(raw):
-    return i.triage(raw, raw.where("id % 3 = 0").select("id", F.lit("brief").alias("decision")))
+    return i.triage(raw, raw.where("id % 3 = 0").select("id", F.lit("brief").alias("decision"))).drop("skip_reason")
+
+
+@query("s6_triage_events", "fx_raw_files", oracle="SELECT id AS entity_id, CASE WHEN id % 2 = 0 THEN 'triage_pass' ELSE 'triage_commit' END AS action FROM fx_raw_files WHERE ingested_page_id IS NULL AND id % 3 = 0")
+def s6b(raw):
+    d = raw.where("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, "pass").otherwise("commit").alias("decision"), F.lit("dull").alias("reason"))
+    return i.triage_events(i.triage(raw, d), "2024-02-01").select("entity_id", "action")
+
+
+@query("s2_sync_range", "fx_raw_files", oracle="""
+WITH r AS (SELECT *, CAST(row_number() OVER (PARTITION BY research_type ORDER BY create_date DESC, research_id) AS INTEGER) AS rn FROM fx_raw_files WHERE id % 5 <> 0 AND id % 7 <> 0 AND create_date >= DATE '2024-01-05' AND create_date < DATE '2024-01-20')
+SELECT research_id, research_type, create_date, rn FROM r WHERE rn <= 10 AND triage_decision <> 'commit'""")
+def s2b(raw):
+    up = raw.select("research_id", "research_type", "create_date", F.when(F.col("id") % 5 == 0, "failed").otherwise("completed").alias("parse_status"), F.when(F.col("id") % 7 != 0, "u").alias("markdown_url"))
+    return i.sync_raw_files(up, raw.where("triage_decision = 'commit'"), 10, "2024-01-05", "2024-01-20")
+
+
+@query("s5_page_frontmatter", "fx_raw_files", oracle="""
+SELECT research_id, '{"research_id":"' || research_id || '","research_type":"' || research_type || '","publish_date":"' || strftime(create_date, '%Y-%m-%d') || '","original_url":"' || CASE WHEN id % 2 = 0 THEN 'o' ELSE 'u/x.md' END || '","file_type":"md"}' AS frontmatter FROM fx_raw_files""".replace("{", "' || chr(123) || '").replace("}", "' || chr(125) || '"))
+def s5b(raw):
+    return i.page_frontmatter(raw.select("research_id", "research_type", "create_date", F.when(F.col("id") % 2 == 0, "o").alias("original_url"), F.lit("u/x.md").alias("markdown_url"), F.lit(None).cast("string").alias("file_type")))
+
+
+@query("s7_skip_raw_files", "fx_pages", "fx_raw_files", "fx_tags", oracle="SELECT id, CASE WHEN ingested_page_id IS NOT NULL AND research_type = 'src2' THEN 'pass' ELSE triage_decision END AS triage_decision FROM fx_raw_files")
+def s7b(pages, raw, tags):
+    ids = raw.where("research_type = 'src2' AND ingested_page_id IS NOT NULL").select(F.col("ingested_page_id").alias("id"))
+    return i.skip_pages({"pages": pages, "tags": tags, "raw_files": raw}, ids, "dull", "2024-02-01")["raw_files"].select("id", "triage_decision")
+
+
+def _briefs(pages):
+    return pages.where("type = 'source'").select("id", F.regexp_replace("slug", "^sources/", "briefs/").alias("slug"), F.lit("brief").alias("type"))
+
+
+@query("s8_promote_briefs_pages", "fx_pages", "fx_raw_files", "fx_events", oracle="SELECT id, CASE WHEN id % 2 = 0 THEN slug ELSE regexp_replace(slug, '^sources/', 'briefs/') END AS slug, CASE WHEN id % 2 = 0 THEN 'source' ELSE 'brief' END AS type FROM fx_pages WHERE type = 'source'")
+def s8b(pages, raw, events):
+    b = _briefs(pages)
+    return i.promote_briefs(b, raw, events, b.where("id % 2 = 0").select("id"))[0]
+
+
+@query("s11_write_narratives", "fx_pages", oracle="""
+SELECT id, CASE WHEN id % 2 = 0 THEN 'Body ' || title ELSE content END AS content, CASE WHEN id % 2 = 0 THEN '- x' ELSE 'old' END AS timeline, CASE WHEN id % 2 = 0 THEN 'a=2,b=1,c=3' ELSE 'a=1,b=1' END AS frontmatter, CASE WHEN id % 2 = 0 THEN sha256('Body ' || title || chr(10) || '<!-- timeline -->' || chr(10) || '- x') END AS content_hash FROM fx_pages""")
+def s11b(pages):
+    old = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("1"))
+    p = pages.select("id", "content", F.lit("old").alias("timeline"), old.alias("frontmatter"))
+    n = pages.where("id % 2 = 0").select("id", F.concat(F.lit("Body "), "title", F.lit("\n<!-- timeline -->\n- x")).alias("narrative"), F.create_map(F.lit("a"), F.lit("2"), F.lit("c"), F.lit("3")).alias("frontmatter"))
+    out = i.write_narratives(p, n, "write")[0]
+    return out.select("id", F.trim("content", F.lit(" \n")).alias("content"), F.trim("timeline", F.lit(" \n")).alias("timeline"), F.array_join(F.transform(F.array_sort(F.map_entries("frontmatter")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("frontmatter"), "content_hash")
+
+
+@query("f3_explicit_only_gate", "fx_facts", "fx_raw_files", oracle="SELECT id FROM fx_facts WHERE id % 3 = 0 OR NOT (source_page_id % 3 = 0 OR source_page_id % 5 = 0)")
+def f3b(facts, raw):
+    c = facts.select("id", F.col("source_page_id").alias("page_id"), F.when(F.col("id") % 3 == 0, "A").when(F.col("id") % 3 == 1, "B").otherwise("C").alias("tier"))
+    kind = c.select("page_id").distinct().select("page_id", F.when(F.col("page_id") % 3 == 0, "brief").otherwise("source").alias("type"), F.when(F.col("page_id") % 5 == 0, "meeting_minutes").alias("research_type"))
+    return i.explicit_only(c, kind).select("id")
 
 
 @query("s8_promote_briefs", "fx_pages", oracle="SELECT id, CASE WHEN type = 'source' AND id % 2 = 0 THEN regexp_replace(slug, '^sources/', 'briefs/') ELSE slug END AS slug FROM fx_pages")

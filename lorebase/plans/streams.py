@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.plans.catalog import ORACLES, QUERIES
 from lorebase.sources.fixtures import derive, with_derivations
+from lorebase.sources.shared import shared_folder
 from lorebase.streaming import jobs
 
 
 def _folder(spark: SparkSession) -> str:
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def t1_stream_intake(spark: SparkSession, sf_dir: str):
@@ -30,6 +22,13 @@ def t1_stream_intake(spark: SparkSession, sf_dir: str):
     return jobs.intake(arrivals, existing, _folder(spark))
 
 
+def t2_stream_fact_signals(spark: SparkSession, sf_dir: str):
+    facts = derive(spark, sf_dir, "fx_facts")
+    arriving = shared_folder(spark, "arriving")
+    facts.where("valid_from >= DATE '2000-01-01'").repartition(12, "id").write.parquet(arriving)
+    return jobs.fact_signals(jobs.read_files(spark, arriving + "/"), facts, _folder(spark))
+
+
 def t3_stream_usage(spark: SparkSession, sf_dir: str):
     e = jobs.read_files(spark, f"{sf_dir}/events.parquet")
     source = F.when(F.col("event_type") == "view", "embedding").when(F.col("event_type") == "click", "agent_runtime").otherwise(F.col("event_type"))
@@ -44,9 +43,10 @@ def t4_stream_candidates(spark: SparkSession, sf_dir: str):
     return jobs.candidates(mentions, _folder(spark))
 
 
-QUERIES |= {"t1_stream_intake": t1_stream_intake, "t3_stream_usage": t3_stream_usage, "t4_stream_candidates": t4_stream_candidates}
+QUERIES |= {"t1_stream_intake": t1_stream_intake, "t2_stream_fact_signals": t2_stream_fact_signals, "t3_stream_usage": t3_stream_usage, "t4_stream_candidates": t4_stream_candidates}
 ORACLES |= {
     "t1_stream_intake": with_derivations("SELECT research_id, research_type FROM fx_raw_files WHERE triage_decision <> 'commit'"),
+    "t2_stream_fact_signals": ORACLES["f13_detect_fact_signals"],
     "t3_stream_usage": ORACLES["q18_usage_daily"],
     "t4_stream_candidates": with_derivations("SELECT slug, count(DISTINCT source_page_id) AS evidence_count FROM fx_mentions GROUP BY 1"),
 }

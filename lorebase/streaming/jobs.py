@@ -38,17 +38,19 @@ def usage_daily(usage: DataFrame, out: str, utc_offset_hours: int = 8) -> DataFr
 
 
 def intake(arrivals: DataFrame, existing: DataFrame, out: str) -> DataFrame:
-    """Register arriving (research_id, research_type, create_date) once each: not in the table, nor in an earlier batch."""
-    spark = arrivals.sparkSession
+    """Register arriving (research_id, research_type) once each: not in the table, nor in an earlier batch.
 
-    def each(batch: DataFrame, epoch: int) -> DataFrame:
-        new = batch.dropDuplicates(["research_id"]).join(existing.select("research_id"), "research_id", "left_anti")
-        if epoch:
-            earlier = spark.read.parquet(*[f"{out}/data/batch={k}" for k in range(epoch)])
-            new = new.join(earlier.select("research_id"), "research_id", "left_anti")
-        return new
+    The ids seen so far are the stream's state, so a batch costs what it holds, whatever came before.
+    """
+    once = arrivals.dropDuplicates(["research_id"])
+    return run_available(once, out, lambda batch, _: batch.join(existing.select("research_id"), "research_id", "left_anti")).drop("batch")
+
+
+def fact_signals(new_facts: DataFrame, history: DataFrame, out: str) -> DataFrame:
+    """Signals of a stream of new facts against the history table, keyed by the fact: a replayed batch overwrites itself."""
+    from lorebase.operators.facts import detect_fact_signals
 
-    return run_available(arrivals, out, each).drop("batch")
+    return run_available(new_facts, out, lambda batch, _: detect_fact_signals(history, batch)).drop("batch").dropDuplicates(["fact_id"])
 
 
 def candidates(mentions: DataFrame, out: str) -> DataFrame:
