@@ -5,8 +5,8 @@ contexts are masks and shifts. Four of five trusted texts are counted per task,
 n-gram; continuation counts, context sums, discounts and back-off weights are tables that joins and aggregates make
 of that count table, all dealt by n-gram. Documents are put in blocks of some megabytes. A block asks for its distinct
 n-grams; the distinct n-grams of all blocks get their probabilities through joins with the count tables, order by
-order; the answers go back to the blocks, which meet their texts in a cogroup that gives each document its perplexity
-per byte. A document is kept when that is not above a quantile of its language, taken over the trusted texts that the
+order; the answers go back to the blocks, which meet their texts, moved as compressed runs, in a cogroup that gives each
+document its perplexity per byte. A document is kept when that is not above a quantile of its language, taken over the trusted texts that the
 model has not seen, so that it is held against a rule for new text.
 
 Null and blank texts have no perplexity (null) and are not kept. A null language, or one without such trusted texts,
@@ -31,7 +31,7 @@ QUANTILE = 0.995
 #: One in so many trusted texts is not learned from; the thresholds come from these.
 HELD_OUT = 5
 #: Bytes of text in a block, about; a longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 32 << 20
 _CHUNK = 1 << 20
 #: N-grams of a task that wait to be summed.
 _WAITING = 1 << 22
@@ -52,18 +52,33 @@ def _codes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return code
 
 
+_RUN = "block long, ids array<long>, langs array<string>, trusted array<boolean>, words array<boolean>, held array<boolean>, lengths array<int>, size int, data binary"
+_FIELDS = ("ids", "langs", "trusted", "words", "held")
+
+
 def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the number of their block first; a block is of one task."""
+    """Runs of rows (doc_id, text, lang, trusted, words, held): a run is one row with its texts compressed; a block is some runs of one task."""
     block, size = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
-        for a, b, data, _ in text_chunks(batch.column(1), _CHUNK):
+        for a, b, data, offsets in text_chunks(batch.column(1), _CHUNK):
             if size and size + len(data) > BLOCK:
                 block, size = block + 1, 0
             size += len(data)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, block)), *batch.slice(a, b - a).columns], ["block", *batch.schema.names])
+            columns = [batch.column(k).slice(a, b - a) for k in (0, 2, 3, 4, 5)]
+            whole = [pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), c) for c in columns]
+            lengths = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), pa.array(np.diff(offsets).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array([block]), *whole, lengths, pa.array([len(data)], pa.int32()), pa.array([pa.compress(data.tobytes(), "zstd", asbytes=True)], pa.binary())], ["block", *_FIELDS, "lengths", "size", "data"])
+
+
+def _runs(rows: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, dict]]:
+    """(block, fields) of runs: arrays of the rows, `data` their bytes, `at` where each text begins and the last one ends."""
+    for r in rows.to_pylist():
+        data = np.frombuffer(pa.decompress(r["data"], r["size"], "zstd", asbytes=True) if r["size"] else b"", np.uint8)
+        yield r["block"], {f: r[f] for f in _FIELDS} | {"data": data, "at": np.concatenate([[0], np.cumsum(r["lengths"])]).astype(np.int64)}
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-grams of the trusted texts that aren't held out, with how often a task has them."""
     codes, times, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
 
     def summed() -> tuple[np.ndarray, np.ndarray]:
@@ -71,11 +86,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return u, np.bincount(place, np.concatenate(times), len(u)).astype(np.int64)
 
     for batch in batches:
-        for _, _, data, offsets in text_chunks(batch.column(0), _CHUNK):
-            u, n = np.unique(_codes(data, offsets - offsets[0]), return_counts=True)
-            codes.append(u)
-            times.append(n)
-            waiting += len(u)
+        for k in range(batch.num_rows):
+            for _, run in _runs(batch.slice(k, 1)):
+                learned = np.array(run["trusted"]) & np.array(run["words"]) & ~np.array(run["held"])
+                u, n = np.unique(_codes(run["data"], run["at"])[np.repeat(learned, np.diff(run["at"]))], return_counts=True)
+                codes.append(u)
+                times.append(n)
+                waiting += len(u)
             if waiting > _WAITING:
                 u, n = summed()
                 codes, times, waiting = [u], [n], 0
@@ -88,7 +105,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct n-grams of each block among a task's rows (block, text)."""
+    """The distinct n-grams of each block among a task's runs."""
     now, found = None, []
 
     def asked() -> Iterator[pa.RecordBatch]:
@@ -98,18 +115,13 @@ def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), now)), pa.array(part)], ["block", "code"])
 
     for batch in batches:
-        blocks = batch.column(0).to_numpy()
-        for a, b, data, offsets in text_chunks(batch.column(1), _CHUNK):
-            codes = _codes(data, offsets - offsets[0])
-            at = offsets - offsets[0]
-            own = blocks[a:b]
-            starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            for i, j in zip(starts, np.append(starts[1:], b - a), strict=True):
-                if own[i] != now and found:
+        for k in range(batch.num_rows):
+            for block, run in _runs(batch.slice(k, 1)):
+                if block != now and found:
                     yield from asked()
                     found = []
-                now = own[i]
-                found.append(np.unique(codes[at[i] : at[j]]))
+                now = block
+                found.append(np.unique(_codes(run["data"], run["at"])))
     if found:
         yield from asked()
 
@@ -153,20 +165,25 @@ def probabilities(asked: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]
     return shorter
 
 
-def _perplexities(texts: pa.Table, answers: pa.Table) -> pa.Table:
+_SCORED = "doc_id long, lang string, trusted boolean, words boolean, held boolean, perplexity double"
+
+
+def _perplexities(runs: pa.Table, answers: pa.Table) -> pa.Table:
     codes, place = np.unique(answers.column("code").to_numpy(), return_index=True)
-    bits = np.log2(answers.column("p").to_numpy())[place]
-    texts = texts.combine_chunks()
-    column = texts.column("text").combine_chunks() if texts.num_rows else pa.array([], pa.string())
-    out = np.full(len(column), np.nan)
-    for a, b, data, offsets in text_chunks(column, _CHUNK):
-        at = offsets - offsets[0]
-        n = np.diff(at)
-        full = np.flatnonzero(n)
-        if len(full):
-            each = bits[np.searchsorted(codes, _codes(data, at))]
-            out[a + full] = np.exp2(-np.add.reduceat(each, at[full]) / n[full])
-    return texts.drop_columns(["block", "text"]).append_column("perplexity", pa.array(out, from_pandas=True))
+    bits = np.log2(answers.column("p").to_numpy().astype(np.float64))[place]
+    out = []
+    for k in range(runs.num_rows):
+        for _, run in _runs(runs.slice(k, 1)):
+            at = run["at"]
+            n = np.diff(at)
+            full = np.flatnonzero((n > 0) & np.array(run["words"]))
+            score = np.full(len(n), np.nan)
+            if len(full):
+                each = bits[np.searchsorted(codes, _codes(run["data"], at))]
+                total = np.concatenate([[0.0], np.cumsum(each)])
+                score[full] = np.exp2(-(total[at[full + 1]] - total[at[full]]) / n[full])
+            out.append(pa.Table.from_arrays([pa.array(run["ids"], pa.int64()), pa.array(run["langs"], pa.string()), pa.array(run["trusted"], pa.bool_()), pa.array(run["words"], pa.bool_()), pa.array(run["held"], pa.bool_()), pa.array(score, from_pandas=True)], ["doc_id", "lang", "trusted", "words", "held", "perplexity"]))
+    return pa.concat_tables(out)
 
 
 def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -176,19 +193,16 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) ->
     rows = rows.join(broadcast_if_small(ids, ids.count(), BROADCAST_IDS), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     words = F.coalesce(F.trim(F.translate("text", "\t\n\u000b\u000c\r", "     ")) != "", F.lit(False))
     rows = rows.select("doc_id", "text", "lang", "trusted", words.alias("words"), (F.col("trusted") & (fold("doc_id", HELD_OUT) == 0)).alias("held"))
-    schema = "doc_id long, text string, lang string, trusted boolean, words boolean, held boolean"
-    blocks = cut(rows.mapInArrow(_in_blocks, f"block long, {schema}"), "blocks")
-    counts = cut(blocks.where("trusted and words and not held").select("text").mapInArrow(_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "order5")
-    out = "doc_id long, lang string, trusted boolean, words boolean, held boolean, perplexity double"
+    blocks = cut(rows.mapInArrow(_in_blocks, _RUN), "blocks")
+    counts = cut(blocks.mapInArrow(_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "order5")
     if counts.isEmpty():
         none = F.lit(None).cast("double")
-        return blocks.select("doc_id", "lang", F.lit(False).alias("trusted"), none.alias("perplexity"), none.alias("threshold"), F.col("words").alias("keep"))
-    requests = cut(blocks.where("words").select("block", "text").mapInArrow(_requests, "block long, code long"), "requests")
-    p = probabilities(cut(requests.select("code").distinct(), "asked"), kneser_ney(counts))
-    answers = requests.join(p, "code").select("block", "code", F.col("p"))
-    scored = blocks.where("words").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_perplexities, out)
-    blank = blocks.where("not words").select("doc_id", "lang", "trusted", "words", "held", F.lit(None).cast("double").alias("perplexity"))
-    scored = cut(scored.unionByName(blank), "perplexities")
+        return rows.select("doc_id", "lang", F.lit(False).alias("trusted"), none.alias("perplexity"), none.alias("threshold"), F.col("words").alias("keep"))
+    requests = blocks.mapInArrow(_requests, "block long, code long")
+    asked = cut(requests.groupBy("code").agg(F.collect_set("block").alias("blocks")), "asked")
+    p = probabilities(asked.select("code"), kneser_ney(counts))
+    answers = asked.join(p, "code").select(F.explode("blocks").alias("block"), "code", F.col("p").cast("float").alias("p"))
+    scored = cut(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_perplexities, _SCORED), "perplexities")
     unseen = scored.where("held and perplexity is not null")
     by_lang = cut(unseen.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 100_000).alias("own")).where("lang is not null"), "thresholds")
     overall = unseen.agg(F.percentile_approx("perplexity", quantile, 100_000).alias("all"))
