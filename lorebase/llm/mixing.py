@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from lorebase.llm.common import WORD, cut, own_columns, quoted
 
 WEIGHTS = (5.0, 2.0, 1.0)
-STEPS = 30
+#: The bracket halves where a Newton step leaves it, so this many suffice for any target that can be met.
+STEPS = 60
 #: Newton steps between two written tables.
 STRIDE = 5
 BINS = 4096

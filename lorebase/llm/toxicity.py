@@ -4,8 +4,8 @@ Learning, over all labelled training texts: words and word stems (`lowei*`) of a
 task and summed; all with strong log odds make the lexicon, a table. Up to BROADCAST_BYTES of terms it is broadcast as
 one trie; beyond, in shards by a hash of the term, each run over all texts, and the hits are joined by text. Scoring streams every word of every whole text. A word that shares a half with some entry, which one edit
 cannot avoid, is run through the trie under a Levenshtein automaton of distance one, so that misspelled terms count
-too. Around each hit a window of context tells quotation (quote marks open around it, or colons and quote marks just
-before it) from abuse. A logistic model over the counts and the best windows gives the score; it is fitted on a
+too. Around each hit a window of context tells quotation (quote marks open
+around it) from abuse. A logistic model over the counts and the best windows gives the score; it is fitted on a
 bounded sample of about FIT_ROWS labelled texts, chosen by a hash of the id.
 
 Null and blank texts have no hits and get the score of such texts. A row whose id has several labels counts as toxic
@@ -46,13 +46,16 @@ _TRIM[48:58] = _TRIM[65:91] = _TRIM[97:123] = False
 def _trimmed(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Word starts and ends without ASCII punctuation around."""
     s, e = w.starts.copy(), w.ends.copy()
-    for _ in range(4):
-        more = (s < e) & _TRIM[w.data[np.minimum(s, len(w.data) - 1)]]
-        s[more] += 1
-    for _ in range(4):
-        more = (s < e) & _TRIM[w.data[np.maximum(e - 1, 0)]]
-        e[more] -= 1
-    return s, e
+    if not len(s):
+        return s, e
+    # the next byte that isn't punctuation, and the last one before
+    plain = np.flatnonzero(~_TRIM[w.data])
+    if not len(plain):
+        return s, s.copy()
+    first = plain[np.minimum(np.searchsorted(plain, s), len(plain) - 1)]
+    last = plain[np.maximum(np.searchsorted(plain, e) - 1, 0)] + 1
+    some = (first >= s) & (first < e)
+    return np.where(some, first, s), np.where(some, last, s)
 
 
 def _terms(word: bytes) -> Iterator[bytes]:
@@ -111,10 +114,13 @@ class Trie:
                 node = self.below[node][c]
             ends = self.stems if stem else self.whole
             ends[node] = max(weight, ends.get(node, 0.0))
-            short = len(body.decode("utf-8", "replace")) < 4  # never misspelled: the word's own head is enough
-            codes["heads"].add(body[:3] if short else body[: min(3, max(len(body) // 2, 2))])
+            letters = body.decode("utf-8", "replace")
+            short = len(letters) < 4  # never misspelled: the word's own head is enough
+            # one edit leaves one of the two halves as it is; halves are of whole letters
+            half = len(letters) // 2
+            codes["heads"].add(body[:3] if short else letters[:half].encode()[:3])
             if not stem and not short:
-                codes["tails"].add(body[-min(3, len(body) - len(body) // 2) :])
+                codes["tails"].add(letters[half:].encode()[-3:])
         x = np.arange(1 << 16, dtype=np.uint32)
         for c in codes["heads"]:
             self.heads[int.from_bytes(c, "big") << 8 * (3 - len(c)) | x[: 1 << 8 * (3 - len(c))]] = True

@@ -9,6 +9,8 @@ Characters are folded to 39 symbols, so there are at most 39^4 n-grams; they are
 them. The table of n-gram log ratios is broadcast when it has at most BROADCAST_GRAMS rows, else shuffled. Each
 distinct url is scored once.
 
+A rule is read as host, `/`, path: its path begins with `/`, so a url without a path (`http://x.net`) fits no rule.
+
 Null urls and urls without `://` have an empty host and path, fit no rule and are judged by their characters, none
 here: an empty url has only the end sign. Without examples of both classes everything unruled is allowed. Repeated
 rows each keep their row. Extra columns are ignored.

@@ -7,7 +7,7 @@ from zlib import crc32
 import numpy as np
 from pyspark.sql import functions as F
 
-from lorebase.llm import decontamination, language_id, mixing, near_duplicates, quality_lm, substring_dedup, topk_search
+from lorebase.llm import decontamination, language_id, mixing, near_duplicates, quality_lm, substring_dedup, topk_search, toxicity, url_filter
 from lorebase.llm.common import Words
 
 
@@ -238,3 +238,50 @@ def test_quality_against_a_plain_model(spark):
     assert got[61]["perplexity"] is None and not got[61]["keep"] and not got[62]["keep"] and not got[60]["keep"]
     seen = sorted(got[i]["perplexity"] for i in range(0, 60, 2) if not crc32(str(i).encode()) % quality_lm.HELD_OUT)
     assert got[0]["threshold"] == seen[-1] and got[0]["keep"] == (got[0]["perplexity"] <= seen[-1])
+
+
+def test_one_edit_of_any_letter_is_a_candidate():
+    trie = toxicity.Trie({"größen".encode(): 2.0, "naïveté".encode(): 1.0, b"plainword": 1.5})
+    words = ["grüßen", "grössen", "gößen", "größe", "naïvete", "naiveté", "plainwürd", "plinword", "xplainword"]
+    data = np.frombuffer(("((((((" + ")))))) ((((((".join(words) + "!!!!!!").encode(), np.uint8)
+    w = Words(data, np.array([0, len(data)]), True)
+    s, e = toxicity._trimmed(w)
+    raw = w.data.tobytes()
+    assert [raw[a:b].decode() for a, b in zip(s, e, strict=True)] == words
+    found = toxicity._candidates(w, s, e, trie)
+    near = {i for i, x in enumerate(words) if trie.match(x)}
+    assert near <= set(found.tolist()) and {0, 2, 3, 4, 5, 6, 7, 8} <= near
+
+
+def plain_log_ratio(examples, url):
+    """Mean log P_allow - log P_block of a folded url's characters: Witten-Bell from no context up to three characters."""
+    total = 0.0
+    for i in range(len(url) - 3):
+        gram = url[i : i + 4]
+        for label, sign in (("allow", 1), ("block", -1)):
+            grams = [x[j : j + 4] for said, x in examples if said == label for j in range(len(x) - 3)]
+            p = 0.0
+            for k in range(4):
+                tail = gram[3 - k :]
+                seen = [g[3 - k :] for g in grams]
+                context = [g for g in seen if g[:k] == tail[:k]]
+                kinds = len(set(context))
+                if k == 0:
+                    p = (seen.count(tail) + 0.5) / (len(seen) + 0.5 * url_filter.SYMBOLS)
+                elif context:
+                    p = (context.count(tail) + kinds * p) / (len(context) + kinds)
+            total += sign * np.log(p)
+    return total / (len(url) - 3)
+
+
+def test_url_scores_against_plain_models(spark):
+    urls = ["http://a.org/fr/un", "http://b.org/fr/deux", "https://x.net/", "http://y.net/zzz9", "http://c.example.com/de/eins", "http://q.example.net/en/two", "http://other.io/fr/xx", "ftp://UPPER.io/9?é"]
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    ruled = ["allow", "allow", "block", "block", "block", "allow", None, None]
+    assert [got[i]["verdict"] for i in range(6)] == ruled[:6]
+    folded = ["^^^" + "".join(c if c in "abcdefghijklmnopqrstuvwxyz0./-_?&=#:%" else "~" for c in u.lower().translate(str.maketrans("123456789", "0" * 9))) + "$" for u in urls]
+    examples = [(said, x) for said, x in zip(ruled, folded, strict=True) if said]
+    for i, x in enumerate(folded):
+        assert abs(got[i]["score"] - plain_log_ratio(examples, x)) < 1e-9
+    limit = got[6]["threshold"]
+    assert all(got[i]["verdict"] == ("block" if got[i]["score"] < limit else "allow") for i in (6, 7))
