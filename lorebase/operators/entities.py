@@ -175,6 +175,19 @@ def upsert_candidates(mentions: DataFrame) -> DataFrame:
     return g.select("slug", "evidence_count", "aliases", F.when(reason.isNotNull(), "rejected").otherwise("pending").alias("status"))
 
 
+def merge_candidate_pool(pool: DataFrame, mentions: DataFrame) -> DataFrame:
+    """The pool (slug, status, aliases and source_page_ids as arrays) after mentions (slug, source_page_id, alias).
+
+    Aliases and sources are united and sorted, evidence counts the sources; promoted, merged and rejected stay so.
+    """
+    new = mentions.groupBy("slug").agg(F.collect_set("alias").alias("new_aliases"), F.collect_set("source_page_id").alias("new_sources"))
+    rows = pool.join(new, "slug", "full")
+    united = lambda a, b, kind: F.array_sort(F.array_distinct(F.concat(F.coalesce(a, F.array().cast(kind)), F.coalesce(b, F.array().cast(kind)))))
+    fresh = F.when(auto_reject_reason(F.col("slug")).isNotNull(), "rejected").otherwise("pending")
+    sources = united(F.col("source_page_ids"), F.col("new_sources"), "array<bigint>")
+    return rows.select("slug", F.coalesce("status", fresh).alias("status"), united(F.col("aliases"), F.col("new_aliases"), "array<string>").alias("aliases"), sources.alias("source_page_ids"), F.size(sources).alias("evidence_count"))
+
+
 def list_candidates(candidates: DataFrame, limit: int = 50) -> DataFrame:
     order = F.when(F.col("status") == "pending", 0).when(F.col("status") == "promoted", 1).when(F.col("status") == "merged", 2).otherwise(3)
     return candidates.orderBy(order, F.desc("evidence_count"), "slug").limit(limit)
@@ -232,8 +245,13 @@ def retype_pages(pages: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def create_missing_pages(mentions: DataFrame, pages: DataFrame) -> DataFrame:
-    """Slugs of mentioned companies that no active page has and no rule rejects, as stub pages named by the slug's second part."""
-    wanted = mentions.select("slug").distinct().where(F.col("slug").startswith("companies/") & auto_reject_reason(F.col("slug")).isNull())
+    """Slugs of mentioned companies that no active page has and no rule rejects, as stub pages named by the slug's second part.
+
+    Where mentions tell their origin_field, only slugs with strong evidence count: a primary entity, or an entity of a
+    fact or timeline block.
+    """
+    strong = F.col("origin_field").isin("primary_entities", "facts_block", "timeline_block") if "origin_field" in mentions.columns else F.lit(True)
+    wanted = mentions.where(strong).select("slug").distinct().where(F.col("slug").startswith("companies/") & auto_reject_reason(F.col("slug")).isNull())
     missing = wanted.withColumn("slug", F.regexp_replace(F.lower("slug"), r"[\s_]+", "-")).distinct().join(pages.where("deleted = 0").select("slug"), "slug", "left_anti")
     return missing.select("slug", F.element_at(F.split("slug", "/"), 2).alias("title"), F.lit("company").alias("type"), F.lit("stub").alias("entity_state"))
 

@@ -95,6 +95,12 @@ def backfill_summary(missing: DataFrame) -> DataFrame:
     return missing.groupBy("entity_type").agg(F.count("*").alias("inserted"), F.countDistinct("entity_page_id").alias("pages"), F.countDistinct("source_page_id").alias("sources"))
 
 
+def backfill_links(missing: DataFrame, limit: int = 1000) -> DataFrame:
+    """The links that close the gaps, most facts first, at most `limit` (5,000 at most) in one run."""
+    first = missing.orderBy(F.desc("fact_count"), "source_page_id", "entity_page_id").limit(min(limit, 5000))
+    return first.select(F.col("source_page_id").alias("from_page_id"), F.col("entity_page_id").alias("to_page_id"), F.lit("mention").alias("link_type"), F.lit("extracted").alias("link_source"), F.lit("facts_block").alias("origin_field"), F.lit(1.2).alias("weight"))
+
+
 def retire_type(pages: DataFrame, links: DataFrame, page_type: str) -> tuple[DataFrame, DataFrame]:
     """Soft-delete all pages of a type and every link from or to them."""
     gone = active(pages).where(F.col("type") == page_type).select("id")

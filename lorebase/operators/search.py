@@ -266,10 +266,20 @@ def evaluate(hits: DataFrame, qrels: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def list_entities(pages: DataFrame, counts: DataFrame, offset: int, limit: int) -> DataFrame:
-    """A page of the entities by inbound links, then id."""
-    rows = pages.where(F.col("deleted") == 0).where(F.col("type").isin("company", "industry", "concept")).join(counts, F.col("id") == F.col("page_id"), "left").fillna(0, ["inbound_total"])
-    return rows.orderBy(F.desc_nulls_last("inbound_total"), "id").offset(offset).limit(limit).select("id", "slug", "inbound_total")
+#: The orders in which entities can be listed; ties go to the smaller id.
+ENTITY_SORTS = {"inbound": ("inbound_total", False), "updated": ("update_date", False), "title": ("title", True), "completeness": ("completeness_score", False)}
+
+
+def list_entities(pages: DataFrame, counts: DataFrame, offset: int, limit: int, sort: str = "inbound", kind: str | None = None, state: str | None = None, with_total: bool = False) -> DataFrame:
+    """A page of the entities in one of ENTITY_SORTS, of one type and state if asked; with_total adds how many there are."""
+    column, ascending = ENTITY_SORTS[sort]
+    rows = pages.where(F.col("deleted") == 0).where(F.col("type").isin("company", "industry", "concept"))
+    rows = rows.where(F.col("type") == kind) if kind else rows
+    rows = rows.where(F.col("entity_state") == state) if state else rows
+    rows = rows.join(counts, F.col("id") == F.col("page_id"), "left").fillna(0, ["inbound_total"])
+    order = F.col(column).asc_nulls_last() if ascending else F.col(column).desc_nulls_last()
+    total = [rows.agg(F.count("*")).scalar().alias("total")] if with_total else []
+    return rows.orderBy(order, "id").offset(offset).limit(limit).select("id", "slug", "inbound_total", *total)
 
 
 def cosine_rescore(hits: DataFrame, weight: float = 0.7) -> DataFrame:
@@ -312,6 +322,22 @@ def fuzzy_suggest(hints: DataFrame, titles: DataFrame, min_sim: float = 0.15, li
     return both.where(sim >= min_sim).select("hint_id", "id", F.round(sim, 6).alias("similarity")).withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+def suggest_pages(hints: DataFrame, pages: DataFrame, min_sim: float = 0.15, limit: int = 5) -> DataFrame:
+    """(hint_id, id, score, advice) of hints (hint_id, text): pages by the greatest of slug, title and word similarity.
+
+    Pages come from the title and the slug index; the advice is confident from 0.5 on for the best page of a hint.
+    """
+    from lorebase.operators.similarity import jaccard, trigrams, word_similarity
+
+    near = fuzzy_suggest(hints, pages.select("id", "title"), min_sim, 10 * limit).select("hint_id", "id")
+    near = near.unionByName(fuzzy_suggest(hints, pages.select("id", F.col("slug").alias("title")), min_sim, 10 * limit).select("hint_id", "id")).distinct()
+    both = near.join(hints, "hint_id").join(pages.select("id", "title", "slug"), "id")
+    score = F.greatest(jaccard(trigrams(F.col("text")), trigrams(F.col("slug"))), jaccard(trigrams(F.col("text")), trigrams(F.col("title"))), word_similarity(F.col("text"), F.col("title")))
+    rank = F.row_number().over(Window.partitionBy("hint_id").orderBy(F.desc("score"), "id"))
+    top = both.withColumn("score", F.round(score, 6)).where(F.col("score") >= min_sim).withColumn("rank", rank).where(F.col("rank") <= limit)
+    return top.select("hint_id", "id", "score", "rank", F.when(F.max("score").over(Window.partitionBy("hint_id")) >= 0.5, "confident").otherwise("unsure").alias("advice"))
+
+
 def cap_hits(hits: DataFrame, per_page: int = 3, type_share: float = 0.6) -> DataFrame:
     """Hits (query_id, page_id, id, score, type): the best per_page of a page, then of each type at most ceil(type_share * hits)."""
     page = F.row_number().over(Window.partitionBy("query_id", "page_id").orderBy(F.desc("score"), "id"))

@@ -211,3 +211,18 @@ def e1b(nation, part):
 @query("e2_duplicate_pages", "fx_pages", "fx_links")
 def e2c(pages, links):
     return sim.duplicate_pages(pages.where("deleted = 0 AND " + _ENTITY), links, 0.7)
+
+
+@query("g2_create_evident_pages", "fx_mentions", "fx_pages", oracle="SELECT DISTINCT slug FROM fx_mentions m WHERE slug LIKE 'companies/firm-%' AND id % 4 < 2 AND NOT EXISTS (SELECT 1 FROM fx_pages p WHERE p.deleted = 0 AND p.slug = m.slug)")
+def g2b(mentions, pages):
+    k = F.col("id") % 4
+    return e.create_missing_pages(mentions.withColumn("origin_field", F.when(k == 0, "facts_block").when(k == 1, "primary_entities").when(k == 2, "other")), pages).select("slug")
+
+
+@query("e17_candidate_pool", "fx_mentions", oracle="""
+WITH m AS (SELECT slug, min(source_page_id) AS low, CASE WHEN regexp_matches(split_part(slug, '/', 2), '^(unknown|major-)') THEN 'rejected' ELSE 'pending' END AS fresh, list_sort(list_distinct(list(source_page_id))) AS s FROM fx_mentions GROUP BY 1)
+SELECT slug, CASE WHEN low % 2 = 0 THEN 'merged' ELSE fresh END AS status, CAST(len(list_distinct(CASE WHEN low % 2 = 0 THEN list_append(s, 1) ELSE s END)) AS INTEGER) AS evidence_count FROM m""")
+def e17b(mentions):
+    pool = mentions.groupBy("slug").agg(F.min("source_page_id").alias("low")).where("low % 2 = 0")
+    pool = pool.select("slug", F.lit("merged").alias("status"), F.array(F.lit("x")).alias("aliases"), F.array(F.lit(1).cast("long")).alias("source_page_ids"))
+    return e.merge_candidate_pool(pool, mentions).select("slug", "status", "evidence_count")

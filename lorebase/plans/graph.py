@@ -68,6 +68,11 @@ def g12(facts, links, pages):
     return g.backfill_summary(g.missing_provenance_links(facts, links, pages))
 
 
+@query("g12_backfill_links", "fx_facts", "fx_links", "fx_pages", oracle=f"WITH {_MISSING} SELECT source_page_id AS from_page_id, entity_page_id AS to_page_id, 'mention' AS link_type, 'extracted' AS link_source, 'facts_block' AS origin_field, CAST(1.2 AS DOUBLE) AS weight FROM m ORDER BY fact_count DESC, source_page_id, entity_page_id LIMIT 1000")
+def g12b(facts, links, pages):
+    return g.backfill_links(g.missing_provenance_links(facts, links, pages))
+
+
 @query("g13_retire_type", "fx_pages", "fx_links", oracle="""
 WITH gone AS (SELECT id FROM fx_pages WHERE deleted = 0 AND type = 'concept')
 SELECT id, CAST(CASE WHEN from_page_id IN (SELECT id FROM gone) OR to_page_id IN (SELECT id FROM gone) THEN 1 ELSE deleted END AS INTEGER) AS deleted FROM fx_links""")

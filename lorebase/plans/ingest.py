@@ -232,3 +232,17 @@ def s12(pages):
 def q4(pages):
     stored = pages.where("id % 3 <> 1").select(F.col("id").alias("page_id"), F.sha2(F.when(F.col("id") % 3 == 0, F.col("content")).otherwise(F.concat("content", F.lit("x"))), 256).alias("content_hash"))
     return i.review_gate(pages, stored)
+
+
+@query("x14_units", "fx_cells", oracle="SELECT id, CASE row_index % 5 WHEN 0 THEN 'usd_bn' WHEN 1 THEN 'pct' WHEN 2 THEN 'x' WHEN 3 THEN 'cny' ELSE 'widgets' END AS unit FROM fx_cells")
+def x14b(cells):
+    k = F.col("row_index") % 5
+    text = F.when(k == 0, "USD  bn").when(k == 1, "Percent").when(k == 2, "boxes").when(k == 3, "cny_per_card").otherwise("**widgets**")
+    return cells.select("id", t.unit_key(text).alias("unit"))
+
+
+@query("x19_comparable_text", "fx_narratives", oracle="SELECT line_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(content, '\\[\\[([^\\[\\]|]+)\\|([^\\[\\]]+)\\]\\]', '\\2', 'g'), '\\[\\[([^\\[\\]]+)\\]\\]', '\\1', 'g'), '\\s+', ' ', 'g'))) AS text FROM fx_narratives")
+def x19b(narratives):
+    from lorebase.operators.lifecycle import comparable, without_updates
+
+    return narratives.select("line_id", comparable(without_updates(F.concat("content", F.lit("<!-- note --> \n## Updates\n\nnew")))).alias("text"))

@@ -235,3 +235,24 @@ def r17(benchmark, chunks, embeddings, documents):
 @query("r17_run_eval_hybrid", "benchmark", "fx_chunks", "embeddings", "documents")
 def r17b(benchmark, chunks, embeddings, documents):
     return hy.run_eval({"hybrid": _whole_hybrid(benchmark, chunks, embeddings).withColumnRenamed("rank", "rn")}, _qrels(benchmark, documents), 5)
+
+
+@query("r2_build_postings_all_fields", "fx_pages", oracle=f"""
+WITH t AS (SELECT id AS page_id, unnest({_TOK.format("title")}) AS token, CAST(1.0 AS DOUBLE) AS weight FROM fx_pages WHERE deleted = 0 UNION ALL SELECT id, unnest({_TOK.format("alias_csv")}), CAST(0.9 AS DOUBLE) FROM fx_pages WHERE deleted = 0
+UNION ALL SELECT id, unnest({_TOK.format("content")}), CAST(0.4 AS DOUBLE) FROM fx_pages WHERE deleted = 0 UNION ALL SELECT id, unnest({_TOK.format("slug")}), CAST(0.2 AS DOUBLE) FROM fx_pages WHERE deleted = 0)
+SELECT page_id, token, weight, count(*) AS tf FROM t GROUP BY 1, 2, 3""")
+def r2b(pages):
+    rows = g.active(pages).select(F.col("id").alias("page_id"), "title", F.col("alias_csv").alias("aliases"), "content", F.col("slug").alias("timeline"))
+    return s.postings(rows, {"title": 1.0, "aliases": 0.9, "content": 0.4, "timeline": 0.2})
+
+
+@query("r18_suggest_pages", "nation", "fx_pages")
+def r18b(nation, pages):
+    return s.suggest_pages(nation.select(F.col("n_nationkey").alias("hint_id"), F.concat(F.lit("smal ring brand#"), F.col("n_nationkey").cast("string")).alias("text")), pages.where("deleted = 0 AND type = 'concept'"))
+
+
+@query("r19_list_entities_by_title", "fx_pages", "fx_links", oracle="""
+WITH c AS (SELECT to_page_id, count(*) AS n FROM fx_links WHERE deleted = 0 GROUP BY 1), e AS (SELECT id, slug, title, coalesce(n, 0) AS inbound_total FROM fx_pages LEFT JOIN c ON to_page_id = id WHERE deleted = 0 AND type = 'concept')
+SELECT id, slug, inbound_total, (SELECT count(*) FROM e) AS total FROM e ORDER BY title NULLS LAST, id LIMIT 25 OFFSET 25""")
+def r19b(pages, links):
+    return s.list_entities(pages, g.link_counts(pages, links).select("page_id", "inbound_total"), 25, 25, "title", "concept", with_total=True)
