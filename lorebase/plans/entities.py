@@ -210,7 +210,7 @@ def e1b(nation, part):
 
 @query("e2_duplicate_pages", "fx_pages", "fx_links")
 def e2c(pages, links):
-    return sim.duplicate_pages(pages.where("deleted = 0 AND " + _ENTITY), links, 0.7)
+    return sim.duplicate_pages(pages.where("deleted = 0 AND " + _ENTITY), links, 0.9)
 
 
 @query("g2_create_evident_pages", "fx_mentions", "fx_pages", oracle="SELECT DISTINCT slug FROM fx_mentions m WHERE slug LIKE 'companies/firm-%' AND id % 4 < 2 AND NOT EXISTS (SELECT 1 FROM fx_pages p WHERE p.deleted = 0 AND p.slug = m.slug)")
