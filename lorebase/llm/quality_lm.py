@@ -199,7 +199,8 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) ->
         none = F.lit(None).cast("double")
         return rows.select("doc_id", "lang", F.lit(False).alias("trusted"), none.alias("perplexity"), none.alias("threshold"), F.col("words").alias("keep"))
     requests = blocks.mapInArrow(_requests, "block long, code long")
-    asked = cut(requests.groupBy("code").agg(F.collect_set("block").alias("blocks")), "asked")
+    # dealt by n-gram before they are gathered: rows of two longs move, not partial sets
+    asked = cut(requests.repartition("code").groupBy("code").agg(F.collect_set("block").alias("blocks")), "asked")
     p = probabilities(asked.select("code"), kneser_ney(counts))
     answers = asked.join(p, "code").select(F.explode("blocks").alias("block"), "code", F.col("p").cast("float").alias("p"))
     scored = cut(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_perplexities, _SCORED), "perplexities")
