@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import decontamination, gru_lm, language_id, mixing, quality_lm, substring_dedup, topk_search, toxicity, url_filter
+from lorebase.llm import decontamination, gru_lm, language_id, mixing, quality_lm, substring_dedup, token_counts, topk_search, toxicity, url_filter
 from lorebase.llm import near_duplicates as nd
 from lorebase.llm.common import fold, read
 
@@ -63,6 +63,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "held_out", F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"), F.col("__ambiguous").alias("ambiguous"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_scoring": op2_lm_scoring,
@@ -74,6 +81,7 @@ QUERIES = {
     "op8_mixing_sources": op8_mixing_sources,
     "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_token_counts": op11_token_counts,
 }
 
 ORACLES = {
