@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import decontamination, gru_lm, language_id, mixing, quality_lm, substring_dedup, token_counts, topk_search, toxicity, url_filter
+from lorebase.llm import decontamination, gru_lm, language_id, mixing, quality_lm, spelling_variants, substring_dedup, token_counts, topk_search, toxicity, url_filter
 from lorebase.llm import near_duplicates as nd
 from lorebase.llm.common import fold, read
 
@@ -70,6 +70,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(read(spark, sf_dir, "documents"), least=3, ratio=2, every=97)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_scoring": op2_lm_scoring,
@@ -82,6 +86,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_token_counts": op11_token_counts,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLES = {
