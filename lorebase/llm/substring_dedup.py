@@ -243,7 +243,12 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col:
     # equal passages are settled once, on one of them
     distinct = cut(occurrences.groupBy("anchor", "digest").agg(F.count("*").alias("m"), F.min(F.struct("key", "first", "n")).alias("x")), "passages")
     marks = distinct.groupBy(F.col("x.key").alias("key")).agg(F.collect_list(F.struct("x.first", "x.n", "anchor", "digest", "m")).alias("marks"))
-    passages = docs.select(key.alias("key"), text.alias("text")).join(marks, "key").select("text", "marks").mapInArrow(_cut_out(), "anchor long, digest long, m long, passage string")
+    # of rows equal in id and text one is enough to read the passages from
+    texts = docs.select(key.alias("key"), text.alias("text"))
+    repeated = cut(occurrences.groupBy("key", "first").agg(F.count("*").alias("times")).where("times > 1").select("key").distinct(), "repeated")
+    if not repeated.isEmpty():
+        texts = texts.join(repeated, "key", "left_anti").unionByName(texts.join(repeated, "key", "left_semi").dropDuplicates(["key"]))
+    passages = texts.join(marks, "key").select("text", "marks").mapInArrow(_cut_out(), "anchor long, digest long, m long, passage string")
     schema = "anchor long, digest long, spans array<int>"
     crowded = cut(distinct.groupBy("anchor").agg(F.count("*").alias("d")).where(F.col("d") > hot).select("anchor"), "crowded")
     if crowded.isEmpty():
