@@ -244,6 +244,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of docs that reach the threshold with no item."""
-    ids = cut(contaminated(docs, benchmark, coverage).select("doc_id").where("doc_id is not null").distinct(), "contaminated")
-    return docs.join(broadcast_if_small(ids, ids.count(), BROADCAST_IDS), "doc_id", "left_anti").select(*quoted(docs.columns))
+    """The rows of docs that reach the threshold with no item; rows are told apart by a hash of id and text, so null ids are no exception."""
+    key = F.xxhash64(F.col("doc_id"), F.col("text").cast("string"))
+    keys = cut(contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, coverage).select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("row"), key.alias("__key"))
+    return rows.join(broadcast_if_small(keys, keys.count(), BROADCAST_IDS), "__key", "left_anti").select("row.*")
