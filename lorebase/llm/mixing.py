@@ -9,8 +9,9 @@ rounding is then set so that the source's words meet its target to within about
 
 Sources are ordered by code point, null last, and weigh 5, 2, 1, repeating. Targets stop at `cap` times the source's
 size and the excess goes to the others by weight. Null texts have size 0 and are never taken. Empty input gives no
-rows. Repeated rows share their hash; rows that are equal in id and text get the same number of copies. Columns of
-docs with the name of one of the five made here are replaced; all others pass through, whatever their names.
+rows. Rows that are equal in source, id and text are numbered, and their hashes spread evenly, so that each has a step
+of its own; the numbering is written once and dealt by the partitions that the rows were read in. Columns of docs with
+the name of one of the five made here are replaced; all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -90,6 +91,29 @@ def _uniform(key: Column, digest: Column, seed: int) -> Column:
     return (F.pmod(F.xxhash64(key, digest, F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
 
 
+def _spread(u: Column) -> Column:
+    """The hash u of the n-th of m equal rows, moved on by its share of the whole."""
+    at = u + (F.col("n") - 1) / F.col("m")
+    return at - F.floor(at)
+
+
+def number_repeats(rows: DataFrame, repeats: DataFrame) -> DataFrame:
+    """Rows (row, source, id, digest, size) with n of m: their number among the equal ones listed in repeats (source, id, digest, size, m).
+
+    A class is numbered in parts, one for each partition of the input, so that no task gets it whole.
+    """
+    same = F.expr("a.source <=> b.source and a.id <=> b.id and a.digest = b.digest")
+    single = rows.alias("a").join(repeats.alias("b"), same, "left_anti").select("a.*", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("m"))
+    several = cut(rows.withColumn("part", F.spark_partition_id()).alias("a").join(repeats.alias("b"), same).select("a.*", "b.m", F.xxhash64("a.row").alias("order")), "several")
+    key = ["source", "id", "digest"]
+    sizes = several.groupBy(*key, "part").agg(F.count("*").alias("k"))
+    sizes = sizes.withColumn("before", F.sum("k").over(Window.partitionBy(*key).orderBy("part")) - F.col("k"))
+    numbered = several.withColumn("i", F.row_number().over(Window.partitionBy(*key, "part").orderBy("order")))
+    on = F.expr("a.source <=> b.source and a.id <=> b.id and a.digest = b.digest and a.part = b.part")
+    numbered = numbered.alias("a").join(sizes.alias("b"), on).select("a.row", "a.source", "a.id", "a.digest", "a.size", (F.col("b.before") + F.col("a.i")).alias("n"), "a.m")
+    return single.unionByName(numbered)
+
+
 def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[float, ...] = WEIGHTS, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", seed: int = 8) -> DataFrame:
     """All rows and columns of docs with __size, __source_size, __target, __rate and __copies."""
     kept = quoted(own_columns(docs, MADE))
@@ -104,15 +128,22 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tupl
     # a rate r becomes floor(r + u): u is a hash of the row, shifted by the source's offset
     u = _uniform(F.col("id"), F.col("digest"), seed)
     rate = F.when(F.col("target") >= cap * F.col("source_size"), F.lit(float(cap))).otherwise(F.coalesce(_rate("z", "lam", float(cap)), F.lit(0.0)))
+    repeats = cut(sized.groupBy("source", "id", "digest", "size").agg(F.count("*").alias("m")).where("m > 1"), "repeats")
+    repeated = not repeats.isEmpty()
+    numbers = sized.withColumn("n", F.lit(1)).withColumn("m", F.lit(1))
+    if repeated:
+        several = repeats.withColumn("c", F.explode(F.expr(f"sequence(0L, (m - 1) div {BINS})"))).repartition("id", "digest", "c")
+        several = several.withColumn("n", F.explode(F.expr(f"sequence(c * {BINS} + 1, least(m, (c + 1) * {BINS}))"))).drop("c")
+        single = sized.alias("a").join(repeats.alias("b"), F.expr("a.source <=> b.source and a.id <=> b.id and a.digest = b.digest"), "left_anti")
+        numbers = single.select("a.*", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("m")).unionByName(several)
     slim = (
-        sized.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source"))
+        numbers.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source"))
         .withColumn("z", F.sqrt(F.col("size") / F.col("mean")))
-        .select("d.*", "p.target", "p.source_size", rate.alias("rate"), u.alias("u"))
+        .select("d.*", "p.target", "p.source_size", rate.alias("rate"), _spread(u).alias("u"))
     )
     # copies at offset t: floor(rate + u + t - 1/2); the steps are where a copy more is taken
     edge = F.explode(F.transform(F.sequence(F.lit(1), F.lit(int(cap))), lambda k: k - (F.col("rate") + F.col("u"))))
     jumps = slim.where("size > 0 and rate > 0 and rate < %d" % cap).select("source", "size", "target", edge.alias("t"))
-    sure = slim.where("rate >= %d" % cap).groupBy("source").agg((F.lit(cap) * F.sum("size")).alias("sure"))
     coarse = jumps.groupBy("source", F.floor((F.col("t") + 2) * BINS).alias("bin")).agg(F.sum("size").alias("words"), F.first("target").alias("target"))
     run = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
     coarse = cut(coarse.withColumn("upto", run), "bins")
@@ -123,12 +154,13 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tupl
     ends = fine.withColumn("total", total).select("source", "target", F.explode(F.array(F.struct("fine", "total"), F.struct((F.col("fine") - 1).alias("fine"), (F.col("total") - F.col("words")).alias("total")))).alias("x"))
     best = ends.groupBy("source").agg(F.min_by("x.fine", F.struct(F.abs(F.col("x.total") - F.col("target")), "x.fine")).alias("fine"))
     plan = cut(plan.alias("p").join(best.alias("f"), F.expr("p.source <=> f.source"), "left").select("p.*", "f.fine"), "offsets")
-    step = F.col("rate") + _uniform(F.col("id"), F.col("digest"), seed)
+    step = F.col("rate") + _spread(_uniform(F.col("id"), F.col("digest"), seed))
     taken = F.expr("0")
     for k in range(1, int(cap) + 1):
         taken = taken + (F.floor((k - step + 2) * BINS * BINS * 16) <= F.col("fine")).cast("int")
     copies = F.when(F.col("size") == 0, 0).when(F.col("rate") >= cap, int(cap)).otherwise(F.coalesce(taken, F.lit(0)))
     rows = docs.select(F.struct(*kept).alias("row"), F.col(source_col).alias("source"), key.alias("id"), digest.alias("digest"), word_count(text_col).alias("size"))
+    rows = number_repeats(rows, repeats) if repeated else rows.withColumn("n", F.lit(1)).withColumn("m", F.lit(1))
     out = (
         rows.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source"))
         .withColumn("z", F.sqrt(F.col("size") / F.col("mean")))

@@ -1,5 +1,6 @@
 """Cases that went wrong once, and the quality model against a plain version."""
 
+import time
 from collections import Counter, defaultdict
 from math import log2
 from zlib import crc32
@@ -285,3 +286,31 @@ def test_url_scores_against_plain_models(spark):
         assert abs(got[i]["score"] - plain_log_ratio(examples, x)) < 1e-9
     limit = got[6]["threshold"]
     assert all(got[i]["verdict"] == ("block" if got[i]["score"] < limit else "allow") for i in (6, 7))
+
+
+def test_many_equal_rows_cost_no_square(spark):
+    """8,000 rows equal in id and text: their words all go, in a time that grows with the rows alone."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text)] * 8000 + [(2, text), (3, "alone " * 3)]
+    began = time.perf_counter()
+    done = substring_dedup.drop_repeats(docs(spark, rows).repartition(4)).groupBy("doc_id", "__n_words", "__n_removed").count().collect()
+    assert sorted(map(tuple, done)) == [(1, 60, 60, 8000), (2, 60, 60, 1), (3, 3, 0, 1)]
+    assert time.perf_counter() - began < 60
+
+
+def test_contaminated_rows_without_an_id_go(spark):
+    item = " ".join(f"item{i}" for i in range(30))
+    rows = [(None, item), (None, "clean words that no item has"), (3, item), (4, "other"), (None, None)]
+    kept = decontamination.drop_contaminated(docs(spark, rows).withColumn("row", F.lit(1)), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, [(None, rows[1][1], 1), (4, "other", 1), (None, None, 1)]))
+
+
+def test_sources_of_equal_rows_meet_their_target(spark):
+    rows = [(7, "a b c d", "s", i % 3) for i in range(1000)] + [(i, " ".join([f"w{i}"] * 50), "s", 0) for i in range(100, 110)] + [(None, None, None, 0)] * 2 + [(1, "x y", None, 0)] * 5
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(5)
+    mixed = mixing.mix_sources(d)
+    out = {r["source"]: r for r in mixed.groupBy("source").agg(F.sum(F.col("__size") * F.col("__copies")).alias("taken"), F.first("__target").alias("target"), F.count("*").alias("rows"), F.max("__copies").alias("most")).collect()}
+    assert out["s"]["rows"] == 1010 and out[None]["rows"] == 7 and max(r["most"] for r in out.values()) <= 2
+    assert abs(out["s"]["taken"] - out["s"]["target"]) <= 50 and abs(out[None]["taken"] - out[None]["target"]) <= 2
+    counts = lambda m: sorted(map(tuple, m.groupBy("doc_id", "n", "__copies").count().collect()), key=str)
+    assert mixed.columns == ["doc_id", "text", "source", "n", *mixing.MADE] and counts(mixed) == counts(mixing.mix_sources(d))
