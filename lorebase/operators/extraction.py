@@ -22,6 +22,8 @@ DIRECTORIES = "companies|industries|concepts|sources|theses|outputs|briefs"
 
 FACT_KEYS = ("entity", "metric", "period", "value", "unit", "source_quote")
 EVENT_KEYS = ("entity", "date", "event_type", "summary", "detail")
+#: Keys of an event that must be text, not numbers or lists.
+EVENT_TEXTS = ("date", "event_type", "summary")
 _DATE = r"^\d{4}-\d{2}-\d{2}$"
 
 
@@ -34,7 +36,7 @@ def fact_block(content: Column) -> Column:
 def parse_fact_blocks(pages: DataFrame) -> DataFrame:
     """(page_id, pos, entity, metric, period, value, unit, source_quote) of the pages' (page_id, content) fact blocks.
 
-    Records need entity, metric and value; a block that is no list of flat records gives none.
+    Records need entity, metric and value, of which numbers become text; a block that is no YAML list gives none.
     """
     rows = pages.select("page_id", F.posexplode(yaml.records(fact_block(F.col("content")), FACT_KEYS)).alias("pos", "x"))
     return rows.select("page_id", "pos", "x.*").where("entity IS NOT NULL AND metric IS NOT NULL AND value IS NOT NULL")
@@ -51,7 +53,7 @@ def parse_timeline(pages: DataFrame, known: DataFrame) -> DataFrame:
     Dates must be days, summary and type must not be blank, placeholder dates go; events of an entity that is none of
     the known (slug, id) go, those of no entity stay. Repeats of (entity, date, summary) count once.
     """
-    rows = pages.select("page_id", F.posexplode(yaml.records(F.col("timeline"), EVENT_KEYS)).alias("pos", "x")).select("page_id", "pos", "x.*")
+    rows = pages.select("page_id", F.posexplode(yaml.records(F.col("timeline"), EVENT_KEYS, EVENT_TEXTS)).alias("pos", "x")).select("page_id", "pos", "x.*")
     kept = rows.where(F.col("date").rlike(_DATE) & (F.trim("summary") != "") & (F.trim("event_type") != "") & ~suspicious_date(F.col("date"), F.col("summary")))
     met = kept.join(known.select(F.col("slug").alias("entity"), F.col("id").alias("entity_page_id")), "entity", "left").where("entity IS NULL OR entity_page_id IS NOT NULL")
     rows = met.select(

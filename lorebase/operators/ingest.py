@@ -172,11 +172,29 @@ def single_entity(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.when(F.size(found) == 1, F.element_at(found, 1)).alias("entity"))
 
 
+#: A line that begins the timeline, with the kinds that are told apart: to the end, a comment that may be closed, a rule before a heading.
+_TIMELINE = r"(?i:---[ \t]+timeline[ \t]+---)[ \t\r]*$|<!--\s*(?i:timeline)\b[^\n]*$|---[ \t\r]*$(?=\s*^[ \t]*##\s+(?i:timeline|history)\b)"
+
+
 def split_body(pages: DataFrame) -> DataFrame:
-    """(page_id, body, timeline) at the first `<!-- timeline -->` or `--- timeline ---` line, or `---` before a Timeline or History heading."""
-    mark = r"(?im)^(?:<!--\s*timeline\s*-->|---\s*timeline\s*---|---\s*$(?=\s*^##\s+(?:timeline|history)))"
-    parts = F.split("content", mark, 2)
-    return pages.select("page_id", F.trim(F.get(parts, F.lit(0))).alias("body"), F.coalesce(F.trim(F.get(parts, F.lit(1))), F.lit("")).alias("timeline"))
+    """(page_id, body, timeline) of pages (page_id, content), parted at the first line that begins a timeline.
+
+    `<!-- timeline -->`, `--- timeline ---` and `---` before a Timeline or History heading (but not where a page begins)
+    take all that follows. A comment that is only opened, `<!-- timeline`, goes to the line `-->`; what comes after that
+    stays in the body. A body without a timeline is left as it is, else blanks at its end go.
+    """
+    blank = F.lit(" \t\r\n")
+    # the rule at the very beginning is front matter
+    whole = rf"(?ms)\A((?:\s*^[ \t]*---[ \t\r]*$)?+.*?)^[ \t]*({_TIMELINE})(.*)\z"
+    part = lambda k: F.regexp_extract("content", whole, k)
+    rows = pages.select("page_id", "content", part(1).alias("head"), F.trim(part(2), blank).alias("mark"), part(3).alias("rest"))
+    close = r"(?m)^[ \t]*-->[ \t\r]*$"
+    wrapped = F.startswith("mark", F.lit("<!--")) & ~F.col("mark").isin("<!-- timeline -->", "<!--timeline-->") & F.col("rest").rlike(close)
+    halves = F.split("rest", close, 2)
+    body = F.when(wrapped, F.concat("head", F.regexp_replace(F.get(halves, F.lit(1)), r"\A\n", ""))).otherwise(F.col("head"))
+    timeline = F.when(wrapped, F.get(halves, F.lit(0))).otherwise(F.col("rest"))
+    found = F.col("mark") != ""
+    return rows.select("page_id", F.when(found, F.rtrim(body, blank)).otherwise(F.col("content")).alias("body"), F.when(found, F.trim(timeline, blank)).otherwise("").alias("timeline"))
 
 
 def sections(pages: DataFrame) -> DataFrame:
@@ -191,11 +209,18 @@ def snapshot_versions(pages: DataFrame, reason: str) -> DataFrame:
     return pages.select(F.col("id").alias("page_id"), F.sha2("content", 256).alias("content_hash"), F.length("content").alias("chars"), F.lit(reason).alias("reason"))
 
 
-def append_updates(pages: DataFrame, deltas: DataFrame, date: str, source: str) -> DataFrame:
-    """Pages (id, content) with deltas (id, delta) as a dated block under `## Updates`; a delta takes the place of a body under 200 characters."""
-    block = F.concat(F.lit(f"\n\n## Updates\n\n### {date} (per [[{source}]])\n\n"), "delta")
+def append_updates(pages: DataFrame, deltas: DataFrame, date: str, source: str | None) -> DataFrame:
+    """Pages (id, content) with deltas (id, delta) as a dated block at the end, under the `## Updates` that is there or a new one.
+
+    A delta takes the place of a body under 200 characters as it is. A null source leaves out the reference.
+    """
+    blank = F.lit(" \t\r\n")
+    tag = F.lit(f" (per [[{source}]])" if source else "")
+    block = F.concat(F.lit(f"### {date}"), tag, F.lit("\n\n"), F.trim("delta", blank), F.lit("\n"))
+    body = F.trim(F.coalesce("content", F.lit("")), blank)
+    heading = F.when(body.contains("\n## Updates"), "\n\n").otherwise("\n\n## Updates\n\n")
     d = pages.join(deltas, "id", "left")
-    return d.select("id", F.when(F.col("delta").isNull(), F.col("content")).when(F.length(F.trim("content")) < 200, F.col("delta")).otherwise(F.concat("content", block)).alias("content"))
+    return d.select("id", F.when(F.col("delta").isNull(), F.col("content")).when(F.length(body) < 200, F.col("delta")).otherwise(F.concat(body, heading, block)).alias("content"))
 
 
 def review_gate(pages: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions import yaml
-from lorebase.operators.extraction import EVENT_KEYS, FACT_KEYS, REQUIRED_SECTIONS, fact_block, suspicious_date
+from lorebase.operators.extraction import EVENT_KEYS, EVENT_TEXTS, FACT_KEYS, REQUIRED_SECTIONS, fact_block, suspicious_date
 from lorebase.operators.graph import active
 
 #: By page type the least characters and wikilinks, the sections and the keys of the front matter.
@@ -51,6 +52,7 @@ HEDGE_FIELDS = {
     "rationale": r"\brationale\b|\breason\b|why|理由",
     "priority": r"\bpriority\b|urgent|monitor|优先|紧急",
 }
+#: Fixed value: words by which a section tells that nothing is to be done.
 NO_ACTION = r"no (new )?(position|trade|opportunit|action)|no need to|hold current|保持|not actionable|watchlist only|research task"
 
 
@@ -65,11 +67,12 @@ def visible_text(markdown: Column) -> Column:
     return F.trim(markdown)
 
 
-def page_sections(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, key, body) of the second- and third-level headings of pages (page_id, body)."""
-    parts = F.filter(F.split("body", r"(?m)^(?=#{2,3}\s+\S)"), lambda p: p.rlike(r"\A#{2,3}\s+\S"))
-    rows = pages.select("page_id", F.posexplode(parts).alias("pos", "part"))
-    return rows.select("page_id", "pos", heading_key(F.regexp_extract("part", r"\A#{2,3}\s+(.+?)\s*(?:\n|\z)", 1)).alias("key"), F.regexp_replace("part", r"\A[^\n]*\n?", "").alias("body"))
+def first_sections(body: Column) -> Column:
+    """array<struct<key, text>>: second- and third-level sections in their order, the first of each name."""
+    parts = F.filter(F.split(body, r"(?m)^(?=#{2,3}\s+\S)"), lambda p: p.rlike(r"\A#{2,3}\s+\S"))
+    found = F.transform(parts, lambda p: F.struct(heading_key(F.regexp_extract(p, r"\A#{2,3}\s+(.+?)\s*(?:\n|\z)", 1)).alias("key"), F.regexp_replace(p, r"\A[^\n]*\n?", "").alias("text")))
+    # the array is named once, so that it is built once
+    return F.get(F.transform(F.array(found), lambda s: F.filter(s, lambda x, i: F.array_position(F.transform(s, lambda y: y["key"]), x["key"]) == i + 1)), F.lit(0))
 
 
 def _present(value: Column) -> Column:
@@ -83,71 +86,117 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _issue(severity: str, code: str, detail: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), (none if detail is None else detail.cast("string")).alias("detail"))
+
+
+class Rules:
+    """Issues of a row as one array: of conditions, and of lists with an issue for each of their values."""
+
+    def __init__(self) -> None:
+        self.single: list[Column] = []
+        self.lists: list[Column] = []
+
+    def when(self, condition: Column, severity: str, code: str, detail: Column | None = None) -> None:
+        self.single.append(F.when(condition, _issue(severity, code, detail)))
+
+    def each(self, details: Column, severity: str, code: str) -> None:
+        """An issue for each value of an array of texts; none for null."""
+        none = F.array().cast("array<string>")
+        self.lists.append(F.transform(F.coalesce(details, none), lambda d: _issue(severity, code, d)))
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """(page_id, severity, code, detail), from one pass over the rows."""
+        return rows.select("page_id", F.explode(F.concat(F.array_compact(F.array(*self.single)), *self.lists)).alias("x")).select("page_id", "x.*")
+
+
+def _by_kind(kind: Column, values: dict[str, tuple]) -> Column:
+    """The array that a kind has; empty for others."""
+    out = F.array().cast("array<string>")
+    for k, own in values.items():
+        out = F.when(kind == k, F.array(*map(F.lit, own)) if own else F.array().cast("array<string>")).otherwise(out)
+    return out
+
+
+def plan_lists(plan: Column) -> Column:
+    """struct<kind, companies, soft> of an entity plan: mapping, other or malformed; the slugs proposed for companies and the types of soft candidates, where they are text."""
+
+    def texts(value: object, key: str) -> list[str]:
+        return [x[key] for x in value if isinstance(x, dict) and isinstance(x.get(key), str)] if isinstance(value, list) else []
+
+    def shape(value: object, malformed: bool) -> dict:
+        if not isinstance(value, dict):
+            return {"kind": "malformed" if malformed else "other", "companies": [], "soft": []}
+        return {"kind": "mapping", "companies": texts(value.get("new_company_candidates"), "proposed_slug"), "soft": texts(value.get("soft_candidates"), "type")}
+
+    strings = pa.list_(pa.string())
+    return yaml.column(plan, shape, "struct<kind:string,companies:array<string>,soft:array<string>>", pa.struct([("kind", pa.string()), ("companies", strings), ("soft", strings)]))
+
+
 def review_issues(pages: DataFrame) -> DataFrame:
     """(page_id, severity, code, detail) of pages (page_id, type, content, frontmatter as JSON text, timeline).
 
     Each type has a profile of least sizes, sections and keys; sources also need a fact block, comparisons with what
-    is known and an entity plan. The entity plan is checked as to whether it is there and not empty.
+    is known and an entity plan, a YAML mapping whose company candidates are slugs of companies and whose soft candidates
+    are concepts or industries.
     """
-    spark = pages.sparkSession
     rows = pages.select("page_id", "type", F.coalesce("content", F.lit("")).alias("body"), F.coalesce("frontmatter", F.lit("{}")).alias("fm"), F.coalesce("timeline", F.lit("")).alias("timeline"))
-    size = spark.createDataFrame([(t, p[0], p[1]) for t, p in PROFILES.items()], "type string, min_chars int, min_links int")
-    known = rows.join(F.broadcast(size), "type")
-    issue = lambda df, severity, code, detail=None: df.select("page_id", F.lit(severity).alias("severity"), F.lit(code).alias("code"), (detail if detail is not None else F.lit(None)).cast("string").alias("detail"))
-    out = [issue(rows.join(F.broadcast(size), "type", "left_anti"), "warn", "no_profile", F.col("type"))]
-    measured = known.withColumn("chars", F.length(visible_text(F.col("body")))).withColumn("wikilinks", F.regexp_count("body", F.lit(r"\[\[[^\[\]]+\]\]")))
-    out.append(issue(measured.where("chars < min_chars"), "error", "content_too_short", F.col("chars")))
-    out.append(issue(measured.where("wikilinks < min_links"), "warn", "too_few_wikilinks", F.col("wikilinks")))
-
-    # sections: the first of each name counts
-    first = page_sections(rows).groupBy("page_id", "key").agg(F.min_by("body", "pos").alias("text"))
-    wanted = spark.createDataFrame([(t, s, s.lower()) for t, p in PROFILES.items() for s in p[2]], "type string, section string, key string")
-    need = known.select("page_id", "type").join(F.broadcast(wanted), "type").join(first, ["page_id", "key"], "left")
-    out.append(issue(need.where("text IS NULL"), "error", "missing_section", F.col("section")))
-    group = F.lit(None).cast("int")
-    for i, names in enumerate(RELATION_GROUPS):
-        group = F.when(F.col("key").isin(*names), i).otherwise(group)
-    related = known.where("type = 'source'").select("page_id").join(first, "page_id", "left").withColumn("g", group)
-    slugs = F.transform(F.regexp_extract_all("text", F.lit(r"\[\[([^\[\]|]+)(?:\|[^\[\]]+)?\]\]"), 1), lambda s: F.trim(s))
-    relation = related.groupBy("page_id").agg(F.countDistinct("g").alias("groups"), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("g").isNotNull(), slugs)))).alias("links"))
-    whole = F.col("groups") == len(RELATION_GROUPS)
-    thin = need.where(F.col("text").isNotNull() & (F.length(visible_text(F.col("text"))) < 20)).join(relation.select("page_id", "groups"), "page_id", "left")
-    out.append(issue(thin.where(~((F.col("key") == "relation to existing knowledge") & F.coalesce(whole, F.lit(False)))), "warn", "thin_section", F.col("section")))
-    out.append(issue(relation.where(~whole), "warn", "missing_relation_subsections"))
-    out.append(issue(relation.where(whole & (F.size("links") == 0)), "warn", "relation_missing_specific_links"))
-    out.append(issue(relation.where(whole & (F.size("links") == 1)), "warn", "relation_too_few_specific_links"))
-    out.append(issue(relation.where(whole & (F.size("links") > 1) & ~F.exists("links", lambda s: s.rlike("^(sources|companies|industries)/"))), "warn", "relation_missing_comparable_page_links"))
-
-    keys = spark.createDataFrame([(t, k) for t, p in PROFILES.items() for k in p[3]], "type string, key string")
+    known, source = F.col("type").isin(*PROFILES), F.col("type") == "source"
+    least = lambda i: F.element_at(F.create_map(*[F.lit(x) for t, p in PROFILES.items() for x in (t, p[i])]), F.when(known, F.col("type")))
+    plan = F.trim(F.regexp_extract("body", r"(?is)<!--\s*entity_plan\b(.*?)-->", 1), F.lit(" \n\t\r"))
     fields = F.coalesce(F.from_json("fm", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    front = known.withColumn("fields", fields)
-    absent = front.join(F.broadcast(keys), "type").where(~F.coalesce(_present(F.try_element_at("fields", F.col("key"))), F.lit(False)))
-    out.append(issue(absent, "error", "missing_frontmatter_key", F.col("key")))
-
-    source = front.where("type = 'source'")
-    facts = yaml.records(fact_block(F.col("body")), FACT_KEYS)
-    good = F.filter(facts, lambda x: x["entity"].isNotNull() & x["metric"].isNotNull() & x["value"].isNotNull())
-    has_facts = F.col("body").rlike(r"(?i)<!--\s*facts\b")
-    out.append(issue(source.where(~has_facts), "warn", "missing_facts_block"))
-    out.append(issue(source.where(has_facts & (F.size(good) == 0)), "warn", "empty_facts_block"))
-    events = yaml.records(F.col("timeline"), EVENT_KEYS)
-    dated = F.filter(events, lambda x: x["date"].isNotNull() & x["event_type"].isNotNull() & x["summary"].isNotNull())
-    out.append(issue(known.where((F.trim("timeline") != "") & (F.size(dated) == 0)), "warn", "invalid_timeline_yaml"))
-    guessed = known.select("page_id", F.explode(dated).alias("x")).where(suspicious_date(F.col("x.date"), F.col("x.summary")))
-    out.append(issue(guessed, "warn", "approximate_timeline_date", F.col("x.date")))
-
-    minutes = source.where(F.try_element_at("fields", F.lit("research_type")) == "meeting_minutes")
-    more = spark.createDataFrame([(s, s.lower()) for s in MEETING_SECTIONS], "section string, key string")
-    held = minutes.select("page_id", F.explode(F.array(*map(F.lit, MEETING_SECTIONS))).alias("section")).join(F.broadcast(more), "section").join(first, ["page_id", "key"], "left_anti")
-    out.append(issue(held, "error", "missing_meeting_minutes_section", F.col("section")))
-    out.append(issue(minutes.where(~has_facts), "warn", "meeting_minutes_missing_facts_block"))
-    primary = F.from_json(F.try_element_at("fields", F.lit("primary_entities")), "array<string>")
-    soft = F.filter(primary, lambda s: s.rlike("^(concepts|industries)/"))
-    out.append(issue(source.where(F.size(F.coalesce(soft, F.array().cast("array<string>"))) > 0), "warn", "primary_entities_soft_entity", F.array_join(soft, ", ")))
-    has_plan, plan = F.col("body").rlike(r"(?i)<!--\s*entity_plan\b"), F.trim(F.regexp_extract("body", r"(?is)<!--\s*entity_plan\b(.*?)-->", 1), F.lit(" \n\t\r"))
-    out.append(issue(source.where(~has_plan), "warn", "missing_entity_plan"))
-    out.append(issue(source.where(has_plan & (plan == "")), "warn", "empty_entity_plan"))
-    return _union(out)
+    rows = rows.select(
+        "page_id", "type", F.length(visible_text(F.col("body"))).alias("chars"), F.regexp_count("body", F.lit(r"\[\[[^\[\]]+\]\]")).alias("wikilinks"), first_sections(F.col("body")).alias("sections"), fields.alias("fields"),
+        yaml.records(F.when(source, fact_block(F.col("body"))), FACT_KEYS).alias("facts"), yaml.records(F.when(known, F.col("timeline")), EVENT_KEYS, EVENT_TEXTS).alias("events"), F.col("body").rlike(r"(?i)<!--\s*facts\b").alias("has_facts"),
+        (F.trim("timeline") != "").alias("has_timeline"), F.col("body").rlike(r"(?i)<!--\s*entity_plan\b").alias("has_plan"), plan.alias("plan_text"), plan_lists(F.when(source & (plan != ""), plan)).alias("plan"),
+    )
+    text_of = lambda key: F.get(F.filter("sections", lambda x: x["key"] == key), F.lit(0))["text"]
+    rows = rows.withColumn("wanted", F.transform(_by_kind(F.col("type"), {t: p[2] for t, p in PROFILES.items()}), lambda w: F.struct(w.alias("section"), text_of(F.lower(w)).alias("text"))))
+    related = F.filter("sections", lambda x: x["key"].isin(*[n for names in RELATION_GROUPS for n in names]))
+    slugs = lambda x: F.transform(F.regexp_extract_all(x["text"], F.lit(r"\[\[([^\[\]|]+)(?:\|[^\[\]]+)?\]\]"), 1), lambda t: F.trim(t))
+    whole = F.lit(True)
+    keys = F.transform("sections", lambda x: x["key"])
+    for names in RELATION_GROUPS:
+        whole = whole & F.arrays_overlap(keys, F.array(*map(F.lit, names)))
+    rows = rows.withColumn("whole", whole).withColumn("links", F.array_distinct(F.flatten(F.transform(related, slugs))))
+
+    rules = Rules()
+    rules.when(~F.coalesce(known, F.lit(False)), "warn", "no_profile", F.col("type"))
+    rules.when(F.col("chars") < least(0), "error", "content_too_short", F.col("chars"))
+    rules.when(F.col("wikilinks") < least(1), "warn", "too_few_wikilinks", F.col("wikilinks"))
+    rules.each(F.transform(F.filter("wanted", lambda w: w["text"].isNull()), lambda w: w["section"]), "error", "missing_section")
+    compared = source & F.col("whole")
+    thin = F.filter("wanted", lambda w: (F.length(visible_text(w["text"])) < 20) & ~((F.lower(w["section"]) == "relation to existing knowledge") & compared))
+    rules.each(F.transform(thin, lambda w: w["section"]), "warn", "thin_section")
+    rules.when(source & ~F.col("whole"), "warn", "missing_relation_subsections")
+    rules.when(compared & (F.size("links") == 0), "warn", "relation_missing_specific_links")
+    rules.when(compared & (F.size("links") == 1), "warn", "relation_too_few_specific_links")
+    rules.when(compared & (F.size("links") > 1) & ~F.exists("links", lambda x: x.rlike("^(sources|companies|industries)/")), "warn", "relation_missing_comparable_page_links")
+
+    field = lambda k: F.try_element_at("fields", k)
+    rules.each(F.filter(_by_kind(F.col("type"), {t: p[3] for t, p in PROFILES.items()}), lambda k: ~F.coalesce(_present(field(k)), F.lit(False))), "error", "missing_frontmatter_key")
+    good = F.filter("facts", lambda x: x["entity"].isNotNull() & x["metric"].isNotNull() & x["value"].isNotNull())
+    rules.when(source & ~F.col("has_facts"), "warn", "missing_facts_block")
+    rules.when(source & F.col("has_facts") & (F.size(good) == 0), "warn", "empty_facts_block")
+    dated = F.filter("events", lambda x: x["date"].isNotNull() & x["event_type"].isNotNull() & x["summary"].isNotNull())
+    rules.when(known & F.col("has_timeline") & (F.size(dated) == 0), "warn", "invalid_timeline_yaml")
+    rules.each(F.transform(F.filter(dated, lambda x: suspicious_date(x["date"], x["summary"])), lambda x: x["date"]), "warn", "approximate_timeline_date")
+
+    minutes = source & field(F.lit("research_type")).eqNullSafe("meeting_minutes")
+    rules.each(F.when(minutes, F.filter(F.array(*map(F.lit, MEETING_SECTIONS)), lambda w: text_of(F.lower(w)).isNull())), "error", "missing_meeting_minutes_section")
+    rules.when(minutes & ~F.col("has_facts"), "warn", "meeting_minutes_missing_facts_block")
+    soft = F.filter(F.from_json(field(F.lit("primary_entities")), "array<string>"), lambda x: x.rlike("^(concepts|industries)/"))
+    rules.when(source & (F.size(soft) > 0), "warn", "primary_entities_soft_entity", F.array_join(soft, ", "))
+    rules.when(source & ~F.col("has_plan"), "warn", "missing_entity_plan")
+    rules.when(source & F.col("has_plan") & (F.col("plan_text") == ""), "warn", "empty_entity_plan")
+    rules.when(F.col("plan.kind") == "malformed", "warn", "invalid_entity_plan_yaml")
+    rules.when(F.col("plan.kind") == "other", "warn", "invalid_entity_plan_shape")
+    wrong = F.filter("plan.companies", lambda x: ~x.startswith("companies/"))
+    rules.when(F.size(wrong) > 0, "warn", "invalid_entity_plan_company_candidate", F.array_join(wrong, ", "))
+    wrong = F.array_distinct(F.filter("plan.soft", lambda x: ~x.isin("concept", "industry")))
+    rules.when(F.size(wrong) > 0, "warn", "invalid_entity_plan_soft_candidate", F.array_join(wrong, ", "))
+    return rules.of(rows)
 
 
 def review_pages(pages: DataFrame, issues: DataFrame | None = None) -> DataFrame:
@@ -168,44 +217,39 @@ def gated_reviews(pages: DataFrame, stored: DataFrame) -> DataFrame:
 
 def output_issues(outputs: DataFrame) -> DataFrame:
     """(page_id, severity, code, detail) of report documents (page_id, slug, content, frontmatter as JSON text)."""
-    spark = outputs.sparkSession
     fields = F.coalesce(F.from_json(F.coalesce("frontmatter", F.lit("{}")), "map<string,string>"), F.create_map().cast("map<string,string>"))
     rows = outputs.select("page_id", "slug", F.coalesce("content", F.lit("")).alias("body"), fields.alias("f"))
     get = lambda k: F.try_element_at("f", F.lit(k))
     rows = rows.withColumn("subtype", F.when(get("subtype").isin(*OUTPUT_PROFILES), get("subtype")).when(F.col("slug").contains("daily-summarize"), "daily-summarize").otherwise("daily-review"))
-    rows = rows.withColumn("chars", F.length(F.trim(F.regexp_replace("body", r"\s+", " ")))).withColumn("refs", F.regexp_count("body", F.lit(r"\[\[(sources|briefs)/"))).withColumn("numbered", F.regexp_count("body", F.lit(r"(?m)^##\s+(?:Q\d|\d+\.)")))
-    rows = rows.withColumn("titles", F.transform(F.regexp_extract_all("body", F.lit(r"(?m)^##\s+(.+?)\s*$"), 1), lambda t: F.trim(t)))
-    issue = lambda df, severity, code, detail=None: df.select("page_id", F.lit(severity).alias("severity"), F.lit(code).alias("code"), (detail if detail is not None else F.lit(None)).cast("string").alias("detail"))
-    size = spark.createDataFrame([(t, p[0], p[3]) for t, p in OUTPUT_PROFILES.items()], "subtype string, min_chars int, min_numbered int")
-    keys = spark.createDataFrame([(t, k) for t, p in OUTPUT_PROFILES.items() for k in p[1]], "subtype string, key string")
-    heads = spark.createDataFrame([(t, s) for t, p in OUTPUT_PROFILES.items() for s in p[2]], "subtype string, section string")
-    sized = rows.join(F.broadcast(size), "subtype")
-    out = [
-        issue(rows.join(F.broadcast(keys), "subtype").where(~F.coalesce(_present(F.try_element_at("f", F.col("key"))), F.lit(False))), "error", "missing_frontmatter", F.col("key")),
-        issue(rows.where(~get("type").eqNullSafe("output")), "error", "wrong_type"),
-        issue(rows.where(~get("subtype").eqNullSafe(F.col("subtype"))), "error", "wrong_subtype"),
-        issue(sized.where("chars < min_chars"), "warn", "short_output", F.col("chars")),
-        issue(rows.join(F.broadcast(heads), "subtype").where(~F.array_contains("titles", F.col("section"))), "error", "missing_section", F.col("section")),
-        issue(rows.where("refs < 5"), "warn", "low_source_refs", F.col("refs")),
-        issue(sized.where("subtype = 'daily-review' AND numbered < min_numbered"), "error", "missing_questions", F.col("numbered")),
-        issue(sized.where("subtype = 'daily-summarize' AND numbered < min_numbered"), "error", "missing_sections", F.col("numbered")),
-    ]
     section = lambda title: F.regexp_extract("body", rf"(?ms)^##\s+{title}\s*$(.*?)(?=^##\s+|\z)", 1)
-    s = rows.where("subtype = 'daily-summarize'").withColumn("n", get("active_thesis_count").try_cast("int")).withColumn("mode", get("portfolio_mode")).withColumn("new", section(r"4\. New Positions")).withColumn("cut", section("5\\. Reduce / Hedge"))
-    reuse = s.where(F.coalesce(get("sources").contains("daily-review-"), F.lit(False))).select("page_id", "body", F.explode(F.array(F.lit(4), F.lit(5), F.lit(6))).alias("q"))
-    out.append(issue(reuse.where(~F.expr(r"body rlike concat('(?i)\\bQ', q, '\\b|§Q', q, '\\b')")), "error", "missing_daily_review_reuse", F.concat(F.lit("Q"), "q")))
-    watch = s.where("n = 0")
-    out.append(issue(watch.where(~F.col("mode").eqNullSafe("watchlist")), "error", "wrong_portfolio_mode"))
-    out.append(issue(watch.where(~F.col("body").rlike("(?i)watchlist|no active thesis|research brief")), "error", "missing_watchlist_disclaimer"))
-    out.append(issue(watch.where(F.col("new").rlike(r"(?i)%\s*NAV|\bNAV\b|\bsizing\b|\bentry\b|\bstop\b|\btarget\b")), "error", "watchlist_has_execution_fields"))
-    live = s.where("n IS NULL OR n <> 0")
-    out.append(issue(live.where((F.col("n") > 0) & _present(F.col("mode")) & (F.col("mode") != "active-thesis")), "error", "wrong_portfolio_mode"))
+    rows = rows.withColumns({
+        "chars": F.length(F.trim(F.regexp_replace("body", r"\s+", " "))), "refs": F.regexp_count("body", F.lit(r"\[\[(sources|briefs)/")), "numbered": F.regexp_count("body", F.lit(r"(?m)^##\s+(?:Q\d|\d+\.)")),
+        "titles": F.transform(F.regexp_extract_all("body", F.lit(r"(?m)^##\s+(.+?)\s*$"), 1), lambda t: F.trim(t)),
+        "n": get("active_thesis_count").try_cast("int"), "mode": get("portfolio_mode"), "new": section(r"4\. New Positions"), "cut": section("5\\. Reduce / Hedge"),
+    })
+    of = lambda i: F.element_at(F.create_map(*[F.lit(x) for t, p in OUTPUT_PROFILES.items() for x in (t, p[i])]), F.col("subtype"))
+    brief = F.col("subtype") == "daily-summarize"
+    rules = Rules()
+    rules.each(F.filter(_by_kind(F.col("subtype"), {t: p[1] for t, p in OUTPUT_PROFILES.items()}), lambda k: ~F.coalesce(_present(F.try_element_at("f", k)), F.lit(False))), "error", "missing_frontmatter")
+    rules.when(~get("type").eqNullSafe("output"), "error", "wrong_type")
+    rules.when(~get("subtype").eqNullSafe(F.col("subtype")), "error", "wrong_subtype")
+    rules.when(F.col("chars") < of(0), "warn", "short_output", F.col("chars"))
+    rules.each(F.filter(_by_kind(F.col("subtype"), {t: p[2] for t, p in OUTPUT_PROFILES.items()}), lambda h: ~F.array_contains("titles", h)), "error", "missing_section")
+    rules.when(F.col("refs") < 5, "warn", "low_source_refs", F.col("refs"))
+    rules.when(~brief & (F.col("numbered") < of(3)), "error", "missing_questions", F.col("numbered"))
+    rules.when(brief & (F.col("numbered") < of(3)), "error", "missing_sections", F.col("numbered"))
+    unused = F.array_compact(F.array(*[F.when(~F.col("body").rlike(rf"(?i)\bQ{q}\b|§Q{q}\b"), f"Q{q}") for q in (4, 5, 6)]))
+    rules.each(F.when(brief & get("sources").contains("daily-review-"), unused), "error", "missing_daily_review_reuse")
+    watch, live = brief & (F.coalesce("n", F.lit(1)) == 0), brief & (F.coalesce("n", F.lit(1)) != 0)
+    rules.when(watch & ~F.col("mode").eqNullSafe("watchlist"), "error", "wrong_portfolio_mode")
+    rules.when(watch & ~F.col("body").rlike("(?i)watchlist|no active thesis|research brief"), "error", "missing_watchlist_disclaimer")
+    rules.when(watch & F.col("new").rlike(r"(?i)%\s*NAV|\bNAV\b|\bsizing\b|\bentry\b|\bstop\b|\btarget\b"), "error", "watchlist_has_execution_fields")
+    rules.when(live & (F.col("n") > 0) & _present(F.col("mode")) & (F.col("mode") != "active-thesis"), "error", "wrong_portfolio_mode")
     for column, wanted, code in (("new", TRADE_FIELDS, "incomplete_trade_sheet"), ("cut", HEDGE_FIELDS, "incomplete_reduce_hedge")):
-        acting = live.where((F.trim(column, F.lit(" \n\t\r")) != "") & ~F.col(column).rlike("(?i)" + NO_ACTION))
+        acting = live & (F.trim(column, F.lit(" \n\t\r")) != "") & ~F.col(column).rlike("(?i)" + NO_ACTION)
         lacking = F.array_compact(F.array(*[F.when(~F.col(column).rlike("(?i)" + p), k) for k, p in wanted.items()]))
-        rows_ = acting.select("page_id", F.explode(lacking).alias("field"))
-        out.append(issue(rows_, "error", code, F.col("field")))
-    return _union(out)
+        rules.each(F.when(acting, lacking), "error", code)
+    return rules.of(rows)
 
 
 def output_backlog(outputs: DataFrame, limit: int = 30) -> DataFrame:

@@ -82,10 +82,10 @@ def f8(blocks):
 
 
 @query("x9_parse_fact_blocks", "fx_fact_pages", oracle=f"""
-SELECT 3000000 + p_partkey AS page_id, CAST(0 AS INTEGER) AS pos, 'companies/supplier-' || CAST(p_partkey % 100 AS VARCHAR) AS entity, 'weight' AS metric, '2024' AS period, {_SIZE} AS value, CAST(NULL AS VARCHAR) AS unit FROM part WHERE p_partkey % 7 <> 0
-UNION ALL SELECT 3000000 + p_partkey, 2, 'concepts/part-' || {_KEY}, 'share', NULL, '>' || {_SIZE} || '%', NULL FROM part WHERE p_partkey % 7 <> 0""")
+SELECT 3000000 + p_partkey AS page_id, CAST(0 AS INTEGER) AS pos, 'companies/supplier-' || CAST(p_partkey % 100 AS VARCHAR) AS entity, 'weight' AS metric, '2024' AS period, {_SIZE} AS value, CAST(NULL AS VARCHAR) AS unit, CAST(NULL AS VARCHAR) AS source_quote FROM part WHERE p_partkey % 7 <> 0
+UNION ALL SELECT 3000000 + p_partkey, 2, 'concepts/part-' || {_KEY}, 'share', NULL, '>' || {_SIZE} || '%', NULL, 'up: ' || {_SIZE} FROM part WHERE p_partkey % 7 <> 0""")
 def x9(pages):
-    return x.parse_fact_blocks(pages).drop("source_quote")
+    return x.parse_fact_blocks(pages)
 
 
 @query("x15_validate_proposed_facts", "fx_fact_pages", oracle=f"""
@@ -145,11 +145,11 @@ def e21(pages, known):
 
 
 @query("x17_parse_timeline", "fx_fact_pages", "fx_pages", oracle="""
-WITH e AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN DATE '2024-01-01' ELSE DATE '2024-05-17' END AS day, 'companies/supplier-00000000' || CAST(p_partkey % 10 AS VARCHAR) AS slug, CASE p_partkey % 2 WHEN 0 THEN 'news' ELSE 'other' END AS event_type FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 3 < 2)
-SELECT p.id AS entity_page_id, 3000000 + p_partkey AS source_page_id, day AS event_date, event_type, 'Part ' || CAST(p_partkey AS VARCHAR) || ' ships' AS summary FROM e JOIN fx_pages p ON p.slug = e.slug AND p.deleted = 0
-UNION ALL SELECT NULL, 3000000 + min(p_partkey), DATE '2024-07-01', 'guidance', 'Boost' FROM part""")
+WITH e AS (SELECT p_partkey, p_size, CASE p_partkey % 3 WHEN 0 THEN DATE '2024-01-01' ELSE DATE '2024-05-17' END AS day, 'companies/supplier-00000000' || CAST(p_partkey % 10 AS VARCHAR) AS slug, CASE p_partkey % 2 WHEN 0 THEN 'news' ELSE 'other' END AS event_type FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 3 < 2)
+SELECT p.id AS entity_page_id, 3000000 + p_partkey AS source_page_id, day AS event_date, event_type, 'Part ' || CAST(p_partkey AS VARCHAR) || ' ships' AS summary, 'part: ' || CAST(p_size AS VARCHAR) || ' goes out' AS detail FROM e JOIN fx_pages p ON p.slug = e.slug AND p.deleted = 0
+UNION ALL SELECT NULL, 3000000 + min(p_partkey), DATE '2024-07-01', 'guidance', 'Boost', NULL FROM part""")
 def x17(pages, known):
-    return x.parse_timeline(pages, known.where("deleted = 0").select("slug", "id")).drop("detail")
+    return x.parse_timeline(pages, known.where("deleted = 0").select("slug", "id"))
 
 
 @query("x20_repair_sections", "fx_fact_pages", oracle=f"""

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from lorebase.functions import text as t
 from lorebase.operators import ingest as i
 from lorebase.plans.catalog import query
+from lorebase.sources.keyed import KeyedTable
+from lorebase.sources.shared import shared_folder
 
 
 @query("s1_load_active_pages", "fx_pages", oracle="SELECT id, slug, type FROM fx_pages WHERE deleted = 0")
@@ -109,6 +111,21 @@ def s9(signals):
     return i.upsert(target, signals.where("id % 2 = 1").select(*keys, "id"), keys, ["id"], replace=False)
 
 
+@query("s9_keyed_upsert", "fx_signals", oracle="""
+WITH t AS (SELECT signal_type, entity_page_id, thesis_page_id, min(id) AS id FROM fx_signals WHERE id % 2 = 0 GROUP BY 1, 2, 3), u AS (SELECT signal_type, entity_page_id, thesis_page_id, min(id) AS id FROM fx_signals WHERE id % 2 = 1 GROUP BY 1, 2, 3),
+a AS (SELECT * FROM t UNION ALL SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.signal_type = u.signal_type AND t.entity_page_id = u.entity_page_id AND t.thesis_page_id IS NOT DISTINCT FROM u.thesis_page_id))
+SELECT signal_type, entity_page_id, thesis_page_id, CASE WHEN id % 3 = 0 THEN -id ELSE id END AS id FROM a""")
+def s9b(signals):
+    """Rows inserted, inserted again, and replaced in a stored table; each commit comes twice."""
+    keys = ["signal_type", "entity_page_id", "thesis_page_id"]
+    table = KeyedTable(signals.sparkSession, shared_folder(signals.sparkSession, "signals"), "signal_type string, entity_page_id long, thesis_page_id long, id long", keys, buckets=16)
+    for k in (0, 0, 1, 1):
+        table.upsert(signals.where(F.col("id") % 2 == k).select(*keys, "id"), ["id"], replace=False, commit=f"part-{k}")
+    for _ in range(2):
+        table.upsert(table.read().where("id > 0 AND id % 3 = 0").withColumn("id", -F.col("id")), ["id"], replace=True, commit="negated")
+    return table.read()
+
+
 @query("x4_estimate_tokens", "documents", oracle="SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents")
 def x4(documents):
     return documents.select("doc_id", t.estimate_tokens(F.col("text")).alias("tokens"))
@@ -205,9 +222,18 @@ def _docs(pages):
     return pages.select(F.col("id").alias("page_id"), "slug", F.expr("concat('Body of ', slug, '\n## Sources\na line\n### Notes\nmore\n', if(id % 2 = 0, '<!-- timeline -->', '--- timeline ---'), '\n- 2024-01-01 x')").alias("content"))
 
 
-@query("x2_split_body", "fx_pages", oracle="SELECT id AS page_id, 'Body of ' || slug || chr(10) || '## Sources' || chr(10) || 'a line' || chr(10) || '### Notes' || chr(10) || 'more' || chr(10) AS body, chr(10) || '- 2024-01-01 x' AS timeline FROM fx_pages")
+@query("x2_split_body", "fx_pages", oracle="""
+WITH k AS (SELECT id, content, id % 6 AS k FROM fx_pages)
+SELECT id AS page_id, CASE k WHEN 5 THEN '---' || chr(10) || content || '  ' WHEN 4 THEN content || chr(10) || chr(10) || chr(10) || '## After' || chr(10) || 'stays' ELSE content END AS body,
+ CASE k WHEN 5 THEN '' WHEN 3 THEN '## History' || chr(10) || '- date: 2024-01-01' ELSE '- date: 2024-01-01' END AS timeline FROM k""")
 def x2(pages):
-    return i.split_body(_docs(pages))
+    # a comment, a rule with the word, an open comment, a rule before a heading, a closed comment with text behind it, none
+    tail = F.element_at(
+        F.array(*map(F.lit, ("\n\n<!-- timeline -->\n\n{}\n", "\n--- Timeline ---\n{}", "\n\n<!-- timeline\n{}\n", "\n\n---\n\n## History\n{}", "\n\n<!-- timeline\n{}\n-->\n\n## After\nstays\n", "  "))),
+        (F.col("id") % 6 + 1).cast("int"),
+    )
+    text = F.concat(F.when(F.col("id") % 6 == 5, "---\n").otherwise(""), "content", F.replace(tail, F.lit("{}"), F.lit("- date: 2024-01-01")))
+    return i.split_body(pages.select(F.col("id").alias("page_id"), text.alias("content")))
 
 
 @query("x18_sections", "fx_pages", oracle="SELECT id AS page_id, CAST(0 AS INTEGER) AS pos, 'sources' AS title, 'a line' || chr(10) AS body FROM fx_pages UNION ALL SELECT id, 1, 'notes', 'more' || chr(10) || CASE id % 2 WHEN 0 THEN '<!-- timeline -->' ELSE '--- timeline ---' END || chr(10) || '- 2024-01-01 x' FROM fx_pages")
@@ -221,11 +247,15 @@ def s11(pages):
 
 
 @query("s12_append_updates", "fx_pages", oracle="""
-WITH p AS (SELECT id, CASE WHEN id % 2 = 0 THEN repeat(content || ' ', 20) ELSE content END AS content, CASE WHEN id % 3 = 0 THEN 'news of ' || slug END AS delta FROM fx_pages)
-SELECT id, CASE WHEN delta IS NULL THEN content WHEN length(trim(content)) < 200 THEN delta ELSE content || chr(10) || chr(10) || '## Updates' || chr(10) || chr(10) || '### 2024-01-01 (per [[sources/x]])' || chr(10) || chr(10) || delta END AS content FROM p""")
+WITH p AS (SELECT id, CASE WHEN id % 2 = 0 THEN repeat(content || ' ', 20) || CASE WHEN id % 4 = 0 THEN chr(10) || '## Updates' || chr(10) || 'old' ELSE '' END ELSE content END AS content, CASE WHEN id % 3 = 0 THEN 'news of ' || slug END AS delta FROM fx_pages),
+b AS (SELECT *, '### 2024-01-0' AS day, ' (per [[sources/x]])' || chr(10) || chr(10) || delta || chr(10) AS tail, trim(content, ' ' || chr(10)) || chr(10) || chr(10) || CASE WHEN contains(content, chr(10) || '## Updates') THEN '' ELSE '## Updates' || chr(10) || chr(10) END AS head FROM p)
+SELECT id, CASE WHEN delta IS NULL THEN content WHEN length(trim(content, ' ' || chr(10))) < 200 THEN delta ELSE head || day || '1' || tail || chr(10) || day || '2' || tail END AS content FROM b""")
 def s12(pages):
-    long = pages.select("id", "slug", F.when(F.col("id") % 2 == 0, F.repeat(F.concat("content", F.lit(" ")), 20)).otherwise(F.col("content")).alias("content"))
-    return i.append_updates(long.select("id", "content"), long.where("id % 3 = 0").select("id", F.concat(F.lit("news of "), "slug").alias("delta")), "2024-01-01", "sources/x")
+    earlier = F.when(F.col("id") % 4 == 0, "\n## Updates\nold").otherwise("")
+    long = pages.select("id", "slug", F.when(F.col("id") % 2 == 0, F.concat(F.repeat(F.concat("content", F.lit(" ")), 20), earlier)).otherwise(F.col("content")).alias("content"))
+    deltas = long.where("id % 3 = 0").select("id", F.concat(F.lit("news of "), "slug").alias("delta"))
+    once = i.append_updates(long.select("id", "content"), deltas, "2024-01-01", "sources/x")
+    return i.append_updates(once, deltas, "2024-01-02", "sources/x")  # the heading is there now
 
 
 @query("q4_review_gate", "fx_pages", oracle="SELECT id AS page_id, id % 3 = 0 AS reuse FROM fx_pages")

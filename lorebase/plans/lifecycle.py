@@ -10,6 +10,8 @@ from lorebase.operators import reviews as r
 from lorebase.operators import similarity as sim
 from lorebase.operators import theses as th
 from lorebase.plans.catalog import query
+from lorebase.sources.keyed import KeyedTable, save_tables
+from lorebase.sources.shared import shared_folder
 
 _TABLES = ("fx_pages", "fx_links", "fx_facts", "fx_timeline", "fx_signals", "fx_theses", "fx_tags", "fx_merges")
 
@@ -72,6 +74,22 @@ def e9g(*t):
     return _merged(*t)["pages"].select("id", "content", F.size(F.split("alias_csv", ",")).alias("aliases"), "deleted")
 
 
+@query("e9_stored_merge", *_TABLES, oracle=_moved("fx_timeline", "entity_page_id", "entity_page_id, event_date, summary"))
+def e9_stored(*t):
+    """Tables in storage, merged there twice: the second merge finds nothing to rewrite."""
+    *tables, merges = t
+    spark = merges.sparkSession
+    names = ("pages", "links", "timeline")
+    now = _tables(*tables)
+    stored = {n: KeyedTable(spark, shared_folder(spark, n), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in now[n].schema), ["id"], buckets=16) for n in names}
+    save_tables(stored, now, "load")
+    for commit in ("first", "second"):
+        here = now | {n: table.read() for n, table in stored.items()}
+        changed = save_tables(stored, lc.apply_merges(here, merges, "merge", "2001-12-31"), commit)
+    assert commit == "second" and not any(changed.values()), changed
+    return stored["timeline"].read().select("id", "entity_page_id", "deleted")
+
+
 @query("s10_append_events", *_TABLES, oracle="SELECT old AS entity_id, 'page_merge_duplicate' AS action FROM fx_merges UNION ALL SELECT new, 'page_merge_canonical' FROM fx_merges")
 def s10(*t):
     return _merged(*t)["events"].select("entity_id", "action")

@@ -39,8 +39,10 @@ def t3_stream_usage(spark: SparkSession, sf_dir: str):
 def t4_stream_candidates(spark: SparkSession, sf_dir: str):
     e = jobs.read_files(spark, f"{sf_dir}/events.parquet")
     kind = F.when(F.col("user_id") % 7 == 0, "unknown-").when(F.col("user_id") % 7 == 1, "major-").otherwise("firm-")
-    mentions = e.select(F.concat(F.lit("companies/"), kind, F.col("user_id").cast("string")).alias("slug"), (6000001 + F.col("event_id") % 997).alias("source_page_id"))
-    return jobs.candidates(mentions, _folder(spark))
+    mentions = e.select(F.concat(F.lit("companies/"), kind, F.col("user_id").cast("string")).alias("slug"), (6000001 + F.col("event_id") % 997).alias("source_page_id"), F.col("event_type").alias("alias"))
+    old = derive(spark, sf_dir, "fx_mentions").groupBy("slug").agg(F.min("source_page_id").alias("low")).where("low % 2 = 0")
+    pool = old.select("slug", F.lit("merged").alias("status"), F.array(F.lit("x")).alias("aliases"), F.array(F.lit(1).cast("long")).alias("source_page_ids"))
+    return jobs.candidates(mentions, _folder(spark), pool).select("slug", "status", "evidence_count")
 
 
 QUERIES |= {"t1_stream_intake": t1_stream_intake, "t2_stream_fact_signals": t2_stream_fact_signals, "t3_stream_usage": t3_stream_usage, "t4_stream_candidates": t4_stream_candidates}
@@ -48,5 +50,5 @@ ORACLES |= {
     "t1_stream_intake": with_derivations("SELECT research_id, research_type FROM fx_raw_files WHERE triage_decision <> 'commit'"),
     "t2_stream_fact_signals": ORACLES["f13_detect_fact_signals"],
     "t3_stream_usage": ORACLES["q18_usage_daily"],
-    "t4_stream_candidates": with_derivations("SELECT slug, count(DISTINCT source_page_id) AS evidence_count FROM fx_mentions GROUP BY 1"),
+    "t4_stream_candidates": ORACLES["e17_candidate_pool"],
 }

@@ -91,10 +91,10 @@ UNION ALL SELECT 3000000 + p_partkey, 1, 0, 'table', NULL, NULL, '<table><tr><td
 """,
     "fx_fact_pages": """
 SELECT 3000000 + p_partkey AS page_id, 'concept' AS type, 'See [[companies/supplier-' || CAST(p_partkey % 100 AS STRING) || '|confirms: S one]] and [the part](../concepts/part-' || CAST(p_partkey AS STRING) || '.md) (weight ' || CAST(p_size AS STRING) || ' kg) here.' || chr(10) || chr(10)
- || CASE WHEN p_partkey % 7 = 0 THEN '<!-- facts' || chr(10) || 'facts: [' || chr(10) || '-->' ELSE '<!-- facts' || chr(10) || '- entity: companies/supplier-' || CAST(p_partkey % 100 AS STRING) || chr(10) || '  metric: weight' || chr(10) || '  value: ' || CAST(p_size AS STRING) || chr(10) || '  period: 2024  # year' || chr(10)
- || '- metric: lost' || chr(10) || '  value: 1' || chr(10) || '- entity: concepts/part-' || CAST(p_partkey AS STRING) || chr(10) || '  metric: share' || chr(10) || '  value: ">' || CAST(p_size AS STRING) || '%"' || chr(10) || '-->' END AS content,
+ || CASE WHEN p_partkey % 7 = 0 THEN '<!-- facts' || chr(10) || 'facts: [' || chr(10) || '-->' ELSE '<!-- facts' || chr(10) || '- entity: companies/supplier-' || CAST(p_partkey % 100 AS STRING) || chr(10) || '  metric: weight' || chr(10) || '  value: ' || CAST(p_size AS STRING) || chr(10) || '  period: 2024  # year' || chr(10) || '  note: |' || chr(10) || '    - not: a record' || chr(10) || '      at all' || chr(10)
+ || '- metric: lost' || chr(10) || '  value: 1' || chr(10) || '- entity: concepts/part-' || CAST(p_partkey AS STRING) || chr(10) || '  metric: share' || chr(10) || '  value: ">' || CAST(p_size AS STRING) || '%"' || chr(10) || '  source_quote: "up: ' || CAST(p_size AS STRING) || '"' || chr(10) || '  by: ' || chr(123) || 'who: [a, "b: c",' || chr(10) || '    d], n: 1' || chr(125) || chr(10) || '-->' END AS content,
  chr(123) || '"primary_entities":["concepts/part-' || CAST(p_partkey AS STRING) || '","none"],"research_id":"r' || CAST(p_partkey AS STRING) || '"' || chr(125) AS frontmatter,
- '- entity: companies/supplier-' || CASE WHEN p_partkey % 4 = 0 THEN 'none' ELSE '00000000' || CAST(p_partkey % 10 AS STRING) END || chr(10) || '  date: ' || CASE p_partkey % 3 WHEN 0 THEN '2024-01-01' WHEN 1 THEN '2024-05-17' ELSE 'soon' END || chr(10) || '  event_type: ' || CASE p_partkey % 2 WHEN 0 THEN 'news' ELSE 'party' END || chr(10) || '  summary: Part ' || CAST(p_partkey AS STRING) || ' ships'
+ '- entity: companies/supplier-' || CASE WHEN p_partkey % 4 = 0 THEN 'none' ELSE '00000000' || CAST(p_partkey % 10 AS STRING) END || chr(10) || '  date: ' || CASE p_partkey % 3 WHEN 0 THEN '2024-01-01' WHEN 1 THEN '2024-05-17' ELSE 'soon' END || chr(10) || '  event_type: ' || CASE p_partkey % 2 WHEN 0 THEN 'news' ELSE 'party' END || chr(10) || '  summary: Part ' || CAST(p_partkey AS STRING) || ' ships' || chr(10) || '  detail: >-' || chr(10) || '    part: ' || CAST(p_size AS STRING) || chr(10) || '    goes out' || chr(10) || '  metadata:' || chr(10) || '  - k: [1, 2]'
  || chr(10) || '- date: 2024-07-01' || chr(10) || '  event_type: guidance' || chr(10) || '  summary: Boost' AS timeline FROM {part}
 """,
     "fx_narratives": """
