@@ -190,7 +190,7 @@ class Reader:
                 breaks += 1
                 self.at += 1
                 continue
-            if len(line) - len(line.lstrip(" ")) <= parent or body[0] == "#":
+            if len(line) - len(line.lstrip(" ")) <= parent or body[0] == "#" or re.match(r"(\.\.\.|---)(\s|$)", line):
                 return
             parts += ["\n" * breaks or " ", self.plain_part(line)]
             breaks = 0

@@ -20,7 +20,7 @@ from lorebase.operators import reviews
         ("a: \"x: y # z\\n\\u00e9\"\nb: 'it''s'\nc: http://h/p?q=1#f", {"a": "x: y # z\né", "b": "it's", "c": "http://h/p?q=1#f"}),
         ("a: |\n  one\n    two\n\n  three\nb: >-\n  folded\n  text\n\n  para\nc: 1", {"a": "one\n  two\n\nthree\n", "b": "folded text\npara", "c": 1}),
         ("a: plain\n  goes on\n\n  here\nb: [1,\n  2, # two\n  3]\n", {"a": "plain goes on\nhere", "b": [1, 2, 3]}),
-        ('"q: k": 1\n? : 2' if False else '"q: k": 1', {"q: k": 1}),
+        ('"q: k": 1', {"q: k": 1}),
         ("---\na: -1\n...\n", {"a": -1}),
         ("", None),
         ("just text", "just text"),
