@@ -88,40 +88,6 @@ def apply_merge_to_links(links: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.where("from_page_id <> to_page_id").withColumn("rn", rn).where("rn = 1").select("id", "from_page_id", "to_page_id", "link_type", "link_source")
 
 
-def merge_plan(mapping: DataFrame, links: DataFrame, facts: DataFrame, timeline: DataFrame, signals: DataFrame) -> DataFrame:
-    """Rows of each table that a merge of each page would touch."""
-    ids = mapping.select(F.col("old").alias("page_id"))
-    parts = [
-        active(links).select(F.explode(F.array_distinct(F.array("from_page_id", "to_page_id"))).alias("page_id"), F.lit("links").alias("t")),
-        active(facts).select(F.col("entity_page_id").alias("page_id"), F.lit("facts").alias("t")),
-        active(timeline).select(F.col("entity_page_id").alias("page_id"), F.lit("timeline").alias("t")),
-        active(signals).select(F.col("entity_page_id").alias("page_id"), F.lit("signals").alias("t")),
-    ]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    n = rows.join(ids, "page_id", "left_semi").groupBy("page_id").agg(*[F.count_if(F.col("t") == t).alias(t) for t in ("links", "facts", "timeline", "signals")])
-    return ids.join(n, "page_id", "left").fillna(0)
-
-
-def retire_candidates(pages: DataFrame, links: DataFrame, facts: DataFrame, timeline: DataFrame, signals: DataFrame, max_chars: int = 300) -> DataFrame:
-    """Short stub and candidate pages without any reference."""
-    used = active(links).select(F.explode(F.array("from_page_id", "to_page_id")).alias("id"))
-    for df in (facts, timeline, signals):
-        used = used.unionByName(active(df).select(F.explode(F.array("entity_page_id", "source_page_id")).alias("id")))
-    rows = active(pages).where(F.col("entity_state").isin("stub", "candidate_promoted") & (F.length("content") <= max_chars))
-    return rows.join(used, "id", "left_anti").select("id", "slug", F.length("content").alias("chars"))
-
-
-def demotable_pages(pages: DataFrame, links: DataFrame, facts: DataFrame, timeline: DataFrame, signals: DataFrame, strong: float = 0.9, max_chars: int = 1300) -> DataFrame:
-    """Stub entity pages with weak links in only, no listing and no other reference."""
-    e = F.coalesce(is_effective(), F.lit(False)) | (F.col("weight") >= strong)
-    into = active(links).groupBy(F.col("to_page_id").alias("id")).agg(F.count_if(~e).alias("weak"), F.count_if(e).alias("strong"), F.countDistinct("from_page_id").alias("origins")).where("strong = 0 AND weak > 0")
-    used = active(facts).select(F.col("entity_page_id").alias("id")).unionByName(active(timeline).select(F.col("entity_page_id").alias("id"))).unionByName(active(signals).select(F.col("entity_page_id").alias("id")))
-    rows = active(pages).where(F.col("type").isin("company", "industry", "concept") & (F.col("entity_state") == "stub") & F.col("ticker").isNull() & F.col("exchange").isNull() & (F.length("content") <= max_chars))
-    return rows.join(into, "id").join(used, "id", "left_anti").select("id", "slug", "weak", "origins")
-
-
 #: Patterns of names that stand for no entity, and what they are, in the order in which they are tried.
 REJECTED_NAMES = (
     (r"^(unknown|unnamed|various|multiple|several|others?|misc)(-|$)", "generic-placeholder"),

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorebase.functions.periods import interval
 from lorebase.operators.graph import active, consensus_strength, is_effective, link_type_distribution
 
 
@@ -77,11 +78,14 @@ def top_consensus_metrics(facts: DataFrame, k: int = 6, min_obs: int = 3, min_so
     return kept.withColumn("rank", rank).where(F.col("rank") <= k).select("entity_page_id", "rank", "metric", "n", "sources", "mean", "latest", F.round(pct, 6).alias("drift_pct"), drift_label(pct).alias("trend"))
 
 
-def expire(facts: DataFrame, as_of: str, age_days: int = 90) -> DataFrame:
-    """Close current facts whose period ended more than age_days before as_of; period_end is the end of the fact's year."""
-    end = F.make_date(F.substring("period", 3, 4).cast("int"), F.lit(12), F.lit(31))
+def expire(facts: DataFrame, as_of: str, age_days: int = 90, fiscal_end: int = 12) -> DataFrame:
+    """Close current facts whose period ended more than age_days before as_of; a period without an end (see periods.interval) never expires.
+
+    Trailing and next twelve months and current values count from the fact's valid_from.
+    """
+    end = interval(F.col("period"), F.col("valid_from"), fiscal_end)["end"]
     old = F.col("valid_to").isNull() & (end < F.date_sub(F.lit(as_of).cast("date"), age_days)) & (F.col("deleted") == 0)
-    return facts.withColumn("expired", old).withColumn("valid_to", F.when(old, F.lit(as_of).cast("date")).otherwise(F.col("valid_to")))
+    return facts.withColumn("expired", F.coalesce(old, F.lit(False))).withColumn("valid_to", F.when(old, F.lit(as_of).cast("date")).otherwise(F.col("valid_to")))
 
 
 def query_facts(facts: DataFrame, pages: DataFrame, metric: str | None = None, period: str | None = None, current_only: bool = True, table_only: bool = False, entity: str | None = None, table_id: str | None = None, limit: int | None = None) -> DataFrame:

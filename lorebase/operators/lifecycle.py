@@ -11,9 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebase.operators.entities import auto_reject_reason, demotable_pages, merge_mapping, merge_risk, overlap, upsert_candidates
+from lorebase.operators.entities import auto_reject_reason, merge_mapping, merge_risk, overlap, upsert_candidates
 from lorebase.operators.graph import active, effective_backlinks, orphans
 from lorebase.operators.ingest import append_updates
+from lorebase.operators.references import demotable_pages
 from lorebase.sources.shared import written
 
 Tables = dict[str, DataFrame]
@@ -183,7 +184,7 @@ def demote_to_candidates(tables: Tables, as_of: str, strong: float = 0.9, max_ch
 
     `candidates` holds (slug, evidence_count, aliases, status) of them, rejected where the name stands for no entity.
     """
-    page = demotable_pages(tables["pages"], tables["links"], tables["facts"], tables["timeline"], tables["signals"], strong, max_chars)
+    page = demotable_pages(tables, strong, max_chars)
     page = written(page.join(tables["pages"].select("id", "alias_csv"), "id"), "demoted")
     mentions = active(tables["links"]).join(page.select(F.col("id").alias("to_page_id"), "slug", "alias_csv"), "to_page_id").select("slug", F.col("from_page_id").alias("source_page_id"), F.explode(F.split("alias_csv", ",")).alias("alias"))
     out = retire_pages(tables, page, "legacy-low-confidence-weak-mention-only", as_of)

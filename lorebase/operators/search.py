@@ -159,61 +159,92 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-#: Queries of a pass over all vectors: a block of them goes to every task.
-QUERY_BLOCK = 4096
+#: Queries and vectors of a tile, about: a task holds the queries of one tile and streams its vectors through.
+QUERY_TILE, VECTOR_TILE = 1024, 1 << 16
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best `keep` of each row by score to five decimals, ties by id; -inf is nothing."""
+    low = np.round(scores, 5)
+    if scores.shape[1] > keep:
+        least = np.partition(low, low.shape[1] - keep, axis=1)[:, low.shape[1] - keep]
+        row, column = np.nonzero((low >= least[:, None]) & np.isfinite(low))
+    else:
+        row, column = np.nonzero(np.isfinite(low))
+    order = np.lexsort((ids[row, column], -low[row, column], row))
+    row, column = row[order], column[order]
+    starts = np.searchsorted(row, np.arange(len(scores)))
+    place = np.arange(len(row)) - starts[row]
+    row, column, place = (x[place < keep] for x in (row, column, place))
+    have, best = np.zeros((len(scores), keep), np.int64), np.full((len(scores), keep), -np.inf)
+    have[row, place], best[row, place] = ids[row, column], scores[row, column]
+    return have, best
+
+
+def _tiles(pool: int):
+    """The best of each query of a tile, from rows (n, q, v, role, id, embedding) sorted by tile, its queries (role 0) first."""
+
+    def vectors(column: pa.Array, n: int) -> np.ndarray:
+        return np.nan_to_num(column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(column), n))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, asked, q, have, best = None, [], None, None, None
 
-def _nearest(shared, pool: int):
-    """Per task the best `pool` of each query and dimension, and what may round to the same score."""
+        def done() -> Iterator[pa.RecordBatch]:
+            if q is not None:
+                fine = np.isfinite(best)
+                rows = np.nonzero(fine)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(q[0][rows]), pa.array(have[fine]), pa.array(best[fine])], ["query_id", "id", "score"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            ids, vectors = batch.column(0).to_numpy(), batch.column(1)
-            at, flat = vectors.offsets.to_numpy(), vectors.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
-            for n, (qids, q) in shared.value.items():
-                own = np.flatnonzero(np.diff(at) == n)
-                for i in range(0, len(own), 4096):
-                    rows = own[i : i + 4096]
-                    v = np.nan_to_num(flat[at[:-1][rows][:, None] + np.arange(n)])
-                    norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)
-                    sim = np.divide(q @ v.T, norm, out=np.zeros_like(norm), where=norm > 0)
-                    s = np.where(qids[:, None] == ids[rows], -np.inf, 1 / (2 - sim))
-                    have, scores = best.get(n, (np.zeros((len(qids), 0), np.int64), np.zeros((len(qids), 0))))
-                    have, scores = np.concatenate([have, np.broadcast_to(ids[rows], s.shape)], 1), np.concatenate([scores, s], 1)
-                    keep = min(scores.shape[1], 2 * pool)
-                    place = np.lexsort((have, -np.round(scores, 5)), axis=1)[:, :keep]
-                    best[n] = np.take_along_axis(have, place, 1), np.take_along_axis(scores, place, 1)
-        for n, (have, scores) in best.items():
-            qids = np.repeat(shared.value[n][0], have.shape[1])
-            fine = np.isfinite(scores.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(qids[fine]), pa.array(have.ravel()[fine]), pa.array(scores.ravel()[fine])], ["query_id", "id", "score"])
+            columns = [batch.column(c).to_numpy() for c in range(4)]
+            new = np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0))
+            cuts = np.flatnonzero(new).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(batch)], strict=True):
+                at, role = tuple(int(c[a]) for c in columns[:3]), int(columns[3][a])
+                part = batch.slice(a, b - a)
+                if at != key:
+                    yield from done()
+                    key, asked, q = at, [], None
+                if role == 0:
+                    asked.append((part.column(4).to_numpy(), vectors(part.column(5), at[0])))
+                    continue
+                if not asked:
+                    continue  # no query of this length
+                if q is None:
+                    q = np.concatenate([i for i, _ in asked]), np.concatenate([x for _, x in asked])
+                    size = np.linalg.norm(q[1], axis=1)
+                    have, best = np.zeros((len(q[0]), 0), np.int64), np.zeros((len(q[0]), 0))
+                for c in range(0, b - a, 4096):
+                    some = part.slice(c, 4096)
+                    ids, v = some.column(4).to_numpy(), vectors(some.column(5), at[0])
+                    norm = size[:, None] * np.linalg.norm(v, axis=1)
+                    score = 1 / (2 - np.divide(q[1] @ v.T, norm, out=np.zeros_like(norm), where=norm > 0))
+                    score[q[0][:, None] == ids] = -np.inf
+                    have, best = _best(np.concatenate([have, np.broadcast_to(ids, score.shape)], 1), np.concatenate([best, score], 1), 2 * pool)
+        yield from done()
 
     return run
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, pool: int = 50, block: int = QUERY_BLOCK) -> DataFrame:
+def vector_search(queries: DataFrame, vectors: DataFrame, pool: int = 50, query_tile: int = QUERY_TILE, vector_tile: int = VECTOR_TILE) -> DataFrame:
     """(query_id, id, score, rn): nearest vectors by 1 / (1 + cosine distance), to five decimals, ties by id; never the query's own id.
 
-    The queries are a stated set, taken in blocks of about `block`; each block is one pass in which tasks keep their
-    best before anything is shuffled. A zero vector has cosine 0 with all; a vector meets those of its own length.
+    Queries and vectors are dealt in tiles by their hash, every tile of queries meets every tile of vectors of its length
+    as one group of a shuffle, and hands up its best; their number comes from two counts, the rows never pass the driver.
+    A zero vector has cosine 0 with all. A repeated query id counts each of its vectors' best.
     """
-    spark = queries.sparkSession
-    whole = lambda df: df.where(F.col("embedding").isNotNull()).withColumn("embedding", F.col("embedding").cast("array<double>"))
-    asked = whole(queries.select("query_id", "embedding"))
-    parts = max(1, -(-asked.count() // block))
-    rows = whole(vectors.select("id", "embedding"))
-    out = None
-    for part in range(parts):
-        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) if parts > 1 else asked
-        own: dict[int, list] = {}
-        for r in mine.collect():  # about `block` rows
-            own.setdefault(len(r[1]), []).append(r)
-        shared = spark.sparkContext.broadcast({n: (np.array([r[0] for r in x], np.int64), np.nan_to_num(np.array([r[1] for r in x], float).reshape(len(x), n))) for n, x in own.items()})
-        found = rows.mapInArrow(_nearest(shared, pool), "query_id long, id long, score double")
-        out = found if out is None else out.unionByName(found)
+    whole = lambda df, key: df.where(F.col("embedding").isNotNull()).select(F.size("embedding").alias("n"), F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked, rows = whole(queries, "query_id"), whole(vectors, "id")
+    nq, nv = max(1, -(-asked.count() // query_tile)), max(1, -(-rows.count() // vector_tile))
+    dealt = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    q = asked.select("n", dealt(nq).alias("q"), each(nv).alias("v"), F.lit(0).alias("role"), "id", "embedding")
+    v = rows.select("n", each(nq).alias("q"), dealt(nv).alias("v"), F.lit(1).alias("role"), "id", "embedding")
+    tiles = q.unionByName(v).repartition("n", "q", "v").sortWithinPartitions("n", "q", "v", "role")
+    found = tiles.mapInArrow(_tiles(pool), "query_id long, id long, score double")
     rn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return out.withColumn("score", F.round("score", 5)).withColumn("rn", rn).where(F.col("rn") <= pool)
+    return found.withColumn("score", F.round("score", 5)).withColumn("rn", rn).where(F.col("rn") <= pool)
 
 
 def rrf_fuse(lists: list[DataFrame], k: int = 60) -> DataFrame:

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from lorebase.operators import entities as e
+from lorebase.operators import lifecycle as lc
+from lorebase.operators import references as rf
 from lorebase.operators import similarity as sim
 from lorebase.plans.catalog import query
 
@@ -80,27 +82,62 @@ def e9(part, links):
     return e.apply_merge_to_links(links, e.merge_mapping(_mapping(part)))
 
 
-@query("e10_merge_plan", "part", "fx_links", "fx_facts", "fx_timeline", "fx_signals", oracle="""
-WITH m AS (SELECT 3000000 + p_partkey AS page_id FROM part WHERE p_partkey % 16 < 2 AND p_partkey >= 2)
-SELECT page_id, (SELECT count(*) FROM fx_links l WHERE l.deleted = 0 AND (from_page_id = m.page_id OR to_page_id = m.page_id)) AS links, (SELECT count(*) FROM fx_facts f WHERE f.deleted = 0 AND entity_page_id = m.page_id) AS facts, CAST(0 AS BIGINT) AS timeline, CAST(0 AS BIGINT) AS signals FROM m""")
-def e10(part, links, facts, timeline, signals):
-    return e.merge_plan(_mapping(part), links, facts, timeline, signals)
+_KEPT = ("fx_pages", "fx_links", "fx_facts", "fx_timeline", "fx_signals", "fx_theses", "fx_tags", "fx_lead_pages", "fx_lead_links", "fx_lead_theses")
 
 
-@query("e13_retire_candidates", "fx_pages", "fx_links", "fx_facts", "fx_timeline", "fx_signals", oracle="""
-WITH u AS (SELECT from_page_id AS id FROM fx_links WHERE deleted = 0 UNION SELECT to_page_id FROM fx_links WHERE deleted = 0 UNION SELECT entity_page_id FROM fx_facts WHERE deleted = 0 UNION SELECT source_page_id FROM fx_facts WHERE deleted = 0
-UNION SELECT entity_page_id FROM fx_timeline UNION SELECT source_page_id FROM fx_timeline UNION SELECT entity_page_id FROM fx_signals UNION SELECT source_page_id FROM fx_signals)
-SELECT id, slug, length(content)::INTEGER AS chars FROM fx_pages p WHERE deleted = 0 AND entity_state IN ('stub', 'candidate_promoted') AND length(content) <= 300 AND NOT EXISTS (SELECT 1 FROM u WHERE u.id = p.id)""")
-def e13(pages, links, facts, timeline, signals):
-    return e.retire_candidates(pages, links, facts, timeline, signals)
+def _with_leads(pages, links, facts, timeline, signals, theses, tags, lead_pages, lead_links, lead_theses):
+    """All tables, with pages of leads that are referred to in few ways or none."""
+    return {"pages": pages.unionByName(lead_pages), "links": links.unionByName(lead_links), "facts": facts, "timeline": timeline, "signals": signals, "theses": theses.unionByName(lead_theses), "tags": tags}
 
 
-@query("e15_demotable_pages", "fx_pages", "fx_links", "fx_facts", "fx_timeline", "fx_signals", oracle=f"""
-WITH i AS (SELECT to_page_id AS id, count(*) FILTER (WHERE NOT coalesce({_E}, false)) AS weak, count(*) FILTER (WHERE coalesce({_E}, false)) AS strong, count(DISTINCT from_page_id) AS origins FROM fx_links WHERE deleted = 0 GROUP BY 1)
-SELECT p.id, p.slug, weak, origins FROM fx_pages p JOIN i USING (id) WHERE strong = 0 AND weak > 0 AND deleted = 0 AND {_ENTITY} AND entity_state = 'stub' AND ticker IS NULL AND exchange IS NULL AND length(content) <= 1300
-AND NOT EXISTS (SELECT 1 FROM fx_facts t WHERE t.entity_page_id = p.id AND t.deleted = 0) AND NOT EXISTS (SELECT 1 FROM fx_timeline t WHERE t.entity_page_id = p.id) AND NOT EXISTS (SELECT 1 FROM fx_signals s WHERE s.entity_page_id = p.id)""")
-def e15(pages, links, facts, timeline, signals):
-    return e.demotable_pages(pages, links, facts, timeline, signals)
+_LEADS = """gp AS (SELECT * FROM fx_pages UNION ALL SELECT * FROM fx_lead_pages), gl AS (SELECT * FROM fx_links WHERE deleted = 0 UNION ALL SELECT * FROM fx_lead_links WHERE deleted = 0), gt AS (SELECT * FROM fx_theses UNION ALL SELECT * FROM fx_lead_theses)"""
+_COUNTED = (("inbound_links", "gl", "to_page_id"), ("outbound_links", "gl", "from_page_id"), ("entity_facts", "fx_facts", "entity_page_id"), ("source_facts", "fx_facts", "source_page_id"), ("entity_timeline", "fx_timeline", "entity_page_id"), ("source_timeline", "fx_timeline", "source_page_id"),
+            ("entity_signals", "fx_signals", "entity_page_id"), ("thesis_signals", "fx_signals", "thesis_page_id"), ("source_signals", "fx_signals", "source_page_id"), ("thesis_rows", "gt", "page_id"), ("target_theses", "gt", "target_page_id"), ("tags", "fx_tags", "page_id"))
+_REPORT = f"""{_LEADS}, {", ".join(f"n_{n} AS (SELECT {c} AS id, count(*) AS {n} FROM {t} {'' if t in ('gl', 'gt') else 'WHERE deleted = 0'} GROUP BY 1)" for n, t, c in _COUNTED)},
+r AS (SELECT p.id, p.slug, p.type, entity_state, CAST(length(coalesce(content, '')) AS INTEGER) AS chars, {", ".join(f"coalesce({n}, 0) AS {n}" for n, _, _ in _COUNTED)} FROM gp p {" ".join(f"LEFT JOIN n_{n} ON n_{n}.id = p.id" for n, _, _ in _COUNTED)} WHERE p.deleted = 0),
+b AS (SELECT *, [x FOR x IN [CASE WHEN type NOT IN ('company', 'industry', 'concept', 'thesis') THEN 'type' END, CASE WHEN entity_state NOT IN ('stub', 'candidate_promoted') THEN 'entity_state' END, CASE WHEN chars > 300 THEN 'content_chars' END,
+ {", ".join(f"CASE WHEN {n} > 0 THEN '{n}' END" for n, _, _ in _COUNTED[:-1])}] IF x IS NOT NULL] AS blockers FROM r)"""
+
+
+@query("e10_merge_plan", "fx_merges", *_KEPT, oracle=f"""
+WITH {_LEADS}, l AS (SELECT from_page_id AS id FROM gl UNION ALL SELECT to_page_id FROM gl WHERE to_page_id <> from_page_id), m AS (SELECT DISTINCT old AS page_id FROM fx_merges),
+c AS (SELECT id, 'links' AS t FROM l UNION ALL SELECT entity_page_id, 'facts' FROM fx_facts WHERE deleted = 0 UNION ALL SELECT entity_page_id, 'timeline' FROM fx_timeline WHERE deleted = 0 UNION ALL SELECT entity_page_id, 'signals' FROM fx_signals WHERE deleted = 0
+ UNION ALL SELECT target_page_id, 'theses' FROM gt UNION ALL SELECT page_id, 'tags' FROM fx_tags WHERE deleted = 0)
+SELECT page_id, {", ".join(f"count(*) FILTER (WHERE t = '{t}') AS {t}" for t in ("links", "facts", "timeline", "signals", "theses", "tags"))} FROM m LEFT JOIN c ON c.id = m.page_id GROUP BY 1""")
+def e10(merges, *t):
+    return rf.merge_plan(merges, _with_leads(*t)).drop("raw_data", "chunks")
+
+
+@query("e13_retire_report", *_KEPT, oracle=f"WITH {_REPORT} SELECT id, slug, type, chars, {', '.join(n for n, _, _ in _COUNTED)}, array_to_string(blockers, ',') AS blockers FROM b")
+def e13b(*t):
+    return rf.retire_report(_with_leads(*t)).drop("origin_links", "raw_data", "chunks").withColumn("blockers", F.array_join("blockers", ","))
+
+
+@query("e13_retire_candidates", *_KEPT, oracle=f"WITH {_REPORT} SELECT id, slug, chars FROM b WHERE len(blockers) = 0")
+def e13(*t):
+    return rf.retire_candidates(_with_leads(*t))
+
+
+_WEAK = f"""i AS (SELECT to_page_id AS id, count(*) FILTER (WHERE NOT coalesce({_E}, false)) AS weak, count(*) FILTER (WHERE coalesce({_E}, false)) AS strong, count(DISTINCT from_page_id) AS origins FROM gl WHERE from_page_id <> to_page_id GROUP BY 1),
+d AS (SELECT b.id, b.slug, weak, origins, alias_csv FROM b JOIN i USING (id) JOIN gp USING (id) WHERE strong = 0 AND weak > 0 AND b.{_ENTITY} AND b.entity_state IN ('stub', 'candidate_promoted') AND ticker IS NULL AND exchange IS NULL AND chars <= 1300
+ AND entity_facts + source_facts + entity_timeline + source_timeline + entity_signals + thesis_signals + source_signals + thesis_rows + target_theses = 0)"""
+
+
+@query("e15_demotable_pages", *_KEPT, oracle=f"WITH {_REPORT}, {_WEAK} SELECT id, slug, weak, origins FROM d")
+def e15(*t):
+    return rf.demotable_pages(_with_leads(*t))
+
+
+@query("e16_demote_to_candidates", *_KEPT, oracle=f"""
+WITH {_REPORT}, {_WEAK}
+SELECT 'candidate' AS kind, d.slug, count(DISTINCT from_page_id) AS n, max(array_to_string(list_sort(string_split(alias_csv, ',')), ',')) AS detail FROM d JOIN gl ON to_page_id = d.id GROUP BY d.slug
+UNION ALL SELECT 'page', slug, 1, NULL FROM d UNION ALL SELECT 'link', CAST(gl.id AS VARCHAR), 1, NULL FROM gl WHERE to_page_id IN (SELECT id FROM d) OR from_page_id IN (SELECT id FROM d)""")
+def e16(*t):
+    before = _with_leads(*t)
+    after = lc.demote_to_candidates(before, "2001-12-31")
+    gone = lambda name, key: after[name].where("deleted = 1").join(before[name].where("deleted = 0").select("id"), "id", "left_semi").select(F.lit(name.rstrip("s")).alias("kind"), F.col(key).cast("string").alias("slug"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("string").alias("detail"))
+    candidates = after["candidates"].select(F.lit("candidate").alias("kind"), "slug", F.col("evidence_count").alias("n"), F.col("aliases").alias("detail"))
+    return candidates.unionByName(gone("pages", "slug")).unionByName(gone("links", "id"))
 
 
 _MENTIONS = """m AS (SELECT slug, count(DISTINCT source_page_id) AS evidence_count, string_agg(DISTINCT alias, ',' ORDER BY alias) AS aliases, CASE WHEN regexp_matches(split_part(slug, '/', 2), '^(unknown|major-)') THEN 'rejected' ELSE 'pending' END AS status FROM fx_mentions GROUP BY 1)"""

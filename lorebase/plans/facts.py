@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lorebase.functions.periods import interval
 from lorebase.operators import facts as f
 from lorebase.plans.catalog import query
 
@@ -38,6 +39,18 @@ def f5(facts):
     return f.expire(facts, "2001-12-31").select("id", "expired", "valid_to")
 
 
+@query("f5_expire_all_periods", "fx_facts", oracle="""
+WITH y AS (SELECT *, CAST(substr(period, 3, 4) AS BIGINT) AS y, id % 9 AS k FROM fx_facts),
+e AS (SELECT *, CASE k WHEN 0 THEN make_date(y, 6, 30) WHEN 1 THEN make_date(y, 3, 31) WHEN 2 THEN make_date(y, 9, 30) WHEN 3 THEN make_date(y, 6, 30) WHEN 4 THEN make_date(y + 2, 12, 31) WHEN 5 THEN valid_from WHEN 6 THEN make_date(y, 11, 30) WHEN 7 THEN NULL ELSE make_date(y, 9, 30) END AS period_end FROM y)
+SELECT id, period_end, coalesce(valid_to IS NULL AND period_end < DATE '2001-12-31' - 90 AND deleted = 0, false) AS expired FROM e""")
+def f5b(facts):
+    y = F.substring("period", 3, 4)
+    kinds = (F.concat(F.lit("FY"), F.substring("period", 5, 2), F.lit("E")), F.concat(F.lit("1Q"), F.substring("period", 5, 2), F.lit("A")), F.concat(y, F.lit("Q3")), F.concat(F.lit("H1 "), y), F.concat(y, F.lit("-"), (y.cast("int") + 2).cast("string")), F.lit("ttm"), F.concat(y, F.lit("-11")), F.lit("soon"), F.concat(F.lit("9M"), y))
+    rows = facts.withColumn("period", F.element_at(F.array(*kinds), (F.col("id") % 9 + 1).cast("int")))
+    end = interval(F.col("period"), F.col("valid_from"), 6)["end"]
+    return f.expire(rows, "2001-12-31", fiscal_end=6).select("id", end.alias("period_end"), "expired")
+
+
 @query("f6_query_facts", "fx_facts", "fx_pages", oracle="""
 SELECT f.id, e.slug AS entity_slug, s.slug AS source_slug, metric, period, value_numeric, valid_from FROM fx_facts f JOIN fx_pages e ON e.id = f.entity_page_id LEFT JOIN fx_pages s ON s.id = f.source_page_id
 WHERE f.deleted = 0 AND metric = 'unit_price' AND valid_to IS NULL AND table_id IS NOT NULL""")

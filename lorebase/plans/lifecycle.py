@@ -136,11 +136,6 @@ def e14(*t):
     return out["pages"].select(F.lit("pages").alias("t"), "id", "deleted").unionByName(out["tags"].select(F.lit("tags").alias("t"), "id", "deleted"))
 
 
-@query("e16_demote_to_candidates", *_TABLES[:-1])
-def e16(*t):
-    return lc.demote_to_candidates(_tables(*t), "2001-12-31")["candidates"]
-
-
 @query("e20_promotion_effects", "fx_mentions", "fx_pages", oracle="""
 SELECT DISTINCT slug, source_page_id, CAST(0.7 AS DOUBLE) AS weight, 'entity_candidate' AS link_source FROM fx_mentions WHERE slug LIKE 'companies/firm-%'""")
 def e20(mentions, pages):

@@ -31,6 +31,19 @@ UNION ALL SELECT 2000000 + n_nationkey, 'src', 'industries/' || replace(lower(n_
 UNION ALL SELECT 3000000 + p_partkey, 'src', 'concepts/part-' || CAST(p_partkey AS STRING), 'concept', p_name || ' ' || p_brand || ' ' || p_type, NULL, p_name || ' is a part of ' || p_brand, p_name || ',' || p_brand, NULL, NULL, NULL,
        CASE p_size % 2 WHEN 0 THEN 'low' ELSE 'medium' END, CASE p_size % 3 WHEN 0 THEN 'stub' WHEN 1 THEN 'candidate_promoted' ELSE 'compiled' END, CAST(p_size % 10 AS DOUBLE) / 10, DATE '1995-01-01', DATE '1996-06-30', CASE WHEN p_size = 50 THEN 1 ELSE 0 END FROM {part}
 UNION ALL SELECT 6000000 + o_orderkey, 'src', 'sources/order-' || CAST(o_orderkey AS STRING), 'source', 'Order ' || CAST(o_orderkey AS STRING), NULL, 'Order of ' || o_orderpriority, '', NULL, NULL, NULL, 'medium', 'compiled', 0.0, CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE), 0 FROM {orders}
+""",
+    "fx_lead_pages": """
+SELECT 5000000 + c_custkey AS id, 'src' AS source_id, 'companies/lead-' || CAST(c_custkey AS STRING) AS slug, CASE c_custkey % 11 WHEN 3 THEN 'output' WHEN 5 THEN 'concept' ELSE 'company' END AS type, c_name AS title, CAST(NULL AS STRING) AS display_name,
+       CASE WHEN c_custkey % 13 = 0 THEN CAST(NULL AS STRING) WHEN c_custkey % 7 = 0 THEN repeat('Words on the lead. ', 20) ELSE 'A lead.' END AS content, c_name || ',L' || CAST(c_custkey AS STRING) AS alias_csv, CASE WHEN c_nationkey = 4 THEN 'T1' END AS ticker, CAST(NULL AS STRING) AS exchange, CAST(NULL AS STRING) AS sector,
+       'low' AS confidence, CASE c_nationkey % 5 WHEN 0 THEN 'compiled' WHEN 1 THEN 'candidate_promoted' ELSE 'stub' END AS entity_state, 0.0 AS completeness_score, DATE '1995-01-01' AS create_date, DATE '1996-06-30' AS update_date, CASE WHEN c_nationkey = 9 THEN 1 ELSE 0 END AS deleted FROM {customer}
+""",
+    "fx_lead_links": """
+SELECT 900000000 + o_orderkey AS id, 6000000 + o_orderkey AS from_page_id, 5000000 + o_custkey AS to_page_id, CASE WHEN o_orderkey % 5 = 0 THEN 'confirms' ELSE 'mention' END AS link_type, 'markdown' AS link_source, CAST(NULL AS STRING) AS origin_field, 0.3 AS weight,
+       CAST(o_orderdate AS DATE) AS create_time, CASE WHEN o_orderkey % 4 = 1 THEN 1 ELSE 0 END AS deleted FROM {orders} WHERE o_custkey % 5 < 2
+UNION ALL SELECT 990000000 + c_custkey, 5000000 + c_custkey, 5000000 + c_custkey, 'cites', 'manual', NULL, 1.0, DATE '1995-01-01', 0 FROM {customer} WHERE c_custkey % 5 = 1
+""",
+    "fx_lead_theses": """
+SELECT 8000000 + c_custkey AS page_id, 5000000 + c_custkey AS target_page_id, 'long' AS direction, 'active' AS status, c_name AS title, 0 AS unresolved_conditions, 1 AS conviction_rank, DATE '2024-01-01' AS update_date FROM {customer} WHERE c_custkey % 6 = 0
 """,
     "fx_links": """
 SELECT line_id AS id, 6000000 + l_orderkey AS from_page_id, 3000000 + l_partkey AS to_page_id, CASE l_returnflag WHEN 'R' THEN 'contradicts' WHEN 'A' THEN 'confirms' ELSE 'mention' END AS link_type,
