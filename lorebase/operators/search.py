@@ -354,18 +354,13 @@ def fuzzy_suggest(hints: DataFrame, titles: DataFrame, min_sim: float = 0.15, li
 
 
 def suggest_pages(hints: DataFrame, pages: DataFrame, min_sim: float = 0.15, limit: int = 5) -> DataFrame:
-    """(hint_id, id, score, advice) of hints (hint_id, text): pages by the greatest of slug, title and word similarity.
+    """(hint_id, id, score, rank, advice) of hints (hint_id, text): pages by the greatest of slug, title and word similarity, ties to the smaller id.
 
-    Pages come from the title and the slug index; the advice is confident from 0.5 on for the best page of a hint.
+    The advice is confident where the best page of a hint scores 0.5 or more.
     """
-    from lorebase.operators.similarity import jaccard, trigrams, word_similarity
-
-    near = fuzzy_suggest(hints, pages.select("id", "title"), min_sim, 10 * limit).select("hint_id", "id")
-    near = near.unionByName(fuzzy_suggest(hints, pages.select("id", F.col("slug").alias("title")), min_sim, 10 * limit).select("hint_id", "id")).distinct()
-    both = near.join(hints, "hint_id").join(pages.select("id", "title", "slug"), "id")
-    score = F.greatest(jaccard(trigrams(F.col("text")), trigrams(F.col("slug"))), jaccard(trigrams(F.col("text")), trigrams(F.col("title"))), word_similarity(F.col("text"), F.col("title")))
-    rank = F.row_number().over(Window.partitionBy("hint_id").orderBy(F.desc("score"), "id"))
-    top = both.withColumn("score", F.round(score, 6)).where(F.col("score") >= min_sim).withColumn("rank", rank).where(F.col("rank") <= limit)
+    from lorebase.operators.trigrams import suggestions
+
+    top = suggestions(hints, pages, min_sim, limit)
     return top.select("hint_id", "id", "score", "rank", F.when(F.max("score").over(Window.partitionBy("hint_id")) >= 0.5, "confident").otherwise("unsure").alias("advice"))
 
 

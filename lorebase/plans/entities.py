@@ -16,11 +16,11 @@ _GRAMS = r"""list_distinct(flatten([[substr('  ' || w || ' ', CAST(i AS BIGINT),
 
 
 @query("e2_find_duplicates", "part", oracle=f"""
-WITH t AS ({_TITLES}), c AS (SELECT lower(title) AS title, min(id) AS id FROM t GROUP BY 1), g AS (SELECT id, {_GRAMS} AS g FROM c), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g)) AS i, len(a.g) + len(b.g) AS n FROM g a JOIN g b ON a.id < b.id AND len(a.g) >= 0.8 * len(b.g) AND len(b.g) >= 0.8 * len(a.g))
-SELECT 'concept' AS type, a, b, round(i::DOUBLE / (n - i), 6) AS similarity FROM p WHERE i::DOUBLE / (n - i) >= 0.8""")
+WITH t AS ({_TITLES}), c AS (SELECT lower(title) AS title, min(id) AS id FROM t GROUP BY 1), g AS (SELECT id, {_GRAMS} AS g FROM c), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g)) AS i, len(a.g) + len(b.g) AS n FROM g a JOIN g b ON a.id < b.id AND len(a.g) >= 0.7 * len(b.g) AND len(b.g) >= 0.7 * len(a.g))
+SELECT 'concept' AS type, a, b, round(i::DOUBLE / (n - i), 6) AS similarity FROM p WHERE i::DOUBLE / (n - i) >= 0.7""")
 def e2(part):
     rows = part.select(F.col("p_partkey").alias("id"), F.lit("concept").alias("type"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("title"))
-    return sim.similar_pairs(rows, "title", ["type"], 0.8)
+    return sim.similar_pairs(rows, "title", ["type"], 0.7)
 
 
 @query("e2_duplicate_classes", "part", oracle=f"WITH t AS ({_TITLES}) SELECT id, min(id) OVER (PARTITION BY lower(title)) AS class FROM t")
@@ -247,7 +247,7 @@ def e1b(nation, part):
 
 @query("e2_duplicate_pages", "fx_pages", "fx_links")
 def e2c(pages, links):
-    return sim.duplicate_pages(pages.where("deleted = 0 AND " + _ENTITY), links, 0.9)
+    return sim.duplicate_pages(pages.where("deleted = 0 AND " + _ENTITY), links, 0.7)
 
 
 @query("g2_create_evident_pages", "fx_mentions", "fx_pages", oracle="SELECT DISTINCT slug FROM fx_mentions m WHERE slug LIKE 'companies/firm-%' AND id % 4 < 2 AND NOT EXISTS (SELECT 1 FROM fx_pages p WHERE p.deleted = 0 AND p.slug = m.slug)")

@@ -96,7 +96,7 @@ def s10(*t):
 
 
 def _similar(pages):
-    return sim.similar_pairs(g.active(pages).select("id", "type", "title").where("type IN ('company', 'industry', 'concept')"), "title", ["type"], 0.8).select("a", "b", "similarity")
+    return sim.similar_pairs(g.active(pages).select("id", "type", "title").where("type IN ('company', 'industry', 'concept')"), "title", ["type"], 0.7).select("a", "b", "similarity")
 
 
 @query("e5_merge_candidates", "fx_pages", "fx_links")
@@ -123,8 +123,7 @@ def e8(pages, links):
 
 @query("e11_auto_cleanup", *_TABLES[:-1])
 def e11(*t):
-    pages = t[0].where("type IN ('company', 'industry')")
-    return lc.auto_cleanup(_tables(pages, *t[1:]), lambda p: sim.similar_pairs(g.active(p).select("id", "type", "title"), "title", ["type"], 0.95).select("a", "b", "similarity"), "2001-12-31")[1]
+    return lc.auto_cleanup(_tables(*t), _similar, "2001-12-31")[1]
 
 
 @query("e14_retire_pages", *_TABLES[:-1], oracle="""

@@ -248,7 +248,7 @@ def r2b(pages):
 
 @query("r18_suggest_pages", "nation", "fx_pages")
 def r18b(nation, pages):
-    return s.suggest_pages(nation.select(F.col("n_nationkey").alias("hint_id"), F.concat(F.lit("smal ring brand#"), F.col("n_nationkey").cast("string")).alias("text")), pages.where("deleted = 0 AND type = 'concept'"))
+    return s.suggest_pages(nation.select(F.col("n_nationkey").alias("hint_id"), F.concat(F.lit("smal ring brand#"), F.col("n_nationkey").cast("string")).alias("text")), pages.where("deleted = 0"))
 
 
 @query("r19_list_entities_by_title", "fx_pages", "fx_links", oracle="""
