@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebase.operators.search import backlink_factor, cosine_rescore, detail, evaluate_configs, intent, keyword_search, query_terms, source_factor, tokens, vector_search
+from lorebase.operators.search import backlink_factor, cosine, detail, evaluate_configs, intent, keyword_search, query_terms, source_factor, tokens, vector_search, without_prefixes
 
 #: How alike two chunks' words may be, the greatest share of a type, chunks of a page that enter, the weight of compiled text.
 SIMILAR, TYPE_SHARE, ENTER, COMPILED = 0.85, 0.6, 3, 2.0
 
 
+#: Chunks of a page that a level of detail shows.
+PER_PAGE = {"low": 1, "medium": 2, "high": 3}
+
+
+@dataclass(frozen=True)
+class Filters:
+    """What a search leaves out, in both channels and before their pools are filled: other types, older pages, slug prefixes (but for those taken in again)."""
+
+    kind: str | None = None
+    since: str | None = None
+    exclude: tuple[str, ...] = ()
+    include: tuple[str, ...] = ()
+
+    def of(self, chunks: DataFrame) -> DataFrame:
+        """Chunks (slug, type, and create_time where `since` is set) that may be found."""
+        rows = chunks.where(F.col("type") == self.kind) if self.kind else chunks
+        rows = rows.where(F.col("create_time") >= F.lit(self.since).cast("timestamp")) if self.since else rows
+        return without_prefixes(rows, "slug", self.exclude, self.include)
+
+
 def _ranked(hits: DataFrame, pool: int) -> DataFrame:
     rn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return hits.withColumn("rn", rn).where(F.col("rn") <= pool)
@@ -21,10 +43,10 @@ def keyword_chunks(queries: DataFrame, index: DataFrame, chunks: DataFrame, pool
     """(query_id, page_id, id, score, rn): the best chunk of each page that the keyword index finds.
 
     chunks: (id, page_id, chunk_index, chunk_text, slug). A page's score is its rank times its source's factor; 2 * pool
-    pages go on, each with the chunk that has most of the terms, the first of equals; pages without chunks go after that.
+    pages go on, each with the chunk that has most of the terms, the first of equals. Pages without chunks are not found.
     """
     page = chunks.select("page_id", "slug").distinct()
-    found = keyword_search(queries, index, 1 << 30).join(page, "page_id", "left").withColumn("score", F.col("score") * source_factor(F.coalesce("slug", F.lit(""))))
+    found = keyword_search(queries, index, 1 << 30).join(page, "page_id").withColumn("score", F.col("score") * source_factor(F.col("slug")))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "page_id"))
     top = found.withColumn("k", order).where(F.col("k") <= 2 * pool).select("query_id", "page_id", "score")
     terms = queries.select("query_id", query_terms(F.col("text")).alias("terms"))
@@ -37,20 +59,26 @@ def keyword_chunks(queries: DataFrame, index: DataFrame, chunks: DataFrame, pool
 
 def vector_chunks(query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, pool: int) -> DataFrame:
     """(query_id, page_id, id, score, rn): of the 3 * pool nearest chunks those with the best score times their source's factor."""
-    near = vector_search(query_vectors, vectors, 3 * pool).select("query_id", "id", "score").join(chunks.select("id", "page_id", "slug"), "id")
+    own = vectors.join(chunks.select("id"), "id", "left_semi")
+    near = vector_search(query_vectors, own, 3 * pool).select("query_id", "id", "score").join(chunks.select("id", "page_id", "slug"), "id")
     return _ranked(near.select("query_id", "page_id", "id", (F.col("score") * source_factor(F.col("slug"))).alias("score")), pool)
 
 
 def fuse_chunks(lists: list[DataFrame], chunks: DataFrame, natural: DataFrame, k: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion of chunk lists, over the query's best; compiled text counts twice but for queries in natural (query_id)."""
-    parts = [df.select("query_id", "id", (1 / (k + F.col("rn") - 1)).alias("s")) for df in lists]
+    """(query_id, id, page_id, chunk_type, score, rrf_raw, rrf_norm, rrf_boost, keyword_rank, vector_rank): reciprocal-rank fusion of chunk lists, the keyword list first.
+
+    Scores are relative to the query's best; compiled text counts twice but for queries in natural (query_id). The ranks
+    are that in the keyword list and the best one in the others.
+    """
+    parts = [df.select("query_id", "id", (1 / (k + F.col("rn") - 1)).alias("s"), F.when(F.lit(i == 0), F.col("rn")).alias("keyword_rank"), F.when(F.lit(i > 0), F.col("rn")).alias("vector_rank")) for i, df in enumerate(lists)]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    fused = rows.groupBy("query_id", "id").agg(F.sum("s").alias("s")).withColumn("s", F.col("s") / F.max("s").over(Window.partitionBy("query_id")))
+    fused = rows.groupBy("query_id", "id").agg(F.sum("s").alias("rrf_raw"), F.min("keyword_rank").alias("keyword_rank"), F.min("vector_rank").alias("vector_rank"))
+    fused = fused.withColumn("rrf_norm", F.col("rrf_raw") / F.max("rrf_raw").over(Window.partitionBy("query_id")))
     fused = fused.join(chunks.select("id", "page_id", "chunk_type"), "id").join(natural.select("query_id").distinct().withColumn("natural", F.lit(True)), "query_id", "left")
     boost = F.when((F.col("chunk_type") == "compiled_truth") & F.col("natural").isNull(), COMPILED).otherwise(1.0)
-    return fused.select("query_id", "id", "page_id", "chunk_type", (F.col("s") * boost).alias("score"))
+    return fused.select("query_id", "id", "page_id", "chunk_type", (F.col("rrf_norm") * boost).alias("score"), "rrf_raw", "rrf_norm", boost.alias("rrf_boost"), "keyword_rank", "vector_rank")
 
 
 def dedupe_hits(hits: DataFrame, similar: float = SIMILAR, type_share: float = TYPE_SHARE) -> DataFrame:
@@ -81,28 +109,58 @@ def dedupe_hits(hits: DataFrame, similar: float = SIMILAR, type_share: float = T
     return hits.groupBy("query_id").applyInPandas(lambda f: thin(f)[columns], "query_id long, page_id long, id long, score double, type string")
 
 
-def hybrid_chunks(queries: DataFrame, query_vectors: DataFrame, index: DataFrame, chunks: DataFrame, vectors: DataFrame, backlinks: DataFrame, variants: DataFrame | None = None, limit: int = 10) -> DataFrame:
-    """(query_id, page_id, id, score, rank): the whole search.
-
-    queries (query_id, text), query_vectors (query_id, embedding), index as of postings, chunks (id, page_id,
-    chunk_index, chunk_text, chunk_type, slug, type), vectors (id, embedding), backlinks (page_id, backlinks), variants
-    (query_id, channel, embedding): each channel is one more vector list. A query whose channels find nothing has no row.
-    """
-    pool = max(4 * limit, 30)
-    kind = queries.select("query_id", intent(F.col("text")).alias("intent"))
-    lists = [keyword_chunks(queries, index, chunks, pool), vector_chunks(query_vectors, chunks, vectors, pool)]
-    if variants is not None:
-        lists += [vector_chunks(variants.where(F.col("channel") == c).select("query_id", "embedding"), chunks, vectors, pool) for c in (1, 2)]
-    fused = fuse_chunks(lists, chunks, kind.where(F.col("intent").isin("temporal", "event")))
-    rescored = cosine_rescore(fused.join(query_vectors.withColumnRenamed("embedding", "q"), "query_id", "left").join(vectors.select("id", "embedding"), "id", "left"))
-    boosted = rescored.join(chunks.select("id", "page_id", "chunk_type", "chunk_text", "type"), "id").join(backlinks, "page_id", "left")
-    boosted = boosted.withColumn("score", F.round(F.col("score") * backlink_factor(F.coalesce("backlinks", F.lit(0))), 6)).join(kind.select("query_id", detail(F.col("intent")).alias("per_page")), "query_id")
-    kept = dedupe_hits(boosted.select("query_id", "page_id", "id", "score", "type", "chunk_type", "chunk_text", "per_page"))
+def page_hits(scored: DataFrame, chunks: DataFrame, levels: DataFrame, limit: int) -> DataFrame:
+    """(query_id, page_id, id, score, rank) of scored chunks (query_id, page_id, id, score): thinned, the best chunk of each page, the best pages."""
+    rows = scored.select("query_id", "page_id", "id", "score").join(chunks.select("id", "chunk_type", "chunk_text", "type"), "id").join(levels, "query_id")
+    kept = dedupe_hits(rows.select("query_id", "page_id", "id", "score", "type", "chunk_type", "chunk_text", "per_page"))
     best = F.row_number().over(Window.partitionBy("query_id", "page_id").orderBy(F.desc("score"), "id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return kept.withColumn("b", best).where("b = 1").withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "page_id", "id", "score", "rank")
 
 
+#: What a hit was made of, with `explain`.
+PARTS = ("keyword_rank", "vector_rank", "rrf_raw", "rrf_norm", "rrf_boost", "cosine", "blended", "backlinks", "backlink_boost")
+
+
+def hybrid_chunks(queries: DataFrame, query_vectors: DataFrame | None, index: DataFrame, chunks: DataFrame, vectors: DataFrame | None, backlinks: DataFrame, variants: DataFrame | None = None, limit: int = 10, filters: Filters | None = None, explain: bool = False) -> DataFrame:
+    """(query_id, page_id, id, score, rank): the whole search; with explain also the columns of PARTS.
+
+    queries (query_id, text, and detail where it is set: low, medium or high), query_vectors (query_id, embedding), index
+    as of postings, chunks (id, page_id, chunk_index, chunk_text, chunk_type, slug, type), vectors (id, embedding),
+    backlinks (page_id, backlinks), variants (query_id, channel, embedding): each channel is one more vector list.
+
+    Without a vector (all of them: query_vectors is None) a query's hits are the keyword list by score over its best,
+    with no boosts. The detail follows from the intent where it is not set; searches of high detail don't favour compiled
+    text. A query whose channels find nothing has no row, at low detail neither than at high, which it would be run at.
+    """
+    pool = max(4 * limit, 30)
+    chunks = (filters or Filters()).of(chunks)
+    kind = queries.select("query_id", intent(F.col("text")).alias("intent"), (F.lower("detail") if "detail" in queries.columns else F.lit(None).cast("string")).alias("set"))
+    shown = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in PER_PAGE.items() for x in p]), F.when(F.col("set").isin(*PER_PAGE), F.col("set"))), detail(F.col("intent")))
+    levels = kind.select("query_id", shown.alias("per_page"))
+    natural = kind.where((F.col("set") == "high") | (F.col("set").isNull() & F.col("intent").isin("temporal", "event")))
+    words = keyword_chunks(queries, index, chunks, pool)
+    none = {c: F.lit(None).cast("int" if c.endswith("_rank") else "long" if c == "backlinks" else "double").alias(c) for c in PARTS}
+    alone = words if query_vectors is None else words.join(query_vectors.select("query_id").distinct(), "query_id", "left_anti")
+    relative = F.col("score") / F.greatest(F.max("score").over(Window.partitionBy("query_id")), F.lit(1e-9))
+    alone = alone.select("query_id", "page_id", "id", F.round(relative, 6).alias("score"), F.col("rn").alias("keyword_rank"), *[none[c] for c in PARTS[1:]])
+    scored = alone
+    if query_vectors is not None:
+        own = words.join(query_vectors.select("query_id").distinct(), "query_id", "left_semi")
+        lists = [own, vector_chunks(query_vectors, chunks, vectors, pool)]
+        if variants is not None:
+            lists += [vector_chunks(variants.where(F.col("channel") == c).select("query_id", "embedding"), chunks, vectors, pool) for c in (1, 2)]
+        fused = fuse_chunks(lists, chunks, natural).join(query_vectors.withColumnRenamed("embedding", "q"), "query_id", "left").join(vectors.select("id", "embedding"), "id", "left").join(backlinks, "page_id", "left")
+        # 0.7 of the fused score over the query's best, 0.3 of the cosine; 0.5 stands for a missing one
+        best = F.col("score") / F.max("score").over(Window.partitionBy("query_id"))
+        near = F.when(F.col("embedding").isNotNull() & F.col("q").isNotNull(), cosine(F.col("q"), F.col("embedding")))
+        fused = fused.withColumn("cosine", near).withColumn("backlinks", F.coalesce("backlinks", F.lit(0)).cast("long")).withColumn("backlink_boost", backlink_factor(F.col("backlinks")))
+        fused = fused.withColumn("blended", F.round(0.7 * best + 0.3 * F.coalesce("cosine", F.lit(0.5)), 5))
+        scored = fused.select("query_id", "page_id", "id", F.round(F.col("blended") * F.col("backlink_boost"), 6).alias("score"), *PARTS).unionByName(alone)
+    hits = page_hits(scored, chunks, levels, limit)
+    return hits.join(scored.select("query_id", "id", *PARTS), ["query_id", "id"]).select(*hits.columns, *PARTS) if explain else hits
+
+
 def run_eval(runs: dict[str, DataFrame], qrels: DataFrame, k: int = 5) -> DataFrame:
     """Mean precision, recall, reciprocal rank and nDCG at k of runs (name: query_id, page_id, rn), over all queries with judgements."""
     return evaluate_configs(runs, qrels, k)

@@ -198,6 +198,30 @@ def r14b(benchmark, chunks, embeddings):
     return _whole_hybrid(benchmark, chunks, embeddings)
 
 
+_SIMILAR = "len(list_intersect({0}, {1}))::DOUBLE / len(list_distinct(list_concat({0}, {1}))) > 0.85"
+
+
+@query("r14_keyword_only", "benchmark", "fx_chunks", oracle=rf"""
+WITH RECURSIVE {_Q}, {_INDEX}, mt AS (SELECT term, page_id, sum(tf) AS tf FROM (SELECT DISTINCT term FROM q) t JOIN ix ON starts_with(ix.token, t.term) GROUP BY 1, 2),
+ks AS (SELECT query_id, page_id, round(sum(0.4 * ln(1 + tf)) / any_value(n), 6) AS score FROM q JOIN mt USING (term) JOIN (SELECT query_id, count(*) AS n FROM q GROUP BY 1) USING (query_id) GROUP BY 1, 2),
+pp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS k FROM ks WHERE page_id % 3 = 1 AND page_id % 10 <> 4),
+ql AS (SELECT query_id, list(term) AS terms FROM q GROUP BY 1),
+h0 AS (SELECT pp.query_id, pp.page_id, pp.score, c.id, c.chunk_index, c.chunk_text, len([t FOR t IN terms IF len([w FOR w IN {_TOK.format("chunk_text")} IF starts_with(w, t)]) > 0]) AS hits FROM pp JOIN fx_chunks c USING (page_id) JOIN ql USING (query_id) WHERE k <= 80),
+h1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, page_id ORDER BY hits DESC, chunk_index, id) AS b FROM h0),
+h2 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rn FROM h1 WHERE b = 1),
+h3 AS (SELECT query_id, page_id, id, rn, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score, list_distinct([w FOR w IN regexp_split_to_array(lower(chunk_text), '\s+') IF w <> '']) AS bag FROM h2 WHERE rn <= 40),
+h4 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM h3), bags AS (SELECT query_id, list(bag ORDER BY n) AS bags, max(n) AS last FROM h4 GROUP BY 1),
+g AS (SELECT query_id, 1::BIGINT AS n, [1::BIGINT] AS kept FROM bags UNION ALL SELECT g.query_id, g.n + 1, CASE WHEN len([x FOR x IN kept IF {_SIMILAR.format("bags[x]", "bags[g.n + 1]")}]) > 0 THEN kept ELSE list_append(kept, g.n + 1) END FROM g JOIN bags USING (query_id) WHERE g.n < last),
+d AS (SELECT h4.*, row_number() OVER (PARTITION BY query_id ORDER BY h4.n) AS k, len(kept) AS m FROM h4 JOIN g USING (query_id) JOIN bags USING (query_id) WHERE g.n = last AND list_contains(kept, h4.n)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM d WHERE k <= ceil(m * 0.6))
+SELECT query_id, page_id, id, score, rank, rn AS keyword_rank FROM r WHERE rank <= 10""")
+def r14c(benchmark, chunks):
+    """Keyword-only search among the pages of one type, without some prefixes."""
+    filters = hy.Filters(kind="concept", exclude=("concepts/p7000004", "concepts/p7000014", "concepts/p7000024", "concepts/p7000034", "concepts/p7000044", "concepts/p7000001"), include=("concepts/p7000001",))
+    none = chunks.select("page_id", F.lit(0).alias("backlinks")).where("false")
+    return hy.hybrid_chunks(_queries(benchmark), None, _index(chunks), _chunk_table(chunks), None, none, filters=filters, explain=True).select("query_id", "page_id", "id", "score", "rank", "keyword_rank")
+
+
 @query("r11_dedupe_hits", "benchmark", "fx_chunks", "embeddings")
 def r11b(benchmark, chunks, embeddings):
     found = _chunk_table(chunks).join(hy.keyword_chunks(_queries(benchmark), _index(chunks), _chunk_table(chunks), 30).select("query_id", "id", "score"), "id")

@@ -153,5 +153,6 @@ def with_derivations(sql: str) -> str:
     if not wanted:
         return sql
     ctes = ",\n".join(f"{t} AS ({re.sub(r'[{}]', '', DERIVED[t])})" for t in wanted)
-    body = re.sub(r"^\s*WITH\s+", ", ", sql, flags=re.I) if re.match(r"\s*WITH\s", sql, re.I) else "\n" + sql
-    return f"WITH {ctes}{body}"
+    head = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql, re.I)
+    body = ", " + sql[head.end() :] if head else "\n" + sql
+    return f"WITH {'RECURSIVE ' if head and head[1] else ''}{ctes}{body}"
