@@ -200,6 +200,50 @@ def resolve_candidates(candidates: DataFrame, decisions: DataFrame) -> DataFrame
     return d.select("slug", F.when(to.isNotNull() & free, to).otherwise(F.col("status")).alias("status"), F.coalesce(to.isNotNull() & free, F.lit(False)).alias("changed"))
 
 
+def settle_candidates(pages: DataFrame, links: DataFrame, candidates: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, links, candidates) after decisions (slug, decision, target_slug) promote, merge or reject on candidates.
+
+    candidates: (slug, type, display_name, aliases, source_page_ids, status). Promoting makes a page that awaits
+    enrichment, or lifts the stub that has the slug. Merging unites the target's aliases with the candidate's name and
+    aliases, the first of spellings that differ in case stays; a target that is missing or of another type leaves the
+    candidate as it is, with `problem` saying so. Both link each source to the page, as an extracted mention of weight
+    0.7, where no such link is. Only pending candidates change, rejected ones may be rejected again. New ids follow the
+    greatest there is, in the order of slugs.
+    """
+    from lorebase.operators.lifecycle import first_spellings
+
+    here = active(pages).groupBy("slug").agg(F.min(F.struct("id", "type")).alias("p"))
+    d = candidates.join(decisions.dropDuplicates(["slug"]), "slug", "left")
+    d = d.join(here.select(F.col("slug").alias("target_slug"), F.col("p.id").alias("target_id"), F.col("p.type").alias("target_type")), "target_slug", "left").join(here.select("slug", F.col("p.id").alias("own_id")), "slug", "left")
+    free = (F.col("status") == "pending") | ((F.col("status") == "rejected") & (F.col("decision") == "reject"))
+    problem = F.when(~F.coalesce(free, F.lit(False)) & F.col("decision").isNotNull(), "status").when((F.col("decision") == "merge") & F.col("target_id").isNull(), "no_target").when((F.col("decision") == "merge") & (F.col("target_type") != F.col("type")), "type")
+    d = d.withColumn("problem", problem)
+    done = F.col("decision").isNotNull() & F.col("problem").isNull()
+    to = F.when(F.col("decision") == "promote", "promoted").when(F.col("decision") == "merge", "merged").when(F.col("decision") == "reject", "rejected")
+    settled = d.select(*candidates.columns, "problem", to.alias("__to"), done.alias("__done")).withColumn("status", F.when(F.col("__done"), F.coalesce("__to", "status")).otherwise(F.col("status"))).drop("__to", "__done")
+    act = d.where(done)
+    # promoted slugs that no page has; these are as many as decisions
+    new = act.where((F.col("decision") == "promote") & F.col("own_id").isNull()).crossJoin(pages.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")))
+    new = new.withColumn("new_id", F.col("last") + F.row_number().over(Window.orderBy("slug")))
+    named = F.initcap(F.regexp_replace(F.element_at(F.split("slug", "/"), -1), "[-_]+", " "))
+    values = {"id": F.col("new_id"), "slug": F.col("slug"), "type": F.col("type"), "title": F.coalesce("display_name", named), "display_name": F.col("display_name"), "alias_csv": F.array_join("aliases", ","), "entity_state": F.lit("candidate_promoted"), "content": F.lit(""), "deleted": F.lit(0)}
+    made = new.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in pages.schema])
+    target = act.where("decision = 'merge'").groupBy(F.col("target_id").alias("id")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slug", F.concat(F.array(F.coalesce("display_name", F.lit(""))), "aliases").alias("names")))), lambda x: x["names"])).alias("__names"))
+    lifted = act.where("decision = 'promote' AND own_id IS NOT NULL").select(F.col("own_id").alias("id"), F.lit(True).alias("__lifted")).distinct()
+    rows = pages.join(target, "id", "left").join(lifted, "id", "left")
+    united = F.array_join(first_spellings(F.concat(F.split(F.coalesce("alias_csv", F.lit("")), ","), "__names")), ",")
+    changed = {"alias_csv": F.when(F.col("__names").isNotNull(), united).otherwise(F.col("alias_csv")), "entity_state": F.when(F.col("__lifted") & (F.col("entity_state") == "stub"), "candidate_promoted").otherwise(F.col("entity_state"))}
+    out = rows.select(*[changed.get(c, F.col(c)).alias(c) for c in pages.columns]).unionByName(made)
+    page = act.where("decision IN ('promote', 'merge')").join(new.select("slug", "new_id"), "slug", "left").withColumn("page", F.when(F.col("decision") == "merge", F.col("target_id")).otherwise(F.coalesce("own_id", "new_id")))
+    wanted = page.select(F.explode("source_page_ids").alias("from_page_id"), F.col("page").alias("to_page_id")).distinct().where("from_page_id <> to_page_id")
+    fixed = {"link_type": "mention", "link_source": "extracted", "origin_field": "entity_candidate", "weight": 0.7, "deleted": 0}
+    there = active(links).where((F.col("link_type") == "mention") & (F.col("link_source") == "extracted") & (F.col("origin_field") == "entity_candidate")).select("from_page_id", "to_page_id").distinct()
+    fresh = wanted.join(there, ["from_page_id", "to_page_id"], "left_anti").crossJoin(links.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")))
+    fresh = fresh.withColumn("id", F.col("last") + F.row_number().over(Window.orderBy("from_page_id", "to_page_id")))
+    fresh = fresh.select(*[(F.col(f.name) if f.name in ("id", "from_page_id", "to_page_id") else F.lit(fixed.get(f.name))).cast(f.dataType).alias(f.name) for f in links.schema])
+    return out, links.unionByName(fresh), settled
+
+
 def retype_pages(pages: DataFrame, moves: DataFrame) -> DataFrame:
     """Pages (id, slug, type) with moves (id, new_type, new_dir): type and slug change unless another page has the new slug."""
     new = pages.join(moves, "id").select("id", "new_type", F.concat("new_dir", F.lit("/"), F.element_at(F.split("slug", "/"), 2)).alias("new_slug"))

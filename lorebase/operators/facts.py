@@ -68,9 +68,14 @@ def top_consensus_metrics(facts: DataFrame, k: int = 6, min_obs: int = 3, min_so
     w = Window.partitionBy(*keys)
     rows = numeric(facts).select(*keys, "value_numeric", "source_page_id", F.row_number().over(w.orderBy("valid_from", "id")).alias("rn"), F.count("*").over(w).alias("n"))
     half, v = F.floor(F.col("n") / 2), F.col("value_numeric")
-    g = rows.groupBy(*keys).agg(
-        F.first("n").alias("n"), F.size(F.collect_set("source_page_id")).cast("long").alias("sources"), F.round(F.avg(v), 6).alias("mean"), F.round(F.max(F.when(F.col("rn") == F.col("n"), v)), 6).alias("latest"),
-        F.avg(F.when(F.col("rn") <= half, v)).alias("first_mean"), F.avg(F.when(F.col("rn") > F.col("n") - half, v)).alias("last_mean"),
+    # by source first, which needs no further shuffle, so that no buffer holds the sources of a hot entity
+    low, high = F.when(F.col("rn") <= half, v), F.when(F.col("rn") > F.col("n") - half, v)
+    one = rows.groupBy(*keys, "source_page_id").agg(
+        F.first("n").alias("n"), F.sum(v).alias("v"), F.max(F.when(F.col("rn") == F.col("n"), v)).alias("latest"), F.sum(low).alias("low"), F.count(low).alias("n_low"), F.sum(high).alias("high"), F.count(high).alias("n_high")
+    )
+    g = one.groupBy(*keys).agg(
+        F.first("n").alias("n"), F.count("source_page_id").alias("sources"), F.round(F.sum("v") / F.first("n"), 6).alias("mean"), F.round(F.max("latest"), 6).alias("latest"),
+        F.try_divide(F.sum("low"), F.sum("n_low")).alias("first_mean"), F.try_divide(F.sum("high"), F.sum("n_high")).alias("last_mean"),
     )
     pct = drift_pct(F.col("first_mean"), F.col("last_mean"))
     kept = g.where((F.col("n") >= min_obs) & (F.col("sources") >= min_sources))
@@ -117,6 +122,29 @@ def compare_facts(facts: DataFrame, metric: str, periods: list[str]) -> DataFram
     return first.groupBy("entity_page_id").agg(*cells)
 
 
+def table_facts(facts: DataFrame, pages: DataFrame, metric: str, entities: list[str] | None = None, periods: list[str] | None = None, source: str | None = None, current_only: bool = False, limit: int = 200) -> DataFrame:
+    """The table-sourced facts of a metric that a comparison looks at: the first `limit` by entity slug, period and the newest first.
+
+    Entities are slugs or tickers, a source is a slug; a null period counts as `current`.
+    """
+    rows = active(facts).where((F.col("metric") == metric) & F.col("table_id").isNotNull()).withColumn("period", F.coalesce("period", F.lit("current")))
+    rows = rows.where("valid_to IS NULL") if current_only else rows
+    rows = rows.where(F.col("period").isin(*periods)) if periods else rows
+    named = pages.where(F.col("slug").isin(*entities) | F.upper("ticker").isin(*[x.upper() for x in entities])) if entities else pages
+    rows = rows.join(named.select(F.col("id").alias("entity_page_id"), F.col("slug").alias("entity_slug")), "entity_page_id")
+    origin = pages.select(F.col("id").alias("source_page_id"), F.col("slug").alias("source_slug"))
+    rows = rows.join(origin.where(F.col("source_slug") == source), "source_page_id") if source else rows.join(origin, "source_page_id", "left")
+    return rows.orderBy("entity_slug", F.col("period") == "current", "period", F.desc_nulls_last("valid_from"), F.desc("id")).limit(limit)
+
+
+def compare_table_facts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells, tables) of table_facts: the newest fact of each (entity_slug, period), and each (source_slug, table_id) used with how many facts."""
+    newest = F.row_number().over(Window.partitionBy("entity_slug", "period").orderBy(F.desc_nulls_last("valid_from"), F.desc("id")))
+    cells = rows.withColumn("rn", newest).where("rn = 1").select("entity_slug", "period", "id", "value_numeric", "valid_from", "source_slug", "table_id")
+    used = rows.where("source_slug IS NOT NULL").groupBy("source_slug", "table_id").agg(F.count("*").alias("facts"))
+    return cells, used
+
+
 def detect_fact_signals(facts: DataFrame, new_facts: DataFrame, priors: int = 10, threshold: float = 0.1) -> DataFrame:
     """Signals of new facts against up to `priors` newest facts of the same entity, metric and period from other, known sources.
 

@@ -263,6 +263,25 @@ def apply_enrichment(pages: DataFrame, updates: DataFrame, reviews: DataFrame |
     return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in pages.columns])
 
 
+def enrich_pages(pages: DataFrame, updates: DataFrame, as_of: str, frontmatter: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pages, reviews) after updates as of apply_enrichment, scored and reviewed anew.
+
+    The enriched pages get the completeness score of what they are now, and a review (page_id, status, errors, warnings,
+    content_hash) of their new text, with the front matter (id, frontmatter, timeline) where there is any. Where it
+    fails, confidence that was raised without being asked for goes back.
+    """
+    from lorebase.operators.entities import completeness
+    from lorebase.operators.reviews import review_pages
+
+    hit = updates.select("id").distinct()
+    first = apply_enrichment(pages, updates).join(hit, "id", "left_semi")
+    extra = frontmatter if frontmatter is not None else hit.select("id", F.lit(None).cast("string").alias("frontmatter"), F.lit(None).cast("string").alias("timeline"))
+    reviews = written(review_pages(first.join(extra, "id", "left").select(F.col("id").alias("page_id"), "type", "content", "frontmatter", "timeline")), "reviews")
+    out = apply_enrichment(pages, updates, reviews.select(F.col("page_id").alias("id"), "status"))
+    scores = completeness(out.join(hit, "id", "left_semi"), as_of).select("id", F.col("score").alias("__score"))
+    return out.join(scores, "id", "left").withColumn("completeness_score", F.coalesce("__score", "completeness_score")).select(*pages.columns), reviews
+
+
 def refresh_evidence(pages: DataFrame, links: DataFrame, facts: DataFrame, timeline: DataFrame, signals: DataFrame, sources: int = 5, others: int = 10) -> DataFrame:
     """(page_id, kind, rn, id) of what is newer than an entity page: up to 5 sources, 10 facts, events and signals each.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,15 +104,22 @@ def queue_breakdown(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("name", kind.alias("task_type"), "status").agg(F.count("*").alias("n"))
 
 
-def usage_totals(usage: DataFrame, as_of: str) -> DataFrame:
-    """Tokens of today and the last 7 and 30 days, embedding apart from chat: one pass of conditional sums, a row a bucket."""
+def usage_totals(usage: DataFrame, as_of: str, prices: dict[str, float] | None = None) -> DataFrame:
+    """Tokens of today and the last 7 and 30 days, embedding apart from chat: one pass of conditional sums, a row a bucket.
+
+    With prices of a million tokens (input, output, embedding) also what they cost.
+    """
     day = F.lit(as_of).cast("date")
     windows = (("today", 0), ("last_7d", 7), ("last_30d", 30))
     rows = usage.withColumn("since", F.array(*[F.when(F.col("create_time") >= F.date_sub(day, n).cast("timestamp"), F.lit(name)) for name, n in windows]))
-    return rows.select(F.explode(F.filter("since", lambda x: x.isNotNull())).alias("bucket"), "source", "tokens_in", "tokens_out").groupBy("bucket").agg(
+    out = rows.select(F.explode(F.filter("since", lambda x: x.isNotNull())).alias("bucket"), "source", "tokens_in", "tokens_out").groupBy("bucket").agg(
         F.count("*").alias("requests"), F.coalesce(F.sum(F.when(F.col("source") == "embedding", F.col("tokens_in"))), F.lit(0)).alias("embedding_tokens"),
         F.coalesce(F.sum(F.when(F.col("source") != "embedding", F.col("tokens_in"))), F.lit(0)).alias("chat_in"), F.coalesce(F.sum(F.when(F.col("source") != "embedding", F.col("tokens_out"))), F.lit(0)).alias("chat_out"),
     )
+    if prices is None:
+        return out
+    parts = (("chat_in", "input"), ("chat_out", "output"), ("embedding_tokens", "embedding"))
+    return out.withColumn("cost", F.round(reduce(lambda a, b: a + b, [F.col(c) / 1e6 * prices.get(k, 0.0) for c, k in parts]), 6))
 
 
 def usage_by_source_model(usage: DataFrame) -> DataFrame:

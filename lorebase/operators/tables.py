@@ -37,25 +37,29 @@ def _span(attributes: str, name: str) -> int:
     return max(1, int(found[1])) if found else 1
 
 
+#: Columns that one cell may span, as in browsers.
+MOST_COLUMNS = 1000
+
+
 def grid(markup: str) -> list[list[str]]:
-    """The cells of an HTML table by row and column: a spanning cell fills all its places, short rows end in empty cells."""
-    at: dict[tuple[int, int], str] = {}
-    rows = _ROW.findall(markup)
-    wide = [0] * len(rows)
-    for r, body in enumerate(rows):
+    """The cells of an HTML table by row and column: a spanning cell fills all its places, short rows end in empty cells.
+
+    As in browsers a cell spans no more rows than the table has left, and MOST_COLUMNS columns at most.
+    """
+    bodies = _ROW.findall(markup)
+    rows: list[dict[int, str]] = [{} for _ in bodies]
+    for r, body in enumerate(bodies):
         c = 0
         for attributes, inner in _CELL.findall(body):
-            while (r, c) in at:
+            while c in rows[r]:
                 c += 1
             text = re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]+>", " ", inner))).strip()
-            down, right = _span(attributes, "rowspan"), _span(attributes, "colspan")
-            at |= {(i, j): text for i in range(r, r + down) for j in range(c, c + right)}
+            right = min(_span(attributes, "colspan"), MOST_COLUMNS)
+            for row in rows[r : r + _span(attributes, "rowspan")]:
+                row.update((j, text) for j in range(c, c + right))
             c += right
-        wide[r] = 1 + max((j for i, j in at if i == r), default=-1)
-    if not at and not rows:
-        return []
-    height = max([len(rows), *[1 + i for i, _ in at]])
-    return [[at.get((i, j), "") for j in range(max(wide, default=0))] for i in range(height)]
+    wide = max((1 + max(row) for row in rows if row), default=0)
+    return [[row.get(j, "") for j in range(wide)] for row in rows]
 
 
 def extract_tables(blocks: DataFrame) -> DataFrame:

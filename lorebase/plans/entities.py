@@ -162,12 +162,15 @@ _W = r"len(regexp_extract_all(content, '\[\[[a-z]+/[^\]|#]+'))"
 _C = r"(len(regexp_extract_all(content, '\[\[sources/')) + CASE WHEN regexp_matches(content, '(?i)sources?[:：]') THEN 1 ELSE 0 END)"
 
 
-@query("e28_completeness_score", "fx_pages", oracle=f"""
-WITH d AS (SELECT *, length(trim(content)) AS n, len([x FOR x IN string_split(alias_csv, ',') IF x <> '']) AS a, {_W} AS w, {_C} AS c, datediff('day', update_date, DATE '1996-08-15') AS days FROM fx_pages WHERE deleted = 0),
+#: The completeness score of pages (a table or subquery) on a day.
+SCORES = f"""d AS (SELECT *, length(trim(content)) AS n, len([x FOR x IN string_split(alias_csv, ',') IF x <> '']) AS a, {_W} AS w, {_C} AS c, datediff('day', update_date, DATE '{{day}}') AS days FROM {{pages}} WHERE deleted = 0),
 s AS (SELECT *, CASE WHEN n = 0 THEN 0.0 WHEN n < 200 THEN 0.2 WHEN n < 800 THEN 0.5 WHEN n < 2000 THEN 0.8 ELSE 1.0 END::DOUBLE AS co, CASE WHEN a = 0 THEN 0.0 WHEN a = 1 THEN 0.3 WHEN a = 2 THEN 0.6 ELSE 1.0 END::DOUBLE AS al,
  CASE WHEN w = 0 THEN 0.0 WHEN w < 3 THEN 0.4 WHEN w < 10 THEN 0.7 ELSE 1.0 END::DOUBLE AS wi, CASE WHEN c = 0 THEN 0.0 WHEN c < 2 THEN 0.3 WHEN c < 5 THEN 0.7 ELSE 1.0 END::DOUBLE AS ci, CASE WHEN days < 30 THEN 1.0 WHEN days < 90 THEN 0.7 WHEN days < 365 THEN 0.4 ELSE 0.1 END::DOUBLE AS re,
- CASE WHEN trim(coalesce(ticker, '')) <> '' THEN 1.0 WHEN exchange IS NOT NULL THEN 0.6 ELSE 0.0 END::DOUBLE AS li, CASE WHEN sector IS NOT NULL THEN 0.5 ELSE 0.0 END::DOUBLE AS se, CASE WHEN exchange IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS ex FROM d)
-SELECT id, type, round(round(CASE type WHEN 'company' THEN 0.20 * co + 0.15 * li + 0.10 * se + 0.15 * al + 0.10 * wi + 0.15 * ci + 0.05 * re + 0.10 * ex WHEN 'industry' THEN 0.30 * co + 0.20 * al + 0.20 * wi + 0.20 * ci + 0.10 * re WHEN 'concept' THEN 0.35 * co + 0.15 * al + 0.20 * wi + 0.20 * ci + 0.10 * re ELSE 0.0 END, 9), 3) AS score FROM s""")
+ CASE WHEN trim(coalesce(ticker, '')) <> '' THEN 1.0 WHEN exchange IS NOT NULL THEN 0.6 ELSE 0.0 END::DOUBLE AS li, CASE WHEN sector IS NOT NULL THEN 0.5 ELSE 0.0 END::DOUBLE AS se, CASE WHEN exchange IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS ex FROM d),
+scores AS (SELECT id, type, round(round(CASE type WHEN 'company' THEN 0.20 * co + 0.15 * li + 0.10 * se + 0.15 * al + 0.10 * wi + 0.15 * ci + 0.05 * re + 0.10 * ex WHEN 'industry' THEN 0.30 * co + 0.20 * al + 0.20 * wi + 0.20 * ci + 0.10 * re WHEN 'concept' THEN 0.35 * co + 0.15 * al + 0.20 * wi + 0.20 * ci + 0.10 * re ELSE 0.0 END, 9), 3) AS score FROM s)"""
+
+
+@query("e28_completeness_score", "fx_pages", oracle="WITH " + SCORES.format(pages="fx_pages", day="1996-08-15") + " SELECT * FROM scores")
 def e28(pages):
     return e.completeness(pages, "1996-08-15")
 
@@ -187,6 +190,41 @@ def e20(mentions):
     return e.resolve_candidates(c, c.select("slug", F.when(k == 0, "promote").when(k == 1, "reject").alias("decision")))
 
 
+def _decisions(mentions):
+    c = mentions.groupBy("slug").agg(F.array_sort(F.collect_set("alias")).alias("aliases"), F.array_sort(F.collect_set("source_page_id")).alias("source_page_ids"))
+    user = F.regexp_extract("slug", r"(\d+)$", 1).cast("long")
+    c = c.select("slug", F.lit("company").alias("type"), F.concat(F.lit("Firm "), user.cast("string")).alias("display_name"), "aliases", "source_page_ids", F.when(e.auto_reject_reason(F.col("slug")).isNotNull(), "rejected").otherwise("pending").alias("status"))
+    decision = F.when(user % 4 == 0, "promote").when(user % 4 == 1, "reject").when(user % 4 == 2, "merge")
+    target = F.when(user % 8 == 2, F.concat(F.lit("companies/supplier-"), F.lpad((user % 10 + 1).cast("string"), 9, "0"))).when(user % 16 == 6, "concepts/part-1").otherwise("companies/nobody")
+    return c, c.select("slug", decision.alias("decision"), target.alias("target_slug"))
+
+
+_SETTLED = """c AS (SELECT slug, CAST(regexp_extract(slug, '(\\d+)$', 1) AS BIGINT) AS u, regexp_matches(split_part(slug, '/', 2), '^(unknown|major-)') AS bad, list_sort(list_distinct(list(alias))) AS aliases, list_sort(list_distinct(list(source_page_id))) AS s FROM fx_mentions GROUP BY 1),
+d AS (SELECT *, CASE WHEN bad AND u % 4 IN (0, 2) THEN 'status' WHEN u % 4 = 2 AND t.id IS NULL THEN 'no_target' WHEN u % 4 = 2 AND t.type <> 'company' THEN 'type' END AS problem, t.id AS target_id FROM c LEFT JOIN (SELECT slug AS ts, min(id) AS id, min(type) AS type FROM fx_pages WHERE deleted = 0 GROUP BY 1) t
+ ON u % 4 = 2 AND ts = CASE WHEN u % 8 = 2 THEN 'companies/supplier-' || lpad(CAST(u % 10 + 1 AS VARCHAR), 9, '0') WHEN u % 16 = 6 THEN 'concepts/part-1' ELSE 'companies/nobody' END)"""
+
+
+@query("e20_settled_candidates", "fx_pages", "fx_links", "fx_mentions", oracle=f"WITH {_SETTLED} SELECT slug, CASE WHEN problem IS NULL AND u % 4 = 0 THEN 'promoted' WHEN u % 4 = 1 THEN 'rejected' WHEN problem IS NULL AND u % 4 = 2 THEN 'merged' WHEN bad THEN 'rejected' ELSE 'pending' END AS status, problem FROM d")
+def e20b(pages, links, mentions):
+    return e.settle_candidates(pages, links, *_decisions(mentions))[2].select("slug", "status", "problem")
+
+
+@query("e20_merged_pages", "fx_pages", "fx_links", "fx_mentions", oracle=f"""
+WITH {_SETTLED}, m AS (SELECT target_id AS id, flatten(list(list_prepend('Firm ' || CAST(u AS VARCHAR), aliases) ORDER BY slug)) AS names FROM d WHERE problem IS NULL AND u % 4 = 2 GROUP BY 1),
+a AS (SELECT p.id, list_concat(string_split(alias_csv, ','), names) AS v FROM fx_pages p JOIN m USING (id))
+SELECT slug, entity_state, CASE WHEN v IS NULL THEN alias_csv ELSE array_to_string([v[i] FOR i IN range(1, len(v) + 1) IF list_position([lower(x) FOR x IN v], lower(v[i])) = i], ',') END AS alias_csv FROM fx_pages LEFT JOIN a USING (id) WHERE type = 'company'
+UNION ALL SELECT slug, 'candidate_promoted', array_to_string(aliases, ',') FROM d WHERE problem IS NULL AND u % 4 = 0""")
+def e20c(pages, links, mentions):
+    return e.settle_candidates(pages, links, *_decisions(mentions))[0].where("type = 'company'").select("slug", "entity_state", "alias_csv")
+
+
+@query("e20_candidate_links", "fx_pages", "fx_links", "fx_mentions", oracle=f"""
+WITH {_SETTLED}, n AS (SELECT slug, (SELECT max(id) FROM fx_pages) + row_number() OVER (ORDER BY slug) AS id FROM d WHERE problem IS NULL AND u % 4 = 0)
+SELECT DISTINCT unnest(s) AS from_page_id, coalesce(n.id, target_id) AS to_page_id, 'mention' AS link_type, 'extracted' AS link_source, 0.7::DOUBLE AS weight FROM d LEFT JOIN n USING (slug) WHERE problem IS NULL AND u % 4 IN (0, 2)""")
+def e20d(pages, links, mentions):
+    return e.settle_candidates(pages, links, *_decisions(mentions))[1].where("origin_field = 'entity_candidate'").select("from_page_id", "to_page_id", "link_type", "link_source", "weight")
+
+
 @query("e27_retype_pages", "fx_pages", oracle="""
 WITH n AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'industries/' ELSE 'concepts/' END || split_part(slug, '/', 2) AS new_slug FROM fx_pages WHERE type = 'concept' AND id % 3 = 0),
 t AS (SELECT n.*, EXISTS (SELECT 1 FROM fx_pages p WHERE p.deleted = 0 AND p.slug = n.new_slug) AS taken FROM n)

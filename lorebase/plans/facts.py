@@ -65,6 +65,26 @@ def f7(facts):
     return f.compare_facts(facts, "unit_price", ["FY1996", "FY1997", "FY1998"])
 
 
+_COMPARED = """w AS (SELECT f.id, f.period, value_numeric, valid_from, table_id, e.slug AS entity_slug, s.slug AS source_slug FROM fx_facts f JOIN fx_pages e ON e.id = f.entity_page_id LEFT JOIN fx_pages s ON s.id = f.source_page_id
+ WHERE f.deleted = 0 AND metric = 'unit_price' AND table_id IS NOT NULL AND valid_to IS NULL AND period IN ('FY1995', 'FY1996', 'FY1997') AND e.slug LIKE 'concepts/part-1%' AND length(e.slug) <= 18),
+c AS (SELECT * FROM w ORDER BY entity_slug, period, valid_from DESC NULLS LAST, id DESC LIMIT 150)"""
+
+
+def _compared(facts, pages):
+    entities = [f"concepts/part-{k}" for k in range(2000) if str(k)[0] == "1"]
+    return f.compare_table_facts(f.table_facts(facts, pages, "unit_price", entities, ["FY1995", "FY1996", "FY1997"], current_only=True, limit=150))
+
+
+@query("f7_compared_cells", "fx_facts", "fx_pages", oracle=f"WITH {_COMPARED}, r AS (SELECT *, row_number() OVER (PARTITION BY entity_slug, period ORDER BY valid_from DESC NULLS LAST, id DESC) AS rn FROM c) SELECT entity_slug, period, id, value_numeric, valid_from, source_slug, table_id FROM r WHERE rn = 1")
+def f7b(facts, pages):
+    return _compared(facts, pages)[0]
+
+
+@query("f7_used_tables", "fx_facts", "fx_pages", oracle=f"WITH {_COMPARED} SELECT source_slug, table_id, count(*) AS facts FROM c WHERE source_slug IS NOT NULL GROUP BY 1, 2")
+def f7c(facts, pages):
+    return _compared(facts, pages)[1]
+
+
 @query("f9_consensus_stats", "fx_facts", oracle="""
 SELECT entity_page_id, metric, count(*) AS n, round(avg(value_numeric), 6) AS mean, round(coalesce(stddev_samp(value_numeric), 0), 6) AS std, round(min(value_numeric), 6) AS low, round(max(value_numeric), 6) AS high,
  round(CASE WHEN avg(value_numeric) = 0 THEN 0.0 ELSE (max(value_numeric) - min(value_numeric)) / abs(avg(value_numeric)) END, 6) AS range_pct, round(min_by(value_numeric, (valid_from, id)), 6) AS earliest, round(max_by(value_numeric, (valid_from, id)), 6) AS latest

@@ -10,6 +10,7 @@ from lorebase.operators import reviews as r
 from lorebase.operators import similarity as sim
 from lorebase.operators import theses as th
 from lorebase.plans.catalog import query
+from lorebase.plans.entities import SCORES
 from lorebase.sources.keyed import KeyedTable, save_tables
 from lorebase.sources.shared import shared_folder
 
@@ -157,6 +158,21 @@ def e26(pages):
     return lc.apply_enrichment(pages, u, reviews).select("id", "alias_csv", "confidence", "entity_state", "display_name")
 
 
+_GOOD = "".join(f"## {s}\n\nWhat [[sources/order-1]] says of it, at some length. Source: [[sources/order-2]].\n\n" for s in r.PROFILES["company"][2]) + "Words. " * 60
+
+
+@query("e26_enrich_pages", "fx_pages", oracle=f"""
+WITH g AS (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN '{_GOOD}' ELSE 'too short' END AS content, 'compiled' AS entity_state, 'M,' || alias_csv AS alias_csv,
+ CASE WHEN confidence IS NULL OR confidence = 'low' THEN CASE WHEN id % 2 = 0 THEN 'medium' ELSE coalesce(confidence, 'low') END ELSE confidence END AS confidence) FROM fx_pages WHERE type = 'company' AND deleted = 0), {SCORES.format(pages="g", day="1996-08-15")}
+SELECT g.id, g.confidence, g.entity_state, score AS completeness_score, CASE WHEN g.id % 2 = 0 THEN 'pass' ELSE 'fail' END AS status FROM g JOIN scores USING (id)
+UNION ALL SELECT id, confidence, entity_state, completeness_score, NULL FROM fx_pages WHERE type = 'concept'""")
+def e26b(pages):
+    none = F.lit(None).cast("array<string>")
+    u = pages.where("type = 'company' AND deleted = 0").select("id", F.when(F.col("id") % 2 == 0, _GOOD).otherwise("too short").alias("content"), none.alias("aliases_add"), none.alias("aliases_remove"), F.concat(F.array(F.lit("M")), F.split("alias_csv", ",")).alias("aliases_replace"), F.lit(None).cast("string").alias("confidence"))
+    out, reviews = lc.enrich_pages(pages, u, "1996-08-15")
+    return out.where("type IN ('company', 'concept')").join(reviews.select(F.col("page_id").alias("id"), "status"), "id", "left").select("id", "confidence", "entity_state", "completeness_score", "status")
+
+
 _EVIDENCE = """p AS (SELECT id, update_date FROM fx_pages WHERE deleted = 0 AND type IN ('company', 'industry', 'concept')),
 c AS (SELECT entity_page_id AS page_id, source_page_id AS id FROM fx_facts WHERE deleted = 0 UNION SELECT entity_page_id, source_page_id FROM fx_timeline WHERE deleted = 0 UNION SELECT entity_page_id, source_page_id FROM fx_signals WHERE deleted = 0),
 s AS (SELECT DISTINCT to_page_id AS page_id, from_page_id AS id FROM fx_links l WHERE deleted = 0 AND (link_type <> 'mention' OR EXISTS (SELECT 1 FROM c WHERE c.page_id = to_page_id AND c.id = from_page_id))),

@@ -141,6 +141,14 @@ def q16(usage):
     return r.usage_totals(usage, "2024-01-30")
 
 
+@query("q16_usage_cost", "fx_usage", oracle="""
+WITH b AS (SELECT 'today' AS bucket, CAST(DATE '2024-01-30' AS TIMESTAMP) AS since UNION ALL SELECT 'last_7d', CAST(DATE '2024-01-30' - 7 AS TIMESTAMP) UNION ALL SELECT 'last_30d', CAST(DATE '2024-01-30' - 30 AS TIMESTAMP))
+SELECT bucket, round(coalesce(sum(tokens_in) FILTER (WHERE source <> 'embedding'), 0) / 1e6 * 2.5 + coalesce(sum(tokens_out) FILTER (WHERE source <> 'embedding'), 0) / 1e6 * 10 + coalesce(sum(tokens_in) FILTER (WHERE source = 'embedding'), 0) / 1e6 * 0.13, 6) AS cost
+FROM b JOIN fx_usage u ON u.create_time >= b.since GROUP BY 1""")
+def q16b(usage):
+    return r.usage_totals(usage, "2024-01-30", {"input": 2.5, "output": 10.0, "embedding": 0.13}).select("bucket", "cost")
+
+
 @query("q17_usage_by_source_model", "fx_usage", oracle="SELECT source, model, count(*) AS requests, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, count(DISTINCT job_id) AS jobs FROM fx_usage GROUP BY 1, 2")
 def q17(usage):
     return r.usage_by_source_model(usage)
