@@ -197,7 +197,7 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) ->
     counts = cut(blocks.mapInArrow(_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "order5")
     if counts.isEmpty():
         none = F.lit(None).cast("double")
-        return rows.select("doc_id", "lang", F.lit(False).alias("trusted"), none.alias("perplexity"), none.alias("threshold"), F.col("words").alias("keep"))
+        return rows.select("doc_id", "lang", "trusted", none.alias("perplexity"), none.alias("threshold"), F.col("words").alias("keep"))
     requests = blocks.mapInArrow(_requests, "block long, code long")
     # dealt by n-gram before they are gathered: rows of two longs move, not partial sets
     asked = cut(requests.repartition("code").groupBy("code").agg(F.collect_set("block").alias("blocks")), "asked")

@@ -314,3 +314,10 @@ def test_sources_of_equal_rows_meet_their_target(spark):
     assert abs(out["s"]["taken"] - out["s"]["target"]) <= 50 and abs(out[None]["taken"] - out[None]["target"]) <= 2
     counts = lambda m: sorted(map(tuple, m.groupBy("doc_id", "n", "__copies").count().collect()), key=str)
     assert mixed.columns == ["doc_id", "text", "source", "n", *mixing.MADE] and counts(mixed) == counts(mixing.mix_sources(d))
+
+
+def test_trusted_texts_are_told_where_none_trains_the_model(spark):
+    held = [i for i in range(200) if crc32(str(i).encode()) % quality_lm.HELD_OUT == 0][:2]
+    d = docs(spark, [(held[0], "some words", "x"), (held[1], None, None), (None, "more", "x")], "doc_id long, text string, lang string")
+    got = quality_lm.quality(d, spark.createDataFrame([(held[0],), (held[1],)], "doc_id long")).collect()
+    assert {(r["doc_id"], r["trusted"], r["keep"]) for r in got} == {(held[0], True, True), (held[1], True, False), (None, False, True)}
