@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.operators.graph import active, effective_backlinks, is_effective, orphans
+from lorebase.sources.shared import written
 
 
 def latest_review(events: DataFrame) -> DataFrame:
@@ -34,12 +35,13 @@ def facts_coverage(pages: DataFrame, facts: DataFrame, limit: int = 30) -> DataF
 
 
 def thesis_backlog(theses: DataFrame, signals: DataFrame, as_of: str, stale_days: int = 21, signal_days: int = 14) -> DataFrame:
-    """Active theses by priority: days beyond stale, three per unresolved condition, two per recent signal."""
+    """Active theses by priority: days beyond stale, three per unresolved condition, two per recent signal; the action is to review now if there is any of these."""
     recent = active(signals).where(F.col("detected_at") >= F.date_sub(F.lit(as_of).cast("date"), signal_days).cast("timestamp")).groupBy(F.col("thesis_page_id").alias("page_id")).agg(F.count("*").alias("recent_signals"))
     rows = theses.where("status IN ('active', 'monitoring')").join(recent, "page_id", "left").fillna(0, ["recent_signals"])
     days = F.datediff(F.lit(as_of).cast("date"), "update_date")
     priority = F.greatest(days - stale_days, F.lit(0)) + 3 * F.col("unresolved_conditions") + 2 * F.col("recent_signals")
-    return rows.select("page_id", days.alias("days_since_update"), "unresolved_conditions", "recent_signals", priority.cast("long").alias("priority"))
+    due = (days >= stale_days) | (F.col("unresolved_conditions") > 0) | (F.col("recent_signals") > 0)
+    return rows.select("page_id", days.alias("days_since_update"), "unresolved_conditions", "recent_signals", priority.cast("long").alias("priority"), F.when(due, "review_now").otherwise("monitor").alias("action"))
 
 
 def company_metadata_issues(pages: DataFrame) -> DataFrame:
@@ -200,6 +202,36 @@ def stale_entities(evidence: DataFrame, stale_days: int = 1) -> DataFrame:
     return evidence.where(F.col("days_behind") >= stale_days).select("page_id", "days_behind", p.cast("long").alias("priority"))
 
 
+#: Sections that new evidence of a kind suggests, by page type; sources are always suggested, the last kind is that of sources alone.
+SUGGESTED = {
+    "company": {"new_facts": ("Financial Summary",), "new_entries": ("Key Timeline",), "new_signals": ("Risk Factors", "Catalysts"), "only_sources": ("Company Overview",)},
+    "industry": {"new_facts": ("Market Size And Growth",), "entries_or_signals": ("Key Trends",), "new_sources": ("Competitive Landscape",)},
+    "concept": {"facts_or_entries": ("Use In Investment Research",), "new_sources": ("Definition",)},
+}
+
+
+def update_candidates(evidence: DataFrame, pages: DataFrame, stale_days: int = 1, limit: int | None = None) -> DataFrame:
+    """(page_id, days_behind, priority, action, sections, safe): stale entities with what to do and which sections the evidence suggests.
+
+    The action is a rewrite (llm_refresh) from two signals or 21 days on, else append_update; that is safe to do unasked
+    where there is evidence but no signal. With a limit those of the highest priority, ties by page.
+    """
+    kinds = {
+        "new_facts": F.col("new_facts") > 0, "new_entries": F.col("new_entries") > 0, "new_signals": F.col("new_signals") > 0, "new_sources": F.col("new_sources") > 0,
+        "only_sources": (F.col("new_sources") > 0) & (F.col("new_facts") == 0) & (F.col("new_signals") == 0), "entries_or_signals": (F.col("new_entries") > 0) | (F.col("new_signals") > 0), "facts_or_entries": (F.col("new_facts") > 0) | (F.col("new_entries") > 0),
+    }
+    sections = F.array(F.lit("Sources"))
+    for kind, own in SUGGESTED.items():
+        parts = [F.when(kinds[k], x) for k, names in own.items() for x in names]
+        sections = F.when(F.col("type") == kind, F.array_compact(F.array(F.lit("Sources"), *parts))).otherwise(sections)
+    stale = stale_entities(evidence, stale_days).select("page_id", "priority")
+    rows = evidence.join(stale, "page_id").join(pages.select(F.col("id").alias("page_id"), "type"), "page_id")
+    action = F.when((F.col("new_signals") >= 2) | (F.col("days_behind") >= 21), "llm_refresh").otherwise("append_update")
+    safe = (action == "append_update") & (F.col("type") != "thesis") & (F.col("new_signals") == 0) & (F.col("new_sources") + F.col("new_facts") + F.col("new_entries") > 0)
+    out = rows.select("page_id", "days_behind", "priority", action.alias("action"), sections.alias("sections"), safe.alias("safe"))
+    return out.orderBy(F.desc("priority"), "page_id").limit(limit) if limit else out
+
+
 def lint(pages: DataFrame, links: DataFrame, theses: DataFrame, raw_files: DataFrame, facts: DataFrame, events: DataFrame, as_of: str, sample: int = 10, more: dict[str, DataFrame] | None = None) -> DataFrame:
     """(check, n, sample of ids) of the quality checks; checks that find nothing have no row.
 
@@ -222,7 +254,7 @@ def lint(pages: DataFrame, links: DataFrame, theses: DataFrame, raw_files: DataF
     for name, df in checks.items():
         one = df.select(F.lit(name).alias("check"), F.col("id").cast("long").alias("id"))
         rows = one if rows is None else rows.unionByName(one)
-    # one pass: counts, and the smallest ids of each task before they meet
+    rows = written(rows, "lint")  # ids only: the checks run once, counts and samples read these
     rank = F.row_number().over(Window.partitionBy("check").orderBy("id"))
     n = rows.groupBy("check").agg(F.count("*").alias("n"))
     few = rows.withColumn("k", rank).where(F.col("k") <= sample).groupBy("check").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("sample"))

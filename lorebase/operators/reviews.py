@@ -108,7 +108,9 @@ class Rules:
 
     def of(self, rows: DataFrame) -> DataFrame:
         """(page_id, severity, code, detail), from one pass over the rows."""
-        return rows.select("page_id", F.explode(F.concat(F.array_compact(F.array(*self.single)), *self.lists)).alias("x")).select("page_id", "x.*")
+        # outer, since explode() would have its array evaluated once more, in a filter for rows without issues
+        found = rows.select("page_id", F.explode_outer(F.concat(F.array_compact(F.array(*self.single)), *self.lists)).alias("x"))
+        return found.where("x IS NOT NULL").select("page_id", "x.*")
 
 
 def _by_kind(kind: Column, values: dict[str, tuple]) -> Column:

@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from lorebase.operators import facts as f
+from lorebase.operators import graph as g
 from lorebase.operators import reports as r
 from lorebase.operators import reviews as v
-from lorebase.plans.catalog import query
+from lorebase.plans.catalog import ORACLES, query
+from lorebase.sources.shared import written
 
 _E = "(weight >= 0.9 OR link_type <> 'mention' OR (link_source = 'frontmatter' AND origin_field = 'primary_entities') OR origin_field IN ('facts_block', 'timeline_block'))"
 _ENTITY = "type IN ('company', 'industry', 'concept')"
@@ -86,7 +89,7 @@ def q8(pages, facts):
 @query("q9_thesis_backlog", "fx_theses", "fx_signals", oracle="""
 WITH s AS (SELECT thesis_page_id AS page_id, count(*) AS n FROM fx_signals WHERE deleted = 0 AND detected_at >= CAST(DATE '2024-02-01' - 14 AS TIMESTAMP) GROUP BY 1),
 x AS (SELECT t.page_id, CAST(datediff('day', update_date, DATE '2024-02-01') AS INTEGER) AS days_since_update, unresolved_conditions, coalesce(n, 0) AS recent_signals FROM fx_theses t LEFT JOIN s USING (page_id) WHERE status IN ('active', 'monitoring'))
-SELECT *, CAST(greatest(days_since_update - 21, 0) + 3 * unresolved_conditions + 2 * recent_signals AS BIGINT) AS priority FROM x""")
+SELECT *, CAST(greatest(days_since_update - 21, 0) + 3 * unresolved_conditions + 2 * recent_signals AS BIGINT) AS priority, CASE WHEN days_since_update >= 21 OR unresolved_conditions > 0 OR recent_signals > 0 THEN 'review_now' ELSE 'monitor' END AS action FROM x""")
 def q9(theses, signals):
     return r.thesis_backlog(theses, signals, "2024-02-01")
 
@@ -195,7 +198,45 @@ def e29(pages, links, facts, timeline, signals):
     return r.entity_evidence(pages, links, facts, timeline, signals, "2001-12-31")
 
 
+_UPDATES = f"""{_EVIDENCE}, up AS (SELECT page_id, days_behind, CAST(5 * days_behind + 6 * new_facts + 8 * new_signals + 4 * new_entries + 3 * new_sources + floor(round(10 * (1 - completeness_score), 4) + 0.5) AS BIGINT) AS priority, CASE WHEN new_signals >= 2 OR days_behind >= 21 THEN 'llm_refresh' ELSE 'append_update' END AS action,
+ 'Sources' || CASE (SELECT type FROM fx_pages g WHERE g.id = ev.page_id)
+ WHEN 'company' THEN CASE WHEN new_facts > 0 THEN ',Financial Summary' ELSE '' END || CASE WHEN new_entries > 0 THEN ',Key Timeline' ELSE '' END || CASE WHEN new_signals > 0 THEN ',Risk Factors,Catalysts' ELSE '' END || CASE WHEN new_sources > 0 AND new_facts = 0 AND new_signals = 0 THEN ',Company Overview' ELSE '' END
+ WHEN 'industry' THEN CASE WHEN new_facts > 0 THEN ',Market Size And Growth' ELSE '' END || CASE WHEN new_entries + new_signals > 0 THEN ',Key Trends' ELSE '' END || CASE WHEN new_sources > 0 THEN ',Competitive Landscape' ELSE '' END
+ ELSE CASE WHEN new_facts + new_entries > 0 THEN ',Use In Investment Research' ELSE '' END || CASE WHEN new_sources > 0 THEN ',Definition' ELSE '' END END AS sections,
+ new_signals = 0 AND days_behind < 21 AND new_sources + new_facts + new_entries > 0 AS safe FROM ev WHERE days_behind >= 1)"""
+
+
+@query("e30_update_candidates", "fx_pages", "fx_links", "fx_facts", "fx_timeline", "fx_signals", oracle=f"WITH {_UPDATES} SELECT * FROM up")
+def e30b(pages, links, facts, timeline, signals):
+    evidence = r.entity_evidence(pages, links, facts, timeline, signals, "2001-12-31")
+    return r.update_candidates(evidence, pages).withColumn("sections", F.array_join("sections", ","))
+
+
 @query("e30_stale_entities", "fx_pages", "fx_links", "fx_facts", "fx_timeline", "fx_signals", oracle=f"""
 WITH {_EVIDENCE} SELECT page_id, days_behind, CAST(5 * days_behind + 6 * new_facts + 8 * new_signals + 4 * new_entries + 3 * new_sources + floor(round(10 * (1 - completeness_score), 4) + 0.5) AS BIGINT) AS priority FROM ev WHERE days_behind >= 1""")
 def e30(pages, links, facts, timeline, signals):
     return r.stale_entities(r.entity_evidence(pages, links, facts, timeline, signals, "2001-12-31"))
+
+
+_SEVEN = {
+    "lint_stubs": "SELECT id FROM fx_pages WHERE deleted = 0 AND entity_state = 'stub'", "stale_entities": "SELECT page_id AS id FROM up", "safe_refresh": "SELECT page_id AS id FROM up WHERE safe",
+    "facts_coverage": f"SELECT id FROM ({ORACLES['q8_facts_coverage']})", "enrich_backlog": f"SELECT id FROM ({ORACLES['e23_enrich_backlog']}) WHERE NOT in_flight", "thesis_backlog": f"SELECT page_id AS id FROM ({ORACLES['q9_thesis_backlog']}) WHERE action = 'review_now'",
+    "failing_reviews": f"SELECT page_id AS id FROM ({ORACLES['q3_latest_review']}) WHERE status = 'fail'", "output_backlog": "SELECT id FROM fx_pages WHERE type = 'industry'",
+    "expired_facts": f"SELECT id FROM ({ORACLES['f5_expire_facts']}) WHERE expired",
+}
+
+
+@query("q19_maintain_all", "fx_pages", "fx_links", "fx_facts", "fx_timeline", "fx_signals", "fx_theses", "fx_events", "fx_jobs", oracle=f"""
+WITH {_UPDATES.replace("2001-12-31", "1996-07-10")}, al AS ({" UNION ALL ".join(f"SELECT '{part}' AS part, id FROM ({sql})" for part, sql in _SEVEN.items())}), kk AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY id) AS k, count(*) OVER (PARTITION BY part) AS n FROM al)
+SELECT part, count(id) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (WHERE k <= 10) AS sample FROM (SELECT unnest({list(_SEVEN)}) AS part) LEFT JOIN kk USING (part) GROUP BY 1""")
+def q19_all(pages, links, facts, timeline, signals, theses, events, jobs):
+    """Lint, stale entities and those that may be refreshed unasked, facts coverage, enrichment, theses, reviews, reports, expired facts."""
+    evidence = written(r.entity_evidence(pages, links, facts, timeline, signals, "1996-07-10"), "evidence")
+    updates = r.update_candidates(evidence, pages)
+    page = lambda df: df.select(F.col("page_id").alias("id"))
+    reports = pages.where("type = 'industry'").select(F.col("id").alias("page_id"), "slug", "content", F.lit(None).cast("string").alias("frontmatter"))
+    return v.maintenance_report({
+        "lint_stubs": g.active(pages).where("entity_state = 'stub'"), "stale_entities": page(updates), "safe_refresh": page(updates.where("safe")), "facts_coverage": r.facts_coverage(pages, facts, 500),
+        "enrich_backlog": e23(pages, links, events, jobs).where("NOT in_flight"), "thesis_backlog": page(r.thesis_backlog(theses, signals, "2024-02-01").where("action = 'review_now'")),
+        "failing_reviews": page(r.latest_review(events).where("status = 'fail'")), "output_backlog": page(v.output_backlog(reports, 1 << 30).where("status = 'fail'")), "expired_facts": f.expire(facts, "2001-12-31").where("expired"),
+    })
