@@ -110,10 +110,14 @@ def retire_type(pages: DataFrame, links: DataFrame, page_type: str) -> tuple[Dat
     return marked, hit.withColumn("deleted", F.when(F.col("a") | F.col("b"), 1).otherwise(F.col("deleted"))).select(*links.columns)
 
 
-def page_profile(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """Each active page with its display text and link counts."""
+def page_profile(pages: DataFrame, links: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """Each active page with its display text and link counts, and with tags (page_id, tag) also its sorted distinct ones."""
     shown = active(pages).select(F.col("id").alias("page_id"), "slug", "type", F.coalesce(F.expr("nullif(display_name, '')"), "title", "slug").alias("display"))
-    return shown.join(link_counts(pages, links), "page_id")
+    out = shown.join(link_counts(pages, links), "page_id")
+    if tags is None:
+        return out
+    own = active(tags).groupBy("page_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    return out.join(own, "page_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
 def orphans(pages: DataFrame, links: DataFrame, as_of: str, types: tuple[str, ...] = ("company", "industry", "concept"), min_age_days: int = 0) -> DataFrame:

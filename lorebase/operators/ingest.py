@@ -31,9 +31,12 @@ def sync_raw_files(upstream: DataFrame, existing: DataFrame, per_type: int, star
     return rows.withColumn("rn", rn).where(F.col("rn") <= per_type).join(here, "research_id", "left").where("here IS NULL").select("research_id", "research_type", "create_date", "rn")
 
 
-def pending_raw_files(raw: DataFrame, as_of: str, ttl_days: int, limit: int) -> DataFrame:
-    """Oldest rows that wait, or whose lease has run out."""
-    stale = (F.col("triage_decision") == "processing") & (F.col("create_date") < F.date_sub(F.lit(as_of).cast("date"), ttl_days))
+def pending_raw_files(raw: DataFrame, as_of: str, ttl_days: int, limit: int, ttl_minutes: int | None = None) -> DataFrame:
+    """Oldest rows that wait, or whose lease has run out: after days from their creation, or with ttl_minutes, so many from when they were taken (`leased_at`; null has run out)."""
+    over = F.col("create_date") < F.date_sub(F.lit(as_of).cast("date"), ttl_days)
+    if ttl_minutes is not None:
+        over = F.coalesce(F.col("leased_at") < F.lit(as_of).cast("timestamp") - F.make_interval(mins=F.lit(ttl_minutes)), F.lit(True))
+    stale = (F.col("triage_decision") == "processing") & over
     return raw.where(F.col("ingested_page_id").isNull() & ((F.col("triage_decision") == "pending") | stale)).orderBy("create_date", "id").limit(limit).select("id", "research_id", "create_date")
 
 

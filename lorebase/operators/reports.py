@@ -75,6 +75,24 @@ def daily_sources(raw_files: DataFrame, date: str, tz: str = "Asia/Shanghai") ->
     return raw_files.where((at >= start) & (at < end)).select("id", "research_id", "research_type", "triage_decision")
 
 
+#: Sides of a source; any other is unknown.
+VIEW_SIDES = ("buy_side", "sell_side", "neutral", "unknown")
+
+
+def daily_source_pages(raw_files: DataFrame, pages: DataFrame, date: str, tz: str = "Asia/Shanghai", kind: str | None = None, limit: int = 500) -> DataFrame:
+    """(page_id, raw_file_id, slug, research_type, view_side, view_side_raw) of the pages (id, slug, type, deleted, frontmatter as JSON text) whose raw files came within the local day, the first `limit` of them.
+
+    Pages of one type, or else sources and briefs.
+    """
+    day = daily_sources(raw_files, date, tz).select("id")
+    rows = raw_files.join(day, "id", "left_semi").select(F.col("id").alias("raw_file_id"), "research_type", "create_date", F.col("ingested_page_id").alias("page_id"))
+    wanted = active(pages).where(F.col("type").isin(*([kind] if kind else ["source", "brief"])))
+    rows = rows.join(wanted.select(F.col("id").alias("page_id"), "slug", "frontmatter"), "page_id")
+    raw = F.coalesce(F.get_json_object("frontmatter", "$.view_side"), F.lit("unknown"))
+    out = rows.withColumn("view_side_raw", raw).withColumn("view_side", F.when(F.col("view_side_raw").isin(*VIEW_SIDES), F.col("view_side_raw")).otherwise("unknown"))
+    return out.orderBy("create_date", "raw_file_id").limit(limit).select("page_id", "raw_file_id", "slug", "research_type", "view_side", "view_side_raw")
+
+
 def recent_activity(events: DataFrame, signals: DataFrame, pages: DataFrame, as_of: str, days: int = 7, limit: int = 30) -> DataFrame:
     """The newest events, signals and pages, each limited, then together."""
     since = F.date_sub(F.lit(as_of).cast("date"), days).cast("timestamp")

@@ -1,5 +1,7 @@
 """Queries of the link graph."""
 
+from pyspark.sql import functions as F
+
 from lorebase.operators import graph as g
 from lorebase.plans.catalog import query
 
@@ -85,6 +87,11 @@ def g15(pages, links):
     return g.page_profile(pages, links)
 
 
+@query("g15_tagged_profile", "fx_pages", "fx_links", "fx_tags", oracle="SELECT p.id AS page_id, coalesce(nullif(p.display_name, ''), p.title, p.slug) AS display, coalesce((SELECT string_agg(DISTINCT tag, ',' ORDER BY tag) FROM fx_tags t WHERE t.deleted = 0 AND t.page_id = p.id), '') AS tags FROM fx_pages p WHERE p.deleted = 0")
+def g15b(pages, links, tags):
+    return g.page_profile(pages, links, tags).select("page_id", "display", F.array_join("tags", ",").alias("tags"))
+
+
 @query("e12_find_orphans", "fx_pages", "fx_links", oracle="""
 SELECT id, slug, type, CAST(datediff('day', create_date, DATE '2001-12-31') AS INTEGER) AS age_days FROM fx_pages p WHERE deleted = 0 AND type IN ('company', 'industry', 'concept') AND NOT EXISTS (SELECT 1 FROM fx_links l WHERE l.deleted = 0 AND l.to_page_id = p.id)""")
 def e12(pages, links):

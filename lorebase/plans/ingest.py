@@ -27,6 +27,14 @@ def s3(raw):
     return i.pending_raw_files(raw, "2024-02-01", 15, 100)
 
 
+@query("s3_expired_leases", "fx_raw_files", oracle="""
+WITH l AS (SELECT *, CASE WHEN id % 5 = 0 THEN NULL ELSE TIMESTAMP '2024-02-01 00:00:00' - (id % 60) * INTERVAL 1 MINUTE END AS leased_at FROM fx_raw_files)
+SELECT id, research_id, create_date FROM l WHERE ingested_page_id IS NULL AND (triage_decision = 'pending' OR (triage_decision = 'processing' AND coalesce(leased_at < TIMESTAMP '2024-01-31 23:30:00', true))) ORDER BY create_date, id LIMIT 200""")
+def s3b(raw):
+    taken = F.lit("2024-02-01 00:00:00").cast("timestamp") - F.make_interval(mins=(F.col("id") % 60).cast("int"))
+    return i.pending_raw_files(raw.withColumn("leased_at", F.when(F.col("id") % 5 != 0, taken)), "2024-02-01", 15, 200, ttl_minutes=30)
+
+
 @query("s4_peek_stats", "documents", oracle="SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CAST(len([x FOR x IN string_split(text, chr(10)) IF trim(x) <> '']) AS INTEGER) AS blocks, substr(text, 1, 1500) AS preview FROM documents")
 def s4(documents):
     return i.peek_stats(documents)

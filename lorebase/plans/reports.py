@@ -111,6 +111,15 @@ def q11(raw_files):
     return r.daily_sources(raw_files, "2024-01-10")
 
 
+@query("q11_daily_source_pages", "fx_raw_files", "fx_pages", oracle="""
+WITH r AS (SELECT r.id AS raw_file_id, p.id AS page_id, p.slug, research_type, r.create_date, CASE p.id % 4 WHEN 0 THEN 'buy_side' WHEN 1 THEN 'neutral' WHEN 2 THEN 'both' ELSE 'unknown' END AS view_side_raw FROM fx_raw_files r JOIN fx_pages p ON p.id = 6000000 + r.id AND p.deleted = 0
+ WHERE CAST(r.create_date AS TIMESTAMP) >= TIMESTAMP '2024-01-09 16:00:00' AND CAST(r.create_date AS TIMESTAMP) < TIMESTAMP '2024-01-10 16:00:00')
+SELECT page_id, raw_file_id, slug, research_type, CASE WHEN view_side_raw = 'both' THEN 'unknown' ELSE view_side_raw END AS view_side, view_side_raw FROM r ORDER BY create_date, raw_file_id LIMIT 500""")
+def q11b(raw_files, pages):
+    side = F.when(F.col("id") % 4 == 0, '{"view_side":"buy_side"}').when(F.col("id") % 4 == 1, '{"view_side":"neutral"}').when(F.col("id") % 4 == 2, '{"view_side":"both"}')
+    return r.daily_source_pages(raw_files.withColumn("ingested_page_id", F.col("id") + 6000000), pages.select("id", "slug", "type", "deleted", side.alias("frontmatter")), "2024-01-10")
+
+
 @query("q12_recent_activity", "fx_events", "fx_signals", "fx_pages", oracle="""
 WITH a AS (SELECT 'event' AS kind, id, ts FROM fx_events WHERE ts >= CAST(DATE '2024-02-01' - 7 AS TIMESTAMP) ORDER BY ts DESC, id DESC LIMIT 30), b AS (SELECT 'signal' AS kind, id, detected_at AS ts FROM fx_signals WHERE deleted = 0 AND detected_at >= CAST(DATE '2024-02-01' - 7 AS TIMESTAMP) ORDER BY ts DESC, id DESC LIMIT 30),
 c AS (SELECT 'page' AS kind, id, CAST(create_date AS TIMESTAMP) AS ts FROM fx_pages WHERE deleted = 0 AND CAST(create_date AS TIMESTAMP) >= CAST(DATE '2024-02-01' - 7 AS TIMESTAMP) ORDER BY ts DESC, id DESC LIMIT 30)
