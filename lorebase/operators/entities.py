@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,37 +161,84 @@ def list_candidates(candidates: DataFrame, limit: int = 50) -> DataFrame:
     return candidates.orderBy(order, F.desc("evidence_count"), "slug").limit(limit)
 
 
-def completeness(pages: DataFrame, as_of: str) -> DataFrame:
-    """The weighted rubric of company, industry and concept pages, to three decimals; other types score 0."""
-    n = F.length(F.trim(F.coalesce("content", F.lit(""))))
-    content = F.when(n == 0, 0.0).when(n < 200, 0.2).when(n < 800, 0.5).when(n < 2000, 0.8).otherwise(1.0)
-    a = F.size(F.filter(F.split("alias_csv", ","), lambda x: x != ""))
-    aliases = F.when(a == 0, 0.0).when(a == 1, 0.3).when(a == 2, 0.6).otherwise(1.0)
-    w = F.size(F.regexp_extract_all("content", F.lit(r"\[\[[a-z]+/[^\]|#]+"), 0))
-    wikilinks = F.when(w == 0, 0.0).when(w < 3, 0.4).when(w < 10, 0.7).otherwise(1.0)
-    c = F.size(F.regexp_extract_all("content", F.lit(r"\[\[sources/"), 0)) + F.when(F.col("content").rlike(r"(?i)sources?[:：]"), 1).otherwise(0) + F.size(F.regexp_extract_all("content", F.lit(r"\(per\s+\[\["), 0)) + F.size(F.regexp_extract_all("content", F.lit("来源[:：]"), 0))
-    citations = F.when(c == 0, 0.0).when(c < 2, 0.3).when(c < 5, 0.7).otherwise(1.0)
+def _or_null(pages: DataFrame, name: str) -> Column:
+    """The column as text, null where the table doesn't have it."""
+    return F.col(name).cast("string") if name in pages.columns else F.lit(None).cast("string")
+
+
+#: What the parts of each type's score weigh.
+RUBRICS = {
+    "company": {"content": 0.20, "listing_or_ownership": 0.15, "sector": 0.10, "aliases": 0.15, "wikilinks": 0.10, "citations": 0.15, "recency": 0.05, "country_or_exchange": 0.10},
+    "industry": {"content": 0.30, "aliases": 0.20, "wikilinks": 0.20, "citations": 0.20, "recency": 0.10},
+    "concept": {"content": 0.35, "aliases": 0.15, "wikilinks": 0.20, "citations": 0.20, "recency": 0.10},
+    "thesis": {"content": 0.30, "wikilinks": 0.15, "citations": 0.15, "validation_conditions": 0.20, "catalysts": 0.10, "recency": 0.10},
+}
+BLANKS = " \t\n\u000b\f\r\u00a0\u2028\u2029\u3000\ufeff"
+
+
+def _parts(pages: DataFrame, as_of: str) -> dict[str, Column]:
+    """Each part of a score, from 0 to 1."""
+    text = F.coalesce("content", F.lit(""))
+    filled = lambda c: F.coalesce(F.btrim(c, F.lit(BLANKS)), F.lit("")) != ""
+    there = lambda c: F.coalesce(c != "", F.lit(False))
+    steps = lambda n, *at: reduce(lambda w, x: w.when(n < x[0], x[1]), at[1:], F.when(n < at[0][0], at[0][1])).otherwise(1.0)
+    times = lambda pattern: F.size(F.regexp_extract_all(text, F.lit(pattern), 0))
     days = F.datediff(F.lit(as_of).cast("date"), "update_date")
-    recency = F.when(days < 30, 1.0).when(days < 90, 0.7).when(days < 365, 0.4).otherwise(0.1)
-    owned = F.lit(False)
-    for phrase in OWNERSHIP_SIGNALS:
-        owned = owned | F.lower("content").contains(phrase)
-    listed = F.when(F.coalesce(F.trim("ticker"), F.lit("")) != "", 1.0).when(owned, 1.0).when(F.col("exchange").isNotNull(), 0.6).otherwise(0.0)
-    sector = F.when(F.col("sector").isNotNull(), 0.5).otherwise(0.0)
-    traded = F.when(F.col("exchange").isNotNull(), 1.0).otherwise(0.0)
-    company = 0.20 * content + 0.15 * listed + 0.10 * sector + 0.15 * aliases + 0.10 * wikilinks + 0.15 * citations + 0.05 * recency + 0.10 * traded
-    industry = 0.30 * content + 0.20 * aliases + 0.20 * wikilinks + 0.20 * citations + 0.10 * recency
-    concept = 0.35 * content + 0.15 * aliases + 0.20 * wikilinks + 0.20 * citations + 0.10 * recency
-    total = F.when(F.col("type") == "company", company).when(F.col("type") == "industry", industry).when(F.col("type") == "concept", concept).otherwise(0.0)
+    cited = times(r"\[\[sources/") + text.rlike(r"(?i)sources?[:：]").cast("int") + times(r"\(per\s+\[\[") + times("来源[:：]")
+    owned = reduce(lambda x, y: x | y, [F.lower(text).contains(phrase) for phrase in OWNERSHIP_SIGNALS])
+    exchange, matter = _or_null(pages, "exchange"), _or_null(pages, "frontmatter")
+
+    def stated(field: str) -> Column:
+        value = F.get_json_object(matter, f"$.{field}")
+        return F.when(filled(value) & (value != "[]"), 1.0).otherwise(0.0)
+
+    return {
+        "content": steps(F.length(F.btrim(text, F.lit(BLANKS))), (1, 0.0), (200, 0.2), (800, 0.5), (2000, 0.8)),
+        "aliases": steps(F.size(F.filter(F.split(F.coalesce("alias_csv", F.lit("")), ","), lambda x: x != "")), (1, 0.0), (2, 0.3), (3, 0.6)),
+        "wikilinks": steps(times(r"\[\[[a-z]+/[^\]|#]+"), (1, 0.0), (3, 0.4), (10, 0.7)),
+        "citations": steps(cited, (1, 0.0), (2, 0.3), (5, 0.7)),
+        "recency": F.when(days.isNull(), 0.0).when(days < 30, 1.0).when(days < 90, 0.7).when(days < 365, 0.4).otherwise(0.1),
+        "listing_or_ownership": F.when(filled(_or_null(pages, "ticker")) | owned, 1.0).when(filled(exchange), 0.6).otherwise(0.0),
+        "sector": F.when(there(_or_null(pages, "sector")), 0.5).otherwise(0.0) + F.when(there(_or_null(pages, "sub_sector")), 0.5).otherwise(0.0),
+        "country_or_exchange": F.when(there(_or_null(pages, "country")) | there(exchange), 1.0).otherwise(0.0),
+        "validation_conditions": stated("validation_conditions"),
+        "catalysts": stated("catalysts"),
+    }
+
+
+def completeness(pages: DataFrame, as_of: str) -> DataFrame:
+    """(id, type, score) by the weighted rubric of company, industry, concept and thesis pages, to three decimals; other types score 0.
+
+    Columns that a table lacks (ticker, exchange, country, sector, sub_sector, frontmatter as JSON text) count as null.
+    """
+    parts = _parts(pages, as_of)
+    total = F.lit(0.0)
+    for kind, weights in RUBRICS.items():
+        total = F.when(F.col("type") == kind, reduce(lambda x, y: x + y, [w * parts[name] for name, w in weights.items()])).otherwise(total)
     return active(pages).select("id", "type", F.round(F.round(total, 9), 3).alias("score"))
 
 
-def bootstrap_states(pages: DataFrame, events: DataFrame) -> DataFrame:
-    """States of legacy pages: stubs are short, of low confidence and never enriched; candidates likewise but not low."""
+def completeness_parts(pages: DataFrame, as_of: str) -> DataFrame:
+    """(id, type, part, weight, score): the rows that `completeness` adds up, weight times score; none for types without a rubric."""
+    parts = _parts(pages, as_of)
+    rows = active(pages).where(F.col("type").isin(*RUBRICS)).select("id", "type", *[c.alias(name) for name, c in parts.items()])
+    whole = F.lit(None)
+    for kind, weights in RUBRICS.items():
+        made = F.array(*[F.struct(F.lit(name).alias("part"), F.lit(w).alias("weight"), F.col(name).alias("score")) for name, w in weights.items()])
+        whole = F.when(F.col("type") == kind, made).otherwise(whole)
+    return rows.select("id", "type", F.inline(whole))
+
+
+def bootstrap_states(pages: DataFrame, events: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(id, state) of legacy pages: stubs are short, of low confidence and never enriched; those that a promoted candidate became are candidate_promoted, all others compiled.
+
+    candidates: (status, promoted_page_id, deleted).
+    """
     done = events.where("action = 'enrich'").select(F.col("entity_id").alias("id")).distinct().withColumn("done", F.lit(True))
-    rows = active(pages).where(F.col("type").isin("company", "industry", "concept")).join(done, "id", "left")
-    short = (F.length("content") <= 300) & F.col("done").isNull()
-    return rows.select("id", F.when(short & (F.col("confidence") == "low"), "stub").when(short, "candidate_promoted").otherwise("compiled").alias("state"))
+    came = active(candidates).where("status = 'promoted'").select(F.col("promoted_page_id").alias("id")).where("id IS NOT NULL").distinct().withColumn("came", F.lit(True))
+    rows = active(pages).where(F.col("type").isin("company", "industry", "concept", "thesis")).join(done, "id", "left").join(came, "id", "left")
+    stub = (F.length(F.coalesce("content", F.lit(""))) <= 300) & F.col("done").isNull() & (F.col("confidence") == "low")
+    return rows.select("id", F.when(stub & F.col("came"), "candidate_promoted").when(stub, "stub").otherwise("compiled").alias("state"))
 
 
 def resolve_candidates(candidates: DataFrame, decisions: DataFrame) -> DataFrame:

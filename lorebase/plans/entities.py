@@ -175,10 +175,56 @@ def e28(pages):
     return e.completeness(pages, "1996-08-15")
 
 
-@query("e33_bootstrap_states", "fx_pages", "fx_events", oracle=f"""
-SELECT p.id, CASE WHEN length(content) <= 300 AND d.id IS NULL THEN CASE WHEN confidence = 'low' THEN 'stub' ELSE 'candidate_promoted' END ELSE 'compiled' END AS state FROM fx_pages p LEFT JOIN (SELECT DISTINCT entity_id AS id FROM fx_events WHERE action = 'enrich') d USING (id) WHERE p.deleted = 0 AND {_ENTITY}""")
-def e33(pages, events):
-    return e.bootstrap_states(pages, events)
+#: pages of theses with the texts of documents, sectors of companies on two levels
+_RUBRIC_PAGES = """pg AS (SELECT 4000000 + doc_id AS id, 'thesis' AS type, 0 AS deleted, coalesce(text, '') || CASE doc_id % 4 WHEN 1 THEN ' [[companies/a]] Source: [[sources/a]]' WHEN 2 THEN ' [[a/b]] [[c/d|e]] [[e/f#g]] (per [[sources/a]], sources: x)' ELSE '' END AS content,
+ '' AS alias_csv, CAST(NULL AS VARCHAR) AS ticker, CAST(NULL AS VARCHAR) AS exchange, CAST(NULL AS VARCHAR) AS country, CAST(NULL AS VARCHAR) AS sector, CAST(NULL AS VARCHAR) AS sub_sector, doc_id % 3 = 0 AS conditions, doc_id % 5 = 0 AS catalysts, CASE WHEN doc_id % 7 <> 0 THEN DATE '1996-07-30' - CAST(doc_id % 500 AS INTEGER) END AS update_date FROM documents
+UNION ALL SELECT id, type, deleted, content, alias_csv, ticker, exchange, CASE WHEN id % 4 = 1 THEN 'US' WHEN id % 4 = 2 THEN '' END, sector, CASE WHEN id % 3 = 0 THEN 'chips' END, false, false, update_date FROM fx_pages WHERE type = 'company'),
+d AS (SELECT *, length(trim(content, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(8232) || chr(8233) || chr(12288) || chr(65279))) AS n, len([x FOR x IN string_split(alias_csv, ',') IF x <> '']) AS a, len(regexp_extract_all(content, '\\[\\[[a-z]+/[^\\]|#]+')) AS w,
+ len(regexp_extract_all(content, '\\[\\[sources/')) + CASE WHEN regexp_matches(content, '(?i)sources?[:：]') THEN 1 ELSE 0 END + len(regexp_extract_all(content, '\\(per\\s+\\[\\[')) + len(regexp_extract_all(content, '来源[:：]')) AS c, datediff('day', update_date, DATE '1996-08-15') AS days FROM pg WHERE deleted = 0),
+s AS (SELECT id, type, CASE WHEN n = 0 THEN 0.0 WHEN n < 200 THEN 0.2 WHEN n < 800 THEN 0.5 WHEN n < 2000 THEN 0.8 ELSE 1.0 END::DOUBLE AS co, CASE WHEN a = 0 THEN 0.0 WHEN a = 1 THEN 0.3 WHEN a = 2 THEN 0.6 ELSE 1.0 END::DOUBLE AS al, CASE WHEN w = 0 THEN 0.0 WHEN w < 3 THEN 0.4 WHEN w < 10 THEN 0.7 ELSE 1.0 END::DOUBLE AS wi,
+ CASE WHEN c = 0 THEN 0.0 WHEN c < 2 THEN 0.3 WHEN c < 5 THEN 0.7 ELSE 1.0 END::DOUBLE AS ci, CASE WHEN days IS NULL THEN 0.0 WHEN days < 30 THEN 1.0 WHEN days < 90 THEN 0.7 WHEN days < 365 THEN 0.4 ELSE 0.1 END::DOUBLE AS re, CASE WHEN trim(coalesce(ticker, '')) <> '' THEN 1.0 WHEN exchange IS NOT NULL THEN 0.6 ELSE 0.0 END::DOUBLE AS li,
+ (CASE WHEN sector IS NOT NULL THEN 0.5 ELSE 0.0 END + CASE WHEN sub_sector IS NOT NULL THEN 0.5 ELSE 0.0 END)::DOUBLE AS se, CASE WHEN exchange IS NOT NULL OR country = 'US' THEN 1.0 ELSE 0.0 END::DOUBLE AS ex, CASE WHEN conditions THEN 1.0 ELSE 0.0 END::DOUBLE AS vc, CASE WHEN catalysts THEN 1.0 ELSE 0.0 END::DOUBLE AS ca FROM d)"""
+
+
+def _rubric_pages(pages, documents):
+    k, none = F.col("doc_id"), F.lit(None).cast("string")
+    tail = F.when(k % 4 == 1, " [[companies/a]] Source: [[sources/a]]").when(k % 4 == 2, " [[a/b]] [[c/d|e]] [[e/f#g]] (per [[sources/a]], sources: x)").otherwise("")
+    matter = F.to_json(F.struct(F.when(k % 3 == 0, F.array(F.struct(F.lit("x").alias("condition")))).when(k % 3 == 1, F.array().cast("array<struct<condition:string>>")).alias("validation_conditions"), F.when(k % 5 == 0, "launch").when(k % 5 == 1, "  ").alias("catalysts")))
+    day = F.when(k % 7 != 0, F.date_sub(F.lit("1996-07-30").cast("date"), (k % 500).cast("int")))
+    theses = documents.select((k + 4000000).alias("id"), F.lit("thesis").alias("type"), F.lit(0).alias("deleted"), F.concat(F.coalesce("text", F.lit("")), tail).alias("content"), F.lit("").alias("alias_csv"), *[none.alias(c) for c in ("ticker", "exchange", "country", "sector", "sub_sector")], matter.alias("frontmatter"), day.alias("update_date"))
+    i = F.col("id")
+    firms = pages.where("type = 'company'").withColumns({"country": F.when(i % 4 == 1, "US").when(i % 4 == 2, ""), "sub_sector": F.when(i % 3 == 0, "chips"), "frontmatter": none})
+    return theses.unionByName(firms.select(*theses.columns))
+
+
+@query("e28_completeness_of_theses", "fx_pages", "documents", oracle=f"""
+WITH {_RUBRIC_PAGES} SELECT id, type, round(round(CASE type WHEN 'company' THEN 0.20 * co + 0.15 * li + 0.10 * se + 0.15 * al + 0.10 * wi + 0.15 * ci + 0.05 * re + 0.10 * ex ELSE 0.30 * co + 0.15 * wi + 0.15 * ci + 0.20 * vc + 0.10 * ca + 0.10 * re END, 9), 3) AS score FROM s""")
+def e28b(pages, documents):
+    return e.completeness(_rubric_pages(pages, documents), "1996-08-15")
+
+
+_PART_ROWS = " UNION ALL ".join(
+    f"SELECT id, type, '{part}' AS part, {weight}::DOUBLE AS weight, {column} AS score FROM s WHERE type = '{kind}'"
+    for kind, column_of in (
+        ("company", {"content": "co", "listing_or_ownership": "li", "sector": "se", "aliases": "al", "wikilinks": "wi", "citations": "ci", "recency": "re", "country_or_exchange": "ex"}),
+        ("thesis", {"content": "co", "wikilinks": "wi", "citations": "ci", "validation_conditions": "vc", "catalysts": "ca", "recency": "re"}),
+    )
+    for (part, column), weight in zip(column_of.items(), {"company": (0.20, 0.15, 0.10, 0.15, 0.10, 0.15, 0.05, 0.10), "thesis": (0.30, 0.15, 0.15, 0.20, 0.10, 0.10)}[kind], strict=True)
+)
+
+
+@query("e28_completeness_parts", "fx_pages", "documents", oracle=f"WITH {_RUBRIC_PAGES} {_PART_ROWS}")
+def e28c(pages, documents):
+    return e.completeness_parts(_rubric_pages(pages, documents), "1996-08-15")
+
+
+@query("e33_bootstrap_states", "fx_pages", "fx_events", "fx_mentions", oracle=f"""
+WITH c AS (SELECT DISTINCT 3000000 + CAST(regexp_extract(slug, '([0-9]+)$', 1) AS BIGINT) AS id FROM fx_mentions WHERE CAST(regexp_extract(slug, '([0-9]+)$', 1) AS BIGINT) % 2 = 0), d AS (SELECT DISTINCT entity_id AS id FROM fx_events WHERE action = 'enrich')
+SELECT p.id, CASE WHEN length(content) <= 300 AND confidence = 'low' AND d.id IS NULL THEN CASE WHEN c.id IS NOT NULL THEN 'candidate_promoted' ELSE 'stub' END ELSE 'compiled' END AS state FROM fx_pages p LEFT JOIN d ON d.id = p.id LEFT JOIN c ON c.id = p.id WHERE p.deleted = 0 AND {_ENTITY}""")
+def e33(pages, events, mentions):
+    user = F.regexp_extract("slug", "([0-9]+)$", 1).cast("long")
+    candidates = mentions.select(F.when(user % 2 == 0, "promoted").otherwise("pending").alias("status"), (user + 3000000).alias("promoted_page_id"), F.lit(0).alias("deleted")).distinct()
+    return e.bootstrap_states(pages, events, candidates)
 
 
 @query("e20_resolve_candidates", "fx_mentions", oracle=f"""
