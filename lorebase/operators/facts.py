@@ -225,6 +225,45 @@ def thesis_snapshot_signals(theses: DataFrame, signals: DataFrame, n: int = 20)
     return by_thesis.union(by_target).distinct().withColumn("rn", rn).where(F.col("rn") <= n).select("thesis_id", "rn", "id")
 
 
+def thesis_snapshots(theses: DataFrame, pages: DataFrame, facts: DataFrame, signals: DataFrame, n: int = 20) -> DataFrame:
+    """Every thesis that has a page: its own columns, slug, target_slug, and the n newest current facts of its target and signals.
+
+    recent_facts: array of (rn, id, metric, period, value, unit, source_slug), value being the number as text, else the text;
+    recent_signals: array of (rn, id, signal_type, severity, title, detected_at), by the thesis or by its target. Newest by
+    ingested_at (valid_from where facts have none) and detected_at, ties to the greater id. Columns that a table lacks are
+    null. The target is `(unknown)` where it has no page; deleted pages count, as their theses are still open to view.
+
+    Each target's newest rows are ranked once, before theses meet them, so a target of many theses costs no more.
+    """
+    text = lambda df, c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+    slugs = pages.select(F.col("id").alias("page_id"), "slug")
+
+    def newest(rows: DataFrame, key: str, at: str) -> DataFrame:
+        rn = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at), F.desc("id")))
+        return rows.where(F.col(key).isNotNull()).withColumn("rn", rn).where(F.col("rn") <= n)
+
+    wanted = theses.select(F.col("target_page_id").alias("entity_page_id")).distinct()
+    at = "ingested_at" if "ingested_at" in facts.columns else "valid_from"
+    current = active(facts).where("valid_to IS NULL").join(wanted, "entity_page_id", "left_semi")
+    value = F.coalesce(text(facts, "value_numeric"), text(facts, "value_text"))
+    tops = newest(current.select("entity_page_id", "id", at, "metric", "period", value.alias("value"), text(facts, "unit").alias("unit"), "source_page_id"), "entity_page_id", at)
+    tops = tops.join(slugs.withColumnsRenamed({"page_id": "source_page_id", "slug": "source_slug"}), "source_page_id", "left")
+    of_target = tops.groupBy(F.col("entity_page_id").alias("target_page_id")).agg(F.array_sort(F.collect_list(F.struct("rn", "id", "metric", "period", "value", "unit", "source_slug"))).alias("recent_facts"))
+
+    s = active(signals).select("id", "signal_type", "severity", text(signals, "title").alias("title"), "detected_at", "thesis_page_id", "entity_page_id")
+    t = theses.select("page_id", "target_page_id")
+    by_thesis = newest(s, "thesis_page_id", "detected_at").withColumn("page_id", F.col("thesis_page_id"))
+    by_target = newest(s.join(wanted, "entity_page_id", "left_semi"), "entity_page_id", "detected_at").join(t.withColumnRenamed("target_page_id", "entity_page_id"), "entity_page_id")
+    shown = ["page_id", "id", "signal_type", "severity", "title", "detected_at"]
+    both = by_thesis.select(*shown).unionByName(by_target.select(*shown)).dropDuplicates(["page_id", "id"])
+    of_thesis = newest(both, "page_id", "detected_at").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("rn", *shown[1:]))).alias("recent_signals"))
+
+    own = [c for c in theses.columns if c not in ("slug", "target_slug", "recent_facts", "recent_signals")]
+    out = theses.select(*own).join(slugs, "page_id").join(slugs.withColumnsRenamed({"page_id": "target_page_id", "slug": "target_slug"}), "target_page_id", "left")
+    out = out.join(of_target, "target_page_id", "left").join(of_thesis, "page_id", "left")
+    return out.select(*own, "slug", F.coalesce("target_slug", F.lit("(unknown)")).alias("target_slug"), *[F.coalesce(c, F.array()).alias(c) for c in ("recent_facts", "recent_signals")])
+
+
 def thesis_list(theses: DataFrame, pages: DataFrame, statuses: tuple[str, ...] = ("active", "monitoring")) -> DataFrame:
     target = active(pages).select(F.col("id").alias("target_page_id"), F.col("slug").alias("target_slug"))
     return theses.where(F.col("status").isin(*statuses)).join(target, "target_page_id", "left").select("page_id", "title", "status", "direction", "target_slug", "update_date")

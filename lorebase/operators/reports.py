@@ -44,27 +44,64 @@ def thesis_backlog(theses: DataFrame, signals: DataFrame, as_of: str, stale_days
     return rows.select("page_id", days.alias("days_since_update"), "unresolved_conditions", "recent_signals", priority.cast("long").alias("priority"), F.when(due, "review_now").otherwise("monitor").alias("action"))
 
 
-def company_metadata_issues(pages: DataFrame) -> DataFrame:
-    """(page_id, code, severity) of what is wrong with company names, aliases and tickers."""
-    rows = active(pages).where("type = 'company'").withColumn("aliases", F.split("alias_csv", ","))
-    rows = rows.withColumn("known", F.transform("aliases", lambda a: F.lower(F.trim(a)))).withColumn("name", F.trim(F.coalesce("display_name", F.lit("")))).withColumn("tick", F.trim(F.coalesce("ticker", F.lit(""))))
-    rows = rows.withColumn("same_ticker", F.count("*").over(Window.partitionBy(F.upper("tick"))))
-    has, tick, low = F.col("name") != "", F.col("tick") != "", F.col("confidence") == "low"
-    slug_name = F.lower(F.element_at(F.split("slug", "/"), 2))
-    odd = ~F.upper("tick").rlike(r"^[A-Z0-9]{1,8}([.-][A-Z0-9]{1,6}){0,2}$") | F.lower("tick").isin("n/a", "na", "none", "null", "unknown", "private")
+#: What a ticker looks like, and texts that stand for none.
+TICKER = r"^[A-Z0-9]{1,8}([.-][A-Z0-9]{1,6}){0,2}$"
+NO_TICKER = ("n/a", "na", "none", "null", "unknown", "private", "private company")
+
+
+def _company_issues(pages: DataFrame) -> DataFrame:
+    """Company pages with `issues`, an array of (code, severity); a page has sparse_aliases twice if both of its causes hold."""
+    trim = lambda c: F.btrim(F.coalesce(c, F.lit("")), F.lit(" \t\n\r"))
+    rows = active(pages).where("type = 'company'").withColumns({"aliases": F.filter(F.split(F.coalesce("alias_csv", F.lit("")), ","), lambda a: a != ""), "name": trim(F.col("display_name")), "tick": trim(F.col("ticker"))})
+    rows = rows.withColumns({"known": F.transform("aliases", lambda a: F.lower(trim(a))), "of_slug": trim(F.regexp_replace("slug", "^[^/]*/?", ""))})
+    # companies of one ticker by a map-side count: those without one are most, and no window gathers them
+    shared = rows.where("tick <> ''").groupBy(F.upper("tick").alias("upper_tick")).agg(F.count("*").alias("same_ticker")).where("same_ticker > 1")
+    rows = rows.withColumn("upper_tick", F.upper("tick")).join(shared, "upper_tick", "left")
+    has, tick, n, lacks = F.col("name") != "", F.col("tick") != "", F.size("aliases"), lambda c: ~F.array_contains("known", F.lower(c))
+    low = F.coalesce(F.col("confidence") == "low", F.lit(False))
+    curated = F.coalesce(F.col("confidence").isin("medium", "high"), F.lit(False))
+    odd = ~F.col("upper_tick").rlike(TICKER) | F.lower("tick").isin(*NO_TICKER) | (F.length("tick") > 16)
     rules: list[tuple[str, str, Column]] = [
         ("missing_display_name", "error", ~has),
         ("display_name_sluggy", "warn", has & (F.col("name").contains("-") | (F.col("name") == F.lower("name")))),
-        ("display_name_missing_from_aliases", "warn", has & ~F.array_contains("known", F.lower("name"))),
-        ("missing_ticker", "warn", ~tick & ~low),
+        ("missing_aliases", "error", n == 0),
+        ("sparse_aliases", "warn", (n == 1) & ~low),
+        ("display_name_missing_from_aliases", "warn", has & lacks(F.col("name"))),
+        ("missing_ticker", "warn", ~tick & curated),
         ("ticker_suspicious", "error", tick & odd),
-        ("ticker_not_uppercase", "warn", tick & (F.col("tick") != F.upper("tick"))),
-        ("ticker_missing_from_aliases", "warn", tick & ~F.array_contains("known", F.lower("tick"))),
-        ("duplicate_ticker", "error", tick & (F.col("same_ticker") > 1)),
-        ("sparse_aliases", "warn", ((F.size("aliases") < 2) & ~low) | ~F.array_contains("known", slug_name)),
+        ("ticker_not_uppercase", "warn", tick & (F.col("tick") != F.col("upper_tick"))),
+        ("ticker_missing_from_aliases", "warn", tick & lacks(F.col("tick"))),
+        ("duplicate_ticker", "error", tick & F.col("same_ticker").isNotNull()),
+        ("sparse_aliases", "warn", (F.col("of_slug") != "") & (n > 0) & lacks(F.col("of_slug"))),
     ]
     found = F.filter(F.array(*[F.when(c, F.struct(F.lit(code).alias("code"), F.lit(s).alias("severity"))) for code, s, c in rules]), lambda x: x.isNotNull())
-    return rows.select(F.col("id").alias("page_id"), F.explode(found).alias("x")).select("page_id", "x.code", "x.severity")
+    return rows.withColumn("issues", found)
+
+
+def company_metadata_issues(pages: DataFrame) -> DataFrame:
+    """(page_id, code, severity) of what is wrong with company names, aliases and tickers, a code once a page."""
+    return _company_issues(pages).select(F.col("id").alias("page_id"), F.inline(F.array_distinct("issues")))
+
+
+def company_metadata_audit(pages: DataFrame, links: DataFrame, limit: int = 80, include_ok: bool = False, confidence: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, counts): the first companies with issues by backlinks, confidence (high, medium, low, none) and id, and how often each code occurs in all of them.
+
+    Rows: (rank, page_id, slug, confidence, backlinks, aliases, issues as `severity:code` joined by commas); include_ok
+    adds companies without issues. Duplicate tickers count over all companies, whatever the confidence asked for.
+    Counts: (code, n), with the codes `companies` and `problem_companies` for how many there are.
+    """
+    rows = _company_issues(pages)
+    rows = rows if confidence is None else rows.where(F.col("confidence") == confidence)
+    rows = written(rows.select(F.col("id").alias("page_id"), "slug", "confidence", F.size("aliases").alias("aliases"), "issues"), "audit")
+    back = active(links).groupBy(F.col("to_page_id").alias("page_id")).agg(F.count("*").alias("backlinks"))
+    level = F.when(F.col("confidence") == "high", 3).when(F.col("confidence") == "medium", 2).when(F.col("confidence") == "low", 1).otherwise(0)
+    shown = rows if include_ok else rows.where("size(issues) > 0")
+    order = [F.desc("backlinks"), level.desc(), F.asc("page_id")]
+    top = shown.join(back, "page_id", "left").fillna(0, ["backlinks"]).orderBy(*order).limit(limit)
+    text = F.array_join(F.transform("issues", lambda x: F.concat_ws(":", x["severity"], x["code"])), ",")
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "page_id", "slug", "confidence", "backlinks", "aliases", text.alias("issues"))
+    codes = F.concat(F.array(F.lit("companies")), F.when(F.size("issues") > 0, F.array(F.lit("problem_companies"))).otherwise(F.array().cast("array<string>")), F.col("issues.code"))
+    return ranked, rows.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
 def daily_sources(raw_files: DataFrame, date: str, tz: str = "Asia/Shanghai") -> DataFrame:

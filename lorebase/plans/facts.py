@@ -205,6 +205,38 @@ def f18b(theses, facts):
     return f.thesis_snapshot_facts(theses.select("page_id", (3000000 + F.col("page_id") % 500).alias("target_page_id")), facts)
 
 
+_SNAPSHOT = """t AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN 3000000 + page_id % 500 WHEN page_id % 50 = 1 THEN 1 ELSE target_page_id END AS target FROM fx_theses WHERE page_id % 29 <> 0), pg AS (SELECT id, slug FROM fx_pages UNION ALL SELECT page_id, 'theses/' || lower(title) FROM t),
+fr AS (SELECT t.page_id, f.id, metric, period, value_numeric, unit, source_page_id, CAST(row_number() OVER (PARTITION BY t.page_id ORDER BY valid_from DESC, f.id DESC) AS INTEGER) AS rn FROM t JOIN (SELECT *, CASE WHEN id % 2 = 0 THEN 'usd' END AS unit FROM fx_facts WHERE deleted = 0 AND valid_to IS NULL) f ON f.entity_page_id = t.target),
+sr AS (SELECT t.page_id, s.id, signal_type, severity, detected_at, CAST(row_number() OVER (PARTITION BY t.page_id ORDER BY detected_at DESC, s.id DESC) AS INTEGER) AS rn FROM t JOIN fx_signals s ON s.deleted = 0 AND (s.thesis_page_id = t.page_id OR s.entity_page_id = t.target))"""
+
+
+def _snapshots(theses, pages, facts, signals):
+    k = F.col("page_id")
+    target = F.when(k % 3 == 0, 3000000 + k % 500).when(k % 50 == 1, 1).otherwise(F.col("target_page_id"))
+    theses = theses.where("page_id % 29 <> 0").withColumn("target_page_id", target)
+    own = theses.select(k.alias("id"), F.concat(F.lit("theses/"), F.lower("title")).alias("slug"))
+    return f.thesis_snapshots(theses, pages.select("id", "slug").unionByName(own), facts.withColumn("unit", F.when(F.col("id") % 2 == 0, "usd")), signals)
+
+
+@query("f18_thesis_states", "fx_theses", "fx_pages", "fx_facts", "fx_signals", oracle=f"""
+WITH {_SNAPSHOT} SELECT t.page_id, direction, status, title, update_date, 'theses/' || lower(title) AS slug, coalesce(pg.slug, '(unknown)') AS target_slug, CAST(coalesce(fn, 0) AS INTEGER) AS facts, CAST(coalesce(sn, 0) AS INTEGER) AS signals FROM t LEFT JOIN pg ON pg.id = target
+LEFT JOIN (SELECT page_id, least(count(*), 20) AS fn FROM fr GROUP BY 1) a USING (page_id) LEFT JOIN (SELECT page_id, least(count(*), 20) AS sn FROM sr GROUP BY 1) b USING (page_id)""")
+def f18c(theses, pages, facts, signals):
+    rows = _snapshots(theses, pages, facts, signals)
+    return rows.select("page_id", "direction", "status", "title", "update_date", "slug", "target_slug", F.size("recent_facts").alias("facts"), F.size("recent_signals").alias("signals"))
+
+
+@query("f18_thesis_state_facts", "fx_theses", "fx_pages", "fx_facts", "fx_signals", oracle=f"WITH {_SNAPSHOT} SELECT page_id, rn, fr.id, metric, period, value_numeric AS value, unit, pg.slug AS source_slug FROM fr LEFT JOIN pg ON pg.id = source_page_id WHERE rn <= 20")
+def f18d(theses, pages, facts, signals):
+    rows = _snapshots(theses, pages, facts, signals).select("page_id", F.inline("recent_facts"))
+    return rows.withColumn("value", F.col("value").cast("double"))
+
+
+@query("f18_thesis_state_signals", "fx_theses", "fx_pages", "fx_facts", "fx_signals", oracle=f"WITH {_SNAPSHOT} SELECT page_id, rn, id, signal_type, severity, detected_at FROM sr WHERE rn <= 20")
+def f18e(theses, pages, facts, signals):
+    return _snapshots(theses, pages, facts, signals).select("page_id", F.inline("recent_signals")).drop("title")
+
+
 @query("f20_entity_latest", "fx_facts", "fx_links", oracle="""
 WITH a AS (SELECT entity_page_id AS page_id, 'fact' AS kind, CAST(row_number() OVER (PARTITION BY entity_page_id ORDER BY valid_from DESC, id DESC) AS INTEGER) AS rn, id FROM fx_facts WHERE deleted = 0
 UNION ALL SELECT to_page_id, 'inbound', CAST(row_number() OVER (PARTITION BY to_page_id ORDER BY coalesce(weight >= 0.9 OR link_type <> 'mention' OR (link_source = 'frontmatter' AND origin_field = 'primary_entities') OR origin_field IN ('facts_block', 'timeline_block'), false) DESC, weight DESC, create_time DESC, id DESC) AS INTEGER), id FROM fx_links WHERE deleted = 0) SELECT * FROM a WHERE rn <= 10""")

@@ -94,18 +94,47 @@ def q9(theses, signals):
     return r.thesis_backlog(theses, signals, "2024-02-01")
 
 
-@query("q10_company_metadata_audit", "fx_pages", oracle=r"""
-WITH a AS (SELECT id, confidence, slug, string_split(alias_csv, ',') AS al, [lower(trim(x)) FOR x IN string_split(alias_csv, ',')] AS known, trim(coalesce(display_name, '')) AS name, trim(coalesce(ticker, '')) AS tick FROM fx_pages WHERE deleted = 0 AND type = 'company'),
+_ISSUES = r"""a AS (SELECT id, confidence, slug, [x FOR x IN string_split(alias_csv, ',') IF x <> ''] AS al, [lower(trim(x)) FOR x IN string_split(alias_csv, ',') IF x <> ''] AS known, trim(coalesce(display_name, '')) AS name, trim(coalesce(ticker, '')) AS tick FROM {pages} WHERE deleted = 0 AND type = 'company'),
 c AS (SELECT *, count(*) OVER (PARTITION BY upper(tick)) AS same FROM a),
-i AS (SELECT id AS page_id, 'missing_display_name' AS code, 'error' AS severity FROM c WHERE name = ''
-UNION ALL SELECT id, 'display_name_sluggy', 'warn' FROM c WHERE name <> '' AND (contains(name, '-') OR name = lower(name)) UNION ALL SELECT id, 'display_name_missing_from_aliases', 'warn' FROM c WHERE name <> '' AND NOT list_contains(known, lower(name))
-UNION ALL SELECT id, 'missing_ticker', 'warn' FROM c WHERE tick = '' AND confidence <> 'low' UNION ALL SELECT id, 'ticker_suspicious', 'error' FROM c WHERE tick <> '' AND (NOT regexp_full_match(upper(tick), '[A-Z0-9]{1,8}([.-][A-Z0-9]{1,6}){0,2}') OR lower(tick) IN ('n/a', 'na', 'none', 'null', 'unknown', 'private'))
-UNION ALL SELECT id, 'ticker_not_uppercase', 'warn' FROM c WHERE tick <> '' AND tick <> upper(tick) UNION ALL SELECT id, 'ticker_missing_from_aliases', 'warn' FROM c WHERE tick <> '' AND NOT list_contains(known, lower(tick))
-UNION ALL SELECT id, 'duplicate_ticker', 'error' FROM c WHERE tick <> '' AND same > 1 UNION ALL SELECT id, 'sparse_aliases', 'warn' FROM c WHERE (len(al) < 2 AND confidence <> 'low') OR NOT list_contains(known, lower(split_part(slug, '/', 2)))) SELECT * FROM i""")
+i AS (SELECT id AS page_id, 1 AS k, 'missing_display_name' AS code, 'error' AS severity FROM c WHERE name = '' UNION ALL SELECT id, 2, 'display_name_sluggy', 'warn' FROM c WHERE name <> '' AND (contains(name, '-') OR name = lower(name))
+UNION ALL SELECT id, 3, 'missing_aliases', 'error' FROM c WHERE len(al) = 0 UNION ALL SELECT id, 4, 'sparse_aliases', 'warn' FROM c WHERE len(al) = 1 AND confidence IS DISTINCT FROM 'low' UNION ALL SELECT id, 5, 'display_name_missing_from_aliases', 'warn' FROM c WHERE name <> '' AND NOT list_contains(known, lower(name))
+UNION ALL SELECT id, 6, 'missing_ticker', 'warn' FROM c WHERE tick = '' AND confidence IN ('medium', 'high') UNION ALL SELECT id, 7, 'ticker_suspicious', 'error' FROM c WHERE tick <> '' AND (NOT regexp_full_match(upper(tick), '[A-Z0-9]{{1,8}}([.-][A-Z0-9]{{1,6}}){{0,2}}') OR length(tick) > 16 OR lower(tick) IN ('n/a', 'na', 'none', 'null', 'unknown', 'private', 'private company'))
+UNION ALL SELECT id, 8, 'ticker_not_uppercase', 'warn' FROM c WHERE tick <> '' AND tick <> upper(tick) UNION ALL SELECT id, 9, 'ticker_missing_from_aliases', 'warn' FROM c WHERE tick <> '' AND NOT list_contains(known, lower(tick))
+UNION ALL SELECT id, 10, 'duplicate_ticker', 'error' FROM c WHERE tick <> '' AND same > 1 UNION ALL SELECT id, 11, 'sparse_aliases', 'warn' FROM c WHERE len(al) > 0 AND NOT list_contains(known, lower(split_part(slug, '/', 2))))"""
+
+#: companies some of which lack aliases or a level of confidence, or have odd tickers
+_VARIED = """v AS (SELECT id, type, deleted, slug, display_name, CASE WHEN id % 11 = 0 THEN '' WHEN id % 11 = 1 THEN split_part(slug, '/', 2) ELSE alias_csv END AS alias_csv, CASE WHEN id % 13 = 0 THEN NULL ELSE confidence END AS confidence,
+ CASE WHEN id % 17 = 0 THEN 'Private Company' WHEN id % 17 = 1 THEN 'ABCDEFGH.ABCDEF.ABC' WHEN id % 17 = 2 THEN lower(ticker) ELSE ticker END AS ticker FROM fx_pages)"""
+
+
+def _varied(pages):
+    k = F.col("id")
+    return pages.withColumns({
+        "alias_csv": F.when(k % 11 == 0, "").when(k % 11 == 1, F.split("slug", "/")[1]).otherwise(F.col("alias_csv")), "confidence": F.when(k % 13 != 0, F.col("confidence")),
+        "ticker": F.when(k % 17 == 0, "Private Company").when(k % 17 == 1, "ABCDEFGH.ABCDEF.ABC").when(k % 17 == 2, F.lower("ticker")).otherwise(F.col("ticker")),
+    })
+
+
+@query("q10_company_metadata_audit", "fx_pages", oracle="WITH " + _ISSUES.format(pages="fx_pages") + " SELECT DISTINCT page_id, code, severity FROM i")
 def q10(pages):
     return r.company_metadata_issues(pages)
 
 
+@query("q10_company_metadata_ranking", "fx_pages", "fx_links", oracle=f"""
+WITH {_VARIED}, {_ISSUES.format(pages="v")}, b AS (SELECT CASE WHEN to_page_id % 3 = 0 THEN 1000000 + to_page_id % 100 ELSE to_page_id END AS page_id, count(*) AS n FROM fx_links WHERE deleted = 0 GROUP BY 1),
+g AS (SELECT page_id, string_agg(severity || ':' || code, ',' ORDER BY k) AS issues FROM i GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY coalesce(n, 0) DESC, CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, id) AS INTEGER) AS rank, id AS page_id, slug, confidence, coalesce(n, 0) AS backlinks, CAST(len(al) AS INTEGER) AS aliases, issues FROM c JOIN g ON g.page_id = id LEFT JOIN b ON b.page_id = id ORDER BY rank LIMIT 80""")
+def q10b(pages, links):
+    links = links.withColumn("to_page_id", F.when(F.col("to_page_id") % 3 == 0, 1000000 + F.col("to_page_id") % 100).otherwise(F.col("to_page_id")))
+    return r.company_metadata_audit(_varied(pages), links)[0]
+
+
+@query("q10_company_metadata_counts", "fx_pages", "fx_links", oracle=f"""
+WITH {_VARIED}, {_ISSUES.format(pages="v")} SELECT code, count(*) AS n FROM i GROUP BY 1 UNION ALL SELECT 'companies', count(*) FROM c UNION ALL SELECT 'problem_companies', count(DISTINCT page_id) FROM i""")
+def q10c(pages, links):
+    return r.company_metadata_audit(_varied(pages), links)[1]
+
+
 @query("q11_daily_sources", "fx_raw_files", oracle="SELECT id, research_id, research_type, triage_decision FROM fx_raw_files WHERE CAST(create_date AS TIMESTAMP) >= TIMESTAMP '2024-01-09 16:00:00' AND CAST(create_date AS TIMESTAMP) < TIMESTAMP '2024-01-10 16:00:00'")
 def q11(raw_files):
     return r.daily_sources(raw_files, "2024-01-10")
