@@ -315,6 +315,46 @@ def create_missing_pages(mentions: DataFrame, pages: DataFrame) -> DataFrame:
     return missing.select("slug", F.element_at(F.split("slug", "/"), 2).alias("title"), F.lit("company").alias("type"), F.lit("stub").alias("entity_state"))
 
 
+def resolve_or_create(mentions: DataFrame, pages: DataFrame, source_id: str = "default") -> tuple[DataFrame, DataFrame]:
+    """(created, touched): stub pages for companies that no page of the source stands for, and the pages that mentions met, where they gain aliases.
+
+    mentions: (slug, alias, origin_field); pages: (id, source_id, type, slug, alias_csv, deleted). A mention meets the
+    active company page found as in `resolve_refs`. What meets none becomes a page if one of its mentions is strong (a
+    primary entity, or an entity of a fact or timeline block) and no rule rejects the name. Spellings of one name (case,
+    blanks, _ and -) make one page.
+    created: (source_id, slug, title, type, status, entity_state, alias_csv): aliases are the name of the slug, the names
+    as mentioned and the mentions' aliases in the order of their text, each once whatever its case.
+    touched: (id, alias_csv) with the mentions' aliases behind those the page has.
+    """
+    from lorebase.operators.ingest import resolve_refs
+
+    trim = lambda c: F.btrim(c, F.lit(BLANKS))
+    name = trim(F.regexp_replace("slug", "^[^/]*/?", ""))
+    rows = mentions.where(F.lower(trim(F.col("slug"))).startswith("companies/")).withColumn("name", name)
+    rows = rows.groupBy("slug", "name").agg(F.array_sort(F.collect_set(trim(F.col("alias")))).alias("given"), F.coalesce(F.max(F.col("origin_field").isin("primary_entities", "facts_block", "timeline_block")), F.lit(False)).alias("strong"))
+
+    def merged(*lists: Column) -> Column:
+        """All aliases in order, each once whatever its case, blank ones left out."""
+        whole = F.filter(F.transform(F.concat(*lists), trim), lambda a: a != "")
+        low = F.transform(whole, lambda a: F.lower(a))
+        return F.array_join(F.filter(whole, lambda a, i: F.array_position(low, F.lower(a)) == i + 1), ",")
+
+    there = pages.where((F.col("type") == "company") & (F.col("source_id") == source_id))
+    met = rows.join(resolve_refs(rows, there).select("slug", "page_id"), "slug", "left")
+    found = met.where("page_id IS NOT NULL").groupBy(F.col("page_id").alias("id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("given")))).alias("given"))
+    have = F.filter(F.split(F.coalesce("alias_csv", F.lit("")), ","), lambda a: a != "")
+    touched = there.where("deleted = 0").join(found, "id").select("id", have.alias("have"), merged(have, F.col("given")).alias("alias_csv"))
+    touched = touched.where(F.size(F.split("alias_csv", ",")) > F.size("have")).where("alias_csv <> ''").select("id", "alias_csv")
+
+    canonical = F.regexp_replace(F.regexp_replace(F.lower("name"), r"[\s_-]+", "-"), "^-+|-+$", "")
+    fresh = met.where("page_id IS NULL").withColumn("key", canonical).where("key <> ''")
+    fresh = fresh.groupBy("key").agg(F.max("strong").alias("strong"), F.array_sort(F.collect_set("name")).alias("names"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("given")))).alias("given"))
+    fresh = fresh.withColumn("slug", F.concat(F.lit("companies/"), "key")).where(F.col("strong") & auto_reject_reason(F.col("slug")).isNull())
+    title = F.element_at(F.split("slug", "/"), -1)
+    created = fresh.select(F.lit(source_id).alias("source_id"), "slug", title.alias("title"), F.lit("company").alias("type"), F.lit("active").alias("status"), F.lit("stub").alias("entity_state"), merged(F.array("key"), F.col("names"), F.col("given")).alias("alias_csv"))
+    return created, touched
+
+
 def merge_risk(pairs: DataFrame) -> DataFrame:
     """Risk of merging pairs (a, b, dup_chars, ratio, sections, has_updates, overlap): any sign of a large or separate text raises it."""
     review = (F.col("dup_chars") > 8000) | (F.col("ratio") > 1.1) | ((F.col("sections") >= 8) & (F.col("overlap") < 0.45))

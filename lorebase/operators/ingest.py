@@ -78,6 +78,45 @@ def skip_pages(tables: dict[str, DataFrame], ids: DataFrame, reason: str, as_of:
     return out
 
 
+def skip_ingested(tables: dict[str, DataFrame], ids: DataFrame, reason: str, as_of: str, actor: str = "system") -> dict[str, DataFrame]:
+    """Tables after pages (id) were skipped at intake, their raw files found by the events of their start.
+
+    tables: pages (archived where they have a status), events (ts, actor, action, entity_id, payload as JSON text),
+    raw_files (id, triage_decision, skip_reason, skipped_at), and where given tags, raw_data, chunks (page_id, deleted).
+    A page's raw file is the smallest rawFileId of its ingest_start events; it is passed, with the reason and the time. An
+    ingest_skip event a page tells the reason, the raw file (left out where there is none) and how many rows of each kind
+    were deleted.
+    """
+    gone = ids.select(F.col("id").cast("long").alias("id")).distinct().join(tables["pages"].select("id"), "id", "left_semi")
+    out = dict(tables)
+    hit = gone.withColumn("__hit", F.lit(True))
+    rows = tables["pages"].join(hit, "id", "left").withColumn("deleted", F.when(F.col("__hit"), 1).otherwise(F.col("deleted")))
+    if "status" in tables["pages"].columns:
+        rows = rows.withColumn("status", F.when(F.col("__hit"), "archived").otherwise(F.col("status")))
+    out["pages"] = rows.select(*tables["pages"].columns)
+    file = F.get_json_object("payload", "$.rawFileId").try_cast("long")
+    started = tables["events"].where("action = 'ingest_start'").groupBy(F.col("entity_id").alias("id")).agg(F.min(file).alias("raw_id"))
+    told = gone.join(started, "id", "left")
+    raw = tables["raw_files"]
+    passed = told.where("raw_id IS NOT NULL").select(F.col("raw_id").alias("id"), F.lit(True).alias("__hit")).distinct()
+    new = {"triage_decision": F.lit("pass"), "skip_reason": F.lit(reason), "skipped_at": F.lit(as_of).cast("timestamp")}
+    out["raw_files"] = raw.join(passed, "id", "left").withColumns({c: F.when(F.col("__hit"), v).otherwise(F.col(c)) for c, v in new.items()}).select(*raw.columns)
+    counts = []
+    for name, label in (("tags", "tags"), ("raw_data", "rawData"), ("chunks", "contentChunks")):
+        n = F.lit(0).cast("long")
+        if name in tables:
+            t = tables[name]
+            lost = t.where("deleted = 0").join(gone.withColumnRenamed("id", "page_id"), "page_id").groupBy(F.col("page_id").alias("id")).agg(F.count("*").alias(label))
+            told = told.join(lost, "id", "left")
+            n = F.coalesce(label, n)
+            out[name] = t.join(hit.withColumnRenamed("id", "page_id"), "page_id", "left").withColumn("deleted", F.when(F.col("__hit"), 1).otherwise(F.col("deleted"))).select(*t.columns)
+        counts.append(n.alias(label))
+    payload = F.to_json(F.struct(F.lit(reason).alias("reason"), F.col("raw_id").cast("string").alias("rawFileId"), F.struct(*counts).alias("softDeleted")))
+    new = told.select(F.lit(as_of).cast("timestamp").alias("ts"), F.lit(actor).alias("actor"), F.lit("ingest_skip").alias("action"), F.col("id").alias("entity_id"), payload.alias("payload"))
+    out["events"] = tables["events"].unionByName(new, allowMissingColumns=True)
+    return out
+
+
 def promote_briefs(pages: DataFrame, raw: DataFrame, events: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pages, raw files, events) after briefs (id) became sources: type and slug change, the raw file is committed, stages done before count no more."""
     hit = ids.select("id", F.lit(True).alias("__hit")).distinct()

@@ -347,3 +347,35 @@ def e17b(mentions):
     pool = mentions.groupBy("slug").agg(F.min("source_page_id").alias("low")).where("low % 2 = 0")
     pool = pool.select("slug", F.lit("merged").alias("status"), F.array(F.lit("x")).alias("aliases"), F.array(F.lit(1).cast("long")).alias("source_page_ids"))
     return e.merge_candidate_pool(pool, mentions).select("slug", "status", "evidence_count")
+
+
+@query("e2_duplicate_report", "fx_pages", "fx_links")
+def e2d(pages, links):
+    return sim.duplicate_report(pages, links, 0.7, limit=500)[0]
+
+
+@query("e2_pairs_scanned", "fx_pages", "fx_links", oracle=f"WITH g AS (SELECT type, source_id, count(*) AS n FROM fx_pages WHERE deleted = 0 AND {_ENTITY} GROUP BY 1, 2) SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs_scanned FROM g")
+def e2e(pages, links):
+    return sim.duplicate_report(pages, links, 0.7)[1].select("pairs_scanned")
+
+
+_STUBS = """m AS (SELECT CASE WHEN n % 2 = 1 THEN 'companies/Firm ' || CAST(n AS VARCHAR) ELSE slug END AS slug, CASE WHEN n % 2 = 1 THEN 'Firm ' || CAST(n AS VARCHAR) ELSE 'firm-' || CAST(n AS VARCHAR) END AS name, n, strong, al FROM (SELECT slug, CAST(regexp_extract(slug, '([0-9]+)$', 1) AS BIGINT) AS n, bool_or(id % 4 < 2) AS strong, list_sort(list(DISTINCT alias)) AS al FROM fx_mentions WHERE slug LIKE 'companies/firm-%' GROUP BY 1)),
+p AS (SELECT id, split_part(slug, '/', 2) AS own, alias_csv, 'Firm ' || CAST(id - 1000000 AS VARCHAR) AS extra FROM fx_pages WHERE type = 'company' AND deleted = 0)"""
+
+
+def _stubs(mentions, pages):
+    number, k = F.regexp_extract("slug", "([0-9]+)$", 1), F.col("id") % 4
+    odd = F.col("slug").contains("/firm-") & (number.cast("long") % 2 == 1)
+    mentions = mentions.withColumn("origin_field", F.when(k == 0, "facts_block").when(k == 1, "primary_entities").when(k == 2, "other")).withColumn("slug", F.when(odd, F.concat(F.lit("companies/Firm "), number)).otherwise(F.col("slug")))
+    return e.resolve_or_create(mentions, pages.withColumn("alias_csv", F.concat("alias_csv", F.lit(",Firm "), (F.col("id") - 1000000).cast("string"))), "src")
+
+
+@query("g2_stub_pages", "fx_mentions", "fx_pages", oracle=f"""
+WITH {_STUBS} SELECT 'src' AS source_id, 'companies/firm-' || CAST(n AS VARCHAR) AS slug, 'firm-' || CAST(n AS VARCHAR) AS title, 'company' AS type, 'active' AS status, 'stub' AS entity_state, 'firm-' || CAST(n AS VARCHAR) || CASE WHEN n % 2 = 1 THEN ',' || name ELSE '' END || ',' || array_to_string(al, ',') AS alias_csv FROM m WHERE strong AND NOT EXISTS (SELECT 1 FROM p WHERE p.extra = m.name)""")
+def g2c(mentions, pages):
+    return _stubs(mentions, pages)[0]
+
+
+@query("g2_touched_aliases", "fx_mentions", "fx_pages", oracle=f"WITH {_STUBS} SELECT p.id, alias_csv || ',' || extra || ',' || array_to_string(al, ',') AS alias_csv FROM p JOIN m ON m.name = p.extra")
+def g2d(mentions, pages):
+    return _stubs(mentions, pages)[1]

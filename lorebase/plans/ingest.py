@@ -72,6 +72,37 @@ def s5b(raw):
     return i.page_frontmatter(raw.select("research_id", "research_type", "create_date", F.when(F.col("id") % 2 == 0, "o").alias("original_url"), F.lit("u/x.md").alias("markdown_url"), F.lit(None).cast("string").alias("file_type")))
 
 
+def _skipped(raw):
+    """Tables after the pages of one kind of raw files were skipped: two start events a page, tags of some."""
+    page = F.col("id") + 6000001
+    done = raw.where("id % 4 <> 3")
+    files = raw.drop("ingested_page_id").withColumns({"skip_reason": F.lit(None).cast("string"), "skipped_at": F.lit(None).cast("timestamp")})
+    start = lambda df, file: df.select(F.lit("2024-01-01").cast("timestamp").alias("ts"), F.lit("a").alias("actor"), F.lit("ingest_start").alias("action"), page.alias("entity_id"), F.to_json(F.struct(file.cast("string").alias("rawFileId"))).alias("payload"))
+    tables = {
+        "pages": raw.select(page.alias("id"), F.lit("active").alias("status"), F.lit(0).alias("deleted")), "raw_files": files,
+        "events": start(done, F.col("id")).unionByName(start(done.where("id % 2 = 0"), F.col("id") + 5)),
+        "tags": raw.where("id % 3 = 0").select("id", page.alias("page_id"), F.lit("t").alias("tag"), (F.col("id") % 2).cast("int").alias("deleted")),
+    }
+    return i.skip_ingested(tables, raw.where("research_type = 'src2'").select(page.alias("id")), "dull", "2024-02-01")
+
+
+@query("s7_skip_ingested_files", "fx_raw_files", oracle="""
+SELECT id, CASE WHEN hit THEN 'pass' ELSE triage_decision END AS triage_decision, CASE WHEN hit THEN 'dull' END AS skip_reason, CASE WHEN hit THEN TIMESTAMP '2024-02-01' END AS skipped_at FROM (SELECT id, triage_decision, research_type = 'src2' AND id % 4 <> 3 AS hit FROM fx_raw_files)""")
+def s7c(raw):
+    return _skipped(raw)["raw_files"].select("id", "triage_decision", "skip_reason", "skipped_at")
+
+
+@query("s7_skip_events", "fx_raw_files", oracle="""
+SELECT 6000001 + id AS entity_id, '{"reason":"dull",' || CASE WHEN id % 4 <> 3 THEN '"rawFileId":"' || CAST(id AS VARCHAR) || '",' ELSE '' END || '"softDeleted":{"tags":' || CASE WHEN id % 6 = 0 THEN '1' ELSE '0' END || ',"rawData":0,"contentChunks":0}}' AS payload FROM fx_raw_files WHERE research_type = 'src2'""")
+def s7d(raw):
+    return _skipped(raw)["events"].where("action = 'ingest_skip'").select("entity_id", "payload")
+
+
+@query("s7_skip_archived_pages", "fx_raw_files", oracle="SELECT 6000001 + id AS id, CASE WHEN research_type = 'src2' THEN 'archived' ELSE 'active' END AS status, CASE WHEN research_type = 'src2' THEN 1 ELSE 0 END AS deleted FROM fx_raw_files")
+def s7e(raw):
+    return _skipped(raw)["pages"]
+
+
 @query("s7_skip_raw_files", "fx_pages", "fx_raw_files", "fx_tags", oracle="SELECT id, CASE WHEN ingested_page_id IS NOT NULL AND research_type = 'src2' THEN 'pass' ELSE triage_decision END AS triage_decision FROM fx_raw_files")
 def s7b(pages, raw, tags):
     ids = raw.where("research_type = 'src2' AND ingested_page_id IS NOT NULL").select(F.col("ingested_page_id").alias("id"))
