@@ -13,7 +13,7 @@ Training. Every word of every training text is a target of truncated backpropaga
 texts run side by side, with the state carried from each window into the next until the text ends. In each of ROUNDS rounds the tasks start from the same weights, run
 Adam over their texts, and the weights are averaged by words seen, first within and then across groups of tasks.
 
-Scoring. Texts run side by side in windows of STEPS words, with the state carried across the windows until each text
+Scoring. SIDE texts of like length run side by side in windows of STEPS words, with the state carried across the windows until each text
 and its end sign are done, so the score is that of the whole text, whatever its length.
 
 Null texts count as empty: they have the end sign only. Without training texts every probability is 1 and all scores
@@ -27,12 +27,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorebase.llm.common import Words, cut, lists, mix, word_chunks
 
 FREQUENT = 1 << 18
+BUCKETS = 1 << 18
 NEURAL = 2048
 CLASS_SIZE = 64
 CLASSES = NEURAL // CLASS_SIZE
@@ -44,6 +46,7 @@ BPTT, BATCH = 16, 64
 ROUNDS = 3
 RATE = 0.02
 STEPS = 16
+SIDE = 512
 GROUP_TOKENS = 4_000_000
 END = np.int64(-1)
 _LN10 = float(np.log(10))
@@ -103,6 +106,7 @@ class Vocabulary:
         self.h, self.rank, self.letter = h[order], rank[order], letter[order]
         self.logs = np.log(c[order] + 0.5)
         self.counts = c
+        self.first = np.searchsorted(self.h, np.arange(-BUCKETS // 2, BUCKETS // 2) * ((1 << 64) // BUCKETS)).astype(np.int32)
         self.end = int(np.flatnonzero(h == END)[0])
         weights = np.zeros((BANDS, LETTERS))
         mid = rank >= NEURAL
@@ -114,7 +118,13 @@ class Vocabulary:
     def code(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(input id, log(c + 0.5) or nan, hash, tail class or -1) of each word."""
         h = _keys(w)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        at, top = self.first[h // ((1 << 64) // BUCKETS) + BUCKETS // 2], len(self.h) - 1
+        at = np.minimum(at, top)
+        behind = np.flatnonzero((self.h[at] < h) & (at < top))  # few steps: a bucket of hashes has about one
+        while len(behind):
+            at[behind] += 1
+            on = at[behind]
+            behind = behind[(self.h[on] < h[behind]) & (on < top)]
         known = self.h[at] == h
         logs = np.where(known, self.logs[at], np.nan)
         rank = np.where(known, self.rank[at], -1)
@@ -142,85 +152,134 @@ def initial(v: Vocabulary, seed: int = 1) -> dict[str, np.ndarray]:
     return {k: x.astype(_F) for k, x in p.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _parts(a: np.ndarray) -> np.ndarray:
+    """The update gate's, the reset gate's and the candidate's part of the last axis, as first axis; those of the gates negated."""
+    k = a.ndim - 1
+    parts = np.ascontiguousarray(a.reshape(*a.shape[:-1], 3, HIDDEN).transpose(k, *range(k), k + 1))
+    np.negative(parts[:2], out=parts[:2])
+    return parts
+
+
+def _unit(a: np.ndarray, r: np.ndarray, h: np.ndarray, new: np.ndarray, gates: np.ndarray, n: np.ndarray) -> None:
+    """One step of the gated unit from the parts of its inputs a and of its recurrent inputs r: puts new state, gates and candidate into their places."""
+    np.add(a[:2], r[:2], out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    np.multiply(gates[1], r[2], out=n)
+    n += a[2]
+    np.tanh(n, out=n)
+    np.subtract(h, n, out=new)
+    new *= gates[0]
+    new += n
 
 
 def step(p: dict[str, np.ndarray], a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One step of the gated unit from inputs a and state h: (new state, update gate, reset gate, candidate, recurrent part)."""
-    k = HIDDEN
-    r = h @ p["u"]
-    zr = _sigmoid(a[:, : 2 * k] + r[:, : 2 * k])
-    n = np.tanh(a[:, 2 * k :] + zr[:, k:] * r[:, 2 * k :])
-    z = zr[:, :k]
-    return n + z * (h - n), z, zr[:, k:], n, r[:, 2 * k :]
+    """One step of the gated unit from inputs a and state h: (new state, both gates, candidate)."""
+    new, n, gates = np.empty_like(h), np.empty_like(h), np.empty((2, *h.shape), h.dtype)
+    _unit(_parts(a), h @ _parts(p["u"]), h, new, gates, n)
+    return new, gates, n
 
 
-def output(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, grad: bool = False):
-    """ln P of each target's class and, for neural words, of the word in its class; with grad, also the gradients of the sum."""
-    cls = np.where(target < NEURAL, target // CLASS_SIZE, target - NEURAL + CLASSES)
-    x = h @ p["wc"] + p["bc"]
-    x -= x.max(axis=1, keepdims=True)
-    rows = np.arange(len(h))
-    own = x[rows, cls]
+def _softmax(x: np.ndarray, own: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """ln of the share of each row's own column, and the sum of the row's exponentials, which take the place of x; no |x| is above bound."""
+    if not bound < 60:  # else exp() stays far from the ends of 32-bit numbers
+        x -= x.max(axis=1, keepdims=True)
+    mine = x[np.arange(len(x)), own]
     np.exp(x, out=x)
-    total = x.sum(axis=1)
-    ln = own - np.log(total)
-    g: dict[str, np.ndarray] = {}
-    if grad:
-        d = -x / total[:, None]
-        d[rows, cls] += 1
-        g = {"wc": h.T @ d, "bc": d.sum(axis=0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"]), "h": d @ p["wc"].T}
+    total = x @ np.ones(x.shape[1], x.dtype)
+    return mine - np.log(total), total
+
+
+def _error(x: np.ndarray, own: np.ndarray, total: np.ndarray, n: int) -> None:
+    """Turn exponentials into the gradient of the loss, a mean over n rows, by what they are of."""
+    x *= (1 / (total * n))[:, None]
+    x[np.arange(len(x)), own] -= 1 / n
+
+
+def output(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, grad: bool = False):
+    """ln P of each target's class and, for neural words, of the word in its class; with grad, also the gradients of the mean loss.
+
+    The rows go in order of class, neural ones first: a class's words are a product over its slice, all else is done at once.
+    """
+    cls = np.where(target < NEURAL, target // CLASS_SIZE, target - NEURAL + CLASSES).astype(np.int16)
     order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        i = order[cuts[c] : cuts[c + 1]]
-        if not len(i):
-            continue
-        y = h[i] @ p["ww"][c] + p["bw"][c]
-        y -= y.max(axis=1, keepdims=True)
-        word = target[i] % CLASS_SIZE
-        own = y[np.arange(len(i)), word]
-        np.exp(y, out=y)
-        total = y.sum(axis=1)
-        ln[i] += own - np.log(total)
-        if grad:
-            d = -y / total[:, None]
-            d[np.arange(len(i)), word] += 1
-            g["ww"][c] = h[i].T @ d
-            g["bw"][c] = d.sum(axis=0)
-            g["h"][i] += d @ p["ww"][c].T
-    return (ln, g) if grad else ln
+    cls, word = cls[order], target[order] % CLASS_SIZE
+    cuts = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+    slices = [(c, a, b) for c, a, b in zip(range(CLASSES), cuts, cuts[1:], strict=False) if a < b]
+    m = cuts[CLASSES]
+    own = np.ones((len(h), HIDDEN + 1), h.dtype)  # the last one meets the biases
+    own[:, :HIDDEN] = h[order]
+    wc, ww = np.concatenate([p["wc"], p["bc"][None]]), np.concatenate([p["ww"], p["bw"][:, None]], axis=1)
+    most = max(float(own.max()), -float(own.min()))
+    x = own @ wc
+    y = np.empty((m, CLASS_SIZE), x.dtype)
+    for c, a, b in slices:
+        np.dot(own[a:b], ww[c], out=y[a:b])
+    sorted_ln, total = _softmax(x, cls, most * np.abs(wc).sum(axis=0).max())
+    word_ln, word_total = _softmax(y, word[:m], most * np.abs(ww).sum(axis=1).max())
+    sorted_ln[:m] += word_ln
+    ln = np.empty_like(sorted_ln)
+    ln[order] = sorted_ln
+    if not grad:
+        return ln
+    _error(x, cls, total, len(h))
+    _error(y, word[:m], word_total, len(h))
+    gc, gw = own.T @ x, np.zeros_like(ww)
+    back, more = x @ p["wc"].T, np.empty((m, HIDDEN), x.dtype)
+    for c, a, b in slices:
+        np.dot(own[a:b].T, y[a:b], out=gw[c])
+        np.dot(y[a:b], p["ww"][c].T, out=more[a:b])
+    back[:m] += more
+    dh = np.empty_like(back)
+    dh[order] = back
+    return ln, {"wc": gc[:-1], "bc": gc[-1], "ww": np.ascontiguousarray(gw[:, :-1]), "bw": np.ascontiguousarray(gw[:, -1]), "h": dh}
 
 
 def train_window(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-    """Truncated backpropagation over inputs x and targets y (time, texts): gradients to descend, last state, mean loss."""
+    """Truncated backpropagation over inputs x and targets y (time, texts): gradients to descend, last state, mean loss.
+
+    What of the gradients needs no state of another step is computed for all steps at once.
+    """
     time, k = len(x), HIDDEN
-    kept = []
+    a, u = _parts(p["e"][x]), _parts(p["u"])
+    states = np.empty((time + 1, *h.shape), a.dtype)
+    r, gates, n = np.empty_like(a), np.empty((2, *a.shape[1:]), a.dtype), np.empty(a.shape[1:], a.dtype)
+    states[0] = h
     for t in range(time):
-        new = step(p, p["e"][x[t]], h)
-        kept.append((h, *new[1:]))
-        h = new[0]
-        kept[-1] += (h,)
-    states = np.concatenate([s[-1] for s in kept])
-    ln, g = output(p, states, y.ravel(), grad=True)
-    dh_all = g.pop("h").reshape(time, -1, k)
-    g["e"], g["u"] = np.zeros_like(p["e"]), np.zeros_like(p["u"])
-    da = np.empty((time, x.shape[1], 3 * k), _F)
-    dh = np.zeros_like(h)
+        np.matmul(states[t], u, out=r[:, t])
+        _unit(a[:, t], r[:, t], states[t], states[t + 1], gates[:, t], n[t])
+    ln, g = output(p, states[1:].reshape(-1, k), y.ravel(), grad=True)
+    dh = g.pop("h").reshape(time, -1, k)
+    rest = 1 - gates
+    by = np.empty_like(a)  # what dh is multiplied by for the update gate, the reset gate and the candidate's recurrent part
+    dn = rest[0] * (1 - n * n)
+    np.multiply(states[:-1] - n, gates[0], out=by[0])
+    by[0] *= rest[0]
+    np.multiply(dn, gates[1], out=by[2])
+    np.multiply(by[2], r[2], out=by[1])
+    by[1] *= rest[1]
+    back = np.ascontiguousarray(p["u"].reshape(k, 3, k).transpose(1, 2, 0))
+    du = np.empty_like(a)
     for t in reversed(range(time)):
-        before, z, r, n, rec, _ = kept[t]
-        dh = dh + dh_all[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * rec * r * (1 - r)
-        da[t] = np.concatenate([dz, dr, dn], axis=1)
-        du = np.concatenate([dz, dr, dn * r], axis=1)
-        g["u"] += before.T @ du
-        dh = dh * z + du @ p["u"].T
-    np.add.at(g["e"], x.ravel(), da.reshape(-1, 3 * k))
-    n = y.size
-    return {name: -v / n for name, v in g.items()}, h, -float(ln.mean())
+        np.multiply(dh[t], by[:, t], out=du[:, t])
+        if t:
+            d = dh[t] * gates[0, t]
+            for more in du[:, t] @ back:
+                d += more
+            dh[t - 1] += d
+    g["u"] = np.concatenate(list(states[:-1].reshape(-1, k).T @ du.reshape(3, -1, k)), axis=1)
+    np.multiply(dh, dn, out=du[2])  # the candidate's own input
+    g["e"] = np.zeros_like(p["e"])
+    at = (x.reshape(-1, 1) * (3 * k) + np.arange(k)) + (np.arange(3) * k)[:, None, None]
+    np.add.at(g["e"].reshape(-1), at.ravel(), du.ravel())  # with an index for each number it is fast
+    return g, states[-1], -float(ln.mean())
+
+
+def _long_first(texts: pa.Array) -> pa.Array:
+    """The texts, those of over twice the mean length before the others: so none of them is left to run alone at the end."""
+    n = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    return texts.take(pa.array(np.argsort(n <= 2 * n.mean(), kind="stable"))) if len(n) else texts
 
 
 def _train(shared):
@@ -231,42 +290,71 @@ def _train(shared):
         p = {k: x.copy() for k, x in start.items()}
         m = {k: np.zeros_like(x) for k, x in p.items()}
         s = {k: np.zeros_like(x) for k, x in p.items()}
-        seen, steps = 0, 0
+        seen, steps, m_by, s_by = 0, 0, 1.0, 1.0
+        met = np.zeros(INPUTS, bool)  # inputs since the last step
         texts: list[np.ndarray] = []  # those that run, each with what is left of it
         h = np.zeros((0, HIDDEN), _F)
         gathered: dict[str, np.ndarray] = {}
         size = 0
 
-        def descend() -> None:
-            nonlocal steps, gathered, size
+        def descend(g: dict[str, np.ndarray], size: int) -> None:
+            """A step of Adam in place, along gradients summed over so many words.
+
+            m and s decay through one factor each, so a step writes only the rows of them whose inputs occurred.
+            """
+            nonlocal steps, m_by, s_by
             steps += 1
-            for name, x in gathered.items():
-                x = x / _F(size)
-                m[name] += 0.1 * (x - m[name])
-                s[name] += 0.01 * (x * x - s[name])
-                p[name] -= RATE / np.sqrt(1 + steps / 200) * (m[name] / (1 - 0.9**steps)) / (np.sqrt(s[name] / (1 - 0.99**steps)) + 1e-5)
-            gathered, size = {}, 0
+            m_by, s_by = m_by * 0.9, s_by * 0.99
+            root = np.sqrt(1 - 0.99**steps)
+            rate = RATE / np.sqrt(1 + steps / 200) * root / (1 - 0.9**steps)
+            rows = np.flatnonzero(met)
+            met[:] = False
+            for name, x in g.items():
+                own = x[rows] if name == "e" else x
+                own *= _F(0.1 / size)
+                at = rows if name == "e" else slice(None)
+                m[name][at] += own * _F(1 / m_by)
+                own *= own  # 0.01 times the gradient's square
+                own *= _F(1 / s_by)
+                s[name][at] += own
+                np.sqrt(s[name], out=x)
+                x += _F(1e-5 * root / np.sqrt(s_by))
+                np.divide(m[name], x, out=x)
+                x *= _F(rate * m_by / np.sqrt(s_by))
+                p[name] -= x
+            if m_by < 1e-4:
+                for name in p:
+                    m[name] *= _F(m_by)
+                    s[name] *= _F(s_by)
+                m_by = s_by = 1.0
 
         def advance() -> None:
             """One window of all running texts; those that end leave. Weights move once BATCH windows are gathered."""
-            nonlocal seen, size, texts, h
-            tokens = np.full((BPTT + 1, len(texts)), v.end)  # the end sign stands in for what is missing
+            nonlocal seen, size, texts, gathered, h
+            tokens = np.full((len(texts), BPTT + 1), v.end)  # the end sign stands in for what is missing
             for k, own in enumerate(texts):
-                tokens[: min(len(own), BPTT + 1), k] = own[: BPTT + 1]
+                tokens[k, : len(own)] = own[: BPTT + 1]
+            tokens = np.ascontiguousarray(tokens.T)
             g, h, _ = train_window(p, tokens[:-1], tokens[1:], h)
+            met[tokens[:-1]] = True
             n = BPTT * len(texts)
-            for name, x in g.items():
-                x *= _F(n)
-                gathered[name] = gathered[name] + x if name in gathered else x
             seen += n
-            size += n
-            if size >= BATCH * BPTT:
-                descend()
+            if n == BATCH * BPTT and not size:
+                descend(g, 1)
+            else:
+                for name, x in g.items():
+                    x *= _F(n)
+                    gathered[name] = gathered[name] + x if name in gathered else x
+                size += n
+                if size >= BATCH * BPTT:
+                    descend(gathered, size)
+                    gathered, size = {}, 0
             live = [k for k, own in enumerate(texts) if len(own) > BPTT + 1]
-            texts, h = [texts[k][BPTT:] for k in live], h[live]
+            h = h[live] if len(live) < len(texts) else h
+            texts = [texts[k][BPTT:] for k in live]
 
         for batch in batches:
-            for a, b, w in word_chunks(batch.column(0), lower=True):
+            for a, b, w in word_chunks(_long_first(batch.column(0)), lower=True):
                 ids = v.code(w)[0]
                 for row in range(b - a):
                     own = np.concatenate([[INPUTS - 1], ids[w.bounds[row] : w.bounds[row + 1]], [v.end]])
@@ -277,7 +365,7 @@ def _train(shared):
         while texts:
             advance()
         if size:
-            descend()
+            descend(gathered, size)
         if seen:
             flat = np.concatenate([p[k].ravel() for k in sorted(p)])
             pieces = range(0, len(flat), 8192)
@@ -321,29 +409,27 @@ def log_likelihood(p: dict[str, np.ndarray], ids: np.ndarray, bounds: np.ndarray
     order = np.argsort(-n, kind="stable")
     n, first = n[order], bounds[:-1][order]
     out = np.zeros(len(n))
-    h = np.zeros((len(n), HIDDEN), _F)
-    last = np.full(len(n), INPUTS - 1)
-    ids = np.append(ids, 0)
-    for t0 in range(0, int(n[0]) if len(n) else 0, STEPS):
-        states, targets, owners = [], [], []
-        for t in range(t0, min(t0 + STEPS, int(n[0]))):
-            live = int(np.searchsorted(-n, -t, "left"))
-            if not live:
-                break
-            h[:live] = step(p, p["e"][last[:live]], h[:live])[0]
-            at = np.minimum(first[:live] + t, len(ids) - 1)
-            target = np.where(t < n[:live] - 1, ids[at], end)
-            last[:live] = target
-            states.append(h[:live].copy())
-            targets.append(target)
-            owners.append(live)
-        target = np.concatenate(targets)
-        states = np.concatenate(states)
-        ln = np.concatenate([output(p, states[k : k + 16384], target[k : k + 16384]) for k in range(0, len(target), 16384)])
-        at = 0
-        for live in owners:
-            out[:live] += ln[at : at + live]
-            at += live
+    u = _parts(p["u"])
+    for k in range(0, len(n), SIDE):
+        size, at = n[k : k + SIDE], first[k : k + SIDE]
+        h = np.zeros((len(size), HIDDEN), p["e"].dtype)
+        last = np.full(len(size), INPUTS - 1)
+        for t0 in range(0, int(size[0]), STEPS):
+            live = int(np.searchsorted(-size, -t0, "left"))
+            h, last, left = h[:live], last[:live], size[:live] - t0
+            width = min(STEPS, int(left[0]))
+            steps = np.arange(width)[:, None]
+            targets = np.where(steps < left - 1, ids[np.minimum(at[:live] + t0 + steps, len(ids) - 1)] if len(ids) else end, end)
+            a = _parts(p["e"][np.concatenate([last[None], targets[:-1]])])
+            states, gates, candidate = np.empty((width, *h.shape), h.dtype), np.empty_like(a[:2, 0]), np.empty_like(h)
+            for t in range(width):
+                _unit(a[:, t], h @ u, h, states[t], gates, candidate)
+                h = states[t]
+            last = targets[-1]
+            real = steps < left
+            ln = np.zeros(real.shape)
+            ln[real] = output(p, states[real], targets[real])
+            out[k : k + live] += ln.sum(axis=0)
     result = np.empty(len(n))
     result[order] = out
     return result
@@ -387,6 +473,29 @@ def _score(shared):
     return run
 
 
+def _limit(counts: DataFrame, most: int) -> tuple[int, int]:
+    """(c, h) of the last of the most frequent rows, by falling c and then by h; (0, 0) if there are no more rows than most.
+
+    The driver sees how many rows have each count, then how many of the last count have each high part of the hash: no rows of the tasks' own first ones.
+    """
+    for c, k in counts.groupBy("c").count().orderBy(F.desc("c")).collect():  # distinct counts: with N words at most sqrt(2 N)
+        if k > most:
+            break
+        most -= k
+    else:
+        return 0, 0
+    if not most:
+        return c + 1, (1 << 63) - 1
+    part = F.shiftright("h", 48)
+    for b, k in counts.where(F.col("c") == c).groupBy(part.alias("b")).count().orderBy("b").collect():  # at most 65,536 rows
+        if k > most:
+            break
+        most -= k
+    if not most:
+        return c, (b << 48) - 1
+    return c, counts.where((F.col("c") == c) & (part == b)).orderBy("h").limit(most).agg(F.max("h")).first()[0]
+
+
 def score_documents(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs (doc_id, text, held_out); learns where held_out is false."""
     spark = docs.sparkSession
@@ -398,14 +507,14 @@ def score_documents(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
         zero = F.lit(0.0)
         n = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long") + 1
         return rows.select("doc_id", "held_out", n.alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), zero.alias("base_score"), zero.alias("score"))
-    ranked = counts.orderBy(F.col("h") != int(END), F.desc("c"), "h").limit(FREQUENT).toPandas()  # at most FREQUENT rows
+    limit_c, limit_h = _limit(counts.where(F.col("h") != int(END)), FREQUENT - 1)
+    rare = (F.col("h") != int(END)) & ((F.col("c") < limit_c) | ((F.col("c") == limit_c) & (F.col("h") > limit_h)))
+    beyond = counts.where(rare)
+    ranked = counts.where(~rare).toArrow().to_pandas().sort_values(["c", "h"], ascending=[False, True])  # at most FREQUENT rows
     first = ranked[ranked["h"] == END]
     rest = ranked[ranked["h"] != END]
-    above = int((rest["c"] > first["c"].iloc[0]).sum())
-    above = min(above, NEURAL - 1)
+    above = min(int((rest["c"] > first["c"].iloc[0]).sum()), NEURAL - 1)
     ranked = pd.concat([rest.iloc[:above], first, rest.iloc[above:]])
-    limit_c, limit_h = (int(ranked["c"].iloc[-1]), int(ranked["h"].iloc[-1])) if len(ranked) == FREQUENT else (0, 0)
-    beyond = counts.where((F.col("h") != int(END)) & ((F.col("c") < limit_c) | ((F.col("c") == limit_c) & (F.col("h") > limit_h))))
     tail = np.zeros(LETTERS)
     for letter, w in beyond.groupBy("letter").agg(F.sum(F.col("c") + 0.5)).collect():
         tail[letter] = w

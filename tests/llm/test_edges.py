@@ -145,6 +145,34 @@ def test_lm_trains_on_every_word(monkeypatch):
         assert out.column(1)[0].as_py() == len(targets)
 
 
+def test_lm_long_texts_do_not_end_alone(monkeypatch):
+    texts = ["a b c"] * 768 + [" ".join(["a"] * 150)]
+    column = pa.array(texts)
+    h, letter, c = (np.concatenate(x) for x in zip(*[[col.to_numpy() for col in b.columns] for b in gru_lm._count(iter([pa.RecordBatch.from_arrays([column], ["text"])]))], strict=True))
+    v = gru_lm.Vocabulary(h, letter.astype(int), c, np.zeros(gru_lm.LETTERS))
+    widths, plain = [], gru_lm.train_window
+
+    def watched(p, x, y, h):
+        widths.append(x.shape[1])
+        return plain(p, x, y, h)
+
+    monkeypatch.setattr(gru_lm, "train_window", watched)
+    p = gru_lm.initial(v)
+    list(gru_lm._train(SimpleNamespace(value=(v, p)))(iter([pa.RecordBatch.from_arrays([column], ["text"])])))
+    assert len(widths) <= 14 and sum(widths) == 768 + 10  # 22 windows where the long one runs last
+
+
+def test_lm_frequent_words_end_where_a_sort_ends(spark):
+    r = random.Random(3)
+    rows = [(r.randrange(-(2**63), 2**63), min(50, int(r.paretovariate(1)))) for _ in range(3000)]
+    order = sorted(rows, key=lambda x: (-x[1], x[0]))
+    df = spark.createDataFrame(rows, "h long, c long")
+    edge = sum(c > 1 for _, c in rows)
+    for most in (10, edge - 1, edge, edge + 1, 2999, 3000):
+        c, h = gru_lm._limit(df, most)
+        assert [x for x in order if x[1] > c or (x[1] == c and x[0] <= h)] == order[:most]
+
+
 def test_quality(spark, docs, none):
     trusted = spark.createDataFrame([(6,), (6,), (8,), (None,)], "doc_id long")
     got = {r["doc_id"]: r for r in quality_lm.quality(docs, trusted).collect() if r["doc_id"] is not None}
