@@ -31,6 +31,14 @@ def test_merges_touch_their_buckets_only(spark, tmp_path):
     assert rows(t.read()) == want and rows(KeyedTable(spark, str(tmp_path / "t"), SCHEMA, ["a", "b"], buckets=8).read()) == want
 
 
+def test_an_update_that_is_there_hides_later_ones_of_its_key(spark, tmp_path):
+    t = KeyedTable(spark, str(tmp_path / "t"), SCHEMA, ["a", "b"], buckets=4)
+    more = spark.createDataFrame([("y", 1, 5), ("y", 1, 4)], SCHEMA)
+    for commit in ("1", "2", "3"):
+        assert t.upsert(more, ["v"], replace=True, commit=commit) == int(commit == "1")
+        assert rows(t.read()) == [("y", 1, 4)]
+
+
 def test_an_interrupted_merge_shows_nothing_and_is_repeated(spark, tmp_path, monkeypatch):
     t = KeyedTable(spark, str(tmp_path / "t"), SCHEMA, ["a"], buckets=4)
     t.upsert(spark.createDataFrame([("x", 1, 1)], SCHEMA), ["v"], replace=True, commit="1")
