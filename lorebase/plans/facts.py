@@ -214,8 +214,8 @@ def _snapshots(theses, pages, facts, signals):
     k = F.col("page_id")
     target = F.when(k % 3 == 0, 3000000 + k % 500).when(k % 50 == 1, 1).otherwise(F.col("target_page_id"))
     theses = theses.where("page_id % 29 <> 0").withColumn("target_page_id", target)
-    own = theses.select(k.alias("id"), F.concat(F.lit("theses/"), F.lower("title")).alias("slug"))
-    return f.thesis_snapshots(theses, pages.select("id", "slug").unionByName(own), facts.withColumn("unit", F.when(F.col("id") % 2 == 0, "usd")), signals)
+    own = theses.select(k.alias("id"), F.lit("thesis").alias("type"), F.concat(F.lit("theses/"), F.lower("title")).alias("slug"))
+    return f.thesis_snapshots(theses, pages.select("id", "type", "slug").unionByName(own), facts.withColumn("unit", F.when(F.col("id") % 2 == 0, "usd")), signals)
 
 
 @query("f18_thesis_states", "fx_theses", "fx_pages", "fx_facts", "fx_signals", oracle=f"""
