@@ -17,3 +17,24 @@ def test_a_thesis_whose_id_another_page_has_is_shown_once(spark, typed):
     signals = spark.createDataFrame([(5, "drift", "info", "2024-01-01", 40, 7, 0)], "id long, signal_type string, severity string, detected_at string, thesis_page_id long, entity_page_id long, deleted int")
     got = facts.thesis_snapshots(theses, pages, known, signals)
     assert sorted((r["page_id"], r["slug"], r["target_slug"], [f["id"] for f in r["recent_facts"]], [x["id"] for x in r["recent_signals"]]) for r in got.collect()) == [(40, "theses/t", "companies/a", [3, 2, 1], [5]), (41, "theses/u", "(unknown)", [], [])]
+
+
+def test_a_change_on_the_bound_is_added_up_in_order(spark):
+    """Two changes of exactly -0.02: whether the sums reach it depends on the order in which the values are added."""
+    values = {
+        1: [0.1, 0.07, 0.08, 0.09, 0.09, 0.01, 0.01, 0.05, 0.05, 0.09, 0.08, 0.06, 0.03, 0.02, 0.09, 0.07, 0.05],
+        2: [0.03, 0.01, 0.09, 0.08, 0.09, 0.05, 0.02, 0.09, 0.04, 0.07, 0.02, 0.06, 0.07, 0.08, 0.07, 0.09, 0.01, 0.02],
+    }
+    wanted = set()
+    for e, own in values.items():
+        h = len(own) // 2
+        low = high = 0.0
+        for x, y in zip(own[:h], own[-h:], strict=True):
+            low, high = low + x, high + y
+        wanted.add((e, "stable" if abs((high / h - low / h) / (low / h)) < 0.02 else "falling"))
+    for seed in range(2):
+        rows = [(100 * e + i, e, "m", v, f"2024-01-{i + 1:02d}", 0, i % 2) for e, own in values.items() for i, v in enumerate(own)]
+        random.Random(seed).shuffle(rows)
+        known = spark.createDataFrame(rows, "id long, entity_page_id long, metric string, value_numeric double, valid_from string, deleted int, source_page_id long")
+        assert {(r["entity_page_id"], r["trend"]) for r in facts.top_consensus_metrics(known).collect()} == wanted
+    assert len({t for _, t in wanted}) == 2
