@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lorebase.operators import facts
+from lorebase.operators import facts, search, trigrams
+from lorebase.plans import catalog
 
 
 @pytest.mark.parametrize("typed", [True, False])
@@ -38,3 +39,17 @@ def test_a_change_on_the_bound_is_added_up_in_order(spark):
         known = spark.createDataFrame(rows, "id long, entity_page_id long, metric string, value_numeric double, valid_from string, deleted int, source_page_id long")
         assert {(r["entity_page_id"], r["trend"]) for r in facts.top_consensus_metrics(known).collect()} == wanted
     assert len({t for _, t in wanted}) == 2
+
+
+def test_suggestions_don_t_shuffle_pairs(spark):
+    """Each of 40 hints is like each of 3000 titles: only a block's best rows leave it."""
+    titles = spark.range(3000).select("id", F.concat(F.lit("steel ring number "), F.col("id").cast("string")).alias("title"))
+    hints = spark.range(40).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("hint_id"), F.concat(F.lit("steel ring "), F.col("id").cast("string")).alias("text"))
+    df = search.fuzzy_suggest(hints, titles, 0.15, 3)
+    plan = df._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "array_intersect" not in plan
+    got = df.where("hint_id = 'h7'").orderBy("rank").collect()
+    grams = lambda s: {f"  {w} "[i : i + 3] for w in s.split() for i in range(len(w) + 1)}
+    near = lambda i: round(len(grams("steel ring 7") & grams(f"steel ring number {i}")) / len(grams("steel ring 7") | grams(f"steel ring number {i}")), 6)
+    assert [(r["id"], r["similarity"]) for r in got] == [(i, near(i)) for i in sorted(range(3000), key=lambda i: (-near(i), i))[:3]]
+    assert df.count() == 120
