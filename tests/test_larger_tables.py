@@ -41,6 +41,14 @@ def test_a_change_on_the_bound_is_added_up_in_order(spark):
     assert len({t for _, t in wanted}) == 2
 
 
+def test_scanned_pairs_are_counted_without_comparing_titles(spark, monkeypatch):
+    monkeypatch.setattr(trigrams, "alike", lambda *_, **__: pytest.fail("titles are compared"))
+    rows = [(i, ["company", "concept", "source"][i % 3], "s", "t", int(i == 0), "x/y", "low", "a") for i in range(30)]
+    pages = spark.createDataFrame(rows, "id long, type string, source_id string, title string, deleted int, slug string, confidence string, alias_csv string")
+    monkeypatch.setattr(catalog, "derive", lambda spark, sf_dir, table: pages)
+    assert catalog.QUERIES["e2_pairs_scanned"](spark, "").collect()[0][0] == 9 * 8 // 2 + 10 * 9 // 2
+
+
 def test_suggestions_don_t_shuffle_pairs(spark):
     """Each of 40 hints is like each of 3000 titles: only a block's best rows leave it."""
     titles = spark.range(3000).select("id", F.concat(F.lit("steel ring number "), F.col("id").cast("string")).alias("title"))
