@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lorebase.operators import facts, search, trigrams
+from lorebase.operators import facts, hybrid, search, trigrams
 from lorebase.plans import catalog
 
 
@@ -61,3 +61,21 @@ def test_suggestions_don_t_shuffle_pairs(spark):
     near = lambda i: round(len(grams("steel ring 7") & grams(f"steel ring number {i}")) / len(grams("steel ring 7") | grams(f"steel ring number {i}")), 6)
     assert [(r["id"], r["similarity"]) for r in got] == [(i, near(i)) for i in sorted(range(3000), key=lambda i: (-near(i), i))[:3]]
     assert df.count() == 120
+
+
+def test_a_page_s_chunks_meet_its_queries_in_tiles(spark, monkeypatch):
+    for name, size in (("ASKED", 3), ("CHUNKS", 8), ("COUNTED", 3), ("REMEMBERED", 5)):
+        monkeypatch.setattr(hybrid, name, size)
+    rng = random.Random(5)
+    words = ["alpha", "alphabet", "beta", "gamma", "gam-ma", "delta", "omega", "ñandú", "光学"]
+    rows = [(i, 100 + i % 3, rng.choice([None, 0, 1, 2]), rng.choice([None, " ".join(rng.choices(words, k=4))]) if i % 9 == 0 else " ".join(rng.choices(words, k=4)), "companies/p") for i in range(90)]
+    asked = [(k, " ".join(rng.sample(["alp", "bet", "gamma", "gam", "omega", "ñan", "光学", "zzz"], k=3))) for k in range(8)]
+    chunks = spark.createDataFrame(rows, "id long, page_id long, chunk_index int, chunk_text string, slug string")
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    df = hybrid.keyword_chunks(queries, search.postings(chunks.select("page_id", "chunk_text"), {"chunk_text": 0.4}), chunks, 30)
+    got = {(r["query_id"], r["page_id"]): r["id"] for r in df.collect()}
+    hits = lambda text, chunk: sum(any(w.startswith(t) for w in (chunk or "").split()) for t in text.split())
+    want = {(k, p): min((-hits(text, c), -1 if at is None else at, i) for i, page, at, c, _ in rows if page == p)[2] for k, text in asked for p in (100, 101, 102)}
+    assert got == want
+    assert "startswith" not in df._jdf.queryExecution().executedPlan().toString().lower().split("mapinarrow")[0]
+    assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()
