@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -217,18 +220,67 @@ def gated_reviews(pages: DataFrame, stored: DataFrame) -> DataFrame:
     return met.where("stored IS NOT NULL").select("page_id", F.col("stored").alias("status"), F.lit(True).alias("reused")).unionByName(fresh)
 
 
+#: What \s, ^ and $ of Java's expressions know, (?m) set.
+_BLANK, _BREAKS = "[ \\t\\n\\x0b\\f\\r]", "\n\r\u0085\u2028\u2029"
+_EOL = "(?=[\\r\u0085\u2028\u2029]|(?<!\\r)\\n|\\Z)"
+_NUMBERED = re.compile(f"##{_BLANK}+(?:Q[0-9]|[0-9]+\\.)")
+_HEADING = re.compile(f"##{_BLANK}+([^{_BREAKS}]+?){_BLANK}*{_EOL}")
+_SECTIONS = [re.compile(f"##{_BLANK}+{re.escape(title)}{_BLANK}*{_EOL}") for title in ("4. New Positions", "5. Reduce / Hedge")]
+_DISCLAIMERS = (b"watchlist", b"no active thesis", b"research brief")
+
+
+def _visible_lengths(texts: pa.Array) -> np.ndarray:
+    """The characters of each text, trimmed and with runs of white space as one."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    at = (offsets - offsets[0]).astype(np.int64)
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    inner = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(data))]
+    begins[inner] = ~blank[inner]
+    count = lambda mask: np.diff(np.append(0, np.cumsum(mask, dtype=np.int64))[at])
+    words = count(begins)
+    return count(~blank & ((data & 0xC0) != 0x80)) + np.maximum(words - 1, 0)
+
+
+_SEEN = "struct<chars:int,refs:int,numbered:int,titles:array<string>,new:string,cut:string,asked:array<boolean>,disclaimer:boolean>"
+
+
+def _scan(texts: pa.Array) -> pa.Array:
+    """What the rules on a report document look for, by one search for its headings in place of an expression for each."""
+    texts = texts.cast(pa.string())
+    rows = []
+    for t in texts.to_pylist():
+        heads, i = [], t.find("##")
+        while i >= 0:
+            if i == 0 or t[i - 1] in _BREAKS:
+                heads.append(i)
+            i = t.find("##", i + 1)
+        titles, end = [], 0
+        for i in heads:
+            m = _HEADING.match(t, i) if i >= end else None
+            if m:
+                titles.append(m[1].strip(" "))
+                end = m.end()
+        parts, heads_of = [], [i for i in heads if t[i + 2 : i + 3] in tuple(" \t\n\x0b\f\r")]
+        for pattern in _SECTIONS:
+            m = next(filter(None, (pattern.match(t, i) for i in heads_of)), None)
+            parts.append(t[m.end() : next((i for i in heads_of if i >= m.end()), len(t))] if m else "")
+        low = t.encode().lower()
+        rows.append((t.count("[[sources/") + t.count("[[briefs/"), sum(_NUMBERED.match(t, i) is not None for i in heads), titles, *parts, [q in low for q in (b"q4", b"q5", b"q6")], any(d in low for d in _DISCLAIMERS)))
+    refs, numbered, titles, new, cut, asked, said = zip(*rows, strict=True) if rows else [()] * 7
+    columns = [pa.array(_visible_lengths(texts) if rows else [], pa.int32()), pa.array(refs, pa.int32()), pa.array(numbered, pa.int32()), pa.array(titles, pa.list_(pa.string())), pa.array(new, pa.string()), pa.array(cut, pa.string()), pa.array(asked, pa.list_(pa.bool_())), pa.array(said, pa.bool_())]
+    return pa.StructArray.from_arrays(columns, ["chars", "refs", "numbered", "titles", "new", "cut", "asked", "disclaimer"])
+
+
 def output_issues(outputs: DataFrame) -> DataFrame:
     """(page_id, severity, code, detail) of report documents (page_id, slug, content, frontmatter as JSON text)."""
     fields = F.coalesce(F.from_json(F.coalesce("frontmatter", F.lit("{}")), "map<string,string>"), F.create_map().cast("map<string,string>"))
     rows = outputs.select("page_id", "slug", F.coalesce("content", F.lit("")).alias("body"), fields.alias("f"))
     get = lambda k: F.try_element_at("f", F.lit(k))
     rows = rows.withColumn("subtype", F.when(get("subtype").isin(*OUTPUT_PROFILES), get("subtype")).when(F.col("slug").contains("daily-summarize"), "daily-summarize").otherwise("daily-review"))
-    section = lambda title: F.regexp_extract("body", rf"(?ms)^##\s+{title}\s*$(.*?)(?=^##\s+|\z)", 1)
-    rows = rows.withColumns({
-        "chars": F.length(F.trim(F.regexp_replace("body", r"\s+", " "))), "refs": F.regexp_count("body", F.lit(r"\[\[(sources|briefs)/")), "numbered": F.regexp_count("body", F.lit(r"(?m)^##\s+(?:Q\d|\d+\.)")),
-        "titles": F.transform(F.regexp_extract_all("body", F.lit(r"(?m)^##\s+(.+?)\s*$"), 1), lambda t: F.trim(t)),
-        "n": get("active_thesis_count").try_cast("int"), "mode": get("portfolio_mode"), "new": section(r"4\. New Positions"), "cut": section("5\\. Reduce / Hedge"),
-    })
+    rows = rows.withColumn("seen", F.arrow_udf(_scan, _SEEN)("body")).select("*", "seen.*").withColumns({"n": get("active_thesis_count").try_cast("int"), "mode": get("portfolio_mode")})
     of = lambda i: F.element_at(F.create_map(*[F.lit(x) for t, p in OUTPUT_PROFILES.items() for x in (t, p[i])]), F.col("subtype"))
     brief = F.col("subtype") == "daily-summarize"
     rules = Rules()
@@ -240,15 +292,15 @@ def output_issues(outputs: DataFrame) -> DataFrame:
     rules.when(F.col("refs") < 5, "warn", "low_source_refs", F.col("refs"))
     rules.when(~brief & (F.col("numbered") < of(3)), "error", "missing_questions", F.col("numbered"))
     rules.when(brief & (F.col("numbered") < of(3)), "error", "missing_sections", F.col("numbered"))
-    unused = F.array_compact(F.array(*[F.when(~F.col("body").rlike(rf"(?i)\bQ{q}\b|§Q{q}\b"), f"Q{q}") for q in (4, 5, 6)]))
+    unused = F.array_compact(F.array(*[F.when(~(F.get("asked", F.lit(q - 4)) & F.col("body").rlike(rf"(?i)\bQ{q}\b|§Q{q}\b")), f"Q{q}") for q in (4, 5, 6)]))
     rules.each(F.when(brief & get("sources").contains("daily-review-"), unused), "error", "missing_daily_review_reuse")
     watch, live = brief & (F.coalesce("n", F.lit(1)) == 0), brief & (F.coalesce("n", F.lit(1)) != 0)
     rules.when(watch & ~F.col("mode").eqNullSafe("watchlist"), "error", "wrong_portfolio_mode")
-    rules.when(watch & ~F.col("body").rlike("(?i)watchlist|no active thesis|research brief"), "error", "missing_watchlist_disclaimer")
+    rules.when(watch & ~F.col("disclaimer"), "error", "missing_watchlist_disclaimer")
     rules.when(watch & F.col("new").rlike(r"(?i)%\s*NAV|\bNAV\b|\bsizing\b|\bentry\b|\bstop\b|\btarget\b"), "error", "watchlist_has_execution_fields")
     rules.when(live & (F.col("n") > 0) & _present(F.col("mode")) & (F.col("mode") != "active-thesis"), "error", "wrong_portfolio_mode")
     for column, wanted, code in (("new", TRADE_FIELDS, "incomplete_trade_sheet"), ("cut", HEDGE_FIELDS, "incomplete_reduce_hedge")):
-        acting = live & (F.trim(column, F.lit(" \n\t\r")) != "") & ~F.col(column).rlike("(?i)" + NO_ACTION)
+        acting = live & F.col(column).rlike(r"[^ \n\t\r]") & ~F.col(column).rlike("(?i)" + NO_ACTION)
         lacking = F.array_compact(F.array(*[F.when(~F.col(column).rlike("(?i)" + p), k) for k, p in wanted.items()]))
         rules.each(F.when(acting, lacking), "error", code)
     return rules.of(rows)

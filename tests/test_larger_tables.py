@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lorebase.operators import facts, hybrid, search, trigrams
+from lorebase.operators import facts, hybrid, reviews, search, trigrams
 from lorebase.plans import catalog
 
 
@@ -79,3 +79,21 @@ def test_a_page_s_chunks_meet_its_queries_in_tiles(spark, monkeypatch):
     assert got == want
     assert "startswith" not in df._jdf.queryExecution().executedPlan().toString().lower().split("mapinarrow")[0]
     assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reports_are_searched_once_and_found_the_same(spark):
+    """The scan against the expressions it stands for, on texts with every kind of line end, blank and heading."""
+    rng = random.Random(7)
+    bits = ["## ", "##", "### ", "##\t", "\n", "\n\n", "\r\n", "\r", " ", "  ", "\u0085", " ", "\x0b", "\x0c", " ", "4. New Positions", "5. Reduce / Hedge", "Q1: x", "Q4", "12.", "1. A  ", "[[sources/a]]", "[[[briefs/b]]", "WatchList", "光", "é", "##  \n", "\n## 4. New Positions\n", "\n## 5. Reduce / Hedge \n\n"]
+    texts = ["", " ", "\n##", *["".join(rng.choices(bits, k=rng.randint(0, 25))) for _ in range(1500)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    section = lambda title: F.regexp_extract("t", rf"(?ms)^##\s+{title}\s*$(.*?)(?=^##\s+|\z)", 1)
+    want = {
+        "chars": F.length(F.trim(F.regexp_replace("t", r"\s+", " "))), "refs": F.regexp_count("t", F.lit(r"\[\[(sources|briefs)/")), "numbered": F.regexp_count("t", F.lit(r"(?m)^##\s+(?:Q\d|\d+\.)")),
+        "titles": F.transform(F.regexp_extract_all("t", F.lit(r"(?m)^##\s+(.+?)\s*$"), 1), lambda x: F.trim(x)), "new": section(r"4\. New Positions"), "cut": section("5\\. Reduce / Hedge"), "disclaimer": F.col("t").rlike("(?i)watchlist|no active thesis|research brief"),
+    }
+    rows = df.withColumn("seen", F.arrow_udf(reviews._scan, reviews._SEEN)("t")).select("t", *[F.struct(F.col(f"seen.{k}").alias("got"), c.alias("want")).alias(k) for k, c in want.items()]).collect()
+    assert len(rows) == len(texts) and [(k, r["t"]) for r in rows for k in want if r[k]["got"] != r[k]["want"]] == []
+    out = df.select(F.col("id").alias("page_id"), F.lit("outputs/x").alias("slug"), F.col("t").alias("content"), F.lit(None).cast("string").alias("frontmatter"))
+    plan = reviews.output_issues(out)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan.lower()
