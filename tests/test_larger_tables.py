@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorebase.operators import facts, hybrid, reviews, search, trigrams
+from lorebase.operators import theses as theses_
 from lorebase.plans import catalog
 
 
@@ -97,3 +98,20 @@ def test_reports_are_searched_once_and_found_the_same(spark):
     out = df.select(F.col("id").alias("page_id"), F.lit("outputs/x").alias("slug"), F.col("t").alias("content"), F.lit(None).cast("string").alias("frontmatter"))
     plan = reviews.output_issues(out)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp" not in plan.lower()
+
+
+def test_a_text_is_searched_by_all_theses_that_touch_it(spark, monkeypatch):
+    monkeypatch.setattr(theses_, "TOUCHES", 3)  # a document's touches are dealt in parts
+    rng = random.Random(9)
+    words = ["Alpha", "beta", "ÉCLAIR", "光学", " ", "", None]
+    cond = [(i, None if i == 5 else [tuple(rng.choices(words, k=3)) for _ in range(i % 3)]) for i in range(12)]
+    docs = [(1, "the alphabet, an éclair"), (2, "光学 BETA"), (3, None), (4, ""), (5, "never touched")]
+    touched = [(d, t) for d in (1, 2, 3, 4, 9) for t in range(13)]
+    kind = "thesis_id long, validation_conditions array<struct<condition:string,title:string,summary:string>>"
+    df = theses_.match_conditions(spark.createDataFrame(cond, kind), spark.createDataFrame(docs, "source_page_id long, text string"), spark.createDataFrame(touched, "source_page_id long, thesis_id long"))
+    fields = lambda c: [f for f in c if f and f.strip()]
+    want = {(d, t): None if own is None else [fields(c)[0] for c in own if body is not None and any(f.lower() in body.lower() for f in fields(c))] for d, body in docs[:4] for t, own in cond}
+    got = {(r["source_page_id"], r["thesis_id"]): r["conditions"] for r in df.collect()}
+    assert got == want and df.count() == len(want)
+    # the text reaches the comparison in rows of its own
+    assert "contains(" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
