@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorebase.operators import facts, hybrid, reviews, search, trigrams
 from lorebase.operators import theses as theses_
 from lorebase.plans import catalog
+from lorebase.sources.keyed import KeyedTable
 
 
 @pytest.mark.parametrize("typed", [True, False])
@@ -115,3 +116,12 @@ def test_a_text_is_searched_by_all_theses_that_touch_it(spark, monkeypatch):
     assert got == want and df.count() == len(want)
     # the text reaches the comparison in rows of its own
     assert "contains(" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_staged_updates_go_once_they_are_committed(spark, tmp_path):
+    table = KeyedTable(spark, f"file://{tmp_path}/t", "id long, v string", ["id"], buckets=4)
+    rows = lambda n, v: spark.range(n).select("id", F.lit(v).alias("v"))
+    assert table.upsert(rows(20, "a"), ["id"], True, "one") and table.upsert(rows(5, "b"), ["id"], True, "two")
+    assert table.upsert(rows(5, "b"), ["id"], True, "three") == 0 and table.upsert(rows(20, "c"), ["id"], True, "two") == 0
+    assert sorted(tuple(r) for r in table.read().collect()) == [(i, "b" if i < 5 else "a") for i in range(20)]
+    assert list((tmp_path / "t").glob("staged/*")) == [] and len(list((tmp_path / "t").glob("data/*"))) == 2
